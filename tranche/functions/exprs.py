@@ -133,10 +133,15 @@ def format_brl_billions(c: str | Column) -> Column:
     return format_brl_scaled(c, 1e9, "Bi")
 
 
+def format_pattern(c: str | Column, pattern: str) -> Column:
+    """``format_number`` with a decimal pattern such as ``'0.0'`` (no grouping)."""
+    return F.call_function("format_number", col(c), F.lit(pattern))
+
+
 def format_pct(c: str | Column, decimals: int = 1) -> Column:
     """``12.3%`` (dot decimal, half-even on the binary value like Python)."""
     pattern = "0." + "0" * decimals if decimals else "0"
-    return F.concat(F.format_number(col(c).cast("double"), pattern), F.lit("%"))
+    return F.concat(format_pattern(col(c).cast("double"), pattern), F.lit("%"))
 
 
 def format_int(c: str | Column) -> Column:
@@ -147,7 +152,7 @@ def format_int(c: str | Column) -> Column:
 def company_label(name: str | Column, cnpj: str | Column, score: str | Column) -> Column:
     """F8: ``<name> - <formatted id> (Score: <n>)``."""
     return F.concat(col(name), F.lit(" - "), format_tax_id(cnpj),
-                    F.lit(" (Score: "), F.format_number(col(score).cast("double"), "0"), F.lit(")"))
+                    F.lit(" (Score: "), format_pattern(col(score).cast("double"), "0"), F.lit(")"))
 
 
 def gap_text(gap: str | Column) -> Column:

@@ -102,14 +102,22 @@ def score_components(companies_df: DataFrame) -> dict:
             "score_comportamento": behaviour}
 
 
+SCORE_COLUMNS = ["cnpj_raiz", "cnpj", "razao_social", "gerfe", "total_parcelamentos", "qtd_ativos",
+                 "qtd_cancelados", "valor_ativos", "taxa_sucesso_pct", "flag_reincidente",
+                 "score_historico_cancelamento", "score_recencia", "score_valor_risco",
+                 "score_reincidencia", "score_comportamento", "score_risco_final", "classificacao_risco"]
+
+
 def company_scores(companies_df: DataFrame) -> DataFrame:
     """5 components (0-100), weighted final score and risk class."""
+    return with_scores(companies_df).select(*SCORE_COLUMNS)
+
+
+def with_scores(companies_df: DataFrame) -> DataFrame:
+    """T2 plus the T3 score columns: a narrow projection, no join needed."""
     comp = score_components(companies_df)
     w = C.SCORE_WEIGHTS
-    scored = companies_df.select(
-        "cnpj_raiz", "cnpj", "razao_social", "gerfe", "total_parcelamentos", "qtd_ativos",
-        "qtd_cancelados", "valor_ativos", "taxa_sucesso_pct", "flag_reincidente",
-        *[e.alias(k) for k, e in comp.items()])
+    scored = companies_df.select("*", *[e.alias(k) for k, e in comp.items()])
     final = (F.lit(w["historico"]) * F.col("score_historico_cancelamento")
              + F.lit(w["recencia"]) * F.col("score_recencia")
              + F.lit(w["valor"]) * F.col("score_valor_risco")
