@@ -1,8 +1,12 @@
 """B2 ``companies`` (T2) and B3 ``company_scores``.
 
 B2 is one ``groupBy(cnpj_raiz)`` with only decomposable aggregates (count_if,
-sum, max, min), so Spark runs a partial aggregate before the shuffle: a
-company with millions of agreements still sends one row per map task.
+sum, max), so Spark runs a partial aggregate before the shuffle: a company
+with millions of agreements still sends one row per map task.  The company's
+registry attributes (name, full id, region, sector, status) depend on
+``cnpj_raiz`` alone, so they ride along as grouping keys: aggregating them
+with ``max`` would need string buffers and push Spark onto the sort-based
+aggregate (a full sort of T1 on the map side).
 B3 is pure column arithmetic over T2: narrow, no shuffle.
 """
 
@@ -15,6 +19,9 @@ from tranche import config as C
 from tranche.functions import exprs as X
 
 
+COMPANY_ATTRIBUTES = ["cnpj", "razao_social", "gerfe", "ges", "situacao_cadastral", "flag_simples_nacional"]
+
+
 def _is(code: int):
     return F.col("cd_status") == code
 
@@ -26,14 +33,8 @@ def companies(agreements: DataFrame, params: C.Params = C.DEFAULT) -> DataFrame:
     settled_days = F.when(_is(C.ST_SETTLED) & F.col("dt_fim").isNotNull(), days)
     cancel_days = F.when(_is(C.ST_CANCELLED) & F.col("dt_fim").isNotNull(), days)
     g = (agreements.where(F.col("cnpj_raiz").isNotNull())
-         .groupBy("cnpj_raiz")
-         .agg(F.max("cnpj").alias("cnpj"),
-              F.max("razao_social").alias("razao_social"),
-              F.max("gerfe").alias("gerfe"),
-              F.max("ges").alias("ges"),
-              F.max("situacao_cadastral").alias("situacao_cadastral"),
-              F.max("flag_simples_nacional").alias("flag_simples_nacional"),
-              F.count(F.lit(1)).alias("total_parcelamentos"),
+         .groupBy("cnpj_raiz", *COMPANY_ATTRIBUTES)
+         .agg(F.count(F.lit(1)).alias("total_parcelamentos"),
               F.count_if(_is(C.ST_ACTIVE)).alias("qtd_ativos"),
               F.count_if(_is(C.ST_SETTLED)).alias("qtd_quitados"),
               F.count_if(_is(C.ST_CANCELLED)).alias("qtd_cancelados"),

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream source, watermark, window or state: its tables
+are rebuilt daily and read as snapshots.  The equivalent here is the batch
+rebuild of the derived tables (``tranche.plans.catalog.Tables.materialize``),
+run on a schedule; nothing in the operator inventory needs Structured
+Streaming.
+"""
