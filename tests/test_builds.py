@@ -17,7 +17,7 @@ from tranche.operators import series as SE
 from tranche.operators import summary as SU
 from tests import fixture_rows as FX
 
-P = Params(as_of=FX.AS_OF, skew=SkewParams(hot_share=0.1, hot_min_rows=0, salt_buckets=3))
+P = Params(as_of=FX.AS_OF, skew=SkewParams(max_hot_keys=2, hot_min_rows=0, salt_buckets=3))
 
 
 @pytest.fixture(scope="module")
@@ -113,16 +113,13 @@ def test_series_and_summary(built, spark):
     ser = SE.monthly_series(a)
     assert ser.count() == 6
     assert ser.agg(F.sum("total_parcelamentos")).first()[0] == 9           # null date excluded
-    rc = RC.expected_receipts(a, s, P)
-    rv = RV.recovery_agreements(a, P)
-    al = AL.alerts(a, s, P)
-    row = SU.executive_summary(a, c, s, rc, rv, al, P).first()
+    row = SU.executive_summary(a, c, P).first()
     assert row.total_parcelamentos == 10 and row.total_empresas == 4
     assert row.total_alertas == 2 and row.alertas_urgentes == 1
     assert row.empresas_reincidentes == 1 and row.empresas_risco_critico == 1
     assert row.expectativa_3_meses == Decimal("300080.00")
     assert row.qtd_ativos + row.qtd_quitados + row.qtd_cancelados + row.qtd_pendentes_1a_parcela == 10
-    cats = {r.categoria: r for r in SU.summary_categories(SU.executive_summary(a, c, s, rc, rv, al, P)).collect()}
+    cats = {r.categoria: r for r in SU.summary_categories(SU.executive_summary(a, c, P)).collect()}
     assert cats["RECUPERA+"].quantidade == 4
 
 
@@ -130,7 +127,6 @@ def test_empty_input_keeps_schema(spark, built):
     empty = built["a"].limit(0)
     c = CO.companies(empty, P)
     assert c.count() == 0 and "taxa_sucesso_pct" in c.columns
-    row = SU.executive_summary(empty, c, CO.company_scores(c), RC.expected_receipts(empty, CO.company_scores(c), P),
-                               RV.recovery_agreements(empty, P), AL.alerts(empty, CO.company_scores(c), P), P).first()
+    row = SU.executive_summary(empty, c, P).first()
     assert row.total_parcelamentos == 0 and row.valor_total_parcelado == Decimal("0.00")
     assert row.taxa_sucesso_global_pct is None

@@ -76,15 +76,18 @@ ML_LABEL = "risco_cancelamento"
 class SkewParams:
     """Hot-key handling for joins keyed by company.
 
-    A key is hot when it holds more than ``hot_share`` of the fact rows and at
-    least ``hot_min_rows`` rows; at most ``1 / hot_share`` keys can qualify, so
-    the hot-key list is a proven-small broadcast.  Hot keys are spread over
-    ``salt_buckets`` join partitions.
+    The hot keys are the ``max_hot_keys`` heaviest keys among those with at
+    least ``hot_min_rows`` rows: a top-k, so the list is a proven-small
+    broadcast, and every key holding more than ``1 / max_hot_keys`` of the
+    rows is necessarily in it.  Hot keys are spread over ``salt_buckets``
+    join partitions.
     """
 
-    hot_share: float = 1.0 / 1024
+    max_hot_keys: int = 1024
     hot_min_rows: int = 100_000
     salt_buckets: int = 64
+    # False: plain shuffle join, hot partitions left to AQE skew-join splitting
+    enabled: bool = True
 
 
 @dataclass(frozen=True)

@@ -17,25 +17,42 @@ from tranche.functions import exprs as X
 from tranche.operators.skew import lookup_join
 
 
-def alerts(agreements: DataFrame, scores: DataFrame, params: C.Params = C.DEFAULT) -> DataFrame:
-    cand = (agreements.where(F.col("cd_status").isin(C.ST_ACTIVE, C.ST_PENDING))
-            .select("num_parcelamento", "cnpj_raiz", "cnpj", "razao_social", "gerfe",
-                    "cd_status", "valor_parcelado", "dt_pedido"))
-    sc = scores.select("cnpj_raiz", "score_risco_final", "classificacao_risco", "flag_reincidente")
-    j = lookup_join(cand, sc, "cnpj_raiz", ["num_parcelamento"], params.skew)
-    days = F.datediff(F.lit(params.as_of), F.col("dt_pedido"))
+CANDIDATE_STATUS = (C.ST_ACTIVE, C.ST_PENDING)
+SCORE_COLUMNS = ["cnpj_raiz", "score_risco_final", "classificacao_risco", "flag_reincidente"]
+
+
+def alert_days(params: C.Params = C.DEFAULT):
+    return F.datediff(F.lit(params.as_of), F.col("dt_pedido"))
+
+
+def alert_type(params: C.Params = C.DEFAULT):
+    """Rule precedence: recidivism, high value, cancellation risk, late first
+    instalment; null when no rule fires (no alert)."""
     score = F.col("score_risco_final")
     high_value = F.lit(Decimal(params.alert_high_value)).cast(X.MONEY)
-    kind = (F.when(F.col("flag_reincidente") == 1, F.lit(C.ALERT_TYPES[0]))
+    return (F.when(F.col("flag_reincidente") == 1, F.lit(C.ALERT_TYPES[0]))
             .when(F.col("valor_parcelado") >= high_value, F.lit(C.ALERT_TYPES[1]))
             .when(score >= params.high_risk_score, F.lit(C.ALERT_TYPES[2]))
-            .when((F.col("cd_status") == C.ST_PENDING) & (days > params.alert_late_days),
+            .when((F.col("cd_status") == C.ST_PENDING) & (alert_days(params) > params.alert_late_days),
                   F.lit(C.ALERT_TYPES[3])))
-    prio = (F.when(score >= 80, F.lit(1)).when(score >= 60, F.lit(2))
+
+
+def alert_priority():
+    """1 URGENTE (score >= 80), 2 ALTA (>= 60), 3 MÉDIA (>= 40), else 4 BAIXA."""
+    score = F.col("score_risco_final")
+    return (F.when(score >= 80, F.lit(1)).when(score >= 60, F.lit(2))
             .when(score >= 40, F.lit(3)).otherwise(F.lit(4)))
+
+
+def alerts(agreements: DataFrame, scores: DataFrame, params: C.Params = C.DEFAULT,
+           hot: DataFrame | None = None) -> DataFrame:
+    cand = (agreements.where(F.col("cd_status").isin(*CANDIDATE_STATUS))
+            .select("num_parcelamento", "cnpj_raiz", "cnpj", "razao_social", "gerfe",
+                    "cd_status", "valor_parcelado", "dt_pedido"))
+    j = lookup_join(cand, scores.select(*SCORE_COLUMNS), "cnpj_raiz", ["num_parcelamento"], params.skew, hot=hot)
     out = j.select("num_parcelamento", "cnpj_raiz", "cnpj", "razao_social", "gerfe",
-                   kind.alias("tipo_alerta"), prio.alias("prioridade"),
-                   "valor_parcelado", days.alias("dias_vida_parcelamento"), "classificacao_risco")
+                   alert_type(params).alias("tipo_alerta"), alert_priority().alias("prioridade"),
+                   "valor_parcelado", alert_days(params).alias("dias_vida_parcelamento"), "classificacao_risco")
     return (out.where(F.col("tipo_alerta").isNotNull())
             .select("num_parcelamento", "cnpj_raiz", "cnpj", "razao_social", "gerfe", "tipo_alerta",
                     "prioridade", X.priority_label("prioridade").alias("desc_prioridade"),

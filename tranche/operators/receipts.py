@@ -27,26 +27,37 @@ def months_elapsed(start, as_of):
             - F.when(F.dayofmonth(as_of) < F.dayofmonth(start), F.lit(1)).otherwise(F.lit(0)))
 
 
-def expected_receipts(agreements: DataFrame, scores: DataFrame,
-                      params: C.Params = C.DEFAULT) -> DataFrame:
-    as_of = F.lit(params.as_of)
+def receipt_filter(params: C.Params = C.DEFAULT):
+    """Agreements that enter the projection: active, requested up to ``as_of``."""
+    return (F.col("cd_status") == C.ST_ACTIVE) & (F.to_date("dt_pedido") <= F.lit(params.as_of))
+
+
+def gross_expectation(h: int, params: C.Params = C.DEFAULT):
+    """Gross value expected in the next ``h`` months for one agreement row."""
     n = F.col("num_parcelas")
-    active = agreements.where((F.col("cd_status") == C.ST_ACTIVE)
-                              & (F.to_date("dt_pedido") <= as_of))
-    remaining = F.greatest(n - F.greatest(months_elapsed(F.col("dt_pedido"), as_of), F.lit(0)), F.lit(0))
+    remaining = F.greatest(n - F.greatest(months_elapsed(F.col("dt_pedido"), F.lit(params.as_of)), F.lit(0)),
+                           F.lit(0))
     instalment = F.when(n > 0, X.half_up_div(X.cents(F.col("valor_parcelado")), n.cast("bigint"))) \
         .otherwise(F.lit(0).cast("bigint"))
-    base = active.select(
+    return X.from_cents(instalment * F.least(F.lit(h), remaining))
+
+
+def adjusted_expectation(gross, risk_col: str = "risco_empresa"):
+    """Gross x probability of the risk class, rounded half-up to cents."""
+    return (gross * X.success_probability(risk_col)).cast(X.MONEY)
+
+
+def expected_receipts(agreements: DataFrame, scores: DataFrame,
+                      params: C.Params = C.DEFAULT, hot: DataFrame | None = None) -> DataFrame:
+    base = agreements.where(receipt_filter(params)).select(
         "num_parcelamento", "cnpj_raiz",
-        *[X.from_cents(instalment * F.least(F.lit(h), remaining)).alias(f"valor_esperado_{h}_meses")
-          for h in HORIZONS])
+        *[gross_expectation(h, params).alias(f"valor_esperado_{h}_meses") for h in HORIZONS])
     risk = scores.select("cnpj_raiz", F.col("classificacao_risco").alias("risco_empresa"))
-    j = lookup_join(base, risk, "cnpj_raiz", ["num_parcelamento"], params.skew)
-    p = X.success_probability("risco_empresa")
+    j = lookup_join(base, risk, "cnpj_raiz", ["num_parcelamento"], params.skew, hot=hot)
     return j.select(
         "num_parcelamento", "cnpj_raiz", "risco_empresa",
         *[f"valor_esperado_{h}_meses" for h in HORIZONS],
-        *[(F.col(f"valor_esperado_{h}_meses") * p).cast(X.MONEY).alias(f"valor_ajustado_risco_{h}_meses")
+        *[adjusted_expectation(F.col(f"valor_esperado_{h}_meses")).alias(f"valor_ajustado_risco_{h}_meses")
           for h in HORIZONS])
 
 

@@ -28,14 +28,19 @@ LEVELS = {
 }
 
 
-def recovery_agreements(agreements: DataFrame, params: C.Params = C.DEFAULT) -> DataFrame:
-    """Agreements of the recovery programme within the joining window."""
-    a = agreements.where(F.col("categoria_parcelamento") == C.CAT_RECOVERY)
+def recovery_predicate(params: C.Params = C.DEFAULT):
+    """Recovery category, within the joining window when one is set."""
+    cond = F.col("categoria_parcelamento") == C.CAT_RECOVERY
     if params.recovery_start is not None:
-        a = a.where(F.to_date("dt_pedido") >= F.lit(params.recovery_start))
+        cond = cond & (F.to_date("dt_pedido") >= F.lit(params.recovery_start))
     if params.recovery_end is not None:
-        a = a.where(F.to_date("dt_pedido") <= F.lit(params.recovery_end))
-    return a.select("num_parcelamento", "cnpj_raiz", "tipo_adesao", "origem_debito",
+        cond = cond & (F.to_date("dt_pedido") <= F.lit(params.recovery_end))
+    return cond
+
+
+def recovery_agreements(agreements: DataFrame, params: C.Params = C.DEFAULT) -> DataFrame:
+    """Agreements of the recovery programme within the joining window."""
+    return agreements.where(recovery_predicate(params)).select("num_parcelamento", "cnpj_raiz", "tipo_adesao", "origem_debito",
                     "cd_status", "desc_status", "valor_parcelado", "num_parcelas")
 
 

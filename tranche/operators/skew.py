@@ -5,9 +5,10 @@
 sends every row of a hot key to one task; here the hot keys are found first
 (a partial-aggregated count, so the count itself is skew-safe), and only their
 fact rows are spread over ``salt_buckets`` partitions while the matching
-dimension rows are replicated to each bucket.  The hot-key list is provably
-small (at most ``1 / hot_share`` keys can hold more than ``hot_share`` of the
-rows), so broadcasting it is bounded.  Salts come from a hash of a row id,
+dimension rows are replicated to each bucket.  The hot-key list is a top-k
+(the ``max_hot_keys`` heaviest keys), so broadcasting it is bounded by
+construction, and any key holding more than ``1 / max_hot_keys`` of the rows
+is in it.  Salts come from a hash of a row id,
 never from ``rand()``, so a recomputed task after an executor loss routes the
 same rows to the same buckets.
 
@@ -27,23 +28,28 @@ _HOT = "_hot"
 
 
 def hot_keys(fact: DataFrame, key: str, skew: SkewParams) -> DataFrame:
-    """Keys of ``fact`` holding more than ``hot_share`` of its keyed rows.
+    """The heaviest keys of ``fact`` (at least ``hot_min_rows`` rows each).
 
-    Result has one column ``key`` and at most ``1 / hot_share`` rows."""
+    Result has one column ``key`` and at most ``max_hot_keys`` rows."""
     counts = (fact.select(key).where(F.col(key).isNotNull())
               .groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
-    total = counts.select(F.sum("_n")).scalar()
-    return (counts.where((F.col("_n") > total * F.lit(skew.hot_share))
-                         & (F.col("_n") >= F.lit(skew.hot_min_rows)))
+    return (counts.where(F.col("_n") >= F.lit(skew.hot_min_rows))
+            .orderBy(F.col("_n").desc(), F.col(key)).limit(skew.max_hot_keys)
             .select(key))
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, key: str, row_id: list[str],
-                skew: SkewParams, how: str = "left") -> DataFrame:
+                skew: SkewParams, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join ``fact`` to ``dim`` (unique per ``key``) with hot keys salted.
 
-    ``row_id`` columns identify a fact row; their hash picks the salt."""
-    hot = F.broadcast(hot_keys(fact, key, skew).withColumn(_HOT, F.lit(True)))
+    ``row_id`` columns identify a fact row; their hash picks the salt.
+    ``hot`` (one column ``key``, bounded) can be passed in when the hot keys
+    are already known, e.g. shared by every company-keyed join of a run;
+    salting a key that is not hot, or missing one, never changes the result."""
+    if not skew.enabled:
+        return fact.join(dim, key, how)
+    hot_df = hot if hot is not None else hot_keys(fact, key, skew)
+    hot = F.broadcast(hot_df.withColumn(_HOT, F.lit(True)))
     n = skew.salt_buckets
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.lit(n)).cast("int")
     f = (fact.join(hot, key, "left")

@@ -1,9 +1,8 @@
 """B13 ``executive_summary`` (T13), U1 and S2.
 
-Each source table contributes one global aggregate (partial per task, one
-final row).  The one-row parts are combined with ``unionByName`` + ``max``:
-every column is non-null in exactly one part, so no join of any kind is
-needed to put them side by side.
+Three global aggregates (partial per task, one final row each) are combined
+with ``unionByName`` + ``max``: every column is non-null in exactly one part,
+so no join of any kind is needed to put them side by side.
 """
 
 from __future__ import annotations
@@ -15,6 +14,11 @@ from pyspark.sql import functions as F
 
 from tranche import config as C
 from tranche.functions import exprs as X
+from tranche.operators import alerts as AL
+from tranche.operators import companies as CO
+from tranche.operators import receipts as RC
+from tranche.operators import recovery as RV
+from tranche.operators.skew import lookup_join
 
 SUMMARY_COLUMNS = [
     "total_parcelamentos", "total_empresas", "valor_total_parcelado", "taxa_sucesso_global_pct",
@@ -34,11 +38,15 @@ def _msum(c) -> F.Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast(X.MONEY)
 
 
-def executive_summary(agreements: DataFrame, companies_df: DataFrame, scores: DataFrame,
-                      receipts: DataFrame, recovery: DataFrame, alerts_df: DataFrame,
-                      params: C.Params = C.DEFAULT) -> DataFrame:
+def executive_summary(agreements: DataFrame, companies_df: DataFrame,
+                      params: C.Params = C.DEFAULT, hot: DataFrame | None = None) -> DataFrame:
+    """T13 in three passes: (1) one aggregate over the agreements, recovery
+    counts included; (2) one over the scored companies; (3) one over the
+    active/pending agreements joined to their company score, which feeds both
+    the receipts sums (B4 rules) and the alert counts (B12 rules)."""
     st, v, cat = F.col("cd_status"), F.col("valor_parcelado"), F.col("categoria_parcelamento")
-    t1 = agreements.agg(
+    rec = RV.recovery_predicate(params)
+    p1 = agreements.agg(
         F.count(F.lit(1)).alias("total_parcelamentos"),
         _msum(v).alias("valor_total_parcelado"),
         F.count_if(st == C.ST_ACTIVE).alias("qtd_ativos"),
@@ -54,35 +62,38 @@ def executive_summary(agreements: DataFrame, companies_df: DataFrame, scores: Da
         _msum(F.when(cat == C.CAT_ICMS, v)).alias("valor_parcel_icms"),
         _msum(F.when(cat == C.CAT_DVA, v)).alias("valor_parcel_dva"),
         _msum(F.when(cat == C.CAT_DECLARED, v)).alias("valor_parcel_declarado"),
-    ).withColumn("taxa_sucesso_global_pct", X.success_rate(F.col("qtd_quitados"), F.col("qtd_cancelados")))
-    t2 = companies_df.agg(
+        F.count_if(rec).alias("total_recuperamais"),
+        _msum(F.when(rec, v)).alias("valor_recuperamais"),
+        F.count_if(rec & (st == C.ST_ACTIVE)).alias("recuperamais_ativos"),
+        F.count_if(rec & (st == C.ST_SETTLED)).alias("recuperamais_quitados"),
+        F.count_if(rec & (st == C.ST_CANCELLED)).alias("_rc"),
+    ).select("*",
+             X.success_rate(F.col("qtd_quitados"), F.col("qtd_cancelados")).alias("taxa_sucesso_global_pct"),
+             X.success_rate(F.col("recuperamais_quitados"), F.col("_rc")).alias("taxa_sucesso_recuperamais_pct")
+             ).drop("_rc")
+    scored = CO.with_scores(companies_df)
+    cls, score = F.col("classificacao_risco"), F.col("score_risco_final")
+    p2 = scored.agg(
         F.count(F.lit(1)).alias("total_empresas"),
         F.count_if(F.col("flag_reincidente") == 1).alias("empresas_reincidentes"),
-        F.count_if(F.col("flag_nunca_quitou") == 1).alias("empresas_nunca_quitaram"))
-    cls, score = F.col("classificacao_risco"), F.col("score_risco_final")
-    t3 = scores.agg(
+        F.count_if(F.col("flag_nunca_quitou") == 1).alias("empresas_nunca_quitaram"),
         F.count_if(cls == "CRÍTICO").alias("empresas_risco_critico"),
         _msum(F.when(score >= params.high_risk_score, F.col("valor_ativos"))).alias("valor_empresas_alto_risco"),
         F.count_if(cls == "ALTO").alias("empresas_risco_alto"))
-    t4 = receipts.agg(
-        _msum("valor_esperado_3_meses").alias("expectativa_3_meses"),
-        _msum("valor_ajustado_risco_3_meses").alias("expectativa_ajustada_3_meses"),
-        _msum("valor_esperado_12_meses").alias("expectativa_12_meses"),
-        _msum("valor_ajustado_risco_12_meses").alias("expectativa_ajustada_12_meses"))
-    rs = F.col("cd_status")
-    t11 = recovery.agg(
-        F.count(F.lit(1)).alias("total_recuperamais"),
-        _msum("valor_parcelado").alias("valor_recuperamais"),
-        F.count_if(rs == C.ST_ACTIVE).alias("recuperamais_ativos"),
-        F.count_if(rs == C.ST_SETTLED).alias("recuperamais_quitados"),
-        F.count_if(rs == C.ST_CANCELLED).alias("_rc"),
-    ).withColumn("taxa_sucesso_recuperamais_pct",
-                 X.success_rate(F.col("recuperamais_quitados"), F.col("_rc"))).drop("_rc")
-    t12 = alerts_df.agg(
-        F.count(F.lit(1)).alias("total_alertas"),
-        F.count_if(F.col("prioridade") == 1).alias("alertas_urgentes"))
-    parts = [t1, t2, t3, t4, t11, t12]
-    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    cand = (agreements.where(F.col("cd_status").isin(*AL.CANDIDATE_STATUS))
+            .select("num_parcelamento", "cnpj_raiz", "cd_status", "valor_parcelado", "num_parcelas", "dt_pedido"))
+    j = lookup_join(cand, scored.select(*AL.SCORE_COLUMNS), "cnpj_raiz", ["num_parcelamento"],
+                    params.skew, hot=hot).withColumn("risco_empresa", F.col("classificacao_risco"))
+    in_receipts, kind = RC.receipt_filter(params), AL.alert_type(params)
+    g3, g12 = RC.gross_expectation(3, params), RC.gross_expectation(12, params)
+    p3 = j.agg(
+        _msum(F.when(in_receipts, g3)).alias("expectativa_3_meses"),
+        _msum(F.when(in_receipts, RC.adjusted_expectation(g3))).alias("expectativa_ajustada_3_meses"),
+        _msum(F.when(in_receipts, g12)).alias("expectativa_12_meses"),
+        _msum(F.when(in_receipts, RC.adjusted_expectation(g12))).alias("expectativa_ajustada_12_meses"),
+        F.count_if(kind.isNotNull()).alias("total_alertas"),
+        F.count_if(kind.isNotNull() & (AL.alert_priority() == 1)).alias("alertas_urgentes"))
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p1, p2, p3])
     return u.agg(*[F.max(c).alias(c) for c in SUMMARY_COLUMNS])
 
 

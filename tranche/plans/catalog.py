@@ -47,9 +47,19 @@ class Tables:
             self._memo[name] = build()
         return self._memo[name]
 
+    @property
+    def hot_customers(self):
+        """Hot company keys, computed once and shared by every company-keyed join."""
+        return self._get("hot_customers", lambda: testdata.hot_customers(self.spark, self.sf_dir, self.params))
+
+    @property
+    def hot_companies(self):
+        return self._get("hot_companies", lambda: testdata.hot_companies(self.hot_customers))
+
     @property
     def agreements(self):
-        return self._get("agreements", lambda: testdata.agreements(self.spark, self.sf_dir, self.params))
+        return self._get("agreements", lambda: testdata.agreements(
+            self.spark, self.sf_dir, self.params, hot_cust=self.hot_customers))
 
     @property
     def companies(self):
@@ -61,7 +71,8 @@ class Tables:
 
     @property
     def receipts(self):
-        return self._get("receipts", lambda: RC.expected_receipts(self.agreements, self.scores, self.params))
+        return self._get("receipts", lambda: RC.expected_receipts(
+            self.agreements, self.scores, self.params, hot=self.hot_companies))
 
     @property
     def series(self):
@@ -93,13 +104,13 @@ class Tables:
 
     @property
     def alerts(self):
-        return self._get("alerts", lambda: AL.alerts(self.agreements, self.scores, self.params))
+        return self._get("alerts", lambda: AL.alerts(
+            self.agreements, self.scores, self.params, hot=self.hot_companies))
 
     @property
     def summary(self):
         return self._get("summary", lambda: SU.executive_summary(
-            self.agreements, self.companies, self.scores, self.receipts, self.recovery,
-            self.alerts, self.params))
+            self.agreements, self.companies, self.params, hot=self.hot_companies))
 
     TABLE_NAMES = ("agreements", "companies", "scores", "receipts", "series", "region", "sector",
                    "activity", "band", "programme", "recovery", "alerts", "summary")

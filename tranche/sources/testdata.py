@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tranche import config as C
 from tranche.functions import exprs as X
-from tranche.operators.skew import bounded_broadcast, lookup_join
+from tranche.operators.skew import bounded_broadcast, hot_keys, lookup_join
 from tranche.sources.tables import read_table
 
 # Mapping rules of the adapter (fixed values).
@@ -50,16 +50,32 @@ def company_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_nationkey", "n_name", "r_name"))
 
 
-def agreements(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "orders",
+                      ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                       "o_orderdate", "o_orderpriority"])
+
+
+def hot_customers(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT) -> DataFrame:
+    """Customers holding a large share of all orders (bounded list, see skew.py)."""
+    return hot_keys(_orders(spark, sf_dir), "o_custkey", params.skew)
+
+
+def hot_companies(hot_cust: DataFrame) -> DataFrame:
+    """The same hot set keyed as ``cnpj_raiz``, for joins on T1."""
+    return hot_cust.select(X.normalize_tax_id(F.col("o_custkey"), ROOT_ID_WIDTH).alias("cnpj_raiz"))
+
+
+def agreements(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT,
+               hot_cust: DataFrame | None = None) -> DataFrame:
     """One row per agreement (unique ``num_parcelamento``)."""
-    orders = read_table(spark, sf_dir, "orders",
-                        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                         "o_orderdate", "o_orderpriority"])
+    orders = _orders(spark, sf_dir)
     lines = (read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_shipdate"])
              .groupBy("l_orderkey")
              .agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_shipdate").alias("last_ship")))
     o = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
-    o = lookup_join(o, company_dim(spark, sf_dir), "o_custkey", ["o_orderkey"], params.skew)
+    hot = hot_cust if hot_cust is not None else hot_customers(spark, sf_dir, params)
+    o = lookup_join(o, company_dim(spark, sf_dir), "o_custkey", ["o_orderkey"], params.skew, hot=hot)
 
     status = (F.when(F.col("o_orderstatus") == "F", F.lit(C.ST_SETTLED))
               .when(F.col("o_orderstatus") == "O", F.lit(C.ST_ACTIVE))
