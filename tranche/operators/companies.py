@@ -20,20 +20,37 @@ from tranche.functions import exprs as X
 
 
 COMPANY_ATTRIBUTES = ["cnpj", "razao_social", "gerfe", "ges", "situacao_cadastral", "flag_simples_nacional"]
+# registry attributes carried only in the wide rollup (grouping keys of B6, B8)
+ROLLUP_ATTRIBUTES = ["cd_gerfe", "descricao_secao"]
+T2_COLUMNS = [
+    "cnpj_raiz", "cnpj", "razao_social", "gerfe", "ges", "situacao_cadastral",
+    "total_parcelamentos", "qtd_ativos", "qtd_quitados", "qtd_cancelados", "qtd_pendentes_1a_parcela",
+    "taxa_sucesso_pct", "valor_total_parcelado", "valor_ativos", "valor_medio_parcelamento",
+    "media_parcelas", "media_dias_quitacao", "media_dias_ate_cancelamento",
+    "dias_desde_ultimo_parcelamento", "flag_reincidente", "flag_nunca_quitou", "flag_simples_nacional",
+    "classificacao_comportamento"]
 
 
 def _is(code: int):
     return F.col("cd_status") == code
 
 
-def companies(agreements: DataFrame, params: C.Params = C.DEFAULT) -> DataFrame:
+def companies(agreements: DataFrame, params: C.Params = C.DEFAULT,
+              rollup: DataFrame | None = None) -> DataFrame:
     """One row per ``cnpj_raiz`` (null company key excluded)."""
+    r = rollup if rollup is not None else company_rollup(agreements, params)
+    return r.where(F.col("cnpj_raiz").isNotNull()).select(*T2_COLUMNS)
+
+
+def company_rollup(agreements: DataFrame, params: C.Params = C.DEFAULT) -> DataFrame:
+    """T2 measures plus the registry attributes of ``ROLLUP_ATTRIBUTES``, with
+    the agreements that have no company key kept as their own null-key row
+    (so rollups by a company attribute still count every agreement)."""
     as_of = F.lit(params.as_of)
     days = F.datediff(F.col("dt_fim"), F.col("dt_pedido"))
     settled_days = F.when(_is(C.ST_SETTLED) & F.col("dt_fim").isNotNull(), days)
     cancel_days = F.when(_is(C.ST_CANCELLED) & F.col("dt_fim").isNotNull(), days)
-    g = (agreements.where(F.col("cnpj_raiz").isNotNull())
-         .groupBy("cnpj_raiz", *COMPANY_ATTRIBUTES)
+    g = (agreements.groupBy("cnpj_raiz", *COMPANY_ATTRIBUTES, *ROLLUP_ATTRIBUTES)
          .agg(F.count(F.lit(1)).alias("total_parcelamentos"),
               F.count_if(_is(C.ST_ACTIVE)).alias("qtd_ativos"),
               F.count_if(_is(C.ST_SETTLED)).alias("qtd_quitados"),
@@ -56,7 +73,7 @@ def companies(agreements: DataFrame, params: C.Params = C.DEFAULT) -> DataFrame:
                  .when(rate >= good, F.lit("BOM PAGADOR"))
                  .otherwise(F.lit("SEM HISTÓRICO")))
     return g.select(
-        "cnpj_raiz", "cnpj", "razao_social", "gerfe", "ges", "situacao_cadastral",
+        "cnpj_raiz", "cnpj", "razao_social", "gerfe", "ges", "situacao_cadastral", *ROLLUP_ATTRIBUTES,
         "total_parcelamentos", "qtd_ativos", "qtd_quitados", "qtd_cancelados",
         "qtd_pendentes_1a_parcela",
         rate.alias("taxa_sucesso_pct"),

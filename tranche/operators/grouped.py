@@ -1,11 +1,19 @@
 """B6-B10 grouped metrics (region, sector, activity, band, programme) and the
 views over them (A7, A10, A11, A12, A15, A16, K2, K3, K5, K14, K15, K20).
 
-``grouped_metrics`` aggregates in two levels: first to (group key, company),
-which collapses a hot company to one row per group, then joins the company's
-high-risk flag (one row per company on the other side, so no fan-out and no
-skew), then rolls up to the group key.  The distinct-company count becomes a
-plain ``count`` of the first level: no ``Expand``, no second distinct shuffle.
+Two plans, one contract:
+
+* keys that are company attributes (region, sector, activity): the company
+  rollup (one partial-aggregated ``groupBy`` of T1, already holding every
+  score input) is scored in place and rolled up to the key.  One pass over
+  T1, no join.
+* agreement-level keys (instalment band, programme): aggregate first to
+  (group key, company), which collapses a hot company to one row per group,
+  join the company's high-risk flag (one row per company on the other side,
+  so no fan-out and no skew), then roll up.
+
+Either way the distinct-company count is a plain ``count`` of a per-company
+level: no ``Expand``, no second distinct shuffle.
 """
 
 from __future__ import annotations
@@ -29,8 +37,42 @@ GROUP_KEYS = {
 }
 
 
+def metrics_from_rollup(rollup: DataFrame, keys: list[str], params: C.Params = C.DEFAULT) -> DataFrame:
+    """Grouped metrics for company-attribute keys from the company rollup."""
+    from tranche.operators.companies import with_scores
+    scored = with_scores(rollup)
+    known = F.col("cnpj_raiz").isNotNull()
+    g = scored.groupBy(*keys).agg(
+        F.sum("total_parcelamentos").alias("total_parcelamentos"),
+        F.count("cnpj_raiz").alias("empresas_distintas"),
+        F.sum("qtd_ativos").alias("qtd_ativos"),
+        F.sum("qtd_quitados").alias("qtd_quitados"),
+        F.sum("qtd_cancelados").alias("qtd_cancelados"),
+        F.sum("valor_total_parcelado").alias("_v"),
+        F.sum("valor_ativos").alias("_va"),
+        F.count_if(known & (F.col("score_risco_final") >= params.high_risk_score)).alias("empresas_alto_risco"))
+    return _finish(g, keys)
+
+
+def _finish(g: DataFrame, keys: list[str]) -> DataFrame:
+    return g.select(
+        *keys, F.col("total_parcelamentos").cast("bigint").alias("total_parcelamentos"),
+        "empresas_distintas",
+        F.col("qtd_ativos").cast("bigint").alias("qtd_ativos"),
+        F.col("qtd_quitados").cast("bigint").alias("qtd_quitados"),
+        F.col("qtd_cancelados").cast("bigint").alias("qtd_cancelados"),
+        X.success_rate(F.col("qtd_quitados"), F.col("qtd_cancelados")).alias("taxa_sucesso_pct"),
+        F.coalesce(F.col("_v"), F.lit(0)).cast(X.MONEY).alias("valor_total"),
+        F.coalesce(F.col("_va"), F.lit(0)).cast(X.MONEY).alias("valor_ativos"),
+        "empresas_alto_risco")
+
+
 def grouped_metrics(agreements: DataFrame, scores: DataFrame, keys: list[str],
-                    params: C.Params = C.DEFAULT) -> DataFrame:
+                    params: C.Params = C.DEFAULT, rollup: DataFrame | None = None) -> DataFrame:
+    """Grouped metrics by ``keys``; uses the company rollup when every key is
+    a company attribute it carries."""
+    if rollup is not None and all(k in rollup.columns for k in keys):
+        return metrics_from_rollup(rollup, keys, params)
     st, v = F.col("cd_status"), F.col("valor_parcelado")
     per_company = (agreements.groupBy(*keys, "cnpj_raiz")
                    .agg(F.count(F.lit(1)).alias("_n"),
@@ -51,28 +93,22 @@ def grouped_metrics(agreements: DataFrame, scores: DataFrame, keys: list[str],
         F.sum("_v").alias("_v"),
         F.sum("_va").alias("_va"),
         F.count_if(F.col("_hr") & F.col("cnpj_raiz").isNotNull()).alias("empresas_alto_risco"))
-    return g.select(
-        *keys, "total_parcelamentos", "empresas_distintas", "qtd_ativos", "qtd_quitados",
-        "qtd_cancelados",
-        X.success_rate(F.col("qtd_quitados"), F.col("qtd_cancelados")).alias("taxa_sucesso_pct"),
-        F.coalesce(F.col("_v"), F.lit(0)).cast(X.MONEY).alias("valor_total"),
-        F.coalesce(F.col("_va"), F.lit(0)).cast(X.MONEY).alias("valor_ativos"),
-        "empresas_alto_risco")
+    return _finish(g, keys)
 
 
-def region_metrics(agreements, scores, params=C.DEFAULT):
+def region_metrics(agreements, scores, params=C.DEFAULT, rollup=None):
     """B6 / T6."""
-    return grouped_metrics(agreements, scores, GROUP_KEYS["region"], params)
+    return grouped_metrics(agreements, scores, GROUP_KEYS["region"], params, rollup)
 
 
-def sector_metrics(agreements, scores, params=C.DEFAULT):
+def sector_metrics(agreements, scores, params=C.DEFAULT, rollup=None):
     """B7 / T7."""
-    return grouped_metrics(agreements, scores, GROUP_KEYS["sector"], params)
+    return grouped_metrics(agreements, scores, GROUP_KEYS["sector"], params, rollup)
 
 
-def activity_metrics(agreements, scores, params=C.DEFAULT):
+def activity_metrics(agreements, scores, params=C.DEFAULT, rollup=None):
     """B8 / T8."""
-    return grouped_metrics(agreements, scores, GROUP_KEYS["activity"], params)
+    return grouped_metrics(agreements, scores, GROUP_KEYS["activity"], params, rollup)
 
 
 def band_metrics(agreements, scores, params=C.DEFAULT):

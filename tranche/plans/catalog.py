@@ -61,9 +61,13 @@ class Tables:
         return self._get("agreements", lambda: testdata.agreements(
             self.spark, self.sf_dir, self.params, hot_cust=self.hot_customers))
 
+    @property
+    def company_rollup(self):
+        return self._get("company_rollup", lambda: CO.company_rollup(self.agreements, self.params))
+
     @property
     def companies(self):
-        return self._get("companies", lambda: CO.companies(self.agreements, self.params))
+        return self._get("companies", lambda: CO.companies(self.agreements, self.params, self.company_rollup))
 
     @property
     def scores(self):
@@ -80,15 +84,18 @@ class Tables:
 
     @property
     def region(self):
-        return self._get("region", lambda: G.region_metrics(self.agreements, self.scores, self.params))
+        return self._get("region", lambda: G.region_metrics(
+            self.agreements, self.scores, self.params, self.company_rollup))
 
     @property
     def sector(self):
-        return self._get("sector", lambda: G.sector_metrics(self.agreements, self.scores, self.params))
+        return self._get("sector", lambda: G.sector_metrics(
+            self.agreements, self.scores, self.params, self.company_rollup))
 
     @property
     def activity(self):
-        return self._get("activity", lambda: G.activity_metrics(self.agreements, self.scores, self.params))
+        return self._get("activity", lambda: G.activity_metrics(
+            self.agreements, self.scores, self.params, self.company_rollup))
 
     @property
     def band(self):
