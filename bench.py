@@ -29,6 +29,12 @@ HEADLINE = {
     "j1_region_drilldown": ["j1_region_agreements"],
 }
 
+# The reads a dashboard session issues against the stored tables.
+DASHBOARD = ["s2_load_summary", "k2_regions_by_value", "k3_sectors_by_value", "k21_last_24_months",
+             "k5_top_activities", "k6_programmes_by_value", "k7_top_alerts", "k8_top_scores",
+             "k9_recovery_summary", "a2_receipts_summary", "j1_region_agreements", "j2_company_profile",
+             "k10_company_agreements", "k11_company_alerts", "j2_company_receipts"]
+
 
 def run_once(spark, sf_dir: str, qids: list[str]) -> float:
     t0 = time.perf_counter()
@@ -48,6 +54,25 @@ def main() -> int:
         run_once(spark, sf_dir, qids)                       # warm-up
         times[name] = round(statistics.median(run_once(spark, sf_dir, qids) for _ in range(repeats)), 3)
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
+    # Production shape: build T1-T13 once into the shared checkpoint folder,
+    # then serve the dashboard reads from the stored tables.
+    from tranche.session import ensure_checkpoint_dir
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-tables"
+    t0 = time.perf_counter()
+    served = Tables(spark, sf_dir).materialize(base)
+    times["build_t1_t13_stored"] = round(time.perf_counter() - t0, 3)
+    print(f"# build_t1_t13_stored: {times['build_t1_t13_stored']}s", file=sys.stderr, flush=True)
+
+    def serve_once() -> float:
+        t0 = time.perf_counter()
+        for qid in DASHBOARD:
+            QUERIES[qid].spark(served).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    serve_once()
+    times["dashboard_reads_stored"] = round(statistics.median(serve_once() for _ in range(repeats)), 3)
+    print(f"# dashboard_reads_stored ({len(DASHBOARD)} queries): {times['dashboard_reads_stored']}s",
+          file=sys.stderr, flush=True)
     if with_model:
         from tranche.operators import model as M
         from tranche.operators import companies as CO

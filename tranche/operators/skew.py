@@ -68,9 +68,22 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only behind a size check; otherwise plain (shuffle) join."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+_SIZE_CHECKS: dict = {}
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, cache_key=None) -> DataFrame:
+    """Broadcast hint only behind a size check; otherwise plain (shuffle) join.
+
+    ``cache_key`` (e.g. the input paths plus their modification times) lets a
+    process reuse the verdict for unchanged inputs instead of re-counting."""
+    if cache_key is None:
+        small = row_count_at_most(df, max_rows)
+    else:
+        k = (cache_key, max_rows)
+        if k not in _SIZE_CHECKS:
+            _SIZE_CHECKS[k] = row_count_at_most(df, max_rows)
+        small = _SIZE_CHECKS[k]
+    return F.broadcast(df) if small else df
 
 
 def lit_in(c: Column, values) -> Column:

@@ -61,6 +61,11 @@ class Tables:
         return self._get("agreements", lambda: testdata.agreements(
             self.spark, self.sf_dir, self.params, hot_cust=self.hot_customers))
 
+    @property
+    def agreements_core(self):
+        """T1 minus company attributes (no orders -> customer join)."""
+        return self._get("agreements_core", lambda: testdata.agreements_core(self.spark, self.sf_dir))
+
     @property
     def company_rollup(self):
         return self._get("company_rollup", lambda: CO.company_rollup(self.agreements, self.params))
@@ -76,11 +81,11 @@ class Tables:
     @property
     def receipts(self):
         return self._get("receipts", lambda: RC.expected_receipts(
-            self.agreements, self.scores, self.params, hot=self.hot_companies))
+            self.agreements_core, self.scores, self.params, hot=self.hot_companies))
 
     @property
     def series(self):
-        return self._get("series", lambda: SE.monthly_series(self.agreements))
+        return self._get("series", lambda: SE.monthly_series(self.agreements_core))
 
     @property
     def region(self):
@@ -99,15 +104,15 @@ class Tables:
 
     @property
     def band(self):
-        return self._get("band", lambda: G.band_metrics(self.agreements, self.scores, self.params))
+        return self._get("band", lambda: G.band_metrics(self.agreements_core, self.scores, self.params))
 
     @property
     def programme(self):
-        return self._get("programme", lambda: G.programme_metrics(self.agreements, self.scores, self.params))
+        return self._get("programme", lambda: G.programme_metrics(self.agreements_core, self.scores, self.params))
 
     @property
     def recovery(self):
-        return self._get("recovery", lambda: RV.recovery_agreements(self.agreements, self.params))
+        return self._get("recovery", lambda: RV.recovery_agreements(self.agreements_core, self.params))
 
     @property
     def alerts(self):
@@ -117,10 +122,10 @@ class Tables:
     @property
     def summary(self):
         return self._get("summary", lambda: SU.executive_summary(
-            self.agreements, self.companies, self.params, hot=self.hot_companies))
+            self.agreements_core, self.companies, self.params, hot=self.hot_companies))
 
-    TABLE_NAMES = ("agreements", "companies", "scores", "receipts", "series", "region", "sector",
-                   "activity", "band", "programme", "recovery", "alerts", "summary")
+    TABLE_NAMES = ("agreements", "agreements_core", "company_rollup", "companies", "scores", "receipts", "series", "region",
+                   "sector", "activity", "band", "programme", "recovery", "alerts", "summary")
 
     def materialize(self, out_dir: str | None = None, names=TABLE_NAMES) -> "Tables":
         """Write each table once (in dependency order) and read it back.
@@ -130,9 +135,16 @@ class Tables:
         from tranche.sources.store import write_and_reload
         from tranche.session import ensure_checkpoint_dir
         base = out_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables"
+        from tranche.operators.skew import hot_keys
         for n in names:
+            if n == "agreements_core" and "agreements" in names:
+                self._memo[n] = self._memo["agreements"]   # the stored T1 is a superset
+                continue
             df = getattr(self, n)
             self._memo[n] = write_and_reload(df, f"{base}/{n}")
+            if n == "agreements":
+                # later joins take their hot companies from the stored T1
+                self._memo["hot_companies"] = hot_keys(self._memo[n], "cnpj_raiz", self.params.skew)
         return self
 
 
@@ -273,7 +285,7 @@ def _p7(t):
 
 
 def _p7c(t):
-    return SE.monthly_series(t.agreements, [C.CAT_ICMS])
+    return SE.monthly_series(t.agreements_core, [C.CAT_ICMS])
 
 
 QUERIES["p7_series_category"] = Query(_p7c, W("agreements") + f"""

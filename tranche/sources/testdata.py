@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tranche import config as C
 from tranche.functions import exprs as X
 from tranche.operators.skew import bounded_broadcast, hot_keys, lookup_join
-from tranche.sources.tables import read_table
+from tranche.sources.tables import read_table, table_path
 
 # Mapping rules of the adapter (fixed values).
 # o_orderstatus F -> QUITADO (5), O -> ATIVO (1),
@@ -35,16 +35,30 @@ BRANCH_SUFFIX = "000100"
 MAX_GEO_ROWS = 10_000  # nations x regions: far below this, checked before broadcast
 
 
+def _files_key(sf_dir: str, names) -> tuple:
+    """Identity of input files for memoised size checks (path + mtime)."""
+    import os
+    out = []
+    for n in names:
+        p = table_path(sf_dir, n)
+        try:
+            out.append((p, os.path.getmtime(p)))
+        except OSError:          # remote storage: no cheap mtime, check each time
+            return (p, object())
+    return tuple(out)
+
+
 def company_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with its regional office, section and sector."""
     customer = read_table(spark, sf_dir, "customer",
                           ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    geo = nation.join(bounded_broadcast(region, MAX_GEO_ROWS),
+    key = _files_key(sf_dir, ("nation", "region"))
+    geo = nation.join(bounded_broadcast(region, MAX_GEO_ROWS, ("region", key)),
                       nation.n_regionkey == region.r_regionkey, "left")
     geo = geo.select("n_nationkey", "n_name", "r_name")
-    return (customer.join(bounded_broadcast(geo, MAX_GEO_ROWS),
+    return (customer.join(bounded_broadcast(geo, MAX_GEO_ROWS, ("geo", key)),
                           customer.c_nationkey == geo.n_nationkey, "left")
             .select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal", "c_mktsegment",
                     "n_nationkey", "n_name", "r_name"))
@@ -66,17 +80,26 @@ def hot_companies(hot_cust: DataFrame) -> DataFrame:
     return hot_cust.select(X.normalize_tax_id(F.col("o_custkey"), ROOT_ID_WIDTH).alias("cnpj_raiz"))
 
 
-def agreements(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT,
-               hot_cust: DataFrame | None = None) -> DataFrame:
-    """One row per agreement (unique ``num_parcelamento``)."""
+COMPANY_COLUMNS = ["razao_social", "cd_gerfe", "gerfe", "ges", "descricao_secao",
+                   "situacao_cadastral", "flag_simples_nacional"]
+T1_COLUMNS = ["num_parcelamento", "cnpj", "cnpj_raiz", "razao_social", "cd_gerfe", "gerfe", "ges",
+              "descricao_secao", "situacao_cadastral", "flag_simples_nacional", "categoria_parcelamento",
+              "cd_status", "desc_status", "valor_parcelado", "num_parcelas", "faixa_parcelas", "dt_pedido",
+              "dt_fim", "tipo_adesao", "origem_debito"]
+
+
+def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool = False) -> DataFrame:
+    """T1 without the company registry attributes: orders + lineitem only.
+
+    Consumers that need nothing but the company key (series, recovery,
+    receipts, band/programme metrics) read this and skip the orders ->
+    customer join, which Catalyst cannot drop on its own (it cannot prove the
+    customer side unique)."""
     orders = _orders(spark, sf_dir)
     lines = (read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_shipdate"])
              .groupBy("l_orderkey")
              .agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_shipdate").alias("last_ship")))
     o = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
-    hot = hot_cust if hot_cust is not None else hot_customers(spark, sf_dir, params)
-    o = lookup_join(o, company_dim(spark, sf_dir), "o_custkey", ["o_orderkey"], params.skew, hot=hot)
-
     status = (F.when(F.col("o_orderstatus") == "F", F.lit(C.ST_SETTLED))
               .when(F.col("o_orderstatus") == "O", F.lit(C.ST_ACTIVE))
               .when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 5 == 0), F.lit(C.ST_PENDING))
@@ -91,18 +114,11 @@ def agreements(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT,
     origin_label = None
     for i, v in enumerate(C.DEBT_ORIGINS):
         origin_label = F.when(origin == i, F.lit(v)) if origin_label is None else origin_label.when(origin == i, F.lit(v))
-
     base = o.select(
         F.col("o_orderkey").alias("num_parcelamento"),
         F.when(root.isNotNull(), F.concat(root, F.lit(BRANCH_SUFFIX))).alias("cnpj"),
         root.alias("cnpj_raiz"),
-        F.col("c_name").alias("razao_social"),
-        F.col("n_nationkey").cast("int").alias("cd_gerfe"),
-        F.col("n_name").alias("gerfe"),
-        F.col("c_mktsegment").alias("ges"),
-        F.col("r_name").alias("descricao_secao"),
-        F.when(F.col("c_acctbal") < 0, F.lit("BAIXADA")).otherwise(F.lit("ATIVA")).alias("situacao_cadastral"),
-        F.when(F.col("c_acctbal") < 0, F.lit(1)).otherwise(F.lit(0)).alias("flag_simples_nacional"),
+        "o_custkey",
         category.alias("categoria_parcelamento"),
         status.cast("int").alias("cd_status"),
         F.col("o_totalprice").cast(X.MONEY).alias("valor_parcelado"),
@@ -112,12 +128,32 @@ def agreements(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT,
         origin_label.alias("origem_debito"),
     )
     ended = F.col("cd_status").isin(C.ST_SETTLED, C.ST_CANCELLED)
-    return base.select(
-        "num_parcelamento", "cnpj", "cnpj_raiz", "razao_social", "cd_gerfe", "gerfe", "ges",
-        "descricao_secao", "situacao_cadastral", "flag_simples_nacional", "categoria_parcelamento",
+    out = base.select(
+        "num_parcelamento", "cnpj", "cnpj_raiz", "o_custkey", "categoria_parcelamento",
         "cd_status", X.status_label("cd_status").alias("desc_status"), "valor_parcelado",
         "num_parcelas", X.instalment_band("num_parcelas").alias("faixa_parcelas"), "dt_pedido",
         F.when(ended & (F.col("last_ship") >= F.col("dt_pedido")), F.col("last_ship")).alias("dt_fim"),
         F.when(F.col("num_parcelas") == 1, F.lit(C.JOIN_SINGLE)).otherwise(F.lit(C.JOIN_INSTALMENTS)).alias("tipo_adesao"),
         "origem_debito",
     )
+    return out if keep_customer_key else out.drop("o_custkey")
+
+
+def agreements(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT,
+               hot_cust: DataFrame | None = None) -> DataFrame:
+    """One row per agreement (unique ``num_parcelamento``), enriched with
+    the company's registry attributes."""
+    core = agreements_core(spark, sf_dir, keep_customer_key=True)
+    hot = hot_cust if hot_cust is not None else hot_customers(spark, sf_dir, params)
+    j = lookup_join(core, company_dim(spark, sf_dir), "o_custkey", ["num_parcelamento"], params.skew, hot=hot)
+    return j.select(
+        "num_parcelamento", "cnpj", "cnpj_raiz",
+        F.col("c_name").alias("razao_social"),
+        F.col("n_nationkey").cast("int").alias("cd_gerfe"),
+        F.col("n_name").alias("gerfe"),
+        F.col("c_mktsegment").alias("ges"),
+        F.col("r_name").alias("descricao_secao"),
+        F.when(F.col("c_acctbal") < 0, F.lit("BAIXADA")).otherwise(F.lit("ATIVA")).alias("situacao_cadastral"),
+        F.when(F.col("c_acctbal") < 0, F.lit(1)).otherwise(F.lit(0)).alias("flag_simples_nacional"),
+        "categoria_parcelamento", "cd_status", "desc_status", "valor_parcelado", "num_parcelas",
+        "faixa_parcelas", "dt_pedido", "dt_fim", "tipo_adesao", "origem_debito")
