@@ -37,3 +37,13 @@ def test_scores_every_company(trained, small_tables):
 def test_exact_medians(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,), (None,)], "x double")
     assert M.exact_medians(df, ["x"])["x"] == 3.0
+
+
+def test_save_and_load(trained, small_tables, tmp_path):
+    path = str(tmp_path / "model")
+    M.save(trained, path)
+    loaded = M.load(path)
+    frame = M.as_double_features(CO.with_scores(small_tables.companies))
+    a = trained.model.transform(frame).select("cnpj_raiz", "prediction").orderBy("cnpj_raiz").collect()
+    b = loaded.transform(frame).select("cnpj_raiz", "prediction").orderBy("cnpj_raiz").collect()
+    assert a == b
