@@ -52,7 +52,7 @@ def company_profile(companies_df: DataFrame, scores: DataFrame, picked: DataFram
     s = for_companies(scores, picked).select(
         "cnpj_raiz", "score_historico_cancelamento", "score_recencia", "score_valor_risco",
         "score_reincidencia", "score_comportamento", "score_risco_final", "classificacao_risco")
-    return c.join(s, "cnpj_raiz", "left")
+    return c.join(s, "cnpj_raiz", "left").withColumn("faixa_sucesso", X.success_band("taxa_sucesso_pct"))
 
 
 def company_agreements(agreements: DataFrame, picked: DataFrame) -> DataFrame:

@@ -213,6 +213,19 @@ def _k5(t):
     return G.by_value_desc(t.activity, G.GROUP_KEYS["activity"], limit=20).limit(15)
 
 
+@q("k4_series_by_period", W("series") + "SELECT * FROM series ORDER BY periodo_pedido", "K4: series by period")
+def _k4(t):
+    return t.series.orderBy("periodo_pedido")
+
+
+@q("k20_activities_ascending", W("activity") + """
+SELECT * FROM (SELECT * FROM activity ORDER BY valor_total DESC, descricao_secao LIMIT 15)
+ORDER BY valor_total ASC, descricao_secao""", "K20: the shown activities re-sorted ascending")
+def _k20(t):
+    return (G.by_value_desc(t.activity, G.GROUP_KEYS["activity"], limit=20).limit(15)
+            .orderBy(F.col("valor_total").asc(), "descricao_secao"))
+
+
 @q("k6_programmes_by_value", W("programme") + "SELECT * FROM programme ORDER BY valor_total DESC", "K6")
 def _k6(t):
     return G.by_value_desc(t.programme, G.GROUP_KEYS["programme"])
@@ -339,6 +352,12 @@ def _p17r(t):
     return AL.distinct_options(t.scores, "classificacao_risco")
 
 
+@q("p17_region_options", W("region") + "SELECT cd_gerfe, gerfe FROM region ORDER BY valor_total DESC, cd_gerfe",
+   "P17: region selector entries, listed as ranked by value (not deduplicated)")
+def _p17g(t):
+    return G.region_options(G.by_value_desc(t.region, ["cd_gerfe"]))
+
+
 @q("p12_region_by_name", W("region") + "SELECT * FROM region WHERE gerfe = 'NATION_7' ORDER BY cd_gerfe LIMIT 1",
    "P12: first region row matching a display name")
 def _p12(t):
@@ -634,7 +653,9 @@ def _j1(t):
 
 @q("j2_company_profile", W("companies", "scores") + f"""
 SELECT c.*, s.score_historico_cancelamento, s.score_recencia, s.score_valor_risco, s.score_reincidencia,
-       s.score_comportamento, s.score_risco_final, s.classificacao_risco
+       s.score_comportamento, s.score_risco_final, s.classificacao_risco,
+       CASE WHEN c.taxa_sucesso_pct >= 70 THEN 'BOM' WHEN c.taxa_sucesso_pct >= 50 THEN 'MODERADO'
+            WHEN c.taxa_sucesso_pct IS NOT NULL THEN 'ATENÇÃO' END AS faixa_sucesso
 FROM companies c LEFT JOIN scores s ON s.cnpj_raiz = c.cnpj_raiz
 WHERE c.cnpj_raiz = {_TOP_COMPANY}""", "J2/P4: profile of the highest-risk company")
 def _j2(t):
