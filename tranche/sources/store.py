@@ -24,4 +24,5 @@ def write_and_reload(df: DataFrame, path: str, sort_within: list[str] | None = N
     if sort_cols is None and "cnpj_raiz" in df.columns:
         sort_cols = ["cnpj_raiz"]
     write_table(df, path, sort_within=sort_cols)
-    return df.sparkSession.read.parquet(path)
+    # the schema is known: read it back without a footer-inference job
+    return df.sparkSession.read.schema(df.schema).parquet(path)

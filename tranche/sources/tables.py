@@ -13,7 +13,21 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from tranche.functions.exprs import nan_to_null
 
-RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+# Declared schemas of the source tables: scans never infer (no footer-reading
+# job per read) and a drifted file fails at the scan instead of downstream.
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz"),
+}
+RAW_TABLES = tuple(RAW_SCHEMAS)
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -23,7 +37,8 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
     """Scan one table, optionally projected, with NaN -> null on floats."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+    reader = spark.read.schema(RAW_SCHEMAS[name]) if name in RAW_SCHEMAS else spark.read
+    df = reader.parquet(table_path(sf_dir, name))
     if columns is not None:
         df = df.select(*columns)
     cleaned = [
