@@ -17,14 +17,23 @@ J1_COLUMNS = ["num_parcelamento", "cnpj", "razao_social", "categoria_parcelament
               "valor_parcelado", "num_parcelas", "dt_pedido"]
 
 
-def region_agreements(agreements: DataFrame, scores: DataFrame, cd_gerfe, limit: int = 500) -> DataFrame:
-    """A region's agreements with company score, value desc, top ``limit``."""
+def region_agreements(agreements: DataFrame, scores, cd_gerfe, limit: int = 500) -> DataFrame:
+    """A region's agreements with company score, value desc, top ``limit``.
+
+    ``scores`` is the score table, or a function ``keys -> scores of those
+    companies`` (so only the <= ``limit`` companies shown get scored)."""
+    from tranche.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(agreements.sparkSession)
     order = [F.col("valor_parcelado").desc_nulls_last(), F.col("num_parcelamento").asc()]
+    # <= limit rows, used twice (its companies, then the output): computed once
     top = (agreements.where(F.col("cd_gerfe") == F.lit(cd_gerfe))
-           .select(*J1_COLUMNS, "cnpj_raiz").orderBy(*order).limit(limit))
+           .select(*J1_COLUMNS, "cnpj_raiz").orderBy(*order).limit(limit)).checkpoint()
     keys = top.select("cnpj_raiz").where(F.col("cnpj_raiz").isNotNull()).distinct()
-    sc = (scores.select("cnpj_raiz", "score_risco_final", "classificacao_risco")
-          .join(F.broadcast(keys), "cnpj_raiz", "left_semi"))          # <= limit rows
+    if callable(scores):
+        sc = scores(keys).select("cnpj_raiz", "score_risco_final", "classificacao_risco")
+    else:
+        sc = (scores.select("cnpj_raiz", "score_risco_final", "classificacao_risco")
+              .join(F.broadcast(keys), "cnpj_raiz", "left_semi"))      # <= limit rows
     return (top.join(F.broadcast(sc), "cnpj_raiz", "left")
             .select(*J1_COLUMNS, "score_risco_final", "classificacao_risco")
             .orderBy(*order))

@@ -41,6 +41,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT):
         self.spark, self.sf_dir, self.params = spark, sf_dir, params
         self._memo: dict[str, DataFrame] = {}
+        self._stored: set[str] = set()
 
     def _get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._memo:
@@ -124,6 +125,18 @@ class Tables:
         return self._get("summary", lambda: SU.executive_summary(
             self.agreements_core, self.companies, self.params, hot=self.hot_companies))
 
+    def scores_for(self, keys: DataFrame) -> DataFrame:
+        """Scores of a bounded set of companies (``keys``: one column
+        ``cnpj_raiz``, a few hundred rows at most).  From the stored table when
+        materialized; otherwise only those companies' agreements are
+        aggregated, which is exact because a score depends on its own
+        company's agreements alone."""
+        picked = F.broadcast(keys)
+        if "scores" in self._stored:
+            return self.scores.join(picked, "cnpj_raiz", "left_semi")
+        subset = self.agreements.join(picked, "cnpj_raiz", "left_semi")
+        return CO.company_scores(CO.companies(subset, self.params))
+
     TABLE_NAMES = ("agreements", "agreements_core", "company_rollup", "companies", "scores", "receipts", "series", "region",
                    "sector", "activity", "band", "programme", "recovery", "alerts", "summary")
 
@@ -142,6 +155,7 @@ class Tables:
                 continue
             df = getattr(self, n)
             self._memo[n] = write_and_reload(df, f"{base}/{n}")
+            self._stored.add(n)
             if n == "agreements":
                 # later joins take their hot companies from the stored T1
                 self._memo["hot_companies"] = hot_keys(self._memo[n], "cnpj_raiz", self.params.skew)
@@ -636,8 +650,10 @@ _TOP_REGION = "(SELECT cd_gerfe FROM region ORDER BY valor_total DESC, cd_gerfe
 _TOP_COMPANY = "(SELECT cnpj_raiz FROM scores ORDER BY score_risco_final DESC, cnpj_raiz LIMIT 1)"
 
 
-def _top_region(t: Tables):
-    return G.by_value_desc(t.region, ["cd_gerfe"]).limit(1).select("cd_gerfe").scalar()
+def _top_region(t: Tables) -> int:
+    """The region a user would open first (largest total value): J1's
+    parameter, resolved once as a value so the drill-down plan stays small."""
+    return G.by_value_desc(t.region, ["cd_gerfe"]).limit(1).select("cd_gerfe").first()[0]
 
 
 @q("j1_region_agreements", W("agreements", "scores", "region") + f"""
@@ -648,7 +664,7 @@ WHERE a.cd_gerfe = {_TOP_REGION}
 ORDER BY a.valor_parcelado DESC NULLS LAST, a.num_parcelamento LIMIT 500""",
    "J1/P3/P5/K12: top-value region's agreements with scores")
 def _j1(t):
-    return LK.region_agreements(t.agreements, t.scores, _top_region(t), 500)
+    return LK.region_agreements(t.agreements, t.scores_for, _top_region(t), 500)
 
 
 @q("j2_company_profile", W("companies", "scores") + f"""

@@ -62,7 +62,7 @@ def load_company(t: Tables, cnpj_raiz: str) -> dict[str, DataFrame]:
 
 def load_region_agreements(t: Tables, cd_gerfe: int, limit: int = 500) -> DataFrame:
     """A region's largest agreements with the company score."""
-    return LK.region_agreements(t.agreements, t.scores, cd_gerfe, limit)
+    return LK.region_agreements(t.agreements, t.scores_for, cd_gerfe, limit)
 
 
 def load_recovery_detail(t: Tables, limit: int = 1000) -> DataFrame:
