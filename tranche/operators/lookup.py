@@ -45,17 +45,23 @@ def by_company(df: DataFrame, cnpj_raiz: str) -> DataFrame:
 
 
 def pick_companies(scores: DataFrame, n: int = 1) -> DataFrame:
-    """The first ``n`` companies in score order (key as tie-breaker)."""
+    """The first ``n`` companies in score order (key as tie-breaker).
+
+    Checkpointed (``n`` rows): the pick feeds several filters and must not
+    re-rank every company for each of them."""
+    from tranche.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(scores.sparkSession)
     return (scores.orderBy(F.col("score_risco_final").desc_nulls_last(), F.col("cnpj_raiz").asc())
-            .limit(n).select("cnpj_raiz"))
+            .limit(n).select("cnpj_raiz")).checkpoint()
 
 
-def for_companies(df: DataFrame, picked: DataFrame) -> DataFrame:
-    """Rows of ``df`` for a picked, bounded set of companies (broadcast semi-join)."""
-    return df.join(F.broadcast(picked), "cnpj_raiz", "left_semi")
+def for_companies(df: DataFrame, picked: DataFrame | None) -> DataFrame:
+    """Rows of ``df`` for a picked, bounded set of companies (broadcast
+    semi-join); ``None`` when ``df`` is already restricted."""
+    return df if picked is None else df.join(F.broadcast(picked), "cnpj_raiz", "left_semi")
 
 
-def company_profile(companies_df: DataFrame, scores: DataFrame, picked: DataFrame) -> DataFrame:
+def company_profile(companies_df: DataFrame, scores: DataFrame, picked: DataFrame | None) -> DataFrame:
     """Company row + its score components, for the picked companies."""
     c = for_companies(companies_df, picked)
     s = for_companies(scores, picked).select(
@@ -64,18 +70,18 @@ def company_profile(companies_df: DataFrame, scores: DataFrame, picked: DataFram
     return c.join(s, "cnpj_raiz", "left").withColumn("faixa_sucesso", X.success_band("taxa_sucesso_pct"))
 
 
-def company_agreements(agreements: DataFrame, picked: DataFrame) -> DataFrame:
+def company_agreements(agreements: DataFrame, picked: DataFrame | None) -> DataFrame:
     """The company's agreements, newest first."""
     return (for_companies(agreements, picked)
             .orderBy(F.col("dt_pedido").desc_nulls_last(), F.col("num_parcelamento").desc()))
 
 
-def company_alerts(alerts_df: DataFrame, picked: DataFrame) -> DataFrame:
+def company_alerts(alerts_df: DataFrame, picked: DataFrame | None) -> DataFrame:
     """The company's alerts by priority."""
     return for_companies(alerts_df, picked).orderBy("prioridade", "num_parcelamento")
 
 
-def company_receipts(receipts: DataFrame, picked: DataFrame) -> DataFrame:
+def company_receipts(receipts: DataFrame, picked: DataFrame | None) -> DataFrame:
     """The company's expected receipts."""
     return for_companies(receipts, picked)
 

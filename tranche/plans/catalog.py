@@ -125,17 +125,33 @@ class Tables:
         return self._get("summary", lambda: SU.executive_summary(
             self.agreements_core, self.companies, self.params, hot=self.hot_companies))
 
+    PER_COMPANY = ("agreements", "agreements_core", "company_rollup", "companies", "scores",
+                   "receipts", "alerts")
+
+    def restricted(self, keys: DataFrame) -> "Tables":
+        """A view for a bounded set of companies (``keys``: one column
+        ``cnpj_raiz``, a few hundred rows at most, broadcast).
+
+        Its agreements are semi-joined to the keys, so every per-company table
+        (companies, scores, receipts, alerts) is computed for those companies
+        only, which is exact: each depends on its own company's agreements
+        alone.  Stored tables are filtered instead.  Aggregates across
+        companies (region, series, summary) are not meaningful on the view."""
+        picked = F.broadcast(keys.select("cnpj_raiz"))
+        sub = Tables(self.spark, self.sf_dir, self.params)
+        sub._memo["hot_customers"] = self.hot_customers
+        sub._memo["hot_companies"] = self.hot_companies
+        for n in self.PER_COMPANY:
+            if n in self._stored:
+                sub._memo[n] = self._memo[n].join(picked, "cnpj_raiz", "left_semi")
+                sub._stored.add(n)
+            elif n in ("agreements", "agreements_core"):
+                sub._memo[n] = getattr(self, n).join(picked, "cnpj_raiz", "left_semi")
+        return sub
+
     def scores_for(self, keys: DataFrame) -> DataFrame:
-        """Scores of a bounded set of companies (``keys``: one column
-        ``cnpj_raiz``, a few hundred rows at most).  From the stored table when
-        materialized; otherwise only those companies' agreements are
-        aggregated, which is exact because a score depends on its own
-        company's agreements alone."""
-        picked = F.broadcast(keys)
-        if "scores" in self._stored:
-            return self.scores.join(picked, "cnpj_raiz", "left_semi")
-        subset = self.agreements.join(picked, "cnpj_raiz", "left_semi")
-        return CO.company_scores(CO.companies(subset, self.params))
+        """Scores of a bounded set of companies (see ``restricted``)."""
+        return self.restricted(keys).scores
 
     TABLE_NAMES = ("agreements", "agreements_core", "company_rollup", "companies", "scores", "receipts", "series", "region",
                    "sector", "activity", "band", "programme", "recovery", "alerts", "summary")
@@ -667,6 +683,11 @@ def _j1(t):
     return LK.region_agreements(t.agreements, t.scores_for, _top_region(t), 500)
 
 
+def _picked(t: Tables) -> Tables:
+    """The drill-down view of the highest-risk company (J2's parameter)."""
+    return t.restricted(LK.pick_companies(t.scores, 1))
+
+
 @q("j2_company_profile", W("companies", "scores") + f"""
 SELECT c.*, s.score_historico_cancelamento, s.score_recencia, s.score_valor_risco, s.score_reincidencia,
        s.score_comportamento, s.score_risco_final, s.classificacao_risco,
@@ -675,27 +696,28 @@ SELECT c.*, s.score_historico_cancelamento, s.score_recencia, s.score_valor_risc
 FROM companies c LEFT JOIN scores s ON s.cnpj_raiz = c.cnpj_raiz
 WHERE c.cnpj_raiz = {_TOP_COMPANY}""", "J2/P4: profile of the highest-risk company")
 def _j2(t):
-    return LK.company_profile(t.companies, t.scores, LK.pick_companies(t.scores, 1))
+    v = _picked(t)
+    return LK.company_profile(v.companies, v.scores, None)
 
 
 @q("k10_company_agreements", W("agreements", "scores") + f"""
 SELECT * FROM agreements WHERE cnpj_raiz = {_TOP_COMPANY} ORDER BY dt_pedido DESC NULLS LAST, num_parcelamento DESC""",
    "J2/K10: the company's agreements, newest first")
 def _k10(t):
-    return LK.company_agreements(t.agreements, LK.pick_companies(t.scores, 1))
+    return LK.company_agreements(_picked(t).agreements, None)
 
 
 @q("k11_company_alerts", W("alerts", "scores") + f"""
 SELECT * FROM alerts WHERE cnpj_raiz = {_TOP_COMPANY} ORDER BY prioridade, num_parcelamento""",
    "J2/K11: the company's alerts by priority")
 def _k11(t):
-    return LK.company_alerts(t.alerts, LK.pick_companies(t.scores, 1))
+    return LK.company_alerts(_picked(t).alerts, None)
 
 
 @q("j2_company_receipts", W("receipts", "scores") + f"""
 SELECT * FROM receipts WHERE cnpj_raiz = {_TOP_COMPANY}""", "J2: the company's expected receipts")
 def _j2r(t):
-    return LK.company_receipts(t.receipts, LK.pick_companies(t.scores, 1))
+    return LK.company_receipts(_picked(t).receipts, None)
 
 
 @q("w4_company_timeline", W("agreements", "scores") + f"""
@@ -703,7 +725,7 @@ SELECT num_parcelamento, dt_pedido AS inicio, dt_pedido + INTERVAL 30 DAY AS fim
        valor_parcelado, num_parcelas
 FROM agreements WHERE cnpj_raiz = {_TOP_COMPANY}""", "W4/F10: the company's timeline bars")
 def _w4(t):
-    return LK.company_timeline(LK.company_agreements(t.agreements, LK.pick_companies(t.scores, 1)))
+    return LK.company_timeline(LK.company_agreements(_picked(t).agreements, None))
 
 
 @q("k19_company_picker", W("scores") + f"""
@@ -793,7 +815,7 @@ SELECT num_parcelamento AS "Nº Parcelamento", categoria_parcelamento AS "Catego
        faixa_parcelas AS "Faixa"
 FROM agreements WHERE cnpj_raiz = {_TOP_COMPANY}""", "P2/K10/F3: the company's agreement history")
 def _p2h(t):
-    return RP.company_history_report(LK.company_agreements(t.agreements, LK.pick_companies(t.scores, 1)))
+    return RP.company_history_report(LK.company_agreements(_picked(t).agreements, None))
 
 
 @q("j5_risk_probability_lookup", W("scores") + """

@@ -49,14 +49,17 @@ def load_aggregates(t: Tables) -> dict[str, DataFrame]:
 
 
 def load_company(t: Tables, cnpj_raiz: str) -> dict[str, DataFrame]:
-    """The five frames of a company drill-down, by key (pushed-down filters)."""
+    """The five frames of a company drill-down.  The key is a literal
+    filter (pushed into the scan); derived tables are computed for this
+    company only (``Tables.restricted``) unless stored."""
+    keys = t.spark.createDataFrame([(cnpj_raiz,)], "cnpj_raiz string")
+    v = t.restricted(keys)
     return {
-        "empresa": LK.by_company(t.companies, cnpj_raiz),
-        "score": LK.by_company(t.scores, cnpj_raiz),
-        "parcelamentos": LK.by_company(t.agreements, cnpj_raiz).orderBy(
-            t.agreements["dt_pedido"].desc_nulls_last(), t.agreements["num_parcelamento"].desc()),
-        "alertas": LK.by_company(t.alerts, cnpj_raiz).orderBy("prioridade", "num_parcelamento"),
-        "expectativa": LK.by_company(t.receipts, cnpj_raiz),
+        "empresa": LK.by_company(v.companies, cnpj_raiz),
+        "score": LK.by_company(v.scores, cnpj_raiz),
+        "parcelamentos": LK.company_agreements(LK.by_company(v.agreements, cnpj_raiz), None),
+        "alertas": LK.company_alerts(LK.by_company(v.alerts, cnpj_raiz), None),
+        "expectativa": LK.by_company(v.receipts, cnpj_raiz),
     }
 
 
