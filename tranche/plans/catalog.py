@@ -145,8 +145,12 @@ class Tables:
             if n in self._stored:
                 sub._memo[n] = self._memo[n].join(picked, "cnpj_raiz", "left_semi")
                 sub._stored.add(n)
-            elif n in ("agreements", "agreements_core"):
-                sub._memo[n] = getattr(self, n).join(picked, "cnpj_raiz", "left_semi")
+        if "agreements" not in self._stored:
+            # push the key list down to the source scans, before any join
+            cust = testdata.customers_of(keys)
+            sub._memo["agreements"] = testdata.agreements(
+                self.spark, self.sf_dir, self.params, hot_cust=self.hot_customers, customers=cust)
+            sub._memo["agreements_core"] = testdata.agreements_core(self.spark, self.sf_dir, customers=cust)
         return sub
 
     def scores_for(self, keys: DataFrame) -> DataFrame:

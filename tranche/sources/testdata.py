@@ -88,14 +88,23 @@ T1_COLUMNS = ["num_parcelamento", "cnpj", "cnpj_raiz", "razao_social", "cd_gerfe
               "dt_fim", "tipo_adesao", "origem_debito"]
 
 
-def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool = False) -> DataFrame:
+def customers_of(companies: DataFrame) -> DataFrame:
+    """Map company keys (``cnpj_raiz``) back to the source customer keys."""
+    return companies.select(F.col("cnpj_raiz").cast("bigint").alias("o_custkey")).where(F.col("o_custkey").isNotNull())
+
+
+def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool = False,
+                    customers: DataFrame | None = None) -> DataFrame:
     """T1 without the company registry attributes: orders + lineitem only.
 
     Consumers that need nothing but the company key (series, recovery,
     receipts, band/programme metrics) read this and skip the orders ->
     customer join, which Catalyst cannot drop on its own (it cannot prove the
-    customer side unique)."""
+    customer side unique).  ``customers`` (a bounded key list, broadcast)
+    restricts the orders at the scan, for drill-downs."""
     orders = _orders(spark, sf_dir)
+    if customers is not None:
+        orders = orders.join(F.broadcast(customers), "o_custkey", "left_semi")
     lines = (read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_shipdate"])
              .groupBy("l_orderkey")
              .agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_shipdate").alias("last_ship")))
@@ -140,12 +149,16 @@ def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool =
 
 
 def agreements(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT,
-               hot_cust: DataFrame | None = None) -> DataFrame:
+               hot_cust: DataFrame | None = None, customers: DataFrame | None = None) -> DataFrame:
     """One row per agreement (unique ``num_parcelamento``), enriched with
-    the company's registry attributes."""
-    core = agreements_core(spark, sf_dir, keep_customer_key=True)
+    the company's registry attributes.  ``customers`` restricts both sides of
+    the join to a bounded key list (drill-downs)."""
+    core = agreements_core(spark, sf_dir, keep_customer_key=True, customers=customers)
+    dim = company_dim(spark, sf_dir)
+    if customers is not None:
+        dim = dim.join(F.broadcast(customers), "o_custkey", "left_semi")
     hot = hot_cust if hot_cust is not None else hot_customers(spark, sf_dir, params)
-    j = lookup_join(core, company_dim(spark, sf_dir), "o_custkey", ["num_parcelamento"], params.skew, hot=hot)
+    j = lookup_join(core, dim, "o_custkey", ["num_parcelamento"], params.skew, hot=hot)
     return j.select(
         "num_parcelamento", "cnpj", "cnpj_raiz",
         F.col("c_name").alias("razao_social"),
