@@ -46,6 +46,10 @@ class ModelParams:
     seed: int = 42
     test_fraction: float = 0.2
     min_agreements: int = 2
+    # training partitions are sized to the data (rows per partition); every
+    # boosting round runs several jobs, so many tiny partitions cost far more
+    # than the work they hold
+    rows_per_partition: int = 100_000
 
 
 DEFAULT_MODEL = ModelParams()
@@ -176,6 +180,10 @@ def train(companies: DataFrame, mp: ModelParams = DEFAULT_MODEL) -> TrainedModel
     ensure_checkpoint_dir(companies.sparkSession)
     frame = as_double_features(clean_training(training_frame(companies, mp)))
     split = stratified_split(frame.withColumn(LABEL, F.col(LABEL).cast("double")), mp).checkpoint()
+    n_rows = split.count()
+    target = max(1, -(-n_rows // mp.rows_per_partition))
+    if split.rdd.getNumPartitions() > target:
+        split = split.coalesce(target)                    # narrow: reads the checkpoint, no shuffle
     train_df, test_df = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     model = build_pipeline(mp).fit(train_df)
     pred = model.transform(test_df)
