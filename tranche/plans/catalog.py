@@ -13,8 +13,9 @@ tables (None where the operator is not SQL-expressible, e.g. the model).
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,6 +223,33 @@ for _qid, _name, _doc in [
     QUERIES[_qid] = Query((lambda n: lambda t: getattr(t, n))(_name), W(_name) + f"SELECT * FROM {_name}", _doc)
 
 
+EARLY_AS_OF = _dt.date(2000, 1, 1)
+_EARLY_SQL = f"DATE '{EARLY_AS_OF.isoformat()}'"
+
+
+def _early(t: Tables) -> Tables:
+    """The same sources seen from an earlier as-of date, where many active
+    agreements still have instalments due."""
+    return Tables(t.spark, t.sf_dir, replace(t.params, as_of=EARLY_AS_OF))
+
+
+@q("b4_expected_receipts_2000", (W("receipts") + "SELECT * FROM receipts").replace(O.AS_OF, _EARLY_SQL),
+   "B4 at as-of 2000-01-01 (requests up to that date; instalments still due)")
+def _b4e(t):
+    return _early(t).receipts
+
+
+@q("a2_receipts_summary_2000", (W("receipts") + f"""
+SELECT risco_empresa, count(*) AS qtd_parcelamentos,
+       CAST(sum(valor_esperado_3_meses) AS {O.MONEY}) AS total_3_meses,
+       CAST(sum(valor_esperado_12_meses) AS {O.MONEY}) AS total_12_meses,
+       CAST(sum(valor_ajustado_risco_3_meses) AS {O.MONEY}) AS ajustado_3_meses,
+       CAST(sum(valor_ajustado_risco_12_meses) AS {O.MONEY}) AS ajustado_12_meses
+FROM receipts GROUP BY risco_empresa""").replace(O.AS_OF, _EARLY_SQL), "A2 at as-of 2000-01-01")
+def _a2e(t):
+    return RC.receipts_summary(_early(t).receipts)
+
+
 # ---------------------------------------------------------------------------
 # Sources, sorts and limits
 # ---------------------------------------------------------------------------
