@@ -47,3 +47,10 @@ def test_save_and_load(trained, small_tables, tmp_path):
     a = trained.model.transform(frame).select("cnpj_raiz", "prediction").orderBy("cnpj_raiz").collect()
     b = loaded.transform(frame).select("cnpj_raiz", "prediction").orderBy("cnpj_raiz").collect()
     assert a == b
+
+
+def test_fixed_seed_reproducible(small_tables):
+    mp = M.ModelParams(max_iter=3, max_depth=3)
+    a, b = M.train(small_tables.companies, mp), M.train(small_tables.companies, mp)
+    assert (a.accuracy, a.roc_auc, a.n_train, a.n_test) == (b.accuracy, b.roc_auc, b.n_train, b.n_test)
+    assert a.importances == b.importances

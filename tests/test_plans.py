@@ -36,3 +36,17 @@ def test_scans_are_pruned(spark):
 def test_group_metrics_have_no_expand(spark):
     p = plan(QUERIES["b6_region_metrics"].spark(Tables(spark, SF_SMALL)))
     assert "Expand" not in p
+
+
+@pytest.mark.parametrize("qid", ["b1_agreements", "b2_companies", "b3_company_scores", "b4_expected_receipts",
+                                 "b5_monthly_series", "b6_region_metrics", "b9_band_metrics", "b12_alerts",
+                                 "b13_executive_summary", "a1_recovery_grouping_sets"])
+def test_hash_aggregates_only(spark, qid):
+    p = plan(QUERIES[qid].spark(Tables(spark, SF_SMALL)))
+    assert "SortAggregate" not in p
+
+
+def test_series_skips_unused_joins(spark):
+    """Series needs no lineitem or customer column: both joins are gone."""
+    p = plan(QUERIES["b5_monthly_series"].spark(Tables(spark, SF_SMALL)))
+    assert "lineitem" not in p and "customer" not in p
