@@ -24,6 +24,18 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def case_map(c: str | Column, mapping: dict, default=None) -> Column:
+    """``CASE c WHEN k1 THEN v1 ... [ELSE default] END`` from a dict."""
+    x = col(c)
+    out = None
+    for k, v in mapping.items():
+        val = v if isinstance(v, Column) else F.lit(v)
+        out = F.when(x == k, val) if out is None else out.when(x == k, val)
+    if default is not None:
+        out = out.otherwise(default if isinstance(default, Column) else F.lit(default))
+    return out
+
+
 # ---------------------------------------------------------------------------
 # Numeric helpers
 # ---------------------------------------------------------------------------
@@ -238,26 +250,14 @@ def instalment_band(n: str | Column) -> Column:
 
 def status_label(code: str | Column) -> Column:
     """Status code -> label, from the fixed vocabulary."""
-    c = col(code)
-    out = None
-    for k, v in C.STATUS.items():
-        out = F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v))
-    return out
+    return case_map(code, C.STATUS)
 
 
 def priority_label(code: str | Column) -> Column:
-    c = col(code)
-    out = None
-    for k, v in C.PRIORITIES.items():
-        out = F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v))
-    return out
+    """Alert priority code -> label."""
+    return case_map(code, C.PRIORITIES)
 
 
 def success_probability(risk: str | Column) -> Column:
     """Risk class -> probability of receiving (decimal(3,2)); unknown -> null."""
-    r = col(risk)
-    out = None
-    for k, v in C.SUCCESS_PROBABILITY.items():
-        lit = F.lit(Decimal(v)).cast("decimal(3,2)")
-        out = F.when(r == k, lit) if out is None else out.when(r == k, lit)
-    return out
+    return case_map(risk, {k: F.lit(Decimal(v)).cast("decimal(3,2)") for k, v in C.SUCCESS_PROBABILITY.items()})

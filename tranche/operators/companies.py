@@ -110,11 +110,8 @@ def score_components(companies_df: DataFrame) -> dict:
         value = F.when(v >= cut, F.lit(pts)) if value is None else value.when(v >= cut, F.lit(pts))
     value = value.when(v > 0, F.lit(25.0)).otherwise(F.lit(0.0))
     recid = F.when(F.col("flag_reincidente") == 1, F.lit(100.0)).otherwise(F.lit(0.0))
-    b = F.col("classificacao_comportamento")
-    behaviour = None
-    for k, pts in C.BEHAVIOUR_SCORE.items():
-        behaviour = F.when(b == k, F.lit(pts)) if behaviour is None else behaviour.when(b == k, F.lit(pts))
-    behaviour = behaviour.otherwise(F.lit(C.BEHAVIOUR_SCORE["SEM HISTÓRICO"]))
+    behaviour = X.case_map("classificacao_comportamento", C.BEHAVIOUR_SCORE,
+                           default=C.BEHAVIOUR_SCORE["SEM HISTÓRICO"])
     return {"score_historico_cancelamento": history, "score_recencia": recency,
             "score_valor_risco": value, "score_reincidencia": recid,
             "score_comportamento": behaviour}

@@ -113,16 +113,10 @@ def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool =
               .when(F.col("o_orderstatus") == "O", F.lit(C.ST_ACTIVE))
               .when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 5 == 0), F.lit(C.ST_PENDING))
               .when(F.col("o_orderstatus") == "P", F.lit(C.ST_CANCELLED)))
-    digit = F.substring("o_orderpriority", 1, 1)
-    category = None
-    for k, v in PRIORITY_CATEGORY.items():
-        category = F.when(digit == k, F.lit(v)) if category is None else category.when(digit == k, F.lit(v))
+    category = X.case_map(F.substring("o_orderpriority", 1, 1), PRIORITY_CATEGORY)
     n = F.coalesce(F.col("n_lines"), F.lit(0)).cast("int")
     root = X.normalize_tax_id(F.col("o_custkey"), ROOT_ID_WIDTH)
-    origin = F.pmod(F.col("o_orderkey"), F.lit(4))
-    origin_label = None
-    for i, v in enumerate(C.DEBT_ORIGINS):
-        origin_label = F.when(origin == i, F.lit(v)) if origin_label is None else origin_label.when(origin == i, F.lit(v))
+    origin_label = X.case_map(F.pmod(F.col("o_orderkey"), F.lit(4)), dict(enumerate(C.DEBT_ORIGINS)))
     base = o.select(
         F.col("o_orderkey").alias("num_parcelamento"),
         F.when(root.isNotNull(), F.concat(root, F.lit(BRANCH_SUFFIX))).alias("cnpj"),
