@@ -17,7 +17,7 @@ from tranche.operators import series as SE
 from tranche.operators import summary as SU
 from tests import fixture_rows as FX
 
-P = Params(as_of=FX.AS_OF, skew=SkewParams(max_hot_keys=2, hot_min_rows=0, salt_buckets=3))
+P = Params(as_of=FX.AS_OF, skew=SkewParams(max_hot_keys=2, hot_min_rows=0, rows_per_bucket=1, min_salt_buckets=3))
 
 
 @pytest.fixture(scope="module")

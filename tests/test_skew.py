@@ -16,7 +16,7 @@ def _frames(spark):
 def test_hot_key_found_and_bounded(spark):
     fact, _ = _frames(spark)
     hot = hot_keys(fact, "k", SkewParams(max_hot_keys=4, hot_min_rows=1000))
-    assert [r.k for r in hot.collect()] == [7]
+    assert [(r.k, r._n) for r in hot.collect()] == [(7, 10001)]
     many = hot_keys(fact, "k", SkewParams(max_hot_keys=4, hot_min_rows=1))
     assert many.count() == 4                       # never more than max_hot_keys
 
@@ -30,7 +30,7 @@ def test_hot_key_spread_and_result_unchanged(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        salted = lookup_join(fact, dim, "k", ["row"], SkewParams(max_hot_keys=4, hot_min_rows=1000, salt_buckets=16))
+        salted = lookup_join(fact, dim, "k", ["row"], SkewParams(max_hot_keys=4, hot_min_rows=1000, rows_per_bucket=625, min_salt_buckets=2))
         plain = fact.join(dim, "k", "left")
         assert salted.count() == 30000
         assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
@@ -44,6 +44,14 @@ def test_hot_key_spread_and_result_unchanged(spark):
             spark.conf.set(k, v)
 
 
+def test_buckets_grow_with_the_key(spark):
+    from tranche.operators.skew import salt_buckets
+    sk = SkewParams(rows_per_bucket=1000, min_salt_buckets=8, max_salt_buckets=64)
+    df = spark.createDataFrame([(10,), (20_000,), (10_000_000,)], "n bigint")
+    got = [r[0] for r in df.select(salt_buckets(df["n"], sk)).collect()]
+    assert got == [8, 20, 64]
+
+
 def test_bounded_broadcast_checks_size(spark):
     small = spark.range(10)
     big = spark.range(100)

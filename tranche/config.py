@@ -79,13 +79,17 @@ class SkewParams:
     The hot keys are the ``max_hot_keys`` heaviest keys among those with at
     least ``hot_min_rows`` rows: a top-k, so the list is a proven-small
     broadcast, and every key holding more than ``1 / max_hot_keys`` of the
-    rows is necessarily in it.  Hot keys are spread over ``salt_buckets``
-    join partitions.
+    rows is necessarily in it.  Each hot key is spread over
+    ``ceil(rows / rows_per_bucket)`` join partitions, clamped to
+    [``min_salt_buckets``, ``max_salt_buckets``]; the dimension rows
+    replicated for that are at most ``max_hot_keys * max_salt_buckets``.
     """
 
     max_hot_keys: int = 1024
     hot_min_rows: int = 100_000
-    salt_buckets: int = 64
+    rows_per_bucket: int = 2_000_000
+    min_salt_buckets: int = 8
+    max_salt_buckets: int = 8192
     # False: plain shuffle join, hot partitions left to AQE skew-join splitting
     enabled: bool = True
 

@@ -4,8 +4,8 @@
 (agreements -> company scores, orders -> customers).  A plain shuffle join
 sends every row of a hot key to one task; here the hot keys are found first
 (a partial-aggregated count, so the count itself is skew-safe), and only their
-fact rows are spread over ``salt_buckets`` partitions while the matching
-dimension rows are replicated to each bucket.  The hot-key list is a top-k
+fact rows are spread over a number of partitions proportional to the key's
+row count while the matching dimension rows are replicated to each bucket.  The hot-key list is a top-k
 (the ``max_hot_keys`` heaviest keys), so broadcasting it is bounded by
 construction, and any key holding more than ``1 / max_hot_keys`` of the rows
 is in it.  Salts come from a hash of a row id,
@@ -30,12 +30,18 @@ _HOT = "_hot"
 def hot_keys(fact: DataFrame, key: str, skew: SkewParams) -> DataFrame:
     """The heaviest keys of ``fact`` (at least ``hot_min_rows`` rows each).
 
-    Result has one column ``key`` and at most ``max_hot_keys`` rows."""
+    Result has columns ``key`` and ``_n`` (row count), at most
+    ``max_hot_keys`` rows."""
     counts = (fact.select(key).where(F.col(key).isNotNull())
               .groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
     return (counts.where(F.col("_n") >= F.lit(skew.hot_min_rows))
-            .orderBy(F.col("_n").desc(), F.col(key)).limit(skew.max_hot_keys)
-            .select(key))
+            .orderBy(F.col("_n").desc(), F.col(key)).limit(skew.max_hot_keys))
+
+
+def salt_buckets(n, skew: SkewParams):
+    """Buckets for a hot key with ``n`` rows: ceil(n / rows_per_bucket), clamped."""
+    want = F.ceil(n / F.lit(float(skew.rows_per_bucket))).cast("int")
+    return F.least(F.greatest(want, F.lit(skew.min_salt_buckets)), F.lit(skew.max_salt_buckets))
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, key: str, row_id: list[str],
@@ -49,15 +55,15 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, row_id: list[str],
     if not skew.enabled:
         return fact.join(dim, key, how)
     hot_df = hot if hot is not None else hot_keys(fact, key, skew)
-    hot = F.broadcast(hot_df.withColumn(_HOT, F.lit(True)))
-    n = skew.salt_buckets
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.lit(n)).cast("int")
+    nb = F.col(_HOT)
+    hot = F.broadcast(hot_df.select(key, salt_buckets(F.col("_n"), skew).alias(_HOT)))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), nb).cast("int")
     f = (fact.join(hot, key, "left")
-         .withColumn(_SALT, F.when(F.col(_HOT), salt).otherwise(F.lit(0)))
+         .withColumn(_SALT, F.when(nb.isNotNull(), salt).otherwise(F.lit(0)))
          .drop(_HOT))
     d = (dim.join(hot, key, "left")
          .withColumn(_SALT, F.explode(
-             F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(n - 1)))
+             F.when(nb.isNotNull(), F.sequence(F.lit(0), nb - 1))
              .otherwise(F.array(F.lit(0)))))
          .drop(_HOT))
     return f.join(d, [key, _SALT], how).drop(_SALT)

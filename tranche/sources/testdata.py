@@ -77,7 +77,7 @@ def hot_customers(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT
 
 def hot_companies(hot_cust: DataFrame) -> DataFrame:
     """The same hot set keyed as ``cnpj_raiz``, for joins on T1."""
-    return hot_cust.select(X.normalize_tax_id(F.col("o_custkey"), ROOT_ID_WIDTH).alias("cnpj_raiz"))
+    return hot_cust.select(X.normalize_tax_id(F.col("o_custkey"), ROOT_ID_WIDTH).alias("cnpj_raiz"), "_n")
 
 
 COMPANY_COLUMNS = ["razao_social", "cd_gerfe", "gerfe", "ges", "descricao_secao",
