@@ -250,6 +250,21 @@ def _a2e(t):
     return RC.receipts_summary(_early(t).receipts)
 
 
+WINDOW = (_dt.date(1998, 1, 1), _dt.date(1998, 5, 31))
+
+
+@q("b11_recovery_window", W("agreements") + f"""
+SELECT num_parcelamento, cnpj_raiz, tipo_adesao, origem_debito, cd_status, desc_status,
+       valor_parcelado, num_parcelas
+FROM agreements WHERE categoria_parcelamento = 'RECUPERA+'
+  AND CAST(dt_pedido AS DATE) >= DATE '{WINDOW[0].isoformat()}'
+  AND CAST(dt_pedido AS DATE) <= DATE '{WINDOW[1].isoformat()}'""",
+   "B11 with a January-May joining window (the window is a parameter)")
+def _b11w(t):
+    p = replace(t.params, recovery_start=WINDOW[0], recovery_end=WINDOW[1])
+    return RV.recovery_agreements(t.agreements_core, p)
+
+
 # ---------------------------------------------------------------------------
 # Sources, sorts and limits
 # ---------------------------------------------------------------------------
