@@ -77,3 +77,9 @@ def test_worked_example_adjusted_receipts(spark):
     df = spark.createDataFrame([(Decimal("100000.00"), "ALTO")], "g decimal(18,2), r string")
     got = df.select((F.col("g") * X.success_probability("r")).cast(X.MONEY)).first()[0]
     assert got == Decimal("40000.00")
+
+
+def test_f12_missing_and_f14_round(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (2.25,)], "v double")
+    assert [r[0] for r in df.select(X.is_missing("v")).collect()] == [True, True, False]
+    assert [r[0] for r in df.select(X.round1("v")).collect()][2] == 2.3

@@ -14,14 +14,6 @@ from pyspark.sql import functions as F
 from tranche import config as C
 
 
-def status_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in C.STATUS.items()], "cd_status int, desc_status string")
-
-
-def category_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in C.CATEGORIES], "categoria_parcelamento string")
-
-
 def risk_probability(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, Decimal(v)) for k, v in C.SUCCESS_PROBABILITY.items()],
                                  "classificacao_risco string, probabilidade decimal(3,2)")

@@ -27,7 +27,6 @@ RAW_SCHEMAS = {
                  "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
                  "l_linestatus string, l_shipdate timestamp_ntz"),
 }
-RAW_TABLES = tuple(RAW_SCHEMAS)
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -80,14 +80,6 @@ def hot_companies(hot_cust: DataFrame) -> DataFrame:
     return hot_cust.select(X.normalize_tax_id(F.col("o_custkey"), ROOT_ID_WIDTH).alias("cnpj_raiz"), "_n")
 
 
-COMPANY_COLUMNS = ["razao_social", "cd_gerfe", "gerfe", "ges", "descricao_secao",
-                   "situacao_cadastral", "flag_simples_nacional"]
-T1_COLUMNS = ["num_parcelamento", "cnpj", "cnpj_raiz", "razao_social", "cd_gerfe", "gerfe", "ges",
-              "descricao_secao", "situacao_cadastral", "flag_simples_nacional", "categoria_parcelamento",
-              "cd_status", "desc_status", "valor_parcelado", "num_parcelas", "faixa_parcelas", "dt_pedido",
-              "dt_fim", "tipo_adesao", "origem_debito"]
-
-
 def customers_of(companies: DataFrame) -> DataFrame:
     """Map company keys (``cnpj_raiz``) back to the source customer keys."""
     return companies.select(F.col("cnpj_raiz").cast("bigint").alias("o_custkey")).where(F.col("o_custkey").isNotNull())
