@@ -23,3 +23,12 @@ def test_stored_build_matches_lazy(spark, tmp_path):
     for name in ("summary", "region", "alerts", "receipts"):
         a, b = getattr(stored, name), getattr(lazy, name)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_company_bundle_on_stored_tables(spark, tmp_path):
+    stored = D.build(spark, SF_SMALL, str(tmp_path / "tables"))
+    lazy = Tables(spark, SF_SMALL)
+    key = D.load_aggregates(lazy)["empresas_score"].first()["cnpj_raiz"]
+    a, b = D.load_company(stored, key), D.load_company(lazy, key)
+    for name in ("empresa", "score", "parcelamentos", "alertas", "expectativa"):
+        assert a[name].exceptAll(b[name]).count() == 0 and b[name].exceptAll(a[name]).count() == 0

@@ -158,8 +158,9 @@ class Tables:
         """Scores of a bounded set of companies (see ``restricted``)."""
         return self.restricted(keys).scores
 
-    TABLE_NAMES = ("agreements", "agreements_core", "company_rollup", "companies", "scores", "receipts", "series", "region",
-                   "sector", "activity", "band", "programme", "recovery", "alerts", "summary")
+    TABLE_NAMES = ("agreements", "agreements_core", "company_rollup", "companies", "scores", "receipts",
+                   "series", "region", "sector", "activity", "band", "programme", "recovery", "alerts",
+                   "summary")
 
     def materialize(self, out_dir: str | None = None, names=TABLE_NAMES) -> "Tables":
         """Write each table once (in dependency order) and read it back.
@@ -168,11 +169,12 @@ class Tables:
         directory, so a lost executor never loses a finished table."""
         from tranche.sources.store import write_and_reload
         from tranche.session import ensure_checkpoint_dir
-        base = out_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables"
         from tranche.operators.skew import hot_keys
+        base = out_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables"
         for n in names:
             if n == "agreements_core" and "agreements" in names:
                 self._memo[n] = self._memo["agreements"]   # the stored T1 is a superset
+                self._stored.add(n)
                 continue
             df = getattr(self, n)
             self._memo[n] = write_and_reload(df, f"{base}/{n}")
