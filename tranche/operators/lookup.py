@@ -55,10 +55,16 @@ def pick_companies(scores: DataFrame, n: int = 1) -> DataFrame:
             .limit(n).select("cnpj_raiz")).checkpoint()
 
 
+def semi(df: DataFrame, keys: DataFrame, key: str = "cnpj_raiz") -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the bounded ``keys`` (broadcast
+    semi-join), columns kept in ``df``'s order."""
+    return df.join(F.broadcast(keys.select(key)), key, "left_semi").select(*df.columns)
+
+
 def for_companies(df: DataFrame, picked: DataFrame | None) -> DataFrame:
-    """Rows of ``df`` for a picked, bounded set of companies (broadcast
-    semi-join); ``None`` when ``df`` is already restricted."""
-    return df if picked is None else df.join(F.broadcast(picked), "cnpj_raiz", "left_semi")
+    """Rows of ``df`` for a picked, bounded set of companies; ``None`` when
+    ``df`` is already restricted."""
+    return df if picked is None else semi(df, picked)
 
 
 def company_profile(companies_df: DataFrame, scores: DataFrame, picked: DataFrame | None) -> DataFrame:

@@ -138,13 +138,12 @@ class Tables:
         only, which is exact: each depends on its own company's agreements
         alone.  Stored tables are filtered instead.  Aggregates across
         companies (region, series, summary) are not meaningful on the view."""
-        picked = F.broadcast(keys.select("cnpj_raiz"))
         sub = Tables(self.spark, self.sf_dir, self.params)
         sub._memo["hot_customers"] = self.hot_customers
         sub._memo["hot_companies"] = self.hot_companies
         for n in self.PER_COMPANY:
             if n in self._stored:
-                sub._memo[n] = self._memo[n].join(picked, "cnpj_raiz", "left_semi")
+                sub._memo[n] = LK.semi(self._memo[n], keys)
                 sub._stored.add(n)
         if "agreements" not in self._stored:
             # push the key list down to the source scans, before any join
