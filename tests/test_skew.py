@@ -57,3 +57,13 @@ def test_bounded_broadcast_checks_size(spark):
     big = spark.range(100)
     assert "broadcast" in bounded_broadcast(small, 50)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in bounded_broadcast(big, 50)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_salting_only_when_a_key_can_be_hot(spark):
+    from tests.conftest import SF_SMALL
+    from tranche.config import Params
+    from tranche.plans.catalog import Tables
+    assert not Tables(spark, SF_SMALL).params.skew.enabled          # 1,500 orders < 2M
+    forced = Tables(spark, SF_SMALL, Params(skew=SkewParams(hot_min_rows=0)))
+    assert forced.params.skew.enabled
+    assert "Generate" in forced.agreements._jdf.queryExecution().executedPlan().toString()

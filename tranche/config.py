@@ -86,7 +86,8 @@ class SkewParams:
     """
 
     max_hot_keys: int = 1024
-    hot_min_rows: int = 100_000
+    # a key smaller than one bucket gains nothing from salting
+    hot_min_rows: int = 2_000_000
     rows_per_bucket: int = 2_000_000
     min_salt_buckets: int = 8
     max_salt_buckets: int = 8192

@@ -40,7 +40,8 @@ class Tables:
     """Lazy T1-T13 for one source folder (S3: the dashboard bundle)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT):
-        self.spark, self.sf_dir, self.params = spark, sf_dir, params
+        self.spark, self.sf_dir = spark, sf_dir
+        self.params = testdata.skew_params_for(spark, sf_dir, params)
         self._memo: dict[str, DataFrame] = {}
         self._stored: set[str] = set()
 

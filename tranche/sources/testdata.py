@@ -70,6 +70,27 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "o_orderdate", "o_orderpriority"])
 
 
+_ROW_COUNTS: dict = {}
+
+
+def order_count(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the orders table (parquet metadata count), memoised per file version."""
+    key = _files_key(sf_dir, ("orders",))
+    if key not in _ROW_COUNTS:
+        _ROW_COUNTS[key] = _orders(spark, sf_dir).select("o_orderkey").count()
+    return _ROW_COUNTS[key]
+
+
+def skew_params_for(spark: SparkSession, sf_dir: str, params: C.Params) -> C.Params:
+    """Salting is pointless when no key can reach ``hot_min_rows``: a table
+    with fewer rows than that has no hot key, so joins stay plain (AQE's
+    skew-join splitting remains on)."""
+    from dataclasses import replace
+    if params.skew.enabled and order_count(spark, sf_dir) < params.skew.hot_min_rows:
+        return replace(params, skew=replace(params.skew, enabled=False))
+    return params
+
+
 def hot_customers(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT) -> DataFrame:
     """Customers holding a large share of all orders (bounded list, see skew.py)."""
     return hot_keys(_orders(spark, sf_dir), "o_custkey", params.skew)
