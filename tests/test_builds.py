@@ -130,3 +130,29 @@ def test_empty_input_keeps_schema(spark, built):
     row = SU.executive_summary(empty, c, P).first()
     assert row.total_parcelamentos == 0 and row.valor_total_parcelado == Decimal("0.00")
     assert row.taxa_sucesso_global_pct is None
+
+
+def test_every_build_on_empty_input(spark, built):
+    """No guard needed; empty input gives typed empty frames (one zero row
+    for the global summary) that conform to the declared schemas."""
+    from tranche import schemas
+    empty = built["a"].limit(0)
+    c = CO.companies(empty, P)
+    s = CO.company_scores(c)
+    out = {
+        "companies": c, "scores": s,
+        "receipts": RC.expected_receipts(empty, s, P),
+        "series": SE.monthly_series(empty),
+        "region": G.region_metrics(empty, s, P, CO.company_rollup(empty, P)),
+        "band": G.band_metrics(empty, s, P),
+        "recovery": RV.recovery_agreements(empty, P),
+        "alerts": AL.alerts(empty, s, P),
+    }
+    for name, df in out.items():
+        assert df.count() == 0, name
+        assert schemas.check(df, name) == [], name
+    total = RV.recovery_cube(out["recovery"]).where("nivel = 15").collect()      # grand total row
+    assert len(total) == 1 and total[0].empresas == 0
+    assert AL.frequency(out["alerts"], "tipo_alerta").count() == 0
+    kpi = AL.alert_kpis(out["alerts"]).first()
+    assert kpi.total_alertas == 0 and kpi.valor_em_alerta == Decimal("0.00")

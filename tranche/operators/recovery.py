@@ -2,8 +2,9 @@
 (A1, A3, A4, A5, A7, A13, A18, K9, K13).
 
 A1 and its re-aggregations are one ``GROUPING SETS`` pass: the grouping sets
-(4 keys), (join type), (status), (origin, status) and the grand total come
-out of a single ``Expand`` + aggregate, and every level gets an exact
+(4 keys), (join type), (status), (origin, status) come out of a single
+``Expand`` + aggregate (the grand total is a global aggregate beside it, so
+it exists even on empty input), and every level gets an exact
 ``count(DISTINCT cnpj_raiz)`` instead of summing per-group distinct counts
 (D-3).  The input is first collapsed to one row per (4 keys, company), so the
 distinct shuffle moves at most one row per company and group.
@@ -62,14 +63,20 @@ def recovery_cube(recovery: DataFrame) -> DataFrame:
         F.sum("num_parcelas").alias("_sn"),
         F.count("num_parcelas").alias("_nn"))
     k = [F.col(c) for c in KEYS]
+    measures = [F.sum("_n").alias("qtd"),
+                F.count_distinct("cnpj_raiz").alias("empresas"),
+                F.sum("_v").alias("_v"),
+                F.sum("_sn").alias("_sn"),
+                F.sum("_nn").alias("_nn")]
     g = per_company.groupingSets(
-        [k, [k[0]], [k[3]], [k[1], k[3]], []], *k
-    ).agg(F.grouping_id().alias("nivel"),
-          F.sum("_n").alias("qtd"),
-          F.count_distinct("cnpj_raiz").alias("empresas"),
-          F.sum("_v").alias("_v"),
-          F.sum("_sn").alias("_sn"),
-          F.sum("_nn").alias("_nn"))
+        [k, [k[0]], [k[3]], [k[1], k[3]]], *k
+    ).agg(F.grouping_id().alias("nivel"), *measures)
+    # the grand total as a global aggregate: one row even on empty input
+    # (an empty grouping set inside GROUPING SETS yields no row there)
+    total = per_company.agg(*measures).select(
+        *[F.lit(None).cast(t).alias(c) for c, t in zip(KEYS, ["string", "string", "int", "string"])],
+        F.lit(LEVELS["total"]).cast("int").alias("nivel"), "qtd", "empresas", "_v", "_sn", "_nn")
+    g = g.unionByName(total.select(*g.columns))
     return g.select(
         *KEYS, F.col("nivel").cast("int").alias("nivel"), F.col("qtd").cast("bigint").alias("qtd"),
         "empresas", F.col("_v").cast(X.MONEY).alias("valor_total"),
