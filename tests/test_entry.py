@@ -14,4 +14,4 @@ def test_registry_consistent():
     assert set(o) <= set(q)
     assert len(q) >= 80
     # names only from the SURVEY ids, no numbered anonymous ids
-    assert all(k[0] in "absjkpuwfm" and "_" in k for k in q)
+    assert all(k[0] in "absjkpuwfmo" and ("_" in k or k == "pipeline") for k in q)
