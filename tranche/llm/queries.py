@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tranche.llm import common as C, language_id, quality_fm, quality_rules, toxicity
+from tranche.llm import common as C, language_id, packing, quality_fm, quality_rules, token_files, toxicity
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= s.threshold).cast("int")))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_language_id, op6_quality_rules, op7_toxicity)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written in order of id to framed files and read back."""
+    folder = C.shared_path(spark, "token-files")
+    manifest = token_files.write_tokens(C.table(spark, sf_dir, "documents", "doc_id", "text"), folder)
+    return token_files.read_tokens(spark, folder, manifest)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens packed harmonically into sequences."""
+    return packing.pack(C.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_language_id, op6_quality_rules, op7_toxicity,
+                                   op9_token_files, op10_packing)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
