@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tranche.llm import common as C, decontam, language_id, packing, quality_fm, quality_rules, token_files, toxicity
+from tranche.llm import common as C, decontam, language_id, ngram_join, packing, quality_fm, quality_rules, token_files, toxicity
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: five-word shingles, Jaccard similarity of 0.8 or more."""
+    found = ngram_join.near_duplicates(C.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_language_id, op6_quality_rules, op7_toxicity,
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_quality_classifier, op4_language_id, op6_quality_rules, op7_toxicity,
                                    op8_decontamination, op9_token_files, op10_packing)}
 
 #: DuckDB SQL of the queries that SQL can express.
