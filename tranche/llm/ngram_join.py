@@ -397,10 +397,11 @@ def _large_groups(full: DataFrame, s: Settings) -> DataFrame:
     blocks = per.select("part", "size_class", F.greatest(F.ceil(F.col("d") / s.block_docs), F.ceil(F.col("w") / s.block_shingles))
                         .cast("int").alias("blocks"))
     rows = C.stored(full.select("rep", "part", "n", "size_class", "tokens").join(blocks, ["part", "size_class"])
-                    .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "large-groups")
+                    .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "large-groups")
     block = [F.col("part"), F.col("size_class"), F.col("block")]
 
     def task(side, key, known=F.col("rep")):
+        key = [k.cast("long") for k in key]       # one type on both sides, so that equal keys hash alike
         return [F.xxhash64(*key).alias("task"), F.xxhash64(*key).alias("part"), F.lit(side).alias("side"),
                 F.col("rep").alias("doc_id"), known.cast("long").alias("known"), "tokens"]
 
@@ -435,7 +436,7 @@ def _large_groups(full: DataFrame, s: Settings) -> DataFrame:
     lots = (outside.groupBy("part", "size_class").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("w"))
             .select("part", "size_class", F.greatest(F.ceil(F.col("d") / s.block_docs), F.ceil(F.col("w") / s.block_shingles))
                     .cast("int").alias("lots")))
-    outside = outside.join(lots, ["part", "size_class"]).withColumn("lot", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("lots")))
+    outside = outside.join(lots, ["part", "size_class"]).withColumn("lot", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("lots")).cast("int"))
     around = F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1))
     key = [F.col("part"), F.col("from_class"), F.col("lot"), F.col("size_class"), F.col("block")]
     left = (outside.withColumn("from_class", F.col("size_class")).withColumn("to", around).drop("size_class", "blocks", "block")
