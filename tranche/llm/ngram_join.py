@@ -2,10 +2,15 @@
 
 A text's set is its distinct word shingles; two texts link when the Jaccard
 similarity of their sets reaches a percentage.  Equal sets are one class from the
-start.  Classes that share no token of their prefixes - the first n - ceil(t n) +
-1 tokens in a fixed order - cannot link, so classes are dealt to workers by the
-connected groups that shared prefix tokens make.  The order puts tokens found in
-many prefixes last: any order is right, and this one keeps groups small.
+start.  To deal classes to workers, a set is parted by token modulo m, a power of
+two that follows its size; a part is a token's company.  Two similar sets differ
+in at most D = n (100 - p) / p tokens, each of which spoils one part, so of any
+D + 1 parts of one they share at least one whole part among the D + 1 that come
+first in a fixed order (largest parts first, as few other sets share those).  A
+set with too few parts for this sends all of them, and its first D + 1 tokens as
+well.  Classes connected through shared parts form a group, a superset of a
+component; within a chunk of rows a part is sent once and its other holders are
+linked on the spot, so a part in a third of all texts costs little.
 
 Within a group, a signature tree holds its classes: a leaf has a bitmap of its
 tokens and its size, a node the OR of the bitmaps below and their range of sizes.
@@ -35,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,7 +52,8 @@ from tranche.llm.components import connected_components
 class Settings:
     words: int = 5
     percent: int = 80                # Jaccard similarity that links
-    often: int = 16                  # a token in so many prefixes goes to the end of the order
+    whole: int = 16                  # sets up to this size are parted into single tokens
+    chunk: int = 1_000_000           # parts that a worker gathers before it sends them
     filter_bits: int = 1 << 25       # of a Bloom filter; its size does not follow the data
     signature_bits: int = 1024
     fan: int = 16                    # children of a tree node
@@ -94,9 +101,35 @@ def class_key(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8").tolist())
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Tokens of a set of n of which any set similar enough must hold one."""
-    return n - -(-percent * n // 100) + 1
+def _level(n: int, s: Settings) -> int:
+    """Number of parts of sets of n tokens: one to two tokens a part, or single tokens."""
+    return 1 << (n.bit_length() - 1) if n > s.whole else 0
+
+
+def _parts_at(x: np.ndarray, m: int, want: int) -> tuple[np.ndarray, bool]:
+    """Hashes of the first ``want`` parts (modulo m; 0: single tokens), and whether there are as many."""
+    if not m:
+        return _mix(x[:want]), True
+    place = x & np.uint64(m - 1)
+    order = np.argsort(place, kind="stable")
+    start = np.flatnonzero(np.diff(place[order], prepend=np.uint64(m)))
+    h = np.add.reduceat(_mix(x[order]), start) ^ np.uint64(m)
+    size = np.diff(start, append=len(x))
+    return h[np.lexsort((h, -size))[:want]], len(h) >= want
+
+
+def parts(x: np.ndarray, s: Settings) -> np.ndarray:
+    """Hashes of the parts that a set sends: similar sets have at least one in common."""
+    n = len(x)
+    want = n * (100 - s.percent) // s.percent + 1
+    out, enough = [], True
+    for m in {_level(k, s) for k in (max(1, n * s.percent // 100), n, 100 * n // s.percent + 1)}:
+        h, whole = _parts_at(x, m, want)
+        out.append(h)
+        enough &= whole
+    if not enough:
+        out.append(_parts_at(x, 0, want)[0])
+    return np.concatenate(out)
 
 
 class Bloom:
@@ -123,15 +156,6 @@ def bloom_of(hashes: DataFrame, bits: int) -> Bloom:
     return Bloom(out.view(np.uint8))
 
 
-def _prefix(tokens: np.ndarray, often: Bloom | None, percent: int) -> np.ndarray:
-    p = prefix_length(len(tokens), percent)
-    if often is None:
-        return tokens[:p]
-    late = often.has(tokens)
-    first = tokens[~late][:p]
-    return first if len(first) == p else np.concatenate([first, tokens[late][:p - len(first)]])
-
-
 def _longs(*columns) -> list:
     return [pa.array(np.ascontiguousarray(c).view(np.int64), pa.int64()) for c in columns]
 
@@ -152,69 +176,88 @@ def signatures(documents: DataFrame, s: Settings) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, n long")
 
 
-def postings(documents: DataFrame, s: Settings, often: Bloom | None, with_class: bool) -> DataFrame:
-    """(token) or (token, late, c1, c2) of every prefix token of every document."""
-    sent = documents.sparkSession.sparkContext.broadcast(often)
+def _stars(h: np.ndarray, c: np.ndarray, first=None) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Of (part, class) sorted by part: which rows begin a part, the class each part begins with, and the last of these.
+
+    ``first`` is the (part, class) that the rows before ended with.
+    """
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    if first is not None and h[0] == first[0]:
+        new[0] = False
+    start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+    hub = np.where(start >= 0, c[start], first[1] if first is not None else 0)
+    return new, hub, (h[-1], hub[-1])
+
+
+def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[keep], b[keep]
+
+
+def _send(s: Settings):
+    """Rows (part, a, b): a part's holder (b null), or a link already found (under any part)."""
+
+    def rows(held: list):
+        h = np.concatenate([x for x, _ in held])
+        c = np.concatenate([x for _, x in held])
+        order = np.argsort(h, kind="stable")
+        h, c = h[order], c[order]
+        new, hub, _ = _stars(h, c)
+        a, b = _unique_pairs(hub[hub != c], c[hub != c])
+        n = int(new.sum())
+        empty = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*_longs(np.concatenate([h[new], _mix((a ^ b).view(np.uint64))]), np.concatenate([c[new], a])),
+             pa.concat_arrays([empty, *_longs(b)])], names=["part", "a", "b"])
 
     def run(batches):
-        shingler, late = Shingler(s.words), sent.value
+        shingler, held, n = Shingler(s.words), [], 0
         for batch in batches:
-            sets = [x for x in map(shingler, C.raw_texts(batch)) if len(x)]
-            if not sets:
-                continue
-            first = [_prefix(x, late, s.percent) for x in sets]
-            tokens = np.concatenate(first)
-            if not with_class:
-                yield pa.RecordBatch.from_arrays(_longs(tokens), names=["token"])
-                continue
-            keys = np.repeat(np.array([class_key(x) for x in sets], np.int64), [len(f) for f in first], axis=0)
-            yield pa.RecordBatch.from_arrays([*_longs(tokens), pa.array(late.has(tokens)), *_longs(keys[:, 0], keys[:, 1])],
-                                             names=["token", "late", "c1", "c2"])
+            for raw in C.raw_texts(batch):
+                x = shingler(raw)
+                if not len(x):
+                    continue
+                h = parts(x, s)
+                held.append((h, np.full(len(h), class_key(x)[0], np.int64)))
+                n += len(h)
+                if n >= s.chunk:
+                    yield rows(held)
+                    held, n = [], 0
+        if held:
+            yield rows(held)
 
-    schema = "token long, late boolean, c1 long, c2 long" if with_class else "token long"
-    return documents.select("text").mapInArrow(run, schema)
+    return run
 
 
-def _stars(batches):
-    """From postings sorted by (token, salt): a link from each group's first class to the others, and that first class.
+def _meet(batches):
+    """Of rows sorted by part: links found before, and a link from each part's first holder to its others.
 
-    Holds one batch and the group that it ends with, of which only the first class is known.
+    Holds one batch, and of the part that it ends with the first holder.
     """
-    last, hub = None, None
+    last = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "salt", "c1", "c2", "late")]
-        new = np.ones(len(cols[0]), bool)
-        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-        if last == (cols[0][0], cols[1][0]):
-            new[0] = False
-        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-        h1 = np.where(start >= 0, cols[2][start], hub[0] if hub else 0)
-        h2 = np.where(start >= 0, cols[3][start], hub[1] if hub else 0)
-        last, hub = (cols[0][-1], cols[1][-1]), (h1[-1], h2[-1])
-        other = (h1 != cols[2]) | (h2 != cols[3])
-        links = np.unique(np.stack([h1, h2, cols[2], cols[3]], axis=1)[other], axis=0)
-        heads = new & cols[4].astype(bool)           # of tokens that were salted
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(np.concatenate([links[:, i], x[heads]])) for i, x in enumerate((cols[2], cols[3], cols[2], cols[3]))),
-             pa.array([None] * len(links) + cols[0][heads].tolist(), pa.int64())], names=["a1", "a2", "b1", "b2", "token"])
+        found = batch.column("b").is_valid()
+        links, held = batch.filter(found), batch.filter(pa.compute.invert(found))
+        a, b = links.column("a").to_numpy(), links.column("b").to_numpy()
+        if held.num_rows:
+            h, c = held.column("part").to_numpy(), held.column("a").to_numpy()
+            _, hub, last = _stars(h, c, last)
+            a, b = np.concatenate([a, hub[hub != c]]), np.concatenate([b, c[hub != c]])
+        yield pa.RecordBatch.from_arrays(_longs(*_unique_pairs(a, b)), names=["a", "b"])
 
 
 def candidate_links(documents: DataFrame, s: Settings) -> DataFrame:
-    """Links (a1, a2, b1, b2) whose connected groups contain every similar pair of classes."""
-    counts = postings(documents, s, None, False).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    often = bloom_of(counts.where(F.col("df") >= s.often).select(F.col("token").alias("h")), s.filter_bits)
-    dealt = (postings(documents, s, often, True)
-             .withColumn("salt", F.when(F.col("late"), F.pmod("c1", F.lit(64))).otherwise(0).cast("int"))
-             .repartition("token", "salt").sortWithinPartitions("token", "salt"))
-    stars = C.stored(dealt.mapInArrow(_stars, "a1 long, a2 long, b1 long, b2 long, token long").distinct(), "candidate-links")
-    # The at most 64 hubs of a salted token are linked in turn.
-    hubs = stars.where("token IS NOT NULL").select("token", F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("c"))
-    first = hubs.groupBy("token").agg(F.min("c").alias("f"))
-    joined = hubs.join(first, "token").where("c != f").select(F.col("f.c1").alias("a1"), F.col("f.c2").alias("a2"),
-                                                              F.col("c.c1").alias("b1"), F.col("c.c2").alias("b2"))
-    return stars.where("token IS NULL").drop("token").union(joined).distinct()
+    """Links (a, b) between first halves of class keys, whose connected groups contain every similar pair of classes.
+
+    Classes that agree in that half only share a group, which is verified like any other.
+    """
+    sent = documents.select("text").mapInArrow(_send(s), "part long, a long, b long")
+    return C.stored(sent.repartition("part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long").distinct(),
+                    "candidate-links")
 
 
 # --- signature trees ----------------------------------------------------------------------------
@@ -343,11 +386,12 @@ def similar_links(documents: DataFrame, s: Settings = Settings()) -> tuple[DataF
     docs = documents.select("doc_id", "text")
     sigs = C.stored(signatures(docs, s), "signatures")
     classes = C.stored(sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    ends = classes.select("c1", "c2", "rep")
+    # Classes by their smallest id; those that agree in the first half of the key are linked to one another.
+    ends = classes.groupBy("c1").agg(F.min("rep").alias("rep"))
     pairs = (candidate_links(docs.where("doc_id IS NOT NULL"), s)
-             .join(ends.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("rep").alias("a")), ["a1", "a2"])
-             .join(ends.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("rep").alias("b")), ["b1", "b2"])
-             .select("a", "b"))
+             .join(ends.select(F.col("c1").alias("a"), F.col("rep").alias("x")), "a")
+             .join(ends.select(F.col("c1").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+             .union(classes.join(ends.withColumnRenamed("rep", "x"), "c1").where("rep != x").select(F.col("x").alias("a"), F.col("rep").alias("b"))))
     groups = connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     size_class = F.floor(F.log("n") / F.log(F.lit(100 / s.percent))).cast("int")
     members = C.stored(groups.join(classes, "rep").select("rep", "c1", "c2", "part", "n", size_class.alias("size_class")), "group-members")
