@@ -4,7 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tranche.llm import common as C, decontam, language_id, ngram_join, packing, quality_fm, quality_rules, token_files, toxicity
+from tranche.llm import (chat_format, common as C, decontam, language_id, ngram_join, packing, quality_fm, quality_rules,
+                         token_files, toxicity, url_filter)
+
+
+RULES = [url_filter.Rule("net", "/", "block"), url_filter.Rule("example.net", "/en/", "allow"),
+         url_filter.Rule("example.com", "/de/", "block"), url_filter.Rule("org", "/fr/", "allow")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url: by rule, else by its template's labelled purity.
+
+    A page is labelled if its path holds the id of a labelled document: bad if
+    that one is of low quality or toxic.
+    """
+    pages = C.table(spark, sf_dir, "pages", "page_id", "url")
+    said = (C.table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").where("doc_id IS NOT NULL").groupBy("doc_id")
+            .agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1)
+                       .when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)).alias("bad")))
+    number = F.expr("try_cast(regexp_extract(url_path, '([0-9]{1,18})[^0-9]*$', 1) AS bigint)")
+    urls = (pages.withColumn("url_path", url_filter.path_of(F.col("url"))).withColumn("doc_id", number)
+            .join(said, "doc_id", "left").select("page_id", "url", "bad"))
+    return url_filter.judge(urls, RULES)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +51,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, s).withColumn("held_out", C.fold(F.col("doc_id"), 5) == 0)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one more of control strings, formatted and read back."""
+    rows = C.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    tricky = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), "
+                       "(-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    return chat_format.digests(chat_format.read_back(chat_format.windows(rows.unionByName(tricky))))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document and the verdict of rules and divergence."""
     return quality_rules.quality_report(C.table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
@@ -64,7 +93,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_quality_classifier, op4_language_id, op6_quality_rules, op7_toxicity,
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_quality_classifier, op4_language_id, op5_chat_format,
+                                   op6_quality_rules, op7_toxicity,
                                    op8_decontamination, op9_token_files, op10_packing)}
 
 #: DuckDB SQL of the queries that SQL can express.
