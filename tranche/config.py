@@ -76,21 +76,13 @@ ML_LABEL = "risco_cancelamento"
 class SkewParams:
     """Hot-key handling for joins keyed by company.
 
-    The hot keys are the ``max_hot_keys`` heaviest keys among those with at
-    least ``hot_min_rows`` rows: a top-k, so the list is a proven-small
-    broadcast, and every key holding more than ``1 / max_hot_keys`` of the
-    rows is necessarily in it.  Each hot key is spread over
-    ``ceil(rows / rows_per_bucket)`` join partitions, clamped to
-    [``min_salt_buckets``, ``max_salt_buckets``]; the dimension rows
-    replicated for that are at most ``max_hot_keys * max_salt_buckets``.
+    A key with at least ``rows_per_bucket`` rows is hot; a table of n rows has
+    at most n / rows_per_bucket of them, so their list is small whatever the
+    data.  A hot key is spread over ``ceil(rows / rows_per_bucket)`` buckets.
+    Rows with a null key, which match nothing, are spread by their row id.
     """
 
-    max_hot_keys: int = 1024
-    # a key smaller than one bucket gains nothing from salting
-    hot_min_rows: int = 2_000_000
     rows_per_bucket: int = 2_000_000
-    min_salt_buckets: int = 8
-    max_salt_buckets: int = 8192
     # False: plain shuffle join, hot partitions left to AQE skew-join splitting
     enabled: bool = True
 

@@ -47,9 +47,9 @@ def alert_priority():
 def alerts(agreements: DataFrame, scores: DataFrame, params: C.Params = C.DEFAULT,
            hot: DataFrame | None = None) -> DataFrame:
     cand = (agreements.where(F.col("cd_status").isin(*CANDIDATE_STATUS))
-            .select("num_parcelamento", "cnpj_raiz", "cnpj", "razao_social", "gerfe",
-                    "cd_status", "valor_parcelado", "dt_pedido"))
-    j = lookup_join(cand, scores.select(*SCORE_COLUMNS), "cnpj_raiz", ["num_parcelamento"], params.skew, hot=hot)
+            .select("num_parcelamento", "cnpj_raiz", "cnpj", "cd_status", "valor_parcelado", "dt_pedido"))
+    # names come with the scores, which hold them already: no second join to the registry
+    j = lookup_join(cand, scores.select(*SCORE_COLUMNS, "razao_social", "gerfe"), "cnpj_raiz", ["num_parcelamento"], params.skew, hot=hot)
     out = j.select("num_parcelamento", "cnpj_raiz", "cnpj", "razao_social", "gerfe",
                    alert_type(params).alias("tipo_alerta"), alert_priority().alias("prioridade"),
                    "valor_parcelado", alert_days(params).alias("dias_vida_parcelamento"), "classificacao_risco")

@@ -1,12 +1,11 @@
 """B2 ``companies`` (T2) and B3 ``company_scores``.
 
-B2 is one ``groupBy(cnpj_raiz)`` with only decomposable aggregates (count_if,
-sum, max), so Spark runs a partial aggregate before the shuffle: a company
-with millions of agreements still sends one row per map task.  The company's
-registry attributes (name, full id, region, sector, status) depend on
-``cnpj_raiz`` alone, so they ride along as grouping keys: aggregating them
-with ``max`` would need string buffers and push Spark onto the sort-based
-aggregate (a full sort of T1 on the map side).
+A company is a root id; its branches may differ in full id, region or sector.
+``company_rollup`` reduces T1 to one row per root and registry attributes, with
+only decomposable aggregates, so a company with millions of agreements sends one
+row per map task, and without string buffers, so the aggregate stays hash-based.
+B2 folds those few rows to one per root: measures add up, and of each attribute
+the largest value among the branches is shown.
 B3 is pure column arithmetic over T2: narrow, no shuffle.
 """
 
@@ -35,35 +34,17 @@ def _is(code: int):
     return F.col("cd_status") == code
 
 
+MEASURES = ["total_parcelamentos", "qtd_ativos", "qtd_quitados", "qtd_cancelados", "qtd_pendentes_1a_parcela",
+            "_v", "_nv", "_va", "_sn", "_nn", "_sq", "_nq", "_sc", "_nc"]
+
+
 def companies(agreements: DataFrame, params: C.Params = C.DEFAULT,
               rollup: DataFrame | None = None) -> DataFrame:
     """One row per ``cnpj_raiz`` (null company key excluded)."""
     r = rollup if rollup is not None else company_rollup(agreements, params)
-    return r.where(F.col("cnpj_raiz").isNotNull()).select(*T2_COLUMNS)
-
-
-def company_rollup(agreements: DataFrame, params: C.Params = C.DEFAULT) -> DataFrame:
-    """T2 measures plus the registry attributes of ``ROLLUP_ATTRIBUTES``, with
-    the agreements that have no company key kept as their own null-key row
-    (so rollups by a company attribute still count every agreement)."""
-    as_of = F.lit(params.as_of)
-    days = F.datediff(F.col("dt_fim"), F.col("dt_pedido"))
-    settled_days = F.when(_is(C.ST_SETTLED) & F.col("dt_fim").isNotNull(), days)
-    cancel_days = F.when(_is(C.ST_CANCELLED) & F.col("dt_fim").isNotNull(), days)
-    g = (agreements.groupBy("cnpj_raiz", *COMPANY_ATTRIBUTES, *ROLLUP_ATTRIBUTES)
-         .agg(F.count(F.lit(1)).alias("total_parcelamentos"),
-              F.count_if(_is(C.ST_ACTIVE)).alias("qtd_ativos"),
-              F.count_if(_is(C.ST_SETTLED)).alias("qtd_quitados"),
-              F.count_if(_is(C.ST_CANCELLED)).alias("qtd_cancelados"),
-              F.count_if(_is(C.ST_PENDING)).alias("qtd_pendentes_1a_parcela"),
-              F.sum("valor_parcelado").alias("_v"),
-              F.count("valor_parcelado").alias("_nv"),
-              F.sum(F.when(_is(C.ST_ACTIVE), F.col("valor_parcelado"))).alias("_va"),
-              F.sum("num_parcelas").alias("_sn"),
-              F.count("num_parcelas").alias("_nn"),
-              F.sum(settled_days).alias("_sq"), F.count(settled_days).alias("_nq"),
-              F.sum(cancel_days).alias("_sc"), F.count(cancel_days).alias("_nc"),
-              F.max("dt_pedido").alias("_last")))
+    g = (r.where(F.col("cnpj_raiz").isNotNull()).groupBy("cnpj_raiz")
+         .agg(*[F.max(c).alias(c) for c in COMPANY_ATTRIBUTES], *[F.sum(c).alias(c) for c in MEASURES],
+              F.max("_last").alias("_last")))
     q, c = F.col("qtd_quitados"), F.col("qtd_cancelados")
     rate = X.success_rate(q, c)
     bad, good = params.behaviour_bad_rate, params.behaviour_good_rate
@@ -72,23 +53,46 @@ def company_rollup(agreements: DataFrame, params: C.Params = C.DEFAULT) -> DataF
                  .when((c >= 1) & (rate < good), F.lit("RISCO MODERADO"))
                  .when(rate >= good, F.lit("BOM PAGADOR"))
                  .otherwise(F.lit("SEM HISTÓRICO")))
+    mean = lambda s, n: F.when(F.col(n) > 0, F.col(s).cast("double") / F.col(n).cast("double"))
     return g.select(
-        "cnpj_raiz", "cnpj", "razao_social", "gerfe", "ges", "situacao_cadastral", *ROLLUP_ATTRIBUTES,
+        "cnpj_raiz", "cnpj", "razao_social", "gerfe", "ges", "situacao_cadastral",
         "total_parcelamentos", "qtd_ativos", "qtd_quitados", "qtd_cancelados",
         "qtd_pendentes_1a_parcela",
         rate.alias("taxa_sucesso_pct"),
         F.col("_v").cast(X.MONEY).alias("valor_total_parcelado"),
         F.coalesce(F.col("_va"), F.lit(0)).cast(X.MONEY).alias("valor_ativos"),
         X.money_avg(F.col("_v"), F.col("_nv")).alias("valor_medio_parcelamento"),
-        F.when(F.col("_nn") > 0, F.col("_sn").cast("double") / F.col("_nn").cast("double")).alias("media_parcelas"),
-        F.when(F.col("_nq") > 0, F.col("_sq").cast("double") / F.col("_nq").cast("double")).alias("media_dias_quitacao"),
-        F.when(F.col("_nc") > 0, F.col("_sc").cast("double") / F.col("_nc").cast("double")).alias("media_dias_ate_cancelamento"),
-        F.datediff(as_of, F.col("_last")).alias("dias_desde_ultimo_parcelamento"),
+        mean("_sn", "_nn").alias("media_parcelas"),
+        mean("_sq", "_nq").alias("media_dias_quitacao"),
+        mean("_sc", "_nc").alias("media_dias_ate_cancelamento"),
+        F.datediff(F.lit(params.as_of), F.col("_last")).alias("dias_desde_ultimo_parcelamento"),
         F.when(c >= rec, F.lit(1)).otherwise(F.lit(0)).alias("flag_reincidente"),
         F.when(q == 0, F.lit(1)).otherwise(F.lit(0)).alias("flag_nunca_quitou"),
         F.col("flag_simples_nacional").cast("int").alias("flag_simples_nacional"),
         behaviour.alias("classificacao_comportamento"),
-    )
+    ).select(*T2_COLUMNS)
+
+
+def company_rollup(agreements: DataFrame, params: C.Params = C.DEFAULT) -> DataFrame:
+    """Measures per root and registry attributes, agreements without a company
+    key included (so rollups by an attribute still count every agreement)."""
+    days = F.datediff(F.col("dt_fim"), F.col("dt_pedido"))
+    settled_days = F.when(_is(C.ST_SETTLED) & F.col("dt_fim").isNotNull(), days)
+    cancel_days = F.when(_is(C.ST_CANCELLED) & F.col("dt_fim").isNotNull(), days)
+    return (agreements.groupBy("cnpj_raiz", *COMPANY_ATTRIBUTES, *ROLLUP_ATTRIBUTES)
+            .agg(F.count(F.lit(1)).alias("total_parcelamentos"),
+                 F.count_if(_is(C.ST_ACTIVE)).alias("qtd_ativos"),
+                 F.count_if(_is(C.ST_SETTLED)).alias("qtd_quitados"),
+                 F.count_if(_is(C.ST_CANCELLED)).alias("qtd_cancelados"),
+                 F.count_if(_is(C.ST_PENDING)).alias("qtd_pendentes_1a_parcela"),
+                 F.sum("valor_parcelado").alias("_v"),
+                 F.count("valor_parcelado").alias("_nv"),
+                 F.sum(F.when(_is(C.ST_ACTIVE), F.col("valor_parcelado"))).alias("_va"),
+                 F.sum("num_parcelas").alias("_sn"),
+                 F.count("num_parcelas").alias("_nn"),
+                 F.sum(settled_days).alias("_sq"), F.count(settled_days).alias("_nq"),
+                 F.sum(cancel_days).alias("_sc"), F.count(cancel_days).alias("_nc"),
+                 F.max("dt_pedido").alias("_last")))
 
 
 # Score component steps (OURS rules, SURVEY §2.12 B3).

@@ -3,14 +3,15 @@ views over them (A7, A10, A11, A12, A15, A16, K2, K3, K5, K14, K15, K20).
 
 Two plans, one contract:
 
-* keys that are company attributes (region, sector, activity): the company
-  rollup (one partial-aggregated ``groupBy`` of T1, already holding every
-  score input) is scored in place and rolled up to the key.  One pass over
-  T1, no join.
-* agreement-level keys (instalment band, programme): aggregate first to
-  (group key, company), which collapses a hot company to one row per group,
-  join the company's high-risk flag (one row per company on the other side,
-  so no fan-out and no skew), then roll up.
+* keys that are registry attributes (region, sector, activity): the company
+  rollup (one partial-aggregated ``groupBy`` of T1, shared with B2) is reduced to
+  (group key, company), so a company with branches in several groups counts once
+  in each.
+* agreement-level keys (instalment band, programme): T1 itself is reduced to
+  (group key, company), which collapses a hot company to one row per group.
+
+Both then join the company's high-risk flag (one row per company on the other
+side, so no fan-out and no skew) and roll up.
 
 Either way the distinct-company count is a plain ``count`` of a per-company
 level: no ``Expand``, no second distinct shuffle.
@@ -37,23 +38,6 @@ GROUP_KEYS = {
 }
 
 
-def metrics_from_rollup(rollup: DataFrame, keys: list[str], params: C.Params = C.DEFAULT) -> DataFrame:
-    """Grouped metrics for company-attribute keys from the company rollup."""
-    from tranche.operators.companies import with_scores
-    scored = with_scores(rollup)
-    known = F.col("cnpj_raiz").isNotNull()
-    g = scored.groupBy(*keys).agg(
-        F.sum("total_parcelamentos").alias("total_parcelamentos"),
-        F.count("cnpj_raiz").alias("empresas_distintas"),
-        F.sum("qtd_ativos").alias("qtd_ativos"),
-        F.sum("qtd_quitados").alias("qtd_quitados"),
-        F.sum("qtd_cancelados").alias("qtd_cancelados"),
-        F.sum("valor_total_parcelado").alias("_v"),
-        F.sum("valor_ativos").alias("_va"),
-        F.count_if(known & (F.col("score_risco_final") >= params.high_risk_score)).alias("empresas_alto_risco"))
-    return _finish(g, keys)
-
-
 def _finish(g: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(
         *keys, F.col("total_parcelamentos").cast("bigint").alias("total_parcelamentos"),
@@ -69,18 +53,22 @@ def _finish(g: DataFrame, keys: list[str]) -> DataFrame:
 
 def grouped_metrics(agreements: DataFrame, scores: DataFrame, keys: list[str],
                     params: C.Params = C.DEFAULT, rollup: DataFrame | None = None) -> DataFrame:
-    """Grouped metrics by ``keys``; uses the company rollup when every key is
-    a company attribute it carries."""
-    if rollup is not None and all(k in rollup.columns for k in keys):
-        return metrics_from_rollup(rollup, keys, params)
+    """Grouped metrics by ``keys``; starts from the company rollup when every
+    key is an attribute it carries."""
     st, v = F.col("cd_status"), F.col("valor_parcelado")
-    per_company = (agreements.groupBy(*keys, "cnpj_raiz")
-                   .agg(F.count(F.lit(1)).alias("_n"),
-                        F.count_if(st == C.ST_ACTIVE).alias("_a"),
-                        F.count_if(st == C.ST_SETTLED).alias("_q"),
-                        F.count_if(st == C.ST_CANCELLED).alias("_c"),
-                        F.sum(v).alias("_v"),
-                        F.sum(F.when(st == C.ST_ACTIVE, v)).alias("_va")))
+    if rollup is not None and all(k in rollup.columns for k in keys):
+        per_company = (rollup.groupBy(*keys, "cnpj_raiz")
+                       .agg(F.sum("total_parcelamentos").alias("_n"), F.sum("qtd_ativos").alias("_a"),
+                            F.sum("qtd_quitados").alias("_q"), F.sum("qtd_cancelados").alias("_c"),
+                            F.sum("_v").alias("_v"), F.sum("_va").alias("_va")))
+    else:
+        per_company = (agreements.groupBy(*keys, "cnpj_raiz")
+                       .agg(F.count(F.lit(1)).alias("_n"),
+                            F.count_if(st == C.ST_ACTIVE).alias("_a"),
+                            F.count_if(st == C.ST_SETTLED).alias("_q"),
+                            F.count_if(st == C.ST_CANCELLED).alias("_c"),
+                            F.sum(v).alias("_v"),
+                            F.sum(F.when(st == C.ST_ACTIVE, v)).alias("_va")))
     flags = scores.select("cnpj_raiz",
                           (F.col("score_risco_final") >= params.high_risk_score).alias("_hr"))
     j = per_company.join(flags, "cnpj_raiz", "left")

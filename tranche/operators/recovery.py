@@ -87,23 +87,26 @@ def cube_level(cube: DataFrame, level: str) -> DataFrame:
     return cube.where(F.col("nivel") == LEVELS[level])
 
 
-def by_join_type(cube: DataFrame) -> DataFrame:
+def by_join_type(recovery: DataFrame) -> DataFrame:
     """A3: by join type (null key dropped, D-9); companies exact (D-3)."""
-    return (cube_level(cube, "tipo_adesao").where(F.col("tipo_adesao").isNotNull())
-            .select("tipo_adesao", "qtd", "empresas", "valor_total"))
+    per_company = (recovery.where(F.col("tipo_adesao").isNotNull()).groupBy("tipo_adesao", "cnpj_raiz")
+                   .agg(F.count(F.lit(1)).alias("_n"), F.sum("valor_parcelado").alias("_v")))
+    return per_company.groupBy("tipo_adesao").agg(
+        F.sum("_n").cast("bigint").alias("qtd"), F.count("cnpj_raiz").alias("empresas"),
+        F.sum("_v").cast(X.MONEY).alias("valor_total"))
 
 
-def by_status(cube: DataFrame) -> DataFrame:
-    """A4: by status."""
-    return (cube_level(cube, "status").where(F.col("desc_status").isNotNull())
-            .select("desc_status", "qtd"))
+def by_status(recovery: DataFrame) -> DataFrame:
+    """A4: by status; needs no instalments, so lineitem is never read."""
+    return (recovery.where(F.col("desc_status").isNotNull()).groupBy("desc_status")
+            .agg(F.count(F.lit(1)).alias("qtd")))
 
 
-def by_origin_status(cube: DataFrame) -> DataFrame:
-    """A5: by (origin, status)."""
-    return (cube_level(cube, "origem_status")
-            .where(F.col("origem_debito").isNotNull() & F.col("desc_status").isNotNull())
-            .select("origem_debito", "desc_status", "qtd", "valor_total"))
+def by_origin_status(recovery: DataFrame) -> DataFrame:
+    """A5: by (origin, status); needs no instalments, so lineitem is never read."""
+    return (recovery.where(F.col("origem_debito").isNotNull() & F.col("desc_status").isNotNull())
+            .groupBy("origem_debito", "desc_status")
+            .agg(F.count(F.lit(1)).alias("qtd"), F.sum("valor_parcelado").cast(X.MONEY).alias("valor_total")))
 
 
 def recovery_kpis(recovery: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def company_risk_report(scores: DataFrame) -> DataFrame:
     return (scores.orderBy(F.col("score_risco_final").desc_nulls_last(), "cnpj_raiz")
             .select(X.format_tax_id("cnpj").alias("CNPJ"), F.col("razao_social").alias("Razão Social"),
                     F.col("classificacao_risco").alias("Risco"), F.col("score_risco_final").alias("Score"),
-                    F.col("total_parcelamentos").alias("Total Parcel."), F.col("qtd_ativos").alias("Ativos"),
+                    F.col("total_parcelamentos").alias("Total Parcelamentos"), F.col("qtd_ativos").alias("Ativos"),
                     F.col("qtd_cancelados").alias("Cancelados"),
                     X.format_brl("valor_ativos").alias("Valor Ativo"),
                     F.col("taxa_sucesso_pct").alias("Taxa Sucesso %"), F.col("gerfe").alias("GERFE")))
@@ -71,5 +71,5 @@ def ml_top_report(top: DataFrame) -> DataFrame:
         F.col("razao_social").alias("Razão Social"), X.format_tax_id("cnpj").alias("CNPJ"),
         X.format_pct(F.col("prob_cancelamento") * 100.0).alias("Prob. Cancelamento"),
         F.col("classificacao_risco").alias("Risco Atual"), X.format_brl("valor_ativos").alias("Valor Ativo"),
-        F.col("qtd_ativos").alias("Ativos"), F.col("total_parcelamentos").alias("Total Parcel."),
+        F.col("qtd_ativos").alias("Ativos"), F.col("total_parcelamentos").alias("Total Parcelamentos"),
         F.col("gerfe").alias("GERFE"))

@@ -3,14 +3,13 @@
 ``lookup_join`` joins a fact table to a dimension that is unique per key
 (agreements -> company scores, orders -> customers).  A plain shuffle join
 sends every row of a hot key to one task; here the hot keys are found first
-(a partial-aggregated count, so the count itself is skew-safe), and only their
-fact rows are spread over a number of partitions proportional to the key's
-row count while the matching dimension rows are replicated to each bucket.  The hot-key list is a top-k
-(the ``max_hot_keys`` heaviest keys), so broadcasting it is bounded by
-construction, and any key holding more than ``1 / max_hot_keys`` of the rows
-is in it.  Salts come from a hash of a row id,
-never from ``rand()``, so a recomputed task after an executor loss routes the
-same rows to the same buckets.
+(``find_hot``: a partial-aggregated count, so the count itself is skew-safe, run
+once per build), and only their fact rows are spread over a number of buckets
+proportional to the key's row count while the matching dimension rows are
+replicated to each bucket.  Rows whose key is null match nothing and are spread
+by a hash of their row id.  Salts come from that hash, never from ``rand()``, so
+a recomputed task after an executor loss routes the same rows to the same
+buckets.
 
 ``bounded_broadcast`` broadcasts a side only after checking it has at most
 ``max_rows`` rows; beyond that the join is left to the shuffle planner.
@@ -28,20 +27,22 @@ _HOT = "_hot"
 
 
 def hot_keys(fact: DataFrame, key: str, skew: SkewParams) -> DataFrame:
-    """The heaviest keys of ``fact`` (at least ``hot_min_rows`` rows each).
-
-    Result has columns ``key`` and ``_n`` (row count), at most
-    ``max_hot_keys`` rows."""
+    """(``key``, ``_n``): every key of ``fact`` with at least ``rows_per_bucket`` rows."""
     counts = (fact.select(key).where(F.col(key).isNotNull())
               .groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
-    return (counts.where(F.col("_n") >= F.lit(skew.hot_min_rows))
-            .orderBy(F.col("_n").desc(), F.col(key)).limit(skew.max_hot_keys))
+    return counts.where(F.col("_n") >= F.lit(skew.rows_per_bucket))
+
+
+def find_hot(fact: DataFrame, key: str, skew: SkewParams) -> DataFrame:
+    """The hot keys, counted now and kept as a local table (at most rows / rows_per_bucket of them)."""
+    found = hot_keys(fact, key, skew) if skew.enabled else fact.select(key, F.lit(0).cast("long").alias("_n")).limit(0)
+    rows = [tuple(r) for r in found.collect()] if skew.enabled else []
+    return fact.sparkSession.createDataFrame(rows, found.schema)
 
 
 def salt_buckets(n, skew: SkewParams):
-    """Buckets for a hot key with ``n`` rows: ceil(n / rows_per_bucket), clamped."""
-    want = F.ceil(n / F.lit(float(skew.rows_per_bucket))).cast("int")
-    return F.least(F.greatest(want, F.lit(skew.min_salt_buckets)), F.lit(skew.max_salt_buckets))
+    """Buckets for a hot key with ``n`` rows: ceil(n / rows_per_bucket)."""
+    return F.ceil(n / F.lit(float(skew.rows_per_bucket))).cast("int")
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, key: str, row_id: list[str],
@@ -49,17 +50,18 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, row_id: list[str],
     """Join ``fact`` to ``dim`` (unique per ``key``) with hot keys salted.
 
     ``row_id`` columns identify a fact row; their hash picks the salt.
-    ``hot`` (one column ``key``, bounded) can be passed in when the hot keys
-    are already known, e.g. shared by every company-keyed join of a run;
-    salting a key that is not hot, or missing one, never changes the result."""
+    ``hot`` (columns ``key`` and ``_n``) can be passed in when the hot keys are
+    already known, e.g. shared by every company-keyed join of a run; salting a
+    key that is not hot, or missing one, never changes the result."""
     if not skew.enabled:
         return fact.join(dim, key, how)
-    hot_df = hot if hot is not None else hot_keys(fact, key, skew)
+    hot_df = hot if hot is not None else find_hot(fact, key, skew)
     nb = F.col(_HOT)
     hot = F.broadcast(hot_df.select(key, salt_buckets(F.col("_n"), skew).alias(_HOT)))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), nb).cast("int")
+    spread = F.xxhash64(*[F.col(c) for c in row_id])
     f = (fact.join(hot, key, "left")
-         .withColumn(_SALT, F.when(nb.isNotNull(), salt).otherwise(F.lit(0)))
+         .withColumn(_SALT, F.when(nb.isNotNull(), F.pmod(spread, nb).cast("int"))
+                     .when(F.col(key).isNull(), F.hash(spread)).otherwise(F.lit(0)))
          .drop(_HOT))
     d = (dim.join(hot, key, "left")
          .withColumn(_SALT, F.explode(
@@ -74,19 +76,6 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-_SIZE_CHECKS: dict = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int, cache_key=None) -> DataFrame:
-    """Broadcast hint only behind a size check; otherwise plain (shuffle) join.
-
-    ``cache_key`` (e.g. the input paths plus their modification times) lets a
-    process reuse the verdict for unchanged inputs instead of re-counting."""
-    if cache_key is None:
-        small = row_count_at_most(df, max_rows)
-    else:
-        k = (cache_key, max_rows)
-        if k not in _SIZE_CHECKS:
-            _SIZE_CHECKS[k] = row_count_at_most(df, max_rows)
-        small = _SIZE_CHECKS[k]
-    return F.broadcast(df) if small else df
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint only behind a size check; otherwise plain (shuffle) join."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df

@@ -24,8 +24,8 @@ SUMMARY_COLUMNS = [
     "total_parcelamentos", "total_empresas", "valor_total_parcelado", "taxa_sucesso_global_pct",
     "total_alertas", "alertas_urgentes", "qtd_ativos", "valor_ativos", "qtd_quitados",
     "valor_quitados", "qtd_cancelados", "valor_cancelados", "qtd_pendentes_1a_parcela",
-    "qtd_parcel_icms", "qtd_parcel_dva", "qtd_parcel_declarado", "total_recuperamais",
-    "valor_parcel_icms", "valor_parcel_dva", "valor_parcel_declarado", "valor_recuperamais",
+    "qtd_icms", "qtd_dva", "qtd_declarado", "total_recuperamais",
+    "valor_icms", "valor_dva", "valor_declarado", "valor_recuperamais",
     "empresas_risco_critico", "valor_empresas_alto_risco", "empresas_risco_alto",
     "empresas_reincidentes", "empresas_nunca_quitaram", "expectativa_3_meses",
     "expectativa_ajustada_3_meses", "expectativa_12_meses", "expectativa_ajustada_12_meses",
@@ -56,12 +56,12 @@ def executive_summary(agreements: DataFrame, companies_df: DataFrame,
         F.count_if(st == C.ST_CANCELLED).alias("qtd_cancelados"),
         _msum(F.when(st == C.ST_CANCELLED, v)).alias("valor_cancelados"),
         F.count_if(st == C.ST_PENDING).alias("qtd_pendentes_1a_parcela"),
-        F.count_if(cat == C.CAT_ICMS).alias("qtd_parcel_icms"),
-        F.count_if(cat == C.CAT_DVA).alias("qtd_parcel_dva"),
-        F.count_if(cat == C.CAT_DECLARED).alias("qtd_parcel_declarado"),
-        _msum(F.when(cat == C.CAT_ICMS, v)).alias("valor_parcel_icms"),
-        _msum(F.when(cat == C.CAT_DVA, v)).alias("valor_parcel_dva"),
-        _msum(F.when(cat == C.CAT_DECLARED, v)).alias("valor_parcel_declarado"),
+        F.count_if(cat == C.CAT_ICMS).alias("qtd_icms"),
+        F.count_if(cat == C.CAT_DVA).alias("qtd_dva"),
+        F.count_if(cat == C.CAT_DECLARED).alias("qtd_declarado"),
+        _msum(F.when(cat == C.CAT_ICMS, v)).alias("valor_icms"),
+        _msum(F.when(cat == C.CAT_DVA, v)).alias("valor_dva"),
+        _msum(F.when(cat == C.CAT_DECLARED, v)).alias("valor_declarado"),
         F.count_if(rec).alias("total_recuperamais"),
         _msum(F.when(rec, v)).alias("valor_recuperamais"),
         F.count_if(rec & (st == C.ST_ACTIVE)).alias("recuperamais_ativos"),
@@ -102,9 +102,9 @@ def load_summary(summary: DataFrame) -> DataFrame:
     return summary.limit(1)
 
 
-CATEGORY_ROWS = [("ICMS", "qtd_parcel_icms", "valor_parcel_icms"),
-                 ("Dívida Ativa", "qtd_parcel_dva", "valor_parcel_dva"),
-                 ("Declarado", "qtd_parcel_declarado", "valor_parcel_declarado"),
+CATEGORY_ROWS = [("ICMS", "qtd_icms", "valor_icms"),
+                 ("Dívida Ativa", "qtd_dva", "valor_dva"),
+                 ("Declarado", "qtd_declarado", "valor_declarado"),
                  ("RECUPERA+", "total_recuperamais", "valor_recuperamais")]
 
 

@@ -41,7 +41,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT):
         self.spark, self.sf_dir = spark, sf_dir
-        self.params = testdata.skew_params_for(spark, sf_dir, params)
+        self.params = params
         self._memo: dict[str, DataFrame] = {}
         self._stored: set[str] = set()
 
@@ -120,7 +120,7 @@ class Tables:
     @property
     def alerts(self):
         return self._get("alerts", lambda: AL.alerts(
-            self.agreements, self.scores, self.params, hot=self.hot_companies))
+            self.agreements_core, self.scores, self.params, hot=self.hot_companies))
 
     @property
     def summary(self):
@@ -169,7 +169,7 @@ class Tables:
         directory, so a lost executor never loses a finished table."""
         from tranche.sources.store import write_and_reload
         from tranche.session import ensure_checkpoint_dir
-        from tranche.operators.skew import hot_keys
+        from tranche.operators.skew import find_hot
         base = out_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables"
         for n in names:
             if n == "agreements_core" and "agreements" in names:
@@ -181,7 +181,7 @@ class Tables:
             self._stored.add(n)
             if n == "agreements":
                 # later joins take their hot companies from the stored T1
-                self._memo["hot_companies"] = hot_keys(self._memo[n], "cnpj_raiz", self.params.skew)
+                self._memo["hot_companies"] = find_hot(self._memo[n], "cnpj_raiz", self.params.skew)
         return self
 
 
@@ -252,6 +252,50 @@ def _a2e(t):
     return RC.receipts_summary(_early(t).receipts)
 
 
+def _salted(t: Tables) -> Tables:
+    """The same tables with a hot-key threshold that many companies of any test folder reach."""
+    return Tables(t.spark, t.sf_dir, replace(t.params, skew=C.SkewParams(rows_per_bucket=8)))
+
+
+@q("b4_expected_receipts_salted", W("receipts") + "SELECT * FROM receipts", "B4 with hot companies salted (low threshold)")
+def _b4s(t):
+    return _salted(t).receipts
+
+
+@q("b12_alerts_salted", W("alerts") + "SELECT * FROM alerts", "B12 with hot companies salted (low threshold)")
+def _b12s(t):
+    return _salted(t).alerts
+
+
+@q("b1_agreements_salted", W("agreements") + "SELECT * FROM agreements", "B1/J4 with hot companies salted (low threshold)")
+def _b1s(t):
+    return _salted(t).agreements
+
+
+def _branched(t: Tables) -> Tables:
+    """Companies with up to three branches each, in two sectors, told by the agreement's number."""
+    out = Tables(t.spark, t.sf_dir, t.params)
+    out._memo["hot_customers"] = t.hot_customers
+    n = F.col("num_parcelamento")
+    out._memo["agreements"] = (t.agreements
+                               .withColumn("cnpj", F.concat("cnpj_raiz", F.lit("000"), (1 + n % 3).cast("string"), F.lit("00")))
+                               .withColumn("ges", F.when(n % 2 == 0, F.col("ges")).otherwise(F.lit("FILIAL"))))
+    out._memo["agreements_core"] = out._memo["agreements"]
+    return out
+
+
+def _branched_sql(sql: str) -> str:
+    return (sql.replace("cnpj_raiz || '000100' END AS cnpj", "cnpj_raiz || '000' || CAST(1 + num_parcelamento % 3 AS VARCHAR) || '00' END AS cnpj")
+            .replace("c.c_mktsegment AS ges", "CASE WHEN o.o_orderkey % 2 = 0 THEN c.c_mktsegment ELSE 'FILIAL' END AS ges"))
+
+
+for _qid, _name in [("b2_companies_branches", "companies"), ("b3_company_scores_branches", "scores"),
+                    ("b4_expected_receipts_branches", "receipts"), ("b7_sector_metrics_branches", "sector"),
+                    ("b9_band_metrics_branches", "band"), ("b12_alerts_branches", "alerts")]:
+    QUERIES[_qid] = Query((lambda n: lambda t: getattr(_branched(t), n))(_name),
+                          _branched_sql(W(_name) + f"SELECT * FROM {_name}"), f"{_qid.split('_')[0].upper()} where companies have several branches")
+
+
 WINDOW = (_dt.date(1998, 1, 1), _dt.date(1998, 5, 31))
 
 
@@ -414,6 +458,22 @@ def _p9(t):
     return AL.filter_alerts(t.alerts, ["URGENTE", "ALTA"], ["REINCIDÊNCIA", "VALOR ELEVADO"])
 
 
+_RISKY = "score_risco_final >= 50 AND valor_ativos >= 100000 AND classificacao_risco IN ('CRÍTICO', 'ALTO')"
+_PICKED_ALERTS = "desc_prioridade IN ('URGENTE', 'ALTA') AND tipo_alerta IN ('REINCIDÊNCIA', 'VALOR ELEVADO')"
+
+
+def _chained_sql(qid: str, table: str, condition: str) -> str:
+    """The oracle of ``qid`` over the filtered rows of ``table``."""
+    head, tail = QUERIES[qid].sql[:len(W(table))], QUERIES[qid].sql[len(W(table)):]
+    return head + tail.replace(f"FROM {table}", f"FROM (SELECT * FROM {table} WHERE {condition})")
+
+
+@q("p17_alert_priority_options", W("alerts") + "SELECT DISTINCT desc_prioridade FROM alerts WHERE desc_prioridade IS NOT NULL ORDER BY 1",
+   "P17: alert priorities")
+def _p17p(t):
+    return AL.distinct_options(t.alerts, "desc_prioridade")
+
+
 @q("p17_year_options", W("series") + "SELECT DISTINCT ano_pedido FROM series ORDER BY ano_pedido", "P17: years")
 def _p17y(t):
     return SE.year_options(t.series)
@@ -476,14 +536,14 @@ SELECT tipo_adesao, count(*) AS qtd, count(DISTINCT cnpj_raiz) AS empresas,
        CAST(sum(valor_parcelado) AS {O.MONEY}) AS valor_total
 FROM recovery WHERE tipo_adesao IS NOT NULL GROUP BY tipo_adesao""", "A3: by join type, exact companies")
 def _a3(t):
-    return RV.by_join_type(RV.recovery_cube(t.recovery))
+    return RV.by_join_type(t.recovery)
 
 
 @q("a4_recovery_by_status", W("recovery") + """
 SELECT desc_status, count(*) AS qtd FROM recovery WHERE desc_status IS NOT NULL GROUP BY desc_status""",
    "A4: by status")
 def _a4(t):
-    return RV.by_status(RV.recovery_cube(t.recovery))
+    return RV.by_status(t.recovery)
 
 
 @q("a5_recovery_by_origin_status", W("recovery") + f"""
@@ -491,7 +551,7 @@ SELECT origem_debito, desc_status, count(*) AS qtd, CAST(sum(valor_parcelado) AS
 FROM recovery WHERE origem_debito IS NOT NULL AND desc_status IS NOT NULL
 GROUP BY origem_debito, desc_status""", "A5: by origin and status")
 def _a5(t):
-    return RV.by_origin_status(RV.recovery_cube(t.recovery))
+    return RV.by_origin_status(t.recovery)
 
 
 @q("a6_risk_class_frequency", W("scores") + """
@@ -647,9 +707,9 @@ def _a18(t):
 # Reshaping
 # ---------------------------------------------------------------------------
 @q("u1_summary_categories", W("summary") + f"""
-SELECT 'ICMS' AS categoria, CAST(coalesce(qtd_parcel_icms, 0) AS BIGINT) AS quantidade, CAST(coalesce(valor_parcel_icms, 0) AS {O.MONEY}) AS valor FROM summary
-UNION ALL SELECT 'Dívida Ativa', CAST(coalesce(qtd_parcel_dva, 0) AS BIGINT), CAST(coalesce(valor_parcel_dva, 0) AS {O.MONEY}) FROM summary
-UNION ALL SELECT 'Declarado', CAST(coalesce(qtd_parcel_declarado, 0) AS BIGINT), CAST(coalesce(valor_parcel_declarado, 0) AS {O.MONEY}) FROM summary
+SELECT 'ICMS' AS categoria, CAST(coalesce(qtd_icms, 0) AS BIGINT) AS quantidade, CAST(coalesce(valor_icms, 0) AS {O.MONEY}) AS valor FROM summary
+UNION ALL SELECT 'Dívida Ativa', CAST(coalesce(qtd_dva, 0) AS BIGINT), CAST(coalesce(valor_dva, 0) AS {O.MONEY}) FROM summary
+UNION ALL SELECT 'Declarado', CAST(coalesce(qtd_declarado, 0) AS BIGINT), CAST(coalesce(valor_declarado, 0) AS {O.MONEY}) FROM summary
 UNION ALL SELECT 'RECUPERA+', CAST(coalesce(total_recuperamais, 0) AS BIGINT), CAST(coalesce(valor_recuperamais, 0) AS {O.MONEY}) FROM summary""",
    "U1/P14/P15: KPI row -> 4 category rows")
 def _u1(t):
@@ -822,7 +882,7 @@ def _p2r(t):
 
 @q("p2_company_risk_report", W("scores") + f"""
 SELECT {O.tax_id_pretty('cnpj')} AS "CNPJ", razao_social AS "Razão Social", classificacao_risco AS "Risco",
-       score_risco_final AS "Score", total_parcelamentos AS "Total Parcel.", qtd_ativos AS "Ativos",
+       score_risco_final AS "Score", total_parcelamentos AS "Total Parcelamentos", qtd_ativos AS "Ativos",
        qtd_cancelados AS "Cancelados", {O.brl('valor_ativos')} AS "Valor Ativo",
        taxa_sucesso_pct AS "Taxa Sucesso %", gerfe AS "GERFE"
 FROM scores ORDER BY score_risco_final DESC, cnpj_raiz""", "P2/K16/F2/F3: company risk table")
@@ -940,3 +1000,20 @@ def _m12(t):
 def _m13(t):
     from tranche.operators import model as M
     return M.probability_histogram(_predictions(t), 50)
+
+
+# ---------------------------------------------------------------------------
+# Page results over the page's filters
+# ---------------------------------------------------------------------------
+for _qid, _new in [("a6_risk_class_frequency", "p8_a6_filtered_class_frequency"), ("a8_risk_kpis", "p8_a8_filtered_kpis"),
+                   ("a9_u2_component_means", "p8_a9_filtered_component_means")]:
+    QUERIES[_new] = Query(
+        (lambda fn: lambda t: fn(RK.filter_companies(t.scores, ["CRÍTICO", "ALTO"], 50.0, 100000.0)))(
+            {"a6_risk_class_frequency": lambda d: AL.frequency(d, "classificacao_risco"), "a8_risk_kpis": RK.risk_kpis,
+             "a9_u2_component_means": RK.component_means}[_qid]),
+        _chained_sql(_qid, "scores", _RISKY), f"{QUERIES[_qid].doc}, over the filtered companies (P8)")
+for _qid, _new, _key in [("a6_alert_priority_frequency", "p9_a6_filtered_priority_frequency", "desc_prioridade"),
+                         ("a6_alert_type_frequency", "p9_a6_filtered_type_frequency", "tipo_alerta")]:
+    QUERIES[_new] = Query(
+        (lambda k: lambda t: AL.frequency(AL.filter_alerts(t.alerts, ["URGENTE", "ALTA"], ["REINCIDÊNCIA", "VALOR ELEVADO"]), k))(_key),
+        _chained_sql(_qid, "alerts", _PICKED_ALERTS), f"{QUERIES[_qid].doc}, over the filtered alerts (P9)")

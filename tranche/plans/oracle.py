@@ -320,9 +320,9 @@ SELECT t1.total_parcelamentos, t2.total_empresas, t1.valor_total_parcelado,
        {rate('t1.qtd_quitados', 't1.qtd_quitados + t1.qtd_cancelados')} AS taxa_sucesso_global_pct,
        t12.total_alertas, t12.alertas_urgentes,
        t1.qtd_ativos, t1.valor_ativos, t1.qtd_quitados, t1.valor_quitados, t1.qtd_cancelados,
-       t1.valor_cancelados, t1.qtd_pendentes_1a_parcela, t1.qtd_parcel_icms, t1.qtd_parcel_dva,
-       t1.qtd_parcel_declarado, t11.total_recuperamais, t1.valor_parcel_icms, t1.valor_parcel_dva,
-       t1.valor_parcel_declarado, t11.valor_recuperamais,
+       t1.valor_cancelados, t1.qtd_pendentes_1a_parcela, t1.qtd_icms, t1.qtd_dva,
+       t1.qtd_declarado, t11.total_recuperamais, t1.valor_icms, t1.valor_dva,
+       t1.valor_declarado, t11.valor_recuperamais,
        t3.empresas_risco_critico, t3.valor_empresas_alto_risco, t3.empresas_risco_alto,
        t2.empresas_reincidentes, t2.empresas_nunca_quitaram,
        t4.expectativa_3_meses, t4.expectativa_ajustada_3_meses, t4.expectativa_12_meses,
@@ -337,12 +337,12 @@ FROM (SELECT count(*) AS total_parcelamentos, {_msum('valor_parcelado')} AS valo
              count(*) FILTER (WHERE cd_status = 2) AS qtd_cancelados,
              {_msum('CASE WHEN cd_status = 2 THEN valor_parcelado END')} AS valor_cancelados,
              count(*) FILTER (WHERE cd_status = 6) AS qtd_pendentes_1a_parcela,
-             count(*) FILTER (WHERE categoria_parcelamento = 'ICMS') AS qtd_parcel_icms,
-             count(*) FILTER (WHERE categoria_parcelamento = 'DÍVIDA ATIVA') AS qtd_parcel_dva,
-             count(*) FILTER (WHERE categoria_parcelamento = 'DECLARADO') AS qtd_parcel_declarado,
-             {_msum("CASE WHEN categoria_parcelamento = 'ICMS' THEN valor_parcelado END")} AS valor_parcel_icms,
-             {_msum("CASE WHEN categoria_parcelamento = 'DÍVIDA ATIVA' THEN valor_parcelado END")} AS valor_parcel_dva,
-             {_msum("CASE WHEN categoria_parcelamento = 'DECLARADO' THEN valor_parcelado END")} AS valor_parcel_declarado
+             count(*) FILTER (WHERE categoria_parcelamento = 'ICMS') AS qtd_icms,
+             count(*) FILTER (WHERE categoria_parcelamento = 'DÍVIDA ATIVA') AS qtd_dva,
+             count(*) FILTER (WHERE categoria_parcelamento = 'DECLARADO') AS qtd_declarado,
+             {_msum("CASE WHEN categoria_parcelamento = 'ICMS' THEN valor_parcelado END")} AS valor_icms,
+             {_msum("CASE WHEN categoria_parcelamento = 'DÍVIDA ATIVA' THEN valor_parcelado END")} AS valor_dva,
+             {_msum("CASE WHEN categoria_parcelamento = 'DECLARADO' THEN valor_parcelado END")} AS valor_declarado
       FROM agreements) t1,
      (SELECT count(*) AS total_empresas,
              count(*) FILTER (WHERE flag_reincidente = 1) AS empresas_reincidentes,

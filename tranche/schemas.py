@@ -60,9 +60,9 @@ DDL = {
         "total_parcelamentos bigint, total_empresas bigint, valor_total_parcelado decimal(18,2), "
         "taxa_sucesso_global_pct double, total_alertas bigint, alertas_urgentes bigint, qtd_ativos bigint, "
         "valor_ativos decimal(18,2), qtd_quitados bigint, valor_quitados decimal(18,2), qtd_cancelados bigint, "
-        "valor_cancelados decimal(18,2), qtd_pendentes_1a_parcela bigint, qtd_parcel_icms bigint, "
-        "qtd_parcel_dva bigint, qtd_parcel_declarado bigint, total_recuperamais bigint, "
-        "valor_parcel_icms decimal(18,2), valor_parcel_dva decimal(18,2), valor_parcel_declarado decimal(18,2), "
+        "valor_cancelados decimal(18,2), qtd_pendentes_1a_parcela bigint, qtd_icms bigint, "
+        "qtd_dva bigint, qtd_declarado bigint, total_recuperamais bigint, "
+        "valor_icms decimal(18,2), valor_dva decimal(18,2), valor_declarado decimal(18,2), "
         "valor_recuperamais decimal(18,2), empresas_risco_critico bigint, valor_empresas_alto_risco decimal(18,2), "
         "empresas_risco_alto bigint, empresas_reincidentes bigint, empresas_nunca_quitaram bigint, "
         "expectativa_3_meses decimal(18,2), expectativa_ajustada_3_meses decimal(18,2), "

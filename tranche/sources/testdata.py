@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tranche import config as C
 from tranche.functions import exprs as X
-from tranche.operators.skew import bounded_broadcast, hot_keys, lookup_join
-from tranche.sources.tables import read_table, table_path
+from tranche.operators.skew import bounded_broadcast, find_hot, lookup_join
+from tranche.sources.tables import read_table
 
 # Mapping rules of the adapter (fixed values).
 # o_orderstatus F -> QUITADO (5), O -> ATIVO (1),
@@ -35,30 +35,16 @@ BRANCH_SUFFIX = "000100"
 MAX_GEO_ROWS = 10_000  # nations x regions: far below this, checked before broadcast
 
 
-def _files_key(sf_dir: str, names) -> tuple:
-    """Identity of input files for memoised size checks (path + mtime)."""
-    import os
-    out = []
-    for n in names:
-        p = table_path(sf_dir, n)
-        try:
-            out.append((p, os.path.getmtime(p)))
-        except OSError:          # remote storage: no cheap mtime, check each time
-            return (p, object())
-    return tuple(out)
-
-
 def company_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with its regional office, section and sector."""
     customer = read_table(spark, sf_dir, "customer",
                           ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    key = _files_key(sf_dir, ("nation", "region"))
-    geo = nation.join(bounded_broadcast(region, MAX_GEO_ROWS, ("region", key)),
+    geo = nation.join(bounded_broadcast(region, MAX_GEO_ROWS),
                       nation.n_regionkey == region.r_regionkey, "left")
     geo = geo.select("n_nationkey", "n_name", "r_name")
-    return (customer.join(bounded_broadcast(geo, MAX_GEO_ROWS, ("geo", key)),
+    return (customer.join(bounded_broadcast(geo, MAX_GEO_ROWS),
                           customer.c_nationkey == geo.n_nationkey, "left")
             .select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal", "c_mktsegment",
                     "n_nationkey", "n_name", "r_name"))
@@ -70,30 +56,9 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "o_orderdate", "o_orderpriority"])
 
 
-_ROW_COUNTS: dict = {}
-
-
-def order_count(spark: SparkSession, sf_dir: str) -> int:
-    """Rows of the orders table (parquet metadata count), memoised per file version."""
-    key = _files_key(sf_dir, ("orders",))
-    if key not in _ROW_COUNTS:
-        _ROW_COUNTS[key] = _orders(spark, sf_dir).select("o_orderkey").count()
-    return _ROW_COUNTS[key]
-
-
-def skew_params_for(spark: SparkSession, sf_dir: str, params: C.Params) -> C.Params:
-    """Salting is pointless when no key can reach ``hot_min_rows``: a table
-    with fewer rows than that has no hot key, so joins stay plain (AQE's
-    skew-join splitting remains on)."""
-    from dataclasses import replace
-    if params.skew.enabled and order_count(spark, sf_dir) < params.skew.hot_min_rows:
-        return replace(params, skew=replace(params.skew, enabled=False))
-    return params
-
-
 def hot_customers(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT) -> DataFrame:
-    """Customers holding a large share of all orders (bounded list, see skew.py)."""
-    return hot_keys(_orders(spark, sf_dir), "o_custkey", params.skew)
+    """Customers with very many orders, counted once (see skew.py)."""
+    return find_hot(_orders(spark, sf_dir), "o_custkey", params.skew)
 
 
 def hot_companies(hot_cust: DataFrame) -> DataFrame:
@@ -103,7 +68,7 @@ def hot_companies(hot_cust: DataFrame) -> DataFrame:
 
 def customers_of(companies: DataFrame) -> DataFrame:
     """Map company keys (``cnpj_raiz``) back to the source customer keys."""
-    return companies.select(F.col("cnpj_raiz").cast("bigint").alias("o_custkey")).where(F.col("o_custkey").isNotNull())
+    return companies.select(F.col("cnpj_raiz").try_cast("bigint").alias("o_custkey")).where(F.col("o_custkey").isNotNull())
 
 
 def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool = False,
