@@ -14,6 +14,7 @@ tables (None where the operator is not SQL-expressible, e.g. the model).
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -165,12 +166,13 @@ class Tables:
     def materialize(self, out_dir: str | None = None, names=TABLE_NAMES) -> "Tables":
         """Write each table once (in dependency order) and read it back.
 
-        ``out_dir`` defaults to a folder under the session's shared checkpoint
-        directory, so a lost executor never loses a finished table."""
+        ``out_dir`` defaults to a new folder of this build under the session's
+        shared checkpoint directory, so a lost executor never loses a finished
+        table, and builds of other sources or runs never overwrite each other."""
         from tranche.sources.store import write_and_reload
         from tranche.session import ensure_checkpoint_dir
         from tranche.operators.skew import find_hot
-        base = out_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables"
+        base = out_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         for n in names:
             if n == "agreements_core" and "agreements" in names:
                 self._memo[n] = self._memo["agreements"]   # the stored T1 is a superset

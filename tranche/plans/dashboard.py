@@ -84,7 +84,7 @@ def main(argv: list[str]) -> int:
     if len(argv) < 2:
         print(__doc__)
         return 2
-    spark = get_session()
+    spark = get_session(None, None)      # master and sizes as spark-submit sets them
     t = build(spark, argv[1], argv[2] if len(argv) > 2 else None)
     for name in Tables.TABLE_NAMES:
         print(name, t._memo[name].inputFiles()[:1])

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 sort_within: list[str] | None = None) -> None:
     """Overwrite ``path`` with ``df``; optional partition columns, and rows
-    sorted within files by ``sort_within`` so key filters prune row groups."""
+    sorted within files by ``sort_within`` so that filters by a literal
+    key can prune row groups (semi-joins do not)."""
     out = df.sortWithinPartitions(*sort_within) if sort_within else df
     w = out.write.mode("overwrite")
     if partition_by:

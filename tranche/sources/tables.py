@@ -14,7 +14,8 @@ from pyspark.sql.types import DoubleType, FloatType
 from tranche.functions.exprs import nan_to_null
 
 # Declared schemas of the source tables: scans never infer (no footer-reading
-# job per read) and a drifted file fails at the scan instead of downstream.
+# job per read).  A column that a file lacks reads as null; a column of another
+# type fails at the scan.
 RAW_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
