@@ -117,3 +117,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """,
 }
+
+
+def _chat_sql() -> str:
+    """The same windows as SQL: lengths of turns and of the context before each window."""
+    s = chat_format.Settings()
+    low = "replace({}, '\\', '\\\\')"
+    for c in chat_format.CONTROL:
+        low = f"replace({low}, '{c}', '{c[0]}\\{c[1:]}')"
+    marks = len(chat_format.START) + len(chat_format.SEPARATOR) + len(chat_format.END)
+    line = "PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body"
+    return f"""
+WITH all_rows AS (SELECT conv_id, turn, coalesce(role, '') AS raw_role, coalesce(text, '') AS raw_text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+esc AS (SELECT *, {low.format('raw_role')} AS role, {low.format('raw_text')} AS body FROM all_rows),
+sized AS (SELECT *, CAST(ceil(strlen(body) / {s.bytes_a_token}.0) AS BIGINT) + {s.mark_tokens} AS cost,
+                 length(role) + length(body) + {marks} AS len FROM esc),
+placed AS (SELECT *, row_number() OVER ({line}) AS place,
+                  coalesce(sum(cost) OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized),
+ruled AS (SELECT *, start // {s.span} AS cell, start // {s.span} <> (start + cost - 1) // {s.span} AS across FROM placed),
+told AS (SELECT *, min(CASE WHEN role = 'system' THEN place END) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sys,
+                lag(cost, 1) OVER w AS c1, lag(cost, 2) OVER w AS c2, lag(len, 1) OVER w AS l1, lag(len, 2) OVER w AS l2,
+                across OR coalesce(lag(cell) OVER w <> cell OR lag(across) OVER w <> across, true) AS begins
+         FROM ruled WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+context AS (SELECT t.*, CASE WHEN t.begins THEN coalesce(p.len, 0)
+                + CASE WHEN t.c1 <= {s.history_span} AND t.place - 1 IS DISTINCT FROM t.sys THEN t.l1 ELSE 0 END
+                + CASE WHEN t.c1 + t.c2 <= {s.history_span} AND t.place - 2 IS DISTINCT FROM t.sys THEN t.l2 ELSE 0 END ELSE 0 END AS shown
+            FROM told t LEFT JOIN placed p ON p.conv_id = t.conv_id AND p.place = t.sys)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(raw_role || chr(10) || raw_text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(raw_text)) FILTER (WHERE raw_role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(raw_text, '' ORDER BY place) FILTER (WHERE raw_role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(len + shown) AS BIGINT) AS formatted_chars
+FROM context GROUP BY conv_id
+"""
+
+
+ORACLE_SQL["op5_chat_format"] = _chat_sql()
