@@ -64,14 +64,19 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def texts(batch, name: str = "text") -> list[str]:
-    """Texts of an Arrow batch, null as empty."""
-    return [t or "" for t in batch.column(name).to_pylist()]
+def slices(batch, rows: int = 256):
+    """An Arrow batch in runs of at most ``rows`` rows, so that few texts are Python objects at once."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
-def raw_texts(batch, name: str = "text") -> list[bytes]:
-    """UTF-8 bytes of the texts of an Arrow batch, null as empty."""
-    return [t or b"" for t in batch.column(name).cast("binary").to_pylist()]
+def texts(batch, name: str = "text"):
+    """Texts of an Arrow batch one by one, null as empty."""
+    return (t or "" for some in slices(batch) for t in some.column(name).to_pylist())
+
+
+def raw_texts(batch, name: str = "text"):
+    """UTF-8 bytes of the texts of an Arrow batch one by one, null as empty."""
+    return (t or b"" for some in slices(batch) for t in some.column(name).cast("binary").to_pylist())
 
 
 def sigmoid(z):

@@ -37,7 +37,7 @@ class Settings:
     languages: int = 200           # the most frequent languages
     backoff: float = 0.4           # factor for every shorter n-gram length
     sharpness: float = 4.0         # of the softmax over the mean score of a word
-    cache: int = 400_000           # words a worker remembers at most
+    cache: int = 200_000           # words a worker remembers at most
 
 
 def _counts(words_kept: int, flush: int = 400_000):

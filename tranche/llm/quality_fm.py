@@ -36,7 +36,7 @@ class Settings:
     rate: float = 0.05
     decay: float = 1e-4            # L2 penalty
     threshold: float = 0.7
-    cache: int = 400_000           # words a worker remembers at most
+    cache: int = 150_000           # words a worker remembers at most
 
 
 BINS = 12
@@ -188,8 +188,7 @@ def score(documents: DataFrame, model: dict, s: Settings = Settings()) -> DataFr
     def run(batches):
         features = Features(s)
         for batch in batches:
-            raws = C.raw_texts(batch)
-            got = np.concatenate([np.zeros(0), *(score_rows(raws[i:i + 256], features, sent.value) for i in range(0, len(raws), 256))])
+            got = np.concatenate([np.zeros(0), *(score_rows(list(C.raw_texts(some)), features, sent.value) for some in C.slices(batch))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast("int64"), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")

@@ -44,7 +44,7 @@ class Settings:
     train_rows: int = 10_000       # labelled rows fitted on, by hash of the id
     min_texts: int = 4             # a feature of the model occurs in so many of them
     max_features: int = 20_000     # bound: those most strongly associated with either label
-    cache: int = 400_000           # words a worker remembers at most
+    cache: int = 150_000           # words a worker remembers at most
     l1: float = 1e-4
     fairness: float = 2.0          # weight of the squared change of a score under a swap
     steps: int = 200
@@ -55,7 +55,7 @@ def words_of(text: str) -> set[str]:
     return set(C.LETTERS.findall(text.lower()))
 
 
-def features_of(words: set[str]) -> set[str]:
+def features_of(words) -> set[str]:
     """Whole words (marked by a space) and beginnings of 3 to 8 letters."""
     return {w + " " for w in words} | {w[:k] for w in words for k in range(3, min(len(w), 8) + 1)}
 
@@ -85,24 +85,31 @@ class Rows:
         return np.bincount(self.col, r[self.row], self.width) if self.n else np.zeros(self.width)
 
 
-def fit_rows(texts: list[set[str]], labels: list[int], s: Settings, sets=IDENTITY_SETS) -> dict:
-    """Proximal gradient descent with momentum on logistic loss + fairness + L1."""
+def fit_rows(texts: list, labels: list[int], s: Settings, sets=IDENTITY_SETS) -> dict:
+    """Proximal gradient descent with momentum on logistic loss + fairness + L1; a text is its distinct words."""
     y = np.array(labels, float)
     rate = (y.sum() + 1) / (len(y) + 2)
     bias = float(np.log(rate / (1 - rate)))
     if len(set(labels)) < 2:
         return {"bias": bias, "weights": {}}
-    names: dict[str, int] = {}                    # every feature by a number
+    # A first pass counts features in a fixed number of slots, so that those in too few texts are never held.
+    mask = (1 << 22) - 1
+    slots = np.zeros(mask + 1, np.int32)
+    for t in texts:
+        f = features_of(t)
+        slots[np.unique(np.fromiter(map(hash, f), np.int64, len(f)) & mask)] += 1
+    names: dict[str, int] = {}                    # features by a number
     brings: dict[str, tuple] = {}                 # features of every word
 
-    def numbers(words: set[str]) -> list[int]:
+    def numbers(words) -> list[int]:
         for w in words:
             if w not in brings:
-                brings[w] = tuple(names.setdefault(f, len(names)) for f in features_of({w}))
+                brings[w] = tuple(names.setdefault(f, len(names)) for f in sorted(features_of({w}))
+                                  if slots[hash(f) & mask] >= s.min_texts)
         return sorted({f for w in words for f in brings[w]})
 
     rows = [np.array(numbers(t), np.int32) for t in texts]
-    swapped = [(i, np.array(numbers(c), np.int32)) for i, t in enumerate(texts) for c in swaps(t, sets)]
+    swapped = [(i, np.array(numbers(c), np.int32)) for i, t in enumerate(texts) for c in swaps(set(t), sets)]
     df, hits = np.zeros(len(names)), np.zeros(len(names))
     for r, label in zip(rows, labels):
         df[r] += 1
@@ -154,7 +161,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, s: Settings = Se
 
     def fit_all(batches):
         one: dict[str, str] = {}                  # one copy of each word in memory
-        rows = [(d, y, {one.setdefault(w, w) for w in ws}) for b in batches for d, y, ws in
+        rows = [(d, y, tuple(one.setdefault(w, w) for w in ws)) for b in batches for d, y, ws in
                 zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), b.column("words").to_pylist())]
         rows.sort(key=lambda r: r[0])
         model = fit_rows([r[2] for r in rows], [r[1] for r in rows], s, sets)
