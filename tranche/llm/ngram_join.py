@@ -8,9 +8,10 @@ in at most D = n (100 - p) / p tokens, each of which spoils one part, so of any
 D + 1 parts of one they share at least one whole part among the D + 1 that come
 first in a fixed order (largest parts first, as few other sets share those).  A
 set with too few parts for this sends all of them, and its first D + 1 tokens as
-well.  Classes connected through shared parts form a group, a superset of a
-component; within a chunk of rows a part is sent once and its other holders are
-linked on the spot, so a part in a third of all texts costs little.
+well.  A part's holders are sorted by size, and neighbours close enough in size
+are linked; classes so connected form a group, a superset of a component.  Within a
+chunk of rows a part is sent once for each size, and its other holders of that size
+are linked on the spot, so a part in a third of all texts costs little.
 
 Within a group, a signature tree holds its classes: a leaf has a bitmap of its
 tokens and its size, a node the OR of the bitmaps below and their range of sizes.
@@ -42,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tranche.llm import common as C
 from tranche.llm.components import connected_components
@@ -53,12 +54,12 @@ class Settings:
     words: int = 5
     percent: int = 80                # Jaccard similarity that links
     whole: int = 16                  # sets up to this size are parted into single tokens
-    chunk: int = 1_000_000           # parts that a worker gathers before it sends them
+    chunk: int = 400_000           # parts that a worker gathers before it sends them
     filter_bits: int = 1 << 25       # of a Bloom filter; its size does not follow the data
     signature_bits: int = 1024
     fan: int = 16                    # children of a tree node
-    block_docs: int = 4096
-    block_shingles: int = 2_000_000
+    block_docs: int = 16_384         # most of a group that one side of a task holds
+    block_shingles: int = 6_000_000
     hubs: int = 32                   # components of a large group that are shown to all its blocks
 
 
@@ -75,7 +76,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of a text; remembers word hashes, up to a bound."""
 
-    def __init__(self, words: int, bound: int = 400_000):
+    def __init__(self, words: int, bound: int = 150_000):
         self.words, self.bound, self.known = words, bound, {}
 
     def __call__(self, raw: bytes) -> np.ndarray:
@@ -102,8 +103,8 @@ def class_key(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _level(n: int, s: Settings) -> int:
-    """Number of parts of sets of n tokens: one to two tokens a part, or single tokens."""
-    return 1 << (n.bit_length() - 1) if n > s.whole else 0
+    """Number of parts of sets of n tokens: one and a half to three tokens a part, or single tokens."""
+    return 1 << ((2 * n // 3).bit_length() - 1) if n > s.whole else 0
 
 
 def _parts_at(x: np.ndarray, m: int, want: int) -> tuple[np.ndarray, bool]:
@@ -166,30 +167,14 @@ def signatures(documents: DataFrame, s: Settings) -> DataFrame:
     def run(batches):
         shingler = Shingler(s.words)
         for batch in batches:
-            sets = [shingler(r) for r in C.raw_texts(batch)]
-            keys = [class_key(x) for x in sets]
+            keys = [(*class_key(x), len(x)) for x in map(shingler, C.raw_texts(batch))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast("int64"), pa.array([k[0] for k in keys], pa.int64()),
-                 pa.array([k[1] for k in keys], pa.int64()), pa.array([len(x) for x in sets], pa.int64())],
+                [batch.column("doc_id").cast("int64"), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3))],
                 names=["doc_id", "c1", "c2", "n"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, n long")
 
 
-def _stars(h: np.ndarray, c: np.ndarray, first=None) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Of (part, class) sorted by part: which rows begin a part, the class each part begins with, and the last of these.
-
-    ``first`` is the (part, class) that the rows before ended with.
-    """
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    if first is not None and h[0] == first[0]:
-        new[0] = False
-    start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-    hub = np.where(start >= 0, c[start], first[1] if first is not None else 0)
-    return new, hub, (h[-1], hub[-1])
-
-
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
@@ -199,55 +184,59 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _send(s: Settings):
-    """Rows (part, a, b): a part's holder (b null), or a link already found (under any part)."""
+    """Rows (part, n, a, b): a part's holder and its size (b null), or a link already found (under any part)."""
 
     def rows(held: list):
-        h = np.concatenate([x for x, _ in held])
-        c = np.concatenate([x for _, x in held])
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        new, hub, _ = _stars(h, c)
-        a, b = _unique_pairs(hub[hub != c], c[hub != c])
-        n = int(new.sum())
-        empty = pa.nulls(n, pa.int64())
+        h, c, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+        order = np.lexsort((n, h))
+        h, c, n = h[order], c[order], n[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (n[1:] != n[:-1])
+        first = c[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+        a, b = _unique_pairs(first[first != c], c[first != c])
         return pa.RecordBatch.from_arrays(
-            [*_longs(np.concatenate([h[new], _mix((a ^ b).view(np.uint64))]), np.concatenate([c[new], a])),
-             pa.concat_arrays([empty, *_longs(b)])], names=["part", "a", "b"])
+            [*_longs(np.concatenate([h[new], _mix((a ^ b).view(np.uint64))])), pa.array(np.concatenate([n[new], np.zeros(len(a), np.int32)])),
+             *_longs(np.concatenate([c[new], a])), pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), *_longs(b)])],
+            names=["part", "n", "a", "b"])
 
     def run(batches):
-        shingler, held, n = Shingler(s.words), [], 0
+        shingler, held, count = Shingler(s.words), [], 0
         for batch in batches:
             for raw in C.raw_texts(batch):
                 x = shingler(raw)
                 if not len(x):
                     continue
                 h = parts(x, s)
-                held.append((h, np.full(len(h), class_key(x)[0], np.int64)))
-                n += len(h)
-                if n >= s.chunk:
+                held.append((h, np.full(len(h), class_key(x)[0], np.int64), np.full(len(h), len(x), np.int32)))
+                count += len(h)
+                if count >= s.chunk:
                     yield rows(held)
-                    held, n = [], 0
+                    held, count = [], 0
         if held:
             yield rows(held)
 
     return run
 
 
-def _meet(batches):
-    """Of rows sorted by part: links found before, and a link from each part's first holder to its others.
+def _meet(s: Settings):
+    """Of rows sorted by part and size: links found before, and links between neighbours of fitting sizes in a part."""
 
-    Holds one batch, and of the part that it ends with the first holder.
-    """
-    last = None
-    for batch in batches:
-        found = batch.column("b").is_valid()
-        links, held = batch.filter(found), batch.filter(pa.compute.invert(found))
-        a, b = links.column("a").to_numpy(), links.column("b").to_numpy()
-        if held.num_rows:
-            h, c = held.column("part").to_numpy(), held.column("a").to_numpy()
-            _, hub, last = _stars(h, c, last)
-            a, b = np.concatenate([a, hub[hub != c]]), np.concatenate([b, c[hub != c]])
-        yield pa.RecordBatch.from_arrays(_longs(*_unique_pairs(a, b)), names=["a", "b"])
+    def run(batches):
+        last = None                              # part, class and size of the holder before
+        for batch in batches:
+            found = batch.column("b").is_valid()
+            links, held = batch.filter(found), batch.filter(pa.compute.invert(found))
+            a, b = links.column("a").to_numpy(), links.column("b").to_numpy()
+            if held.num_rows:
+                h, c, n = (held.column(x).to_numpy() for x in ("part", "a", "n"))
+                if last is not None:
+                    h, c, n = (np.concatenate([[x], y]) for x, y in zip(last, (h, c, n)))
+                last = (h[-1], c[-1], n[-1])
+                near = (h[1:] == h[:-1]) & (100 * n[:-1].astype(np.int64) >= s.percent * n[1:].astype(np.int64)) & (c[1:] != c[:-1])
+                a, b = np.concatenate([a, c[:-1][near]]), np.concatenate([b, c[1:][near]])
+            yield pa.RecordBatch.from_arrays(_longs(*_unique_pairs(a, b)), names=["a", "b"])
+
+    return run
 
 
 def candidate_links(documents: DataFrame, s: Settings) -> DataFrame:
@@ -255,8 +244,8 @@ def candidate_links(documents: DataFrame, s: Settings) -> DataFrame:
 
     Classes that agree in that half only share a group, which is verified like any other.
     """
-    sent = documents.select("text").mapInArrow(_send(s), "part long, a long, b long")
-    return C.stored(sent.repartition("part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long").distinct(),
+    sent = documents.select("text").mapInArrow(_send(s), "part long, n int, a long, b long")
+    return C.stored(sent.repartition("part").sortWithinPartitions("part", "n").mapInArrow(_meet(s), "a long, b long").distinct(),
                     "candidate-links")
 
 
@@ -407,20 +396,20 @@ def similar_links(documents: DataFrame, s: Settings = Settings()) -> tuple[DataF
         shingler, some = Shingler(s.words), sent.value
         for batch in batches:
             batch = batch.filter(pa.array(some.has(batch.column("h").to_numpy().view(np.uint64))))
-            sets = [shingler(r) for r in C.raw_texts(batch)]
-            keys = [class_key(x) for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast("int64"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                 pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "c1", "c2", "tokens"])
+            for few in C.slices(batch):
+                sets = [shingler(r) for r in C.raw_texts(few)]
+                keys = [class_key(x) for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [few.column("doc_id").cast("int64"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                     pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "c1", "c2", "tokens"])
 
     found = (docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
              .mapInArrow(sets_of, "rep long, c1 long, c2 long, tokens array<long>"))
     near = members.join(shape.select("part", "large", "docs", "shingles"), "part")
-    near = F.broadcast(near) if members.count() <= 300_000 else near
-    full = found.join(near, ["rep", "c1", "c2"]).dropDuplicates(["rep", "c1", "c2"])
+    full = found.join(_near(near), ["rep", "c1", "c2"]).dropDuplicates(["rep", "c1", "c2"])
 
     # Small groups: several in a task, by hash of the group.
-    bins = int(max(1, -(-int(total["n"]) // (s.block_shingles // 4))))
+    bins = int(max(1, -(-int(total["n"]) // 500_000)))
     zero = F.lit(0)
     if not total["large"]:
         small = full
@@ -435,62 +424,67 @@ def similar_links(documents: DataFrame, s: Settings = Settings()) -> tuple[DataF
     return sigs, classes, links
 
 
+def _near(df: DataFrame) -> DataFrame:
+    """Broadcast up to 300,000 narrow rows; more are joined by shuffling."""
+    return F.broadcast(df) if df.count() <= 300_000 else df
+
+
 def _large_groups(full: DataFrame, s: Settings) -> DataFrame:
-    """Links of groups too large for a task (rows: rep, part, n, size_class, tokens)."""
-    per = full.groupBy("part", "size_class").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("w"))
-    blocks = per.select("part", "size_class", F.greatest(F.ceil(F.col("d") / s.block_docs), F.ceil(F.col("w") / s.block_shingles))
-                        .cast("int").alias("blocks"))
-    rows = C.stored(full.select("rep", "part", "n", "size_class", "tokens").join(blocks, ["part", "size_class"])
-                    .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "large-groups")
-    block = [F.col("part"), F.col("size_class"), F.col("block")]
-
-    def task(side, key, known=F.col("rep")):
-        key = [k.cast("long") for k in key]       # one type on both sides, so that equal keys hash alike
-        return [F.xxhash64(*key).alias("task"), F.xxhash64(*key).alias("part"), F.lit(side).alias("side"),
-                F.col("rep").alias("doc_id"), known.cast("long").alias("known"), "tokens"]
+    """Links of groups too large for a task (rows: rep, part, n, size_class, tokens).
+
+    Blocks, components and pairs of blocks are worked out on narrow rows; the sets
+    are read from the shared folder and sent only to the tasks that need them.
+    """
+    fits = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / s.block_docs), F.ceil(F.sum("n") / s.block_shingles)).cast("int")
+    sets = full.select("rep", "tokens")
+    narrow = full.select("rep", "part", "n", "size_class")
+    blocks = narrow.groupBy("part", "size_class").agg(fits().alias("blocks"))
+    narrow = C.stored(narrow.join(blocks, ["part", "size_class"])
+                      .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "large-groups")
+    block = ["part", "size_class", "block"]
+
+    def join(tasks: DataFrame) -> DataFrame:
+        """Links of tasks (key, side, rep, known)."""
+        rows = sets.join(_near(C.stored(tasks, "large-tasks")), "rep")
+        return C.stored(_join(rows.select(F.col("key").alias("task"), F.col("key").alias("part"), F.col("side"),
+                                          F.col("rep").alias("doc_id"), "known", "tokens"), s), "large-links")
+
+    def task(side: int, key: list[str], known: str):
+        hashed = F.xxhash64(*[F.col(k).cast("long") for k in key])       # one type on both sides
+        return [hashed.alias("key"), F.lit(side).alias("side"), "rep", F.col(known).cast("long").alias("known")]
 
     # 1. Within blocks.
-    links = C.stored(_join(rows.select(*task(0, block)), s), "large-links")
+    links = join(narrow.select(*task(0, block, "rep")))
 
     def labelled(links):
-        found = connected_components(links)
-        return rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep"))
-
-    # 2. The largest components' smallest members meet the blocks of fitting sizes.
-    from pyspark.sql import Window
-    marked = C.stored(labelled(links), "large-labelled")
-    sizes = marked.groupBy("part", "size_class", "component").agg(F.count(F.lit(1)).alias("d"))
+        found = connected_components(links).select(F.col("node").alias("rep"), "component")
+        return C.stored(narrow.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "large-labelled")
+
+    around = F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    # 2. The smallest members of the largest components meet the blocks of fitting sizes.
+    marked = labelled(links)
+    sizes = marked.groupBy("part", "size_class", "component").agg(F.count(F.lit(1)).alias("d"), F.min("rep").alias("rep"))
     rank = F.row_number().over(Window.partitionBy("part", "size_class").orderBy(F.desc("d"), "component"))
-    hubs = sizes.withColumn("r", rank).where(F.col("r") <= s.hubs).select("part", "size_class", "component")
-    hub_rows = (marked.join(hubs, ["part", "size_class", "component"]).groupBy("part", "size_class", "component")
-                .agg(F.min_by(F.struct("rep", "tokens"), "rep").alias("h")).select("part", "size_class", "h.rep", "h.tokens", "component"))
-    # Every block of a size class and its neighbours.
-    shown = (hub_rows.withColumn("to", F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1)))
-             .drop("size_class").join(blocks.withColumnRenamed("size_class", "to"), ["part", "to"])
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumnRenamed("to", "size_class"))
-    met = marked.select(*task(0, block, F.col("component"))).union(shown.select(*task(1, block, F.col("component"))))
-    links = links.union(C.stored(_join(met, s), "large-links"))
+    hubs = sizes.withColumn("r", rank).where(F.col("r") <= s.hubs)
+    shown = (hubs.withColumn("to", around).select("part", F.col("to").alias("size_class"), "rep", "component")
+             .join(blocks, ["part", "size_class"]).withColumn("block", each("blocks")))
+    links = links.union(join(marked.select(*task(0, block, "component")).union(shown.select(*task(1, block, "component")))))
 
     # 3. What is still outside the main component of its group meets every block of fitting sizes.
-    marked = C.stored(labelled(links), "large-labelled")
+    marked = labelled(links)
     main = (marked.groupBy("part", "component").agg(F.count(F.lit(1)).alias("d")).groupBy("part")
             .agg(F.max_by("component", F.struct("d", "component")).alias("main")))
-    outside = marked.join(main, "part").where("component != main").drop("main")
-    lots = (outside.groupBy("part", "size_class").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("w"))
-            .select("part", "size_class", F.greatest(F.ceil(F.col("d") / s.block_docs), F.ceil(F.col("w") / s.block_shingles))
-                    .cast("int").alias("lots")))
-    outside = outside.join(lots, ["part", "size_class"]).withColumn("lot", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("lots")).cast("int"))
-    around = F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1))
-    key = [F.col("part"), F.col("from_class"), F.col("lot"), F.col("size_class"), F.col("block")]
-    left = (outside.withColumn("from_class", F.col("size_class")).withColumn("to", around).drop("size_class", "blocks", "block")
-            .withColumnRenamed("to", "size_class").join(blocks, ["part", "size_class"])
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    outside = marked.join(main, "part").where("component != main").select("rep", "part", "n", "size_class", "component")
+    lots = outside.groupBy("part", "size_class").agg(fits().alias("lots"))
+    key = ["part", "from_class", "lot", "size_class", "block"]
+    left = (outside.join(lots, ["part", "size_class"]).withColumn("lot", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("lots")))
+            .withColumn("to", around).select("rep", "part", "component", "lot", F.col("size_class").alias("from_class"), F.col("to").alias("size_class"))
+            .join(blocks, ["part", "size_class"]).withColumn("block", each("blocks")))
     right = (marked.join(lots.select("part", F.col("size_class").alias("from_class"), "lots"), "part")
-             .where(F.abs(F.col("from_class") - F.col("size_class")) <= 1)
-             .withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))))
-    pairs = left.select(*task(0, key, F.col("component"))).union(right.select(*task(1, key, F.col("component"))))
-    return links.union(C.stored(_join(pairs, s), "large-links"))
+             .where(F.abs(F.col("from_class") - F.col("size_class")) <= 1).withColumn("lot", each("lots")))
+    return links.union(join(left.select(*task(0, key, "component")).union(right.select(*task(1, key, "component")))))
 
 
 def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
