@@ -121,10 +121,8 @@ def pack(documents: DataFrame, vocabulary: str | None = None, s: Settings = Sett
 
         def sequences():
             for batch in batches:
-                got = batch.column("doc_id").cast("int64").to_pylist()
-                texts = C.texts(batch)
-                for i in range(0, len(texts), s.batch):
-                    for doc_id, ids in zip(got[i:i + s.batch], encoder(texts[i:i + s.batch])):
+                for some in C.slices(batch, s.batch):
+                    for doc_id, ids in zip(some.column("doc_id").cast("int64").to_pylist(), encoder(C.texts(some))):
                         yield from packer.add(doc_id, np.concatenate([ids, end]))
             yield from packer.close()
 

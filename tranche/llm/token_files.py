@@ -174,9 +174,8 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str | None = Non
                 name = f"tokens-{part:06d}-{uuid.uuid4().hex}.zst"
                 out = store.open_output_stream(f"{root}/{name}", compression=None)
                 writer = Writer(out, encoder.kind, s)
-            ids, texts = batch.column("doc_id").cast("int64").to_pylist(), C.texts(batch)
-            for i in range(0, len(texts), s.batch):
-                for doc_id, got in zip(ids[i:i + s.batch], encoder(texts[i:i + s.batch])):
+            for some in C.slices(batch, s.batch):
+                for doc_id, got in zip(some.column("doc_id").cast("int64").to_pylist(), encoder(C.texts(some))):
                     writer.add(doc_id, np.concatenate([got, end]))
                     n_ids += len(got) + 1
         if writer is not None:

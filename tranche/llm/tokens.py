@@ -44,11 +44,15 @@ _ODD = re.compile(r" (?=\s|\Z)")
 
 
 class Encoder:
-    """Ids of texts as arrays of the narrowest type; remembers parts, up to a bound."""
+    """Ids of texts as arrays of the narrowest type.
+
+    It remembers the parts used last: up to ``bound`` of them, and those of the
+    ``bound`` before that were not used since.
+    """
 
     _OPEN: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, bound: int = 1_000_000):
+    def __init__(self, path: str, bound: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,7 +61,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.model._resize_cache(0)              # its memory is ours: ``known``
         self.specials = tuple(str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.bound, self.known, self.byte_names = bound, {}, None
+        self.bound, self.known, self.before, self.byte_names = bound, {}, {}, None
         form = json.loads(self.tokenizer.to_str())
         before = form["pre_tokenizer"] or {}
         self.cut = (form["normalizer"] is None and form["model"]["type"] == "BPE" and not form["model"].get("dropout")
@@ -98,16 +102,17 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; a special token's string in a text counts as the library counts it."""
-        if len(self.known) > self.bound:
-            self.known.clear()
-        known, out = self.known, []
+        out = []
         for t in texts:
+            if len(self.known) > self.bound:
+                self.known, self.before = {}, self.known
+            known, before = self.known, self.before
             if not self.cut or any(s in t for s in self.specials):
                 out.append(np.frombuffer(self._whole(t), self.kind))
                 continue
             parts = parts_of(t)
             first = parts.pop(0)
             for p in set(parts).difference(known):
-                known[p] = self._new(p, " ")
+                known[p] = before.pop(p, None) or self._new(p, " ")
             out.append(np.frombuffer(b"".join([self._new(first, ""), *map(known.__getitem__, parts)]), self.kind))
         return out
