@@ -51,6 +51,25 @@ def test_divergence_rejects_shouting_and_guards_short(spark):
     assert got[101]["word_distance"] is None                       # fewer words than the guard
 
 
+def _language(rng, common, letters, n):
+    """A text of n words: a third of them common ones, as in the given languages."""
+    return " ".join(rng.choice(common) if rng.random() < 0.33 else "".join(rng.choices(letters, k=8)) for _ in range(n))
+
+
+def test_texts_tagged_with_another_language_are_rejected(spark):
+    rng = random.Random(5)
+    kinds = {"en": "the of and to in is was for that on".split(), "de": "der und die in den von zu das mit sich".split()}
+    make = lambda lang, n: _language(rng, kinds[lang], "abcdefghijklmnoprstuvw", n)
+    rows = [(i, make(lang, rng.randint(100, 400)), lang) for i, lang in enumerate(["en", "de"] * 300)]
+    rows += [(1000 + i, make("de" if i % 2 else "en", 250), "en" if i % 2 else "de") for i in range(20)]
+    rows += [(2000 + i, make("en", 250), "it") for i in range(2)]      # a language too scarce for limits of its own
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = R.quality_report(docs).toPandas()
+    assert not got[got.doc_id.between(1000, 1999)].kept.any()
+    assert got[got.doc_id < 1000].kept.mean() > 0.98 and got[got.doc_id >= 2000].kept.all()
+    assert {r["doc_id"] for r in R.keep_good(docs).select("doc_id").collect()} == set(got[got.kept].doc_id)
+
+
 def test_language_of_unseen_words(spark, odd_documents, no_documents):
     rng = random.Random(3)
     words = {"en": "the of and thing water other which their".split(), "de": "der und nicht keit schung über straße auch".split()}

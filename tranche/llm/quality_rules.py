@@ -5,6 +5,13 @@ the commonest short words of a language (all others in one more bin).  Both are
 compared, by Jensen-Shannon distance, with the same histograms of all documents
 of the language.  A text too short for a histogram is not judged by it.
 
+The limits of both distances follow a language's own documents, counted on the
+executors.  A word histogram of few words is far from any other by chance, so the
+word limit is set by length: the median and so many times the spread below it,
+which junk (at the far end) does not move.  The character limit is a high quantile
+of the documents within the word limit.  No limit is above the fixed ones, which
+hold where there are too few documents to count.
+
 Defined cases: a null text is empty (all counts 0, ``base_failed``); rows are
 judged one by one, so repeated rows get equal results; a null or scarce
 language has no reference of its own, and the nearest of all references counts;
@@ -34,14 +41,17 @@ class Rules:
 
     min_words: int = 20
     max_repeat_pct: int = 30          # of words within repeated 8-word windows
-    max_char_distance: float = 0.35
+    max_char_distance: float = 0.35   # a language's own documents set a lower one
     min_chars: int = 100              # guard: fewer characters give no histogram
-    max_word_distance: float = 0.50
+    max_word_distance: float = 0.50   # as above
     min_hist_words: int = 50          # guard: fewer words give no histogram
     common_words: int = 64            # of each language
     max_word_chars: int = 6           # common words are short (bytes)
     min_reference_words: int = 2_000  # a language with fewer has no reference of its own
     max_references: int = 256         # the largest languages get one (bounds the broadcast)
+    word_spread: float = 3.0          # standard deviations above the median, taken from the 10th percentile
+    char_quantile: float = 0.999      # of the documents within the word limit
+    min_limit_docs: int = 30          # fewer documents of a length (or language) set no limit
 
 
 def _class_table() -> np.ndarray:
@@ -170,26 +180,99 @@ def references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tuple]
     return out
 
 
-def judge(raw: bytes, lang: str | None, refs: dict, rules: Rules) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char, word distance)."""
+def length_class(n: int) -> int:
+    """Two classes for each doubling of the words."""
+    return int(2 * np.log2(max(n, 1)))
+
+
+def _own_distances(refs: dict, rules: Rules, flush: int = 100_000):
+    """Per partition: documents by language, length and distances (in thousandths, up) that pass the other rules."""
+
+    def run(batches):
+        found: Counter = Counter()
+
+        def rows():
+            out = [(*k, n) for k, n in found.items()]
+            found.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), *[pa.int64()] * 4))],
+                names=["lang", "length", "c", "w", "n"])
+
+        for batch in batches:
+            for lang, raw in zip(batch.column("lang").to_pylist(), C.raw_texts(batch)):
+                if lang not in refs:
+                    continue
+                got = judge(raw, lang, refs, rules)
+                if not got[5] and got[8] is not None:
+                    c = None if got[7] is None else int(np.ceil(1000 * got[7]))
+                    found[lang, length_class(got[0]), c, int(np.ceil(1000 * got[8]))] += 1
+            if len(found) > flush:
+                yield rows()
+        yield rows()
+
+    return run
+
+
+def limits(documents: DataFrame, refs: dict, rules: Rules = Rules()) -> dict[str, tuple]:
+    """Limits of each language with a reference: (character distance, {length class: word distance}).
+
+    Counts cover all documents; a few numbers for each language and length reach the driver.
+    """
+    if not refs:
+        return {}
+    counts = (documents.select("lang", "text").mapInArrow(_own_distances(refs, rules), "lang string, length long, c long, w long, n long")
+              .groupBy("lang", "length", "c", "w").agg(F.sum("n").alias("n")))
+    counts = C.stored(counts, "quality-distances")
+    by_length = (counts.groupBy("lang", "length").agg(F.sum("n").alias("docs"), F.percentile("w", [0.1, 0.5], F.col("n")).alias("at"))
+                 .where(F.col("docs") >= rules.min_limit_docs).collect())
+    words: dict = {lang: {} for lang in refs}
+    for r in by_length:
+        low, mid = r["at"]
+        words[r["lang"]][r["length"]] = min(rules.max_word_distance, (mid + rules.word_spread * (mid - low) / 1.2816) / 1000)
+    for w in words.values():                     # a length with few documents: the limit of the next shorter one
+        for k in range(1, 128):
+            if k not in w and k - 1 in w:
+                w[k] = w[k - 1]
+    near = counts.sparkSession.createDataFrame([(lang, k, 1000 * v) for lang, w in words.items() for k, v in w.items()],
+                                               "lang string, length long, most double")
+    by_lang = (counts.where("c IS NOT NULL").join(F.broadcast(near), ["lang", "length"]).where("w <= most")
+               .groupBy("lang").agg(F.sum("n").alias("docs"), F.percentile("c", rules.char_quantile, F.col("n")).alias("at"))
+               .where(F.col("docs") >= rules.min_limit_docs).collect())
+    chars = {r["lang"]: min(rules.max_char_distance, r["at"] / 1000) for r in by_lang}
+    return {lang: (chars.get(lang, rules.max_char_distance), w) for lang, w in words.items()}
+
+
+def judge(raw: bytes, lang: str | None, refs: dict, rules: Rules, own: dict | None = None) -> tuple:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char, word distance).
+
+    ``own``: the languages' limits; where one has none, the fixed limits hold.
+    """
     words = raw.split()
     n = len(words)
     hist = char_histogram(raw)
     chars = int(hist.sum() - hist[CLASSES.index("space")])
     repeat = repeated_words(words)
     failed = n < rules.min_words or 100 * repeat > rules.max_repeat_pct * n
-    near = [refs[lang]] if lang in refs else list(refs.values())
+    near = [lang] if lang in refs else list(refs)
+    set_by = {} if own is None or (lang and lang not in refs) else own      # a scarce language has no limits of its own
     far_c = far_w = None
-    if near and hist.sum() >= rules.min_chars:
-        far_c = min(js_distance(hist.astype(float), r[0]) for r in near)
-    if near and n >= rules.min_hist_words:
-        found = Counter(raw.lower().split())
-        far_w = 1.0
-        for _, common, ref in near:
-            own = [found.get(w, 0) for w in common]
-            far_w = min(far_w, js_distance(np.array([*own, n - sum(own)], float), ref))
-    kept = not (failed or (far_c is not None and far_c > rules.max_char_distance)
-                or (far_w is not None and far_w > rules.max_word_distance))
+    fits = not near
+    found = Counter(raw.lower().split()) if near and n >= rules.min_hist_words else {}
+    for name in near:
+        chars_of, common, words_of = refs[name]
+        max_c, by_length = set_by.get(name, (rules.max_char_distance, {}))
+        fit = True
+        if hist.sum() >= rules.min_chars:
+            c = js_distance(hist.astype(float), chars_of)
+            far_c = c if far_c is None else min(far_c, c)
+            fit = c <= max_c
+        if n >= rules.min_hist_words:
+            seen = [found.get(w, 0) for w in common]
+            w = js_distance(np.array([*seen, n - sum(seen)], float), words_of)
+            far_w = w if far_w is None else min(far_w, w)
+            fit = fit and w <= by_length.get(length_class(n), rules.max_word_distance)
+        fits = fits or fit
+    kept = not failed and fits
     return n, chars, int(hist[CLASSES.index("symbol")]), repeated_lines(raw), repeat, failed, kept, far_c, far_w
 
 
@@ -204,10 +287,11 @@ def quality_report(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per document (doc_id, lang, text): the rule counts, both distances and the verdict."""
     C.ship(documents.sparkSession)
     refs = references(documents, rules)
+    own = limits(documents, refs, rules)
 
     def run(batches):
         for batch in batches:
-            got = [judge(raw, lang, refs, rules)
+            got = [judge(raw, lang, refs, rules, own)
                    for raw, lang in zip(C.raw_texts(batch), batch.column("lang").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast("int64"), *(pa.array([g[i] for g in got], t) for i, (_, t) in enumerate(_FIELDS))],
@@ -220,10 +304,11 @@ def keep_good(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     C.ship(documents.sparkSession)
     refs = references(documents, rules)
+    own = limits(documents, refs, rules)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([judge(raw, lang, refs, rules)[6] for raw, lang in
+            yield batch.filter(pa.array([judge(raw, lang, refs, rules, own)[6] for raw, lang in
                                          zip(C.raw_texts(batch), batch.column("lang").to_pylist())], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
