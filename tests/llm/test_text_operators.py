@@ -70,6 +70,20 @@ def test_texts_tagged_with_another_language_are_rejected(spark):
     assert {r["doc_id"] for r in R.keep_good(docs).select("doc_id").collect()} == set(got[got.kept].doc_id)
 
 
+def test_texts_without_language_are_no_reference(spark):
+    rng = random.Random(6)
+    common = "the of and to in is was for that on".split()
+    good = lambda: _language(rng, common, "abcdefghijklmnoprstuvw", 200)
+    junk = lambda: " ".join("".join(rng.choices("#*$%&|<>", k=6)) for _ in range(200))
+    rows = [(i, good(), "en") for i in range(60)]
+    rows += [(1000 + i, junk(), None if i % 2 else "") for i in range(200)] + [(2000 + i, good(), None if i % 2 else "") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(R.references(docs)) == {"en"}
+    got = R.quality_report(docs).toPandas()
+    assert not got[got.doc_id.between(1000, 1999)].kept.any()
+    assert got[got.doc_id >= 2000].kept.mean() > 0.9
+
+
 def test_language_of_unseen_words(spark, odd_documents, no_documents):
     rng = random.Random(3)
     words = {"en": "the of and thing water other which their".split(), "de": "der und nicht keit schung über straße auch".split()}

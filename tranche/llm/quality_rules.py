@@ -13,9 +13,10 @@ of the documents within the word limit.  No limit is above the fixed ones, which
 hold where there are too few documents to count.
 
 Defined cases: a null text is empty (all counts 0, ``base_failed``); rows are
-judged one by one, so repeated rows get equal results; a null or scarce
-language has no reference of its own, and the nearest of all references counts;
-an empty table gives an empty result.
+judged one by one, so repeated rows get equal results; a null, empty or scarce
+language has no reference of its own, and the nearest of all references counts
+(within that one's limits if no language is named, within the fixed limits if a
+scarce one is); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -138,10 +139,9 @@ def _profile(max_word_chars: int, flush: int = 200_000):
 
         for batch in batches:
             for lang, raw in zip(batch.column("lang").to_pylist(), C.raw_texts(batch)):
-                g = lang or ""
-                chars[g] += char_histogram(raw)
+                chars[lang] += char_histogram(raw)
                 found = Counter(raw.lower().split())
-                c = words[g]
+                c = words[lang]
                 c[b""] += sum(found.values())                  # all words, under the empty key
                 for w, n in found.items():
                     if len(w) <= max_word_chars:
@@ -156,10 +156,10 @@ def _profile(max_word_chars: int, flush: int = 200_000):
 def references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tuple]:
     """Reference of each language: (character histogram, common words, word histogram).
 
-    Counts cover all documents and do not depend on how they are split.  Only
-    the commonest words of the largest languages reach the driver.
+    Counts cover all documents with a language and do not depend on how they are
+    split.  Only the commonest words of the largest languages reach the driver.
     """
-    counts = (documents.select("lang", "text").mapInArrow(_profile(rules.max_word_chars), _COUNTS)
+    counts = (documents.select("lang", "text").where("lang != ''").mapInArrow(_profile(rules.max_word_chars), _COUNTS)
               .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
     counts = C.stored(counts, "quality-counts")
     total = counts.where("kind = 'w' AND key = ''").select("lang", F.col("n").alias("total"))
