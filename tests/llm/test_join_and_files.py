@@ -276,6 +276,14 @@ def test_templates_reject_bad_branches(spark):
     assert set(got[got.page_id >= 2000].template) == {"/*/*"}      # branches alike are merged
 
 
+def test_small_bad_section_of_a_large_host_is_rejected(spark):
+    rows = [(i, f"http://h.example/part{chr(97 + i % 25)}/{i}", 0) for i in range(5000)]
+    rows += [(6000 + i, f"http://h.example/spam/{i}", 1) for i in range(60)]
+    got = U.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), []).toPandas()
+    assert set(got[got.page_id >= 6000].verdict) == {"block"} and set(got[got.page_id < 6000].verdict) == {"allow"}
+    assert set(got[got.page_id < 6000].template) == {"/*/*"}       # sections alike are still merged
+
+
 def test_native_plans_run_no_python(spark):
     for q in ("op1_url_filter", "op5_chat_format", "op8_decontamination"):
         plan = QUERIES[q](spark, SF)._jdf.queryExecution().executedPlan().toString()

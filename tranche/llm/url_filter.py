@@ -1,9 +1,9 @@
 """URL filter: given rules, and templates learned from labelled URLs.
 
 Paths of a host form a tree of segments.  Level by level, variable segments become
-wildcards: digits always; any segment of a node with many different ones, if it is
-rare; and siblings whose labelled share of bad URLs does not differ from the rest
-of the node's (two-proportion test), which are so merged into one branch.  A
+wildcards: digits always, and siblings with few labels or whose labelled share of bad
+URLs does not differ from the rest of the node's (two-proportion test), which are so
+merged into one branch; how small a part of its node a branch is plays no role.  A
 template's purity is its share of bad labelled URLs, smoothed towards its parent's
 (the root's: towards that of all hosts); templates that reach a limit are rejected.
 
@@ -41,8 +41,6 @@ class Rule:
 @dataclass(frozen=True)
 class Settings:
     depth: int = 4                   # segments of the tree; deeper ones are one wildcard
-    many: int = 20                   # a node with more children has variable ones
-    rare: float = 0.02               # share of a node below which such a child is variable
     min_labels: int = 8              # a branch with fewer labels is not told apart
     z: float = 2.58                  # of the two-proportion test
     smoothing: float = 8.0           # labels that the parent's purity counts for
@@ -90,16 +88,14 @@ def templates(labelled: DataFrame, s: Settings = Settings()) -> DataFrame:
     tree = tree.withColumn("template", F.lit(""))
     for d in range(s.depth + 1):
         tree = tree.withColumn("seg", F.get("shape", F.lit(d)))
-        child = tree.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labels").alias("l"), F.sum("bad").alias("b"))
-        node = child.groupBy("host", "template").agg(F.count("seg").alias("children"), F.sum("n").alias("nn"),
-                                                     F.sum("l").alias("nl"), F.sum("b").alias("nb"))
+        child = tree.groupBy("host", "template", "seg").agg(F.sum("labels").alias("l"), F.sum("bad").alias("b"))
+        node = child.groupBy("host", "template").agg(F.count("seg").alias("children"), F.sum("l").alias("nl"), F.sum("b").alias("nb"))
         both = child.join(node, ["host", "template"])
         others, pooled = F.col("nl") - F.col("l"), F.col("nb") / F.col("nl")
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / others))
         differs = F.when((F.col("l") >= s.min_labels) & (others >= s.min_labels) & (F.col("nb") > 0) & (F.col("nb") < F.col("nl")),
                          F.abs(F.col("b") / F.col("l") - (F.col("nb") - F.col("b")) / others) > s.z * error).otherwise(F.lit(False))
-        rare = (F.col("children") > s.many) & (F.col("n") < s.rare * F.col("nn"))
-        name = F.when(F.col("seg").isNull(), F.lit("")).when((F.col("children") > 1) & (rare | ~differs), F.lit("/*")) \
+        name = F.when(F.col("seg").isNull(), F.lit("")).when((F.col("children") > 1) & ~differs, F.lit("/*")) \
             .otherwise(F.concat(F.lit("/"), F.col("seg")))
         named = both.select("host", "template", F.col("seg").alias("s2"), name.alias("name"))
         t = tree.alias("t").join(named.alias("m"), (F.col("t.host") == F.col("m.host")) & (F.col("t.template") == F.col("m.template"))
