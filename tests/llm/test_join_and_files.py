@@ -284,6 +284,17 @@ def test_small_bad_section_of_a_large_host_is_rejected(spark):
     assert set(got[got.page_id < 6000].template) == {"/*/*"}       # sections alike are still merged
 
 
+def test_bad_branches_below_four_segments_are_rejected(spark):
+    kind = lambda i: "spam" if i % 2 else "news"
+    rows = [(i, f"http://h.example/2024/05/01/blog/{kind(i)}/x{chr(97 + i % 7)}", i % 2) for i in range(200)]
+    rows += [(1000 + i, f"http://g.example/a/b/c/d/e/f/g/{kind(i)}/{i}/z", i % 2) for i in range(200)]
+    rows += [(2000 + i, f"http://f.example/a/b/c/d/e{i}/f", 0) for i in range(20)]          # nothing to split
+    got = U.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), []).toPandas()
+    want = ["block" if "/spam/" in p else "allow" for p in got.path]
+    assert len(got) == 420 and got.verdict.tolist() == want
+    assert set(got[got.page_id >= 2000].template) == {"/a/b/c/d/**"}
+
+
 def test_native_plans_run_no_python(spark):
     for q in ("op1_url_filter", "op5_chat_format", "op8_decontamination"):
         plan = QUERIES[q](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -3,7 +3,10 @@
 Paths of a host form a tree of segments.  Level by level, variable segments become
 wildcards: digits always, and siblings with few labels or whose labelled share of bad
 URLs does not differ from the rest of the node's (two-proportion test), which are so
-merged into one branch; how small a part of its node a branch is plays no role.  A
+merged into one branch; how small a part of its node a branch is plays no role.
+Beyond ``depth`` levels only nodes grow that can still be split (several shapes, good
+and bad labels, enough of them for two branches); of the others, what follows is one
+wildcard.  The paths' lengths set no limit.  A
 template's purity is its share of bad labelled URLs, smoothed towards its parent's
 (the root's: towards that of all hosts); templates that reach a limit are rejected.
 
@@ -40,12 +43,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 4                   # segments of the tree; deeper ones are one wildcard
+    depth: int = 4                   # segments named one by one; deeper ones only where a node can be split
     min_labels: int = 8              # a branch with fewer labels is not told apart
     z: float = 2.58                  # of the two-proportion test
     smoothing: float = 8.0           # labels that the parent's purity counts for
     purity: float = 0.6              # smoothed share of bad URLs that rejects a template
-    broadcast_shapes: int = 200_000  # more shapes than this are joined by shuffling
+    broadcast_shapes: int = 200_000  # more shapes than this are joined by shuffling,
+    broadcast_chars: int = 20_000_000  # as are shapes with more characters than this
 
 
 def host_of(url: Column) -> Column:
@@ -68,16 +72,15 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return name, verdict
 
 
-def shape_of(path: Column, depth: int) -> Column:
-    """The path's segments with digits as wildcards, deeper ones as one."""
+def shape_of(path: Column) -> Column:
+    """The path's segments with digits as wildcards."""
     parts = F.split(F.regexp_replace(path, r"[0-9]+", "*"), "/")
-    cut = F.slice(parts, 2, F.lit(depth))
-    return F.when(F.size(parts) > depth + 1, F.concat(cut, F.array(F.lit("**")))).otherwise(cut)
+    return F.slice(parts, 2, F.size(parts))
 
 
 def templates(labelled: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(host, shape, template, purity, labels) from URLs (host, path, bad: 1, 0 or null)."""
-    shapes = C.stored(labelled.select("host", shape_of(F.col("path"), s.depth).alias("shape"), "bad")
+    shapes = C.stored(labelled.select("host", shape_of(F.col("path")).alias("shape"), "bad")
                       .groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labels"),
                                                     F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad")), "url-shapes")
     every = shapes.agg(F.sum("bad").alias("b"), F.sum("labels").alias("l")).first()
@@ -85,9 +88,24 @@ def templates(labelled: DataFrame, s: Settings = Settings()) -> DataFrame:
     smooth = lambda bad, labels, base: (bad + s.smoothing * base) / (labels + s.smoothing)
     root = shapes.groupBy("host").agg(F.sum("bad").alias("b"), F.sum("labels").alias("l"))
     tree = shapes.join(root.select("host", smooth(F.col("b"), F.col("l"), F.lit(prior)).alias("purity"), F.col("l").alias("at_labels")), "host")
-    tree = tree.withColumn("template", F.lit(""))
-    for d in range(s.depth + 1):
-        tree = tree.withColumn("seg", F.get("shape", F.lit(d)))
+    tree = tree.withColumn("template", F.lit("")).withColumn("closed", F.lit(False))
+    d = -1
+    while True:
+        d += 1
+        goes_on = ~F.col("closed") & (F.size("shape") > d)
+        if not tree.where(goes_on).limit(1).count():
+            break
+        opened = F.lit(True)
+        if d >= s.depth:
+            alike = F.xxhash64("shape")
+            can_split = ((F.col("nl") >= 2 * s.min_labels) & (F.col("nb") > 0) & (F.col("nb") < F.col("nl")) & (F.col("lo") < F.col("hi")))
+            nodes = (tree.where(goes_on).groupBy("host", "template")
+                     .agg(F.sum("labels").alias("nl"), F.sum("bad").alias("nb"), F.min(alike).alias("lo"), F.max(alike).alias("hi"))
+                     .where(can_split).select("host", "template", F.lit(True).alias("opened")))
+            tree = tree.join(nodes, ["host", "template"], "left")
+            opened = F.coalesce("opened", F.lit(False))
+        tree = (tree.withColumn("seg", F.when(goes_on, F.when(opened, F.get("shape", F.lit(d))).otherwise(F.lit("**"))))
+                .withColumn("closed", F.col("closed") | ~opened))
         child = tree.groupBy("host", "template", "seg").agg(F.sum("labels").alias("l"), F.sum("bad").alias("b"))
         node = child.groupBy("host", "template").agg(F.count("seg").alias("children"), F.sum("l").alias("nl"), F.sum("b").alias("nb"))
         both = child.join(node, ["host", "template"])
@@ -100,13 +118,13 @@ def templates(labelled: DataFrame, s: Settings = Settings()) -> DataFrame:
         named = both.select("host", "template", F.col("seg").alias("s2"), name.alias("name"))
         t = tree.alias("t").join(named.alias("m"), (F.col("t.host") == F.col("m.host")) & (F.col("t.template") == F.col("m.template"))
                                  & F.col("t.seg").eqNullSafe(F.col("m.s2")))
-        tree = t.select("t.host", "shape", "n", "labels", "bad", "purity", "at_labels", "seg",
+        tree = t.select("t.host", "shape", "n", "labels", "bad", "closed", "purity", "at_labels", "seg",
                         F.concat("t.template", "name").alias("template"))
         # Purity of the new nodes; a path that ends here keeps its own.
         grown = tree.where("seg IS NOT NULL").groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labels").alias("l"))
         t = tree.join(grown, ["host", "template"], "left")
         on = F.col("seg").isNotNull()
-        tree = C.stored(t.select("host", "shape", "n", "labels", "bad", "template",
+        tree = C.stored(t.select("host", "shape", "n", "labels", "bad", "closed", "template",
                                  F.when(on, smooth(F.col("b"), F.col("l"), F.col("purity"))).otherwise(F.col("purity")).alias("purity"),
                                  F.when(on, F.col("l")).otherwise(F.col("at_labels")).alias("at_labels")), "url-tree")
     return tree.select("host", "shape", "template", "purity", F.col("at_labels").alias("labels"))
@@ -119,9 +137,10 @@ def judge(urls: DataFrame, rules: list[Rule], s: Settings = Settings()) -> DataF
     """
     parsed = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("bad").cast("int").alias("bad"))
     learned = C.stored(templates(parsed, s), "url-templates")
-    near = F.broadcast(learned) if learned.count() <= s.broadcast_shapes else learned
+    size = learned.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.array_join("shape", "/"))), F.lit(0)).alias("chars")).first()
+    near = F.broadcast(learned) if size["n"] <= s.broadcast_shapes and size["chars"] <= s.broadcast_chars else learned
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    named = parsed.withColumn("rule", rule).withColumn("said", verdict).withColumn("shape", shape_of(F.col("path"), s.depth))
+    named = parsed.withColumn("rule", rule).withColumn("said", verdict).withColumn("shape", shape_of(F.col("path")))
     by_method = F.when((F.col("labels") >= s.min_labels) & (F.col("purity") >= s.purity), F.lit("block")).otherwise(F.lit("allow"))
     return named.join(near, ["host", "shape"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("said", by_method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
