@@ -43,6 +43,33 @@ def test_hot_key_spread_and_result_unchanged(spark):
             spark.conf.set(k, v)
 
 
+def test_hot_list_of_any_size_is_a_table(spark, monkeypatch):
+    from tranche.operators import skew as S
+    fact, dim = _frames(spark)
+    fact = fact.withColumn("k", F.when(F.col("k") == 7, F.lit(7)).when(F.col("row") % 3 == 1, F.col("row") % 200 + 100))
+    skew = SkewParams(rows_per_bucket=20)
+    found = find_hot(fact, "k", skew)
+    assert found.count() > 100 and found.inputFiles()             # stored, not a table of the driver
+    plain = fact.join(dim, "k", "left")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled",
+                                          "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(S, "MAX_BROADCAST_KEYS", 2)
+    try:
+        salted = lookup_join(fact, dim, "k", ["row"], skew, hot=found)
+        assert salted.count() == 30000 and salted.exceptAll(plain.select(salted.columns)).count() == 0
+        sizes = [r["count"] for r in S._with_buckets(fact, found.select("k", F.col("_n").cast("int").alias("_hot")), "k")
+                 .groupBy("k", "_hot").count().where("k IS NOT NULL").collect()]
+        assert len(sizes) == found.count() and max(sizes) == 10001
+        parts = salted.where("k = 7").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(parts) >= 8                                        # the hottest key is spread as before
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_null_keys_are_spread(spark):
     fact, dim = _frames(spark)
     fact = fact.withColumn("k", F.when(F.col("row") % 3 != 0, F.col("k")))      # a third of the rows have no key

@@ -77,8 +77,7 @@ class SkewParams:
     """Hot-key handling for joins keyed by company.
 
     A key with at least ``rows_per_bucket`` rows is hot; a table of n rows has
-    at most n / rows_per_bucket of them, so their list is small whatever the
-    data.  A hot key is spread over ``ceil(rows / rows_per_bucket)`` buckets.
+    at most n / rows_per_bucket of them, listed in a stored table.  A hot key is spread over ``ceil(rows / rows_per_bucket)`` buckets.
     Rows with a null key, which match nothing, are spread by their row id.
     """
 

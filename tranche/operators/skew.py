@@ -6,7 +6,10 @@ sends every row of a hot key to one task; here the hot keys are found first
 (``find_hot``: a partial-aggregated count, so the count itself is skew-safe, run
 once per build), and only their fact rows are spread over a number of buckets
 proportional to the key's row count while the matching dimension rows are
-replicated to each bucket.  Rows whose key is null match nothing and are spread
+replicated to each bucket.  The list of hot keys is a table in the shared folder, as
+a low threshold makes it grow with the keys: up to ``MAX_BROADCAST_KEYS`` of them, the
+hottest, are broadcast; the others, each a small part of the rows, are looked up by a
+shuffle join.  Rows whose key is null match nothing and are spread
 by a hash of their row id.  Salts come from that hash, never from ``rand()``, so
 a recomputed task after an executor loss routes the same rows to the same
 buckets.
@@ -17,13 +20,18 @@ buckets.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tranche.config import SkewParams
+from tranche.session import ensure_checkpoint_dir
+from tranche.sources.store import write_and_reload
 
 _SALT = "_salt"
 _HOT = "_hot"
+MAX_BROADCAST_KEYS = 100_000
 
 
 def hot_keys(fact: DataFrame, key: str, skew: SkewParams) -> DataFrame:
@@ -33,11 +41,15 @@ def hot_keys(fact: DataFrame, key: str, skew: SkewParams) -> DataFrame:
     return counts.where(F.col("_n") >= F.lit(skew.rows_per_bucket))
 
 
+def _shared(df: DataFrame, what: str) -> DataFrame:
+    return write_and_reload(df, f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+
+
 def find_hot(fact: DataFrame, key: str, skew: SkewParams) -> DataFrame:
-    """The hot keys, counted now and kept as a local table (at most rows / rows_per_bucket of them)."""
-    found = hot_keys(fact, key, skew) if skew.enabled else fact.select(key, F.lit(0).cast("long").alias("_n")).limit(0)
-    rows = [tuple(r) for r in found.collect()] if skew.enabled else []
-    return fact.sparkSession.createDataFrame(rows, found.schema)
+    """The hot keys, counted now and kept as a table in the shared folder (no key reaches the driver)."""
+    if not skew.enabled:
+        return fact.sparkSession.createDataFrame([], fact.select(key, F.lit(0).cast("long").alias("_n")).schema)
+    return _shared(hot_keys(fact, key, skew), "hot-keys")
 
 
 def salt_buckets(n, skew: SkewParams):
@@ -45,6 +57,17 @@ def salt_buckets(n, skew: SkewParams):
     return F.ceil(n / F.lit(float(skew.rows_per_bucket))).cast("int")
 
 
+def _with_buckets(fact: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``fact`` with the buckets of its key (``_HOT``; null: not hot)."""
+    if row_count_at_most(hot, MAX_BROADCAST_KEYS):
+        return fact.join(F.broadcast(hot), key, "left")
+    top = F.broadcast(_shared(hot.orderBy(F.desc(_HOT), key).limit(MAX_BROADCAST_KEYS), "hottest-keys"))
+    marked = fact.join(top, key, "left")
+    told = F.col(_HOT).isNotNull() | F.col(key).isNull()            # neither the hottest nor null keys are shuffled by key
+    rest = marked.where(~told).drop(_HOT).join(hot.join(top, key, "left_anti"), key, "left")
+    return marked.where(told).unionByName(rest)
+
+
 def lookup_join(fact: DataFrame, dim: DataFrame, key: str, row_id: list[str],
                 skew: SkewParams, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join ``fact`` to ``dim`` (unique per ``key``) with hot keys salted.
@@ -57,13 +80,13 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, row_id: list[str],
         return fact.join(dim, key, how)
     hot_df = hot if hot is not None else find_hot(fact, key, skew)
     nb = F.col(_HOT)
-    hot = F.broadcast(hot_df.select(key, salt_buckets(F.col("_n"), skew).alias(_HOT)))
+    hot = hot_df.select(key, salt_buckets(F.col("_n"), skew).alias(_HOT))
     spread = F.xxhash64(*[F.col(c) for c in row_id])
-    f = (fact.join(hot, key, "left")
+    f = (_with_buckets(fact, hot, key)
          .withColumn(_SALT, F.when(nb.isNotNull(), F.pmod(spread, nb).cast("int"))
                      .when(F.col(key).isNull(), F.hash(spread)).otherwise(F.lit(0)))
          .drop(_HOT))
-    d = (dim.join(hot, key, "left")
+    d = (dim.join(bounded_broadcast(hot, MAX_BROADCAST_KEYS), key, "left")
          .withColumn(_SALT, F.explode(
              F.when(nb.isNotNull(), F.sequence(F.lit(0), nb - 1))
              .otherwise(F.array(F.lit(0)))))
