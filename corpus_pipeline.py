@@ -32,18 +32,25 @@ def _near(df: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component.
+    """One row of each near-duplicate component: the one with the smallest id, rows without an id last.
 
-    Rows that share an id count as one document, of which one row stays.  Rows
-    without an id stay unless another of them has the same text.
+    Rows are told apart by a hash of id and text, so ids may be null or shared by
+    unlike texts.  Of rows equal in both, the one whose other columns hash lowest
+    stays.  Rows without shingles are like no other and all stay.
     """
-    found = C.stored(ngram_join.near_duplicates(docs).select("doc_id", "component_id").where("doc_id IS NOT NULL"), "components")
-    gone = _near(C.stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates"))
-    repeated = _near(C.stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeated-ids"))
-    with_id = docs.where("doc_id IS NOT NULL").join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    once = with_id.join(repeated, with_id["doc_id"] == F.col("__again"), "left_anti")
-    again = with_id.join(repeated, with_id["doc_id"] == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = C.stored(ngram_join.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"))
+                     .where("n_shingles > 0").groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count(F.lit(1)).alias("rows")), "components")
+    ids = keyed.groupBy("__row").agg(F.min("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first")
+    kept = C.stored(found.join(ids, "__row").groupBy("component_id").agg(first).select(F.col("first.__row").alias("__row")), "kept")
+    gone = _near(C.stored(found.join(kept, "__row", "left_anti").select("__row").distinct(), "duplicates"))
+    again = _near(C.stored(found.join(kept, "__row", "left_semi").where("rows > 1").select("__row"), "repeated-rows"))
+    left = keyed.join(gone, "__row", "left_anti")
+    others = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString()]
+    one = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*others)).alias("one")
+    once = left.join(again, "__row", "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(again, "__row", "left_semi").groupBy("__row").agg(one).select("one.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -314,6 +314,17 @@ def test_pipeline_stages(spark, odd_documents, no_documents):
     assert sorted(r["doc_id"] for r in real) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_one_of_each_group_with_null_and_shared_ids(spark):
+    import corpus_pipeline as P2
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(None, text("a"), "x"), (None, text("a").upper(), "y"), (None, text("a").replace(" ", "  "), "z"), (9, text("a"), "x"),
+            (None, text("b"), "x"), (None, text("b") + " more", "x"), (None, "", "x"), (None, None, "x"), (None, "", "x"),
+            (5, text("c"), "x"), (5, text("d"), "x"), (1, text("c") + " more", "x"), (7, text("e"), "x"), (7, text("e"), "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["doc_id"], (r["text"] or "")[:2]) for r in P2.one_of_each_group(spark, docs.repartition(4), SF).collect()]
+    assert sorted(got, key=str) == sorted([(9, "a0"), (None, "b0"), (None, ""), (None, ""), (None, ""), (5, "d0"), (1, "c0"), (7, "e0")], key=str)
+
+
 def test_decontamination_sql(spark):
     import duckdb
     from tranche.llm.queries import ORACLE_SQL
