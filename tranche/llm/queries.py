@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tranche.llm import (chat_format, common as C, decontam, language_id, ngram_join, packing, quality_fm, quality_rules,
+from tranche.llm import (chat_format, common as C, decontam, language_id, merkle, ngram_join, packing, quality_fm, quality_rules,
                          token_files, toxicity, url_filter)
 
 
@@ -93,9 +93,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and the root folded from it; every seventh id is tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(C.table(spark, sf_dir, "documents", *merkle.FIELDS), tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_quality_classifier, op4_language_id, op5_chat_format,
                                    op6_quality_rules, op7_toxicity,
-                                   op8_decontamination, op9_token_files, op10_packing)}
+                                   op8_decontamination, op9_token_files, op10_packing, op12_merkle_manifest)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
@@ -168,3 +175,39 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b
 SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+
+ORACLE_SQL["op12_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce('=' || lang, '') AS g, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail,
+         list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b:
+           list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS crc
+  FROM documents),
+leaf AS (
+  SELECT doc_id, g, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0
+              THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS other FROM d),
+placed AS (SELECT doc_id, g, leaf, coalesce(other, leaf) AS given, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                  count(*) OVER (PARTITION BY g) AS n FROM leaf),
+tree(g, l, i, n, x) AS (
+  SELECT g, 0, i, n, leaf FROM placed
+  UNION ALL SELECT g, l + 1, i // 2, max((n + 1) // 2), sha256(string_agg(x, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY g, l, i // 2),
+sub AS (SELECT g, l AS height, x AS subroot, row_number() OVER (ORDER BY g) - 1 AS j, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown(l, i, n, x) AS (
+  SELECT 0, j, n, subroot FROM sub UNION ALL SELECT l + 1, i // 2, max((n + 1) // 2), sha256(string_agg(x, '' ORDER BY i)) FROM crown WHERE n > 1 GROUP BY l, i // 2),
+steps AS (
+  SELECT p.g, p.i, t.l, (p.i >> t.l) % 2 AS place, o.x FROM placed p JOIN sub USING (g) JOIN (SELECT DISTINCT g, l FROM tree) t ON t.g = p.g AND t.l < height
+    LEFT JOIN tree o ON o.g = p.g AND o.l = t.l AND o.i = xor(p.i >> t.l, 1)
+  UNION ALL
+  SELECT p.g, p.i, height + c.l, (j >> c.l) % 2, o.x FROM placed p JOIN sub USING (g) JOIN (SELECT l, max(n) AS n FROM crown GROUP BY l) c ON c.n > 1
+    LEFT JOIN crown o ON o.l = c.l AND o.i = xor(j >> c.l, 1)),
+folded(g, i, l, x) AS (
+  SELECT g, i, 0, given FROM placed
+  UNION ALL SELECT f.g, f.i, f.l + 1, sha256(CASE WHEN place = 1 THEN coalesce(s.x, '') || f.x ELSE f.x || coalesce(s.x, '') END)
+  FROM folded f JOIN steps s ON s.g = f.g AND s.i = f.i AND s.l = f.l),
+ends AS (SELECT g, i, arg_max(x, l) AS folded_root FROM folded GROUP BY g, i),
+proofs AS (SELECT g, i, string_agg(x, '' ORDER BY l) AS proof FROM steps GROUP BY g, i),
+top AS (SELECT x AS root FROM crown WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN sub USING (g) JOIN ends USING (g, i) LEFT JOIN proofs USING (g, i) CROSS JOIN top
+"""
