@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tranche.llm import (chat_format, common as C, decontam, language_id, merkle, ngram_join, packing, quality_fm, quality_rules,
-                         token_files, toxicity, url_filter)
+from tranche.llm import (chat_format, common as C, decontam, language_id, lexical, merkle, ngram_join, packing, quality_fm, quality_rules,
+                         simhash, token_files, toxicity, url_filter)
 
 
 RULES = [url_filter.Rule("net", "/", "block"), url_filter.Rule("example.net", "/en/", "allow"),
@@ -93,6 +93,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document: three-word shingles, at most 3 bits between linked ones."""
+    found = simhash.near_duplicates(C.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and the root folded from it; every seventh id is tampered with."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -100,9 +106,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's 50 best documents."""
+    return lexical.search(C.table(spark, sf_dir, "documents", "doc_id", "text"), C.table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_quality_classifier, op4_language_id, op5_chat_format,
                                    op6_quality_rules, op7_toxicity,
-                                   op8_decontamination, op9_token_files, op10_packing, op12_merkle_manifest)}
+                                   op8_decontamination, op9_token_files, op10_packing, op11_simhash_dedup, op12_merkle_manifest, op13_lexical_search)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
@@ -211,3 +222,19 @@ top AS (SELECT x AS root FROM crown WHERE n = 1)
 SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM placed JOIN sub USING (g) JOIN ends USING (g, i) LEFT JOIN proofs USING (g, i) CROSS JOIN top
 """
+
+ORACLE_SQL["op13_lexical_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+size AS (SELECT r, doc_id, len(words) AS n FROM d WHERE len(words) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM size),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf CROSS JOIN total GROUP BY term),
+impact AS (SELECT doc_id, r, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length)) AS x
+           FROM tf JOIN size USING (r) CROSS JOIN total),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(w * x) AS BIGINT) AS score FROM item JOIN impact USING (term) JOIN w USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
