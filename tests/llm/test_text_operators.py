@@ -100,6 +100,67 @@ def test_language_of_unseen_words(spark, odd_documents, no_documents):
     assert L.predict(no_documents, model).count() == 0
 
 
+def _brute_language(model, text, s=L.Settings()):
+    """Word by word over plain dictionaries: every language's mean log frequency a word."""
+    plain = {size: {key: {model["langs"][t["lang"][j]]: float(t["log"][j]) for j in range(t["starts"][i], t["starts"][i + 1])}
+                    for key, i in t["numbers"].items()} for size, t in model["tables"].items()}
+    none = {size: dict(zip(model["langs"], map(float, t["none"]))) for size, t in model["tables"].items()}
+    total, n = dict.fromkeys(model["langs"], 0.0), 0
+    for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        n += 1
+        got = {lang: plain[0][w].get(lang, none[0][lang]) for lang in total} if w in plain[0] else None
+        if got:
+            top = max(got.values())
+            got = {lang: x - top for lang, x in got.items()}
+        else:
+            padded = f" {w} "
+            for step, k in enumerate(L.LENGTHS):
+                known = [g for g in (padded[i:i + k] for i in range(len(padded) - k + 1)) if g in plain[k]]
+                if known:
+                    got = {lang: sum(plain[k][g].get(lang, none[k][lang]) for g in known) for lang in total}
+                    top = max(got.values())
+                    got = {lang: (x - top) / len(known) * s.backoff ** (step / 2) for lang, x in got.items()}
+                    break
+        for lang in total:
+            total[lang] += (got or {}).get(lang, 0.0)
+    if not n:
+        return "und", 0.0
+    mean = {lang: x / n for lang, x in total.items()}
+    p = {lang: np.exp(s.sharpness * (x - max(mean.values()))) for lang, x in mean.items()}
+    best = min(mean, key=lambda lang: (-round(mean[lang], 9), lang))
+    return best, p[best] / sum(p.values())
+
+
+def test_language_scores_against_brute_force(spark, odd_documents):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.fit(docs, F.col("doc_id") % 2 == 0)
+    rows = [r["text"] or "" for r in docs.where("doc_id % 2 = 1").limit(30).collect() + odd_documents.collect()]
+    rows += ["½ ²", "① Ⅳ", "x½y", "ŒUVRE straße-weg l'eau"]
+    for settings in (L.Settings(), L.Settings(cache=3)):
+        tell = L.Scorer(model, settings)
+        for text in rows:
+            lang, score = tell(text)
+            want, share = _brute_language(model, text)
+            assert lang == want and score == pytest.approx(share, abs=1e-4)
+    assert tell("½ ²") == tell("① Ⅳ") == ("und", 0.0) and tell("x½y")[0] != "und"
+
+
+def test_three_hundred_languages_and_a_rare_one(spark):
+    """No language is left out, whatever their number and shares; one id with most rows takes one place."""
+    rng = random.Random(8)
+    make = lambda k: " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.choice('xyz')}" for _ in range(12))
+    rows = [(k * 10 + j, make(k), f"l{k:03}") for k in range(300) for j in range(3)]
+    rows += [(10_000, "big big big", "l000")] * 2000 + [(20_000 + i, make(1), "l001") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    s = L.Settings(texts=50, keys=40_000)
+    assert L.learned_texts(docs, F.lit(True), s).groupBy("lang").count().agg(F.max("count")).first()[0] == 50
+    model = L.fit(docs, F.lit(True), s)
+    assert len(model["langs"]) == 300
+    assert sum(len(t["lang"]) for t in model["tables"].values()) <= s.keys
+    tell = L.Scorer(model, s)
+    assert sum(tell(make(k))[0] == f"l{k:03}" for k in range(300)) >= 298
+
+
 def test_counterfactuals_lower_the_weight_of_group_terms():
     rng = random.Random(5)
     plain = "we went to see a house and had some food with friends today".split()

@@ -8,10 +8,19 @@ frequencies; another by the known n-grams of the longest length that has any
 text's log-likelihood per language; the score is the share of the best language
 in a softmax of the mean per word, sharpened by a fixed temperature.
 
-Defined cases: a null text, and one without a letter, is ``und`` with score 0;
-rows are judged one by one; ties go to the language first in the alphabet; a
-null lang is never learned from; with nothing to learn from, every text is
-``und``; an empty table gives an empty result.
+Every language is learned, from at most ``texts`` different labelled texts of it, so a
+rare one counts as much as a common one.  The model is sparse: of each key only the
+languages that have it are stored.  It keeps ``words`` words and ``grams`` n-grams of
+each length a language; with so many languages that this would come to more than
+``keys`` in all, evenly fewer of each.
+
+Defined cases: a null text, and one without a letter (a character that Unicode calls
+a letter; numerals such as the half sign are none), is ``und`` with score 0; rows are
+judged one by one, repeated ones alike; a word ends at white space and at all that is no
+letter; very long texts are read whole, and each distinct token of theirs is scored
+once; ties go to the language first in the alphabet; a null lang is never learned
+from, nor is a row without an id; extra columns are never read; with nothing to learn
+from, every text is ``und``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,117 +40,171 @@ LENGTHS = (5, 4, 3, 2, 1)
 
 @dataclass(frozen=True)
 class Settings:
-    train_rows: int = 12_000       # labelled rows learned from, by hash of the id
+    texts: int = 3_000             # different labelled texts of a language that are learned from, by hash of id and text
     words: int = 20_000            # vocabulary: the commonest words of each language
     grams: int = 8_000             # n-grams kept of each length and language
-    languages: int = 200           # the most frequent languages
+    keys: int = 6_000_000          # words and n-grams of all languages together
     backoff: float = 0.4           # factor for every shorter n-gram length
     sharpness: float = 4.0         # of the softmax over the mean score of a word
-    cache: int = 200_000           # words a worker remembers at most
+    cache: int = 200_000           # tokens a worker remembers, and as many of the time before
+    cached_numbers: int = 8_000_000    # fewer tokens if their scores are more numbers than this
 
 
-def _counts(words_kept: int, flush: int = 400_000):
-    """Per partition: counts of words and of n-grams of distinct words, by language."""
+def words_of(token: str) -> list[str]:
+    """The words of a token (what stands between white space): lower-cased runs of letters."""
+    low = token.lower()
+    return [low] if low.isalpha() else "".join(c if c.isalpha() else " " for c in low).split()
 
-    def run(batches):
-        words: dict = defaultdict(Counter)
-
-        def rows():
-            out = []
-            for lang, c in words.items():
-                out.append((lang, 0, "", sum(c.values())))
-                grams: Counter = Counter()
-                for w, n in c.items():
-                    out.append((lang, 0, w, n))
-                    padded = f" {w} "
-                    for k in LENGTHS:
-                        for i in range(len(padded) - k + 1):
-                            grams[k, padded[i:i + k]] += 1
-                out += [(lang, k, g, n) for (k, g), n in grams.items()]
-            words.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))],
-                names=["lang", "size", "key", "n"])
 
+def tokens_of(text: str) -> Counter:
+    return Counter(text.split())
+
+
+def _word_counts(flush: int = 200_000):
+    """(lang, word, n) of the texts of a partition."""
+
+    def rows(held):
+        out = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],
+                                          names=["lang", "word", "n"])
+
+    def run(batches):
+        held: dict = defaultdict(Counter)
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), C.texts(batch)):
-                words[lang].update(C.LETTERS.findall(text.lower()))
-            if sum(map(len, words.values())) > flush:
-                yield rows()
-        yield rows()
+            for few in C.slices(batch):
+                for lang, text in zip(few.column("lang").to_pylist(), C.texts(few)):
+                    for token, n in tokens_of(text).items():
+                        for w in words_of(token):
+                            held[lang][w] += n
+                if sum(map(len, held.values())) > flush:
+                    yield rows(held)
+                    held.clear()
+        yield rows(held)
 
     return run
 
 
+def _gram_counts(batches):
+    """(lang, size, key, n): n-grams of words (lang, word), each word counted once."""
+    for batch in batches:
+        held: Counter = Counter()
+        for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist()):
+            padded = f" {word} "
+            held.update((lang, k, padded[i:i + k]) for k in LENGTHS for i in range(len(padded) - k + 1))
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in held], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))]
+                                         + [pa.array(list(held.values()), pa.int64())], names=["lang", "size", "key", "n"])
+
+
+def learned_texts(documents: DataFrame, learn: Column, s: Settings) -> DataFrame:
+    """(lang, text) of at most ``texts`` different (doc_id, text) of each language, those of the smallest hashes.
+
+    Chosen on narrow rows; equal rows count once, so one id or text that holds
+    many rows takes one place.
+    """
+    labelled = (documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learn)
+                .select("doc_id", "lang", "text", F.xxhash64("text").alias("of_text")))
+    key = ["lang", "doc_id", "of_text"]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "of_text"), "doc_id", "of_text"))
+    chosen = C.stored(labelled.select(*key).distinct().withColumn("place", place).where(F.col("place") <= s.texts).drop("place"), "learned-ids")
+    if chosen.limit(500_001).count() <= 500_000:
+        chosen = F.broadcast(chosen)
+    return labelled.join(chosen, key, "left_semi").dropDuplicates(key).select("lang", "text")
+
+
 def fit(documents: DataFrame, learn: Column, settings: Settings = Settings()) -> dict:
     """The model from (doc_id, text, lang) rows where ``learn`` holds and lang is not null.
 
-    Counting is distributed; the driver receives only the top words and n-grams
-    of each language, sizes that ``settings`` bound.
+    Counting is distributed; the driver receives the commonest words and n-grams of
+    each language, ``settings.keys`` at most.  For each length (0: words) the model has a
+    number for each key, and of each key its languages and log frequencies.
     """
     C.ship(documents.sparkSession)
-    labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    ids = (labelled.select("doc_id").where("doc_id IS NOT NULL").distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.train_rows))
-    sample = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
-    counts = C.stored(sample.mapInArrow(_counts(settings.words), "lang string, size int, key string, n long")
-                      .groupBy("lang", "size", "key").agg(F.sum("n").alias("n")), "language-counts")
-    langs = [r["lang"] for r in counts.where("size = 0 AND key = '' AND n > 0").orderBy(F.desc("n"), "lang")
-             .limit(settings.languages).collect()]
-    langs.sort()
-    top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "key")
-    rows = (counts.where(F.col("lang").isin(langs) & (F.col("key") != "")).withColumn("rank", F.row_number().over(top))
-            .where(F.col("rank") <= F.when(F.col("size") == 0, settings.words).otherwise(settings.grams))
-            .select("lang", "size", "key", "n").toArrow().to_pylist() if langs else [])
-    at = {lang: i for i, lang in enumerate(langs)}
-    tables: dict[int, dict[str, np.ndarray]] = {k: {} for k in (0, *LENGTHS)}
-    for r in rows:
-        tables[r["size"]].setdefault(r["key"], np.zeros(len(langs)))[at[r["lang"]]] += r["n"]
-    for table in tables.values():                  # counts to log frequencies, half a count for none
-        total = sum(table.values(), np.zeros(len(langs))) + 0.5 * len(table) + 1e-9
-        for key, n in table.items():
-            table[key] = np.log((n + 0.5) / total).astype(np.float32)
-    return {"langs": langs, "tables": tables}
+    words = C.stored(learned_texts(documents, learn, settings).mapInArrow(_word_counts(), "lang string, word string, n long")
+                     .groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    model: dict = {"langs": langs, "tables": {}}
+    grams = C.stored(words.mapInArrow(_gram_counts, "lang string, size int, key string, n long")
+                     .groupBy("lang", "size", "key").agg(F.sum("n").alias("n")), "language-grams")
+    fit_in = min(1.0, settings.keys / max(1, len(langs) * (settings.words + len(LENGTHS) * settings.grams)))
+    place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "key"))
+
+    def top(counts: DataFrame, most: int) -> list[dict]:
+        kept = counts.withColumn("place", place).where(F.col("place") <= max(1, int(most * fit_in)))
+        return kept.select("lang", "size", "key", "n").toArrow().to_pylist()
+
+    found = (top(words.select("lang", F.lit(0).alias("size"), F.col("word").alias("key"), "n"), settings.words)
+             + top(grams, settings.grams)) if langs else []
+    at, by_size = {lang: i for i, lang in enumerate(langs)}, defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["key"], r["lang"])):
+        by_size[r["size"]].append(r)
+    for size in (0, *LENGTHS):                     # counts to log frequencies, half a count for none
+        rows = by_size[size]
+        numbers = {key: i for i, key in enumerate(dict.fromkeys(r["key"] for r in rows))}
+        lang, n = np.array([at[r["lang"]] for r in rows], np.int32), np.array([r["n"] for r in rows], np.float64)
+        total = np.bincount(lang, n, len(langs)) + 0.5 * len(numbers) + 1e-9
+        starts = np.searchsorted(np.array([numbers[r["key"]] for r in rows]), np.arange(len(numbers) + 1))
+        model["tables"][size] = {"numbers": numbers, "starts": starts, "lang": lang,
+                                 "log": np.log((n + 0.5) / total[lang]).astype(np.float32), "none": np.log(0.5 / total).astype(np.float32)}
+    return model
 
 
 class Scorer:
-    """Scores texts; remembers the score rows of words, up to a bound."""
+    """Scores texts; remembers the score rows of tokens, up to a bound: those used last, and those of the time before."""
 
     def __init__(self, model: dict, settings: Settings):
         self.langs, self.tables, self.s = model["langs"], model["tables"], settings
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.langs)), np.float32)
+        self.bound = max(1, min(settings.cache, settings.cached_numbers // (len(self.langs) + 1)))
+        self.at, self.rows = {}, np.zeros((1024, len(self.langs) + 1))
+        self.at_before, self.rows_before = {}, self.rows
+
+    def _row(self, size: int, key: str) -> np.ndarray | None:
+        table = self.tables[size]
+        i = table["numbers"].get(key)
+        if i is None:
+            return None
+        row, some = table["none"].copy(), slice(table["starts"][i], table["starts"][i + 1])
+        row[table["lang"][some]] = table["log"][some]
+        return row
 
     def word(self, w: str) -> np.ndarray:
-        known = self.tables[0].get(w)
+        known = self._row(0, w)
         if known is not None:
             return known - known.max()
         padded = f" {w} "
         for step, k in enumerate(LENGTHS):
-            table = self.tables[k]
-            found = [table[g] for g in (padded[i:i + k] for i in range(len(padded) - k + 1)) if g in table]
+            found = [row for i in range(len(padded) - k + 1) if (row := self._row(k, padded[i:i + k])) is not None]
             if found:
                 row = np.sum(found, axis=0)
                 return (row - row.max()) / len(found) * self.s.backoff ** (step / 2)
         return np.zeros(len(self.langs), np.float32)
 
-    def place(self, w: str) -> int:
+    def _place(self, token: str) -> int:
         i = len(self.at)
         if i == len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.word(w)
-        self.at[w] = i
+        before = self.at_before.pop(token, None)
+        if before is not None:
+            self.rows[i] = self.rows_before[before]
+        else:
+            words = words_of(token)
+            self.rows[i] = 0
+            for w in words:
+                self.rows[i, :-1] += self.word(w)
+            self.rows[i, -1] = len(words)                # the last column counts words
+        self.at[token] = i
         return i
 
     def __call__(self, text: str) -> tuple[str, float]:
-        words = C.LETTERS.findall(text.lower())
-        if not words or not self.langs:
+        if not self.langs:
+            return UND, 0.0
+        if len(self.at) > self.bound:
+            self.at_before, self.rows_before, self.at, self.rows = self.at, self.rows, {}, np.zeros_like(self.rows[:1024])
+        counts, at, place = tokens_of(text), self.at, self._place
+        idx = [at[t] if t in at else place(t) for t in counts]
+        total = np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows[idx] if idx else np.zeros(len(self.langs) + 1)
+        if not total[-1]:
             return UND, 0.0
-        if len(self.at) > self.s.cache:
-            self.at.clear()
-        at = self.at
-        idx = [at[w] if w in at else self.place(w) for w in words]
-        mean = self.rows[idx].mean(axis=0, dtype=np.float64)
+        mean = total[:-1] / total[-1]
         p = np.exp(self.s.sharpness * (mean - mean.max()))
         best = int(np.argmax(p))
         return self.langs[best], float(p[best] / p.sum())
