@@ -11,7 +11,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-SQL_QUERIES = [q for q, v in QUERIES.items() if v.sql is not None and not q.startswith(("a14", "j1"))]
+SQL_QUERIES = [q for q, v in QUERIES.items() if v.sql is not None and not q.startswith(("a14", "j1", "s8"))]
 
 
 @pytest.mark.parametrize("qid", SQL_QUERIES)
@@ -52,3 +52,49 @@ def test_series_skips_unused_joins(spark):
     """Series needs no lineitem or customer column: both joins are gone."""
     p = plan(QUERIES["b5_monthly_series"].spark(Tables(spark, SF_SMALL)))
     assert "lineitem" not in p and "customer" not in p
+
+
+def jobs_of(spark, build) -> int:
+    """Spark jobs that ``build`` starts."""
+    sc, group = spark.sparkContext, f"jobs-{id(build)}"
+    sc.setJobGroup(group, "counted")
+    try:
+        build()
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setJobGroup("other", "not counted")
+
+
+@pytest.mark.parametrize("qid, most", [("b1_agreements", 2), ("b2_companies", 2), ("b4_expected_receipts", 4), ("b12_alerts", 4),
+                                       ("k15_region_ranking", 2), ("b5_monthly_series", 0), ("b1_agreements_salted", 4)])
+def test_planning_starts_few_jobs(spark, qid, most):
+    """Hot companies are counted once for a set of tables; nothing else runs before the action."""
+    assert jobs_of(spark, lambda: QUERIES[qid].spark(Tables(spark, SF_SMALL))) <= most
+
+
+def test_a_company_view_counts_no_hot_companies(spark):
+    t = Tables(spark, SF_SMALL)
+    view = t.for_companies(["00000001"])
+    assert view.alerts.count() >= 0 and view.receipts.count() >= 0 and "hot" not in t._memo and "hot" not in view._memo
+
+
+def test_company_key_reaches_the_scans(spark):
+    p = plan(Tables(spark, SF_SMALL).for_companies(["00000007"]).agreements)
+    assert "EqualTo(o_custkey,7)" in p and "EqualTo(c_custkey,7)" in p
+    lines = next(x for x in p.splitlines() if "lineitem" in x)
+    before = p[:p.index(lines)]
+    assert "LeftSemi" in before                        # lines are met by the company's orders before they are grouped
+    assert before.rindex("LeftSemi") > before.rindex("HashAggregate")
+
+
+def test_region_top_reads_few_columns_then_few_rows(spark):
+    t = Tables(spark, SF_SMALL)
+    region = QUERIES["k2_regions_by_value"].spark(t).first()["cd_gerfe"]
+    p = plan(t.region_agreements(region, 500))
+    lines = next(x for x in p.splitlines() if "lineitem" in x)
+    assert "PushedFilters: [IsNotNull(l_orderkey), " in lines or "l_orderkey" in lines.split("DataFilters")[1].split("Format")[0]
+
+
+def test_year_reaches_the_scan(spark):
+    p = plan(QUERIES["p7_series_year"].spark(Tables(spark, SF_SMALL)))
+    assert "GreaterThanOrEqual(o_orderdate,2000-01-01" in p and "LessThan(o_orderdate,2001-01-01" in p

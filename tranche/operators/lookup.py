@@ -1,9 +1,9 @@
 """Drill-downs: J1 (region agreements), J2 (company profile), P12, W4,
 K10, K11, K19.
 
-Lookups by one key are filters, pushed into the parquet scan.  J1 takes its
-top 500 first and only then joins the scores of those <= 500 companies, so
-both broadcasts are bounded by the limit, not by the data.
+Lookups by one key are filters by a literal, pushed into the parquet scans
+(``Tables.for_companies``, ``Tables.top_of_region``).  J1 finds its top 500 first and
+reads everything else for those agreements and their companies only.
 """
 
 from __future__ import annotations
@@ -17,79 +17,43 @@ J1_COLUMNS = ["num_parcelamento", "cnpj", "razao_social", "categoria_parcelament
               "valor_parcelado", "num_parcelas", "dt_pedido"]
 
 
-def region_agreements(agreements: DataFrame, scores, cd_gerfe, limit: int = 500) -> DataFrame:
-    """A region's agreements with company score, value desc, top ``limit``.
-
-    ``scores`` is the score table, or a function ``keys -> scores of those
-    companies`` (so only the <= ``limit`` companies shown get scored)."""
-    from tranche.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(agreements.sparkSession)
-    order = [F.col("valor_parcelado").desc_nulls_last(), F.col("num_parcelamento").asc()]
-    # <= limit rows, used twice (its companies, then the output): computed once
-    top = (agreements.where(F.col("cd_gerfe") == F.lit(cd_gerfe))
-           .select(*J1_COLUMNS, "cnpj_raiz").orderBy(*order).limit(limit)).checkpoint()
-    keys = top.select("cnpj_raiz").where(F.col("cnpj_raiz").isNotNull()).distinct()
-    if callable(scores):
-        sc = scores(keys).select("cnpj_raiz", "score_risco_final", "classificacao_risco")
-    else:
-        sc = (scores.select("cnpj_raiz", "score_risco_final", "classificacao_risco")
-              .join(F.broadcast(keys), "cnpj_raiz", "left_semi"))      # <= limit rows
-    return (top.join(F.broadcast(sc), "cnpj_raiz", "left")
-            .select(*J1_COLUMNS, "score_risco_final", "classificacao_risco")
-            .orderBy(*order))
-
-
-def by_company(df: DataFrame, cnpj_raiz: str) -> DataFrame:
-    """Equality filter on the company key (a literal, never pasted SQL)."""
-    return df.where(F.col("cnpj_raiz") == F.lit(cnpj_raiz))
-
+def j1_order() -> list:
+    return [F.col("valor_parcelado").desc_nulls_last(), F.col("num_parcelamento").asc()]
 
-def pick_companies(scores: DataFrame, n: int = 1) -> DataFrame:
-    """The first ``n`` companies in score order (key as tie-breaker).
 
-    Checkpointed (``n`` rows): the pick feeds several filters and must not
-    re-rank every company for each of them."""
-    from tranche.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(scores.sparkSession)
-    return (scores.orderBy(F.col("score_risco_final").desc_nulls_last(), F.col("cnpj_raiz").asc())
-            .limit(n).select("cnpj_raiz")).checkpoint()
+def region_agreements(top: DataFrame, scores: DataFrame) -> DataFrame:
+    """A region's largest agreements with company score, value desc.
 
-
-def semi(df: DataFrame, keys: DataFrame, key: str = "cnpj_raiz") -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in the bounded ``keys`` (broadcast
-    semi-join), columns kept in ``df``'s order."""
-    return df.join(F.broadcast(keys.select(key)), key, "left_semi").select(*df.columns)
+    ``top`` is the bounded list of them, ``scores`` holds their companies at most."""
+    sc = scores.select("cnpj_raiz", "score_risco_final", "classificacao_risco")
+    return (top.join(F.broadcast(sc), "cnpj_raiz", "left")
+            .select(*J1_COLUMNS, "score_risco_final", "classificacao_risco")
+            .orderBy(*j1_order()))
 
 
-def for_companies(df: DataFrame, picked: DataFrame | None) -> DataFrame:
-    """Rows of ``df`` for a picked, bounded set of companies; ``None`` when
-    ``df`` is already restricted."""
-    return df if picked is None else semi(df, picked)
+def pick_companies(scores: DataFrame, n: int = 1) -> list[str]:
+    """The first ``n`` companies in score order (key as tie-breaker), as a drill-down's parameter."""
+    rows = (scores.orderBy(F.col("score_risco_final").desc_nulls_last(), F.col("cnpj_raiz").asc())
+            .limit(n).select("cnpj_raiz").collect())
+    return [r["cnpj_raiz"] for r in rows]
 
 
-def company_profile(companies_df: DataFrame, scores: DataFrame, picked: DataFrame | None) -> DataFrame:
-    """Company row + its score components, for the picked companies."""
-    c = for_companies(companies_df, picked)
-    s = for_companies(scores, picked).select(
+def company_profile(companies_df: DataFrame, scores: DataFrame) -> DataFrame:
+    """Company row + its score components (tables of a company view)."""
+    s = scores.select(
         "cnpj_raiz", "score_historico_cancelamento", "score_recencia", "score_valor_risco",
         "score_reincidencia", "score_comportamento", "score_risco_final", "classificacao_risco")
-    return c.join(s, "cnpj_raiz", "left").withColumn("faixa_sucesso", X.success_band("taxa_sucesso_pct"))
+    return companies_df.join(s, "cnpj_raiz", "left").withColumn("faixa_sucesso", X.success_band("taxa_sucesso_pct"))
 
 
-def company_agreements(agreements: DataFrame, picked: DataFrame | None) -> DataFrame:
+def company_agreements(agreements: DataFrame) -> DataFrame:
     """The company's agreements, newest first."""
-    return (for_companies(agreements, picked)
-            .orderBy(F.col("dt_pedido").desc_nulls_last(), F.col("num_parcelamento").desc()))
+    return agreements.orderBy(F.col("dt_pedido").desc_nulls_last(), F.col("num_parcelamento").desc())
 
 
-def company_alerts(alerts_df: DataFrame, picked: DataFrame | None) -> DataFrame:
+def company_alerts(alerts_df: DataFrame) -> DataFrame:
     """The company's alerts by priority."""
-    return for_companies(alerts_df, picked).orderBy("prioridade", "num_parcelamento")
-
-
-def company_receipts(receipts: DataFrame, picked: DataFrame | None) -> DataFrame:
-    """The company's expected receipts."""
-    return for_companies(receipts, picked)
+    return alerts_df.orderBy("prioridade", "num_parcelamento")
 
 
 def company_timeline(agreements_of_company: DataFrame) -> DataFrame:
@@ -99,8 +63,8 @@ def company_timeline(agreements_of_company: DataFrame) -> DataFrame:
         X.plus_days("dt_pedido", 30).alias("fim"), "desc_status", "valor_parcelado", "num_parcelas")
 
 
-def company_picker(scores: DataFrame, pool: int = 500, shown: int = 200) -> DataFrame:
-    """K19 + F8: labels of the first ``shown`` of the top ``pool`` companies by score."""
-    top = scores.orderBy(F.col("score_risco_final").desc_nulls_last(), F.col("cnpj_raiz").asc()).limit(min(pool, shown))
+def company_picker(scores: DataFrame, shown: int = 200) -> DataFrame:
+    """K19 + F8: labels of the first ``shown`` companies by score."""
+    top = scores.orderBy(F.col("score_risco_final").desc_nulls_last(), F.col("cnpj_raiz").asc()).limit(shown)
     return top.select("cnpj_raiz", "score_risco_final",
                       X.company_label("razao_social", "cnpj", "score_risco_final").alias("rotulo"))

@@ -45,6 +45,12 @@ def monthly_series(agreements: DataFrame, categories: list[str] | None = None) -
         X.success_rate(F.col("qtd_quitados"), F.col("qtd_cancelados")).alias("taxa_sucesso_pct"))
 
 
+def requested_in(agreements: DataFrame, year: int) -> DataFrame:
+    """Agreements requested in a year, as a range that reaches the scan of the requests' dates."""
+    return agreements.where((F.col("dt_pedido") >= F.lit(f"{year:04}-01-01").cast("timestamp_ntz"))
+                            & (F.col("dt_pedido") < F.lit(f"{year + 1:04}-01-01").cast("timestamp_ntz")))
+
+
 def filter_year(series: DataFrame, year: int | None = None) -> DataFrame:
     """Year filter; ``None`` is the "all years" sentinel."""
     return series if year is None else series.where(F.col("ano_pedido") == year)
@@ -77,6 +83,13 @@ def series_category_long(series: DataFrame) -> DataFrame:
                      "categoria", "quantidade"))
 
 
+def series_values_long(series: DataFrame) -> DataFrame:
+    """The value lines (millions, settled and cancelled), wide -> long."""
+    return (series_values(series)
+            .select("periodo_pedido", F.col("valor_quitado_mi").alias("QUITADO"), F.col("valor_cancelado_mi").alias("CANCELADO"))
+            .unpivot(["periodo_pedido"], ["QUITADO", "CANCELADO"], "serie", "valor_mi"))
+
+
 def series_values(series: DataFrame) -> DataFrame:
     """Value lines in millions and ticket in thousands (time page)."""
     return series.select(

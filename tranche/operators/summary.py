@@ -39,11 +39,12 @@ def _msum(c) -> F.Column:
 
 
 def executive_summary(agreements: DataFrame, companies_df: DataFrame,
-                      params: C.Params = C.DEFAULT, hot: DataFrame | None = None) -> DataFrame:
+                      params: C.Params = C.DEFAULT, sides: list | None = None) -> DataFrame:
     """T13 in three passes: (1) one aggregate over the agreements, recovery
     counts included; (2) one over the scored companies; (3) one over the
     active/pending agreements joined to their company score, which feeds both
-    the receipts sums (B4 rules) and the alert counts (B12 rules)."""
+    the receipts sums (B4 rules) and the alert counts (B12 rules).  ``sides``: the
+    agreements in parts, each with the way its company join goes (skew.py)."""
     st, v, cat = F.col("cd_status"), F.col("valor_parcelado"), F.col("categoria_parcelamento")
     rec = RV.recovery_predicate(params)
     p1 = agreements.agg(
@@ -80,10 +81,15 @@ def executive_summary(agreements: DataFrame, companies_df: DataFrame,
         F.count_if(cls == "CRÍTICO").alias("empresas_risco_critico"),
         _msum(F.when(score >= params.high_risk_score, F.col("valor_ativos"))).alias("valor_empresas_alto_risco"),
         F.count_if(cls == "ALTO").alias("empresas_risco_alto"))
-    cand = (agreements.where(F.col("cd_status").isin(*AL.CANDIDATE_STATUS))
-            .select("num_parcelamento", "cnpj_raiz", "cd_status", "valor_parcelado", "num_parcelas", "dt_pedido"))
-    j = lookup_join(cand, scored.select(*AL.SCORE_COLUMNS), "cnpj_raiz", ["num_parcelamento"],
-                    params.skew, hot=hot).withColumn("risco_empresa", F.col("classificacao_risco"))
+    of_company = scored.select(*AL.SCORE_COLUMNS)
+
+    def candidates(part: DataFrame, hot) -> DataFrame:
+        cand = (part.where(F.col("cd_status").isin(*AL.CANDIDATE_STATUS))
+                .select("num_parcelamento", "cnpj_raiz", "cd_status", "valor_parcelado", "num_parcelas", "dt_pedido"))
+        return lookup_join(cand, of_company, "cnpj_raiz", ["num_parcelamento"], params.skew, hot=hot)
+
+    j = reduce(DataFrame.unionByName, [candidates(*side) for side in sides or [(agreements, None)]])
+    j = j.withColumn("risco_empresa", F.col("classificacao_risco"))
     in_receipts, kind = RC.receipt_filter(params), AL.alert_type(params)
     g3, g12 = RC.gross_expectation(3, params), RC.gross_expectation(12, params)
     p3 = j.agg(

@@ -1,10 +1,4 @@
-"""Query catalogue: the derived-table bundle (S3) and every registered query.
-
-``Tables`` builds T1-T13 lazily for one source folder.  Each property is a
-lazy ``DataFrame`` memoised on the instance, so a query that uses T1 twice
-hands Spark one logical subtree (and one set of exchanges to reuse).
-``Tables.materialize`` writes them to the shared checkpoint folder instead
-(S8), cutting lineage before the many downstream reports.
+"""Query catalogue: every registered query.
 
 ``QUERIES`` maps a query id to ``(spark_fn, oracle_sql)``; ``spark_fn`` takes a
 ``Tables`` and returns a DataFrame, ``oracle_sql`` is DuckDB SQL over the raw
@@ -14,11 +8,10 @@ tables (None where the operator is not SQL-expressible, e.g. the model).
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tranche import config as C
@@ -34,157 +27,7 @@ from tranche.operators import risk as RK
 from tranche.operators import series as SE
 from tranche.operators import summary as SU
 from tranche.plans import oracle as O
-from tranche.sources import testdata
-
-
-class Tables:
-    """Lazy T1-T13 for one source folder (S3: the dashboard bundle)."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.params = params
-        self._memo: dict[str, DataFrame] = {}
-        self._stored: set[str] = set()
-
-    def _get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self._memo:
-            self._memo[name] = build()
-        return self._memo[name]
-
-    @property
-    def hot_customers(self):
-        """Hot company keys, computed once and shared by every company-keyed join."""
-        return self._get("hot_customers", lambda: testdata.hot_customers(self.spark, self.sf_dir, self.params))
-
-    @property
-    def hot_companies(self):
-        return self._get("hot_companies", lambda: testdata.hot_companies(self.hot_customers))
-
-    @property
-    def agreements(self):
-        return self._get("agreements", lambda: testdata.agreements(
-            self.spark, self.sf_dir, self.params, hot_cust=self.hot_customers))
-
-    @property
-    def agreements_core(self):
-        """T1 minus company attributes (no orders -> customer join)."""
-        return self._get("agreements_core", lambda: testdata.agreements_core(self.spark, self.sf_dir))
-
-    @property
-    def company_rollup(self):
-        return self._get("company_rollup", lambda: CO.company_rollup(self.agreements, self.params))
-
-    @property
-    def companies(self):
-        return self._get("companies", lambda: CO.companies(self.agreements, self.params, self.company_rollup))
-
-    @property
-    def scores(self):
-        return self._get("scores", lambda: CO.company_scores(self.companies))
-
-    @property
-    def receipts(self):
-        return self._get("receipts", lambda: RC.expected_receipts(
-            self.agreements_core, self.scores, self.params, hot=self.hot_companies))
-
-    @property
-    def series(self):
-        return self._get("series", lambda: SE.monthly_series(self.agreements_core))
-
-    @property
-    def region(self):
-        return self._get("region", lambda: G.region_metrics(
-            self.agreements, self.scores, self.params, self.company_rollup))
-
-    @property
-    def sector(self):
-        return self._get("sector", lambda: G.sector_metrics(
-            self.agreements, self.scores, self.params, self.company_rollup))
-
-    @property
-    def activity(self):
-        return self._get("activity", lambda: G.activity_metrics(
-            self.agreements, self.scores, self.params, self.company_rollup))
-
-    @property
-    def band(self):
-        return self._get("band", lambda: G.band_metrics(self.agreements_core, self.scores, self.params))
-
-    @property
-    def programme(self):
-        return self._get("programme", lambda: G.programme_metrics(self.agreements_core, self.scores, self.params))
-
-    @property
-    def recovery(self):
-        return self._get("recovery", lambda: RV.recovery_agreements(self.agreements_core, self.params))
-
-    @property
-    def alerts(self):
-        return self._get("alerts", lambda: AL.alerts(
-            self.agreements_core, self.scores, self.params, hot=self.hot_companies))
-
-    @property
-    def summary(self):
-        return self._get("summary", lambda: SU.executive_summary(
-            self.agreements_core, self.companies, self.params, hot=self.hot_companies))
-
-    PER_COMPANY = ("agreements", "agreements_core", "company_rollup", "companies", "scores",
-                   "receipts", "alerts")
-
-    def restricted(self, keys: DataFrame) -> "Tables":
-        """A view for a bounded set of companies (``keys``: one column
-        ``cnpj_raiz``, a few hundred rows at most, broadcast).
-
-        Its agreements are semi-joined to the keys, so every per-company table
-        (companies, scores, receipts, alerts) is computed for those companies
-        only, which is exact: each depends on its own company's agreements
-        alone.  Stored tables are filtered instead.  Aggregates across
-        companies (region, series, summary) are not meaningful on the view."""
-        sub = Tables(self.spark, self.sf_dir, self.params)
-        sub._memo["hot_customers"] = self.hot_customers
-        sub._memo["hot_companies"] = self.hot_companies
-        for n in self.PER_COMPANY:
-            if n in self._stored:
-                sub._memo[n] = LK.semi(self._memo[n], keys)
-                sub._stored.add(n)
-        if "agreements" not in self._stored:
-            # push the key list down to the source scans, before any join
-            cust = testdata.customers_of(keys)
-            sub._memo["agreements"] = testdata.agreements(
-                self.spark, self.sf_dir, self.params, hot_cust=self.hot_customers, customers=cust)
-            sub._memo["agreements_core"] = testdata.agreements_core(self.spark, self.sf_dir, customers=cust)
-        return sub
-
-    def scores_for(self, keys: DataFrame) -> DataFrame:
-        """Scores of a bounded set of companies (see ``restricted``)."""
-        return self.restricted(keys).scores
-
-    TABLE_NAMES = ("agreements", "agreements_core", "company_rollup", "companies", "scores", "receipts",
-                   "series", "region", "sector", "activity", "band", "programme", "recovery", "alerts",
-                   "summary")
-
-    def materialize(self, out_dir: str | None = None, names=TABLE_NAMES) -> "Tables":
-        """Write each table once (in dependency order) and read it back.
-
-        ``out_dir`` defaults to a new folder of this build under the session's
-        shared checkpoint directory, so a lost executor never loses a finished
-        table, and builds of other sources or runs never overwrite each other."""
-        from tranche.sources.store import write_and_reload
-        from tranche.session import ensure_checkpoint_dir
-        from tranche.operators.skew import find_hot
-        base = out_dir or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
-        for n in names:
-            if n == "agreements_core" and "agreements" in names:
-                self._memo[n] = self._memo["agreements"]   # the stored T1 is a superset
-                self._stored.add(n)
-                continue
-            df = getattr(self, n)
-            self._memo[n] = write_and_reload(df, f"{base}/{n}")
-            self._stored.add(n)
-            if n == "agreements":
-                # later joins take their hot companies from the stored T1
-                self._memo["hot_companies"] = find_hot(self._memo[n], "cnpj_raiz", self.params.skew)
-        return self
+from tranche.plans.tables import Tables
 
 
 @dataclass(frozen=True)
@@ -276,14 +119,10 @@ def _b1s(t):
 
 def _branched(t: Tables) -> Tables:
     """Companies with up to three branches each, in two sectors, told by the agreement's number."""
-    out = Tables(t.spark, t.sf_dir, t.params)
-    out._memo["hot_customers"] = t.hot_customers
     n = F.col("num_parcelamento")
-    out._memo["agreements"] = (t.agreements
-                               .withColumn("cnpj", F.concat("cnpj_raiz", F.lit("000"), (1 + n % 3).cast("string"), F.lit("00")))
-                               .withColumn("ges", F.when(n % 2 == 0, F.col("ges")).otherwise(F.lit("FILIAL"))))
-    out._memo["agreements_core"] = out._memo["agreements"]
-    return out
+    return t.with_agreements(t.agreements
+                             .withColumn("cnpj", F.concat("cnpj_raiz", F.lit("000"), (1 + n % 3).cast("string"), F.lit("00")))
+                             .withColumn("ges", F.when(n % 2 == 0, F.col("ges")).otherwise(F.lit("FILIAL"))))
 
 
 def _branched_sql(sql: str) -> str:
@@ -419,7 +258,7 @@ def _p6(t):
 
 @q("p7_series_year", W("series") + "SELECT * FROM series WHERE ano_pedido = 2000", "P7: one year of the series")
 def _p7(t):
-    return SE.filter_year(t.series, 2000)
+    return t.series_of(2000)
 
 
 def _p7c(t):
@@ -758,6 +597,14 @@ def _p16(t):
     return SE.series_values(t.series)
 
 
+@q("u4_series_values_long", W("series") + """
+SELECT periodo_pedido, serie, valor_mi FROM (
+  SELECT periodo_pedido, CAST(valor_quitado AS DOUBLE) / 1e6 AS "QUITADO", CAST(valor_cancelado AS DOUBLE) / 1e6 AS "CANCELADO" FROM series) t
+UNPIVOT INCLUDE NULLS (valor_mi FOR serie IN ("QUITADO", "CANCELADO"))""", "U4/P16: value lines, long")
+def _u4v(t):
+    return SE.series_values_long(t.series)
+
+
 @q("p19_receipts_gap", W("summary") + f"""
 SELECT CAST(CASE WHEN g3 > 0 THEN g3 END AS {O.MONEY}) AS gap_3_meses,
        CASE WHEN g3 > 0 THEN '-' || {O.brl_mm('g3')} || ' em risco' END AS gap_3_meses_texto,
@@ -791,12 +638,12 @@ WHERE a.cd_gerfe = {_TOP_REGION}
 ORDER BY a.valor_parcelado DESC NULLS LAST, a.num_parcelamento LIMIT 500""",
    "J1/P3/P5/K12: top-value region's agreements with scores")
 def _j1(t):
-    return LK.region_agreements(t.agreements, t.scores_for, _top_region(t), 500)
+    return t.region_agreements(_top_region(t), 500)
 
 
 def _picked(t: Tables) -> Tables:
     """The drill-down view of the highest-risk company (J2's parameter)."""
-    return t.restricted(LK.pick_companies(t.scores, 1))
+    return t.for_companies(LK.pick_companies(t.scores, 1))
 
 
 @q("j2_company_profile", W("companies", "scores") + f"""
@@ -808,27 +655,27 @@ FROM companies c LEFT JOIN scores s ON s.cnpj_raiz = c.cnpj_raiz
 WHERE c.cnpj_raiz = {_TOP_COMPANY}""", "J2/P4: profile of the highest-risk company")
 def _j2(t):
     v = _picked(t)
-    return LK.company_profile(v.companies, v.scores, None)
+    return LK.company_profile(v.companies, v.scores)
 
 
 @q("k10_company_agreements", W("agreements", "scores") + f"""
 SELECT * FROM agreements WHERE cnpj_raiz = {_TOP_COMPANY} ORDER BY dt_pedido DESC NULLS LAST, num_parcelamento DESC""",
    "J2/K10: the company's agreements, newest first")
 def _k10(t):
-    return LK.company_agreements(_picked(t).agreements, None)
+    return LK.company_agreements(_picked(t).agreements)
 
 
 @q("k11_company_alerts", W("alerts", "scores") + f"""
 SELECT * FROM alerts WHERE cnpj_raiz = {_TOP_COMPANY} ORDER BY prioridade, num_parcelamento""",
    "J2/K11: the company's alerts by priority")
 def _k11(t):
-    return LK.company_alerts(_picked(t).alerts, None)
+    return LK.company_alerts(_picked(t).alerts)
 
 
 @q("j2_company_receipts", W("receipts", "scores") + f"""
 SELECT * FROM receipts WHERE cnpj_raiz = {_TOP_COMPANY}""", "J2: the company's expected receipts")
 def _j2r(t):
-    return LK.company_receipts(_picked(t).receipts, None)
+    return _picked(t).receipts
 
 
 @q("w4_company_timeline", W("agreements", "scores") + f"""
@@ -836,7 +683,7 @@ SELECT num_parcelamento, dt_pedido AS inicio, dt_pedido + INTERVAL 30 DAY AS fim
        valor_parcelado, num_parcelas
 FROM agreements WHERE cnpj_raiz = {_TOP_COMPANY}""", "W4/F10: the company's timeline bars")
 def _w4(t):
-    return LK.company_timeline(LK.company_agreements(_picked(t).agreements, None))
+    return LK.company_timeline(LK.company_agreements(_picked(t).agreements))
 
 
 @q("k19_company_picker", W("scores") + f"""
@@ -844,7 +691,7 @@ SELECT cnpj_raiz, score_risco_final,
        razao_social || ' - ' || {O.tax_id_pretty('cnpj')} || ' (Score: ' || format('{{:.0f}}', score_risco_final) || ')' AS rotulo
 FROM scores ORDER BY score_risco_final DESC, cnpj_raiz LIMIT 200""", "K19/F8: company picker labels")
 def _k19(t):
-    return LK.company_picker(t.scores, 500, 200)
+    return LK.company_picker(t.scores, 200)
 
 
 # ---------------------------------------------------------------------------
@@ -858,6 +705,18 @@ def _f12(t):
                               X.format_tax_id("cnpj").alias("cnpj_formatado"))
 
 
+@q("f12_f14_company_gaps", W("companies") + f"""
+SELECT cnpj_raiz, media_dias_quitacao IS NULL AS sem_quitacao, media_dias_ate_cancelamento IS NULL AS sem_cancelamento,
+       taxa_sucesso_pct IS NULL AS sem_taxa,
+       {O.avg_round1('qtd_cancelados', 'total_parcelamentos')} AS cancelados_por_parcelamento
+FROM companies""", "F12/F14: which measures a company lacks, and its cancellations an agreement to one decimal")
+def _f1214(t):
+    return t.companies.select("cnpj_raiz", X.is_missing("media_dias_quitacao").alias("sem_quitacao"),
+                              X.is_missing("media_dias_ate_cancelamento").alias("sem_cancelamento"),
+                              X.is_missing("taxa_sucesso_pct").alias("sem_taxa"),
+                              X.avg_round1(F.col("qtd_cancelados"), F.col("total_parcelamentos")).alias("cancelados_por_parcelamento"))
+
+
 @q("f3_f7_summary_cards", W("summary") + f"""
 SELECT {O.fmt_int('total_parcelamentos')} AS card_total, {O.fmt_int('total_empresas')} AS card_empresas,
        {O.brl_bi('valor_total_parcelado')} AS card_valor, {O.pct('taxa_sucesso_global_pct')} AS card_taxa,
@@ -926,7 +785,7 @@ SELECT num_parcelamento AS "Nº Parcelamento", categoria_parcelamento AS "Catego
        faixa_parcelas AS "Faixa"
 FROM agreements WHERE cnpj_raiz = {_TOP_COMPANY}""", "P2/K10/F3: the company's agreement history")
 def _p2h(t):
-    return RP.company_history_report(LK.company_agreements(_picked(t).agreements, None))
+    return RP.company_history_report(LK.company_agreements(_picked(t).agreements))
 
 
 @q("j5_risk_probability_lookup", W("scores") + """
@@ -943,17 +802,20 @@ def _j5(t):
 
 
 # ---------------------------------------------------------------------------
-# Risk model (M): not SQL-expressible, rows-only check.  The fitted model is
-# memoised per (folder, params) within a process so the M queries share one fit.
+# Risk model (M): the fit is not SQL-expressible.  The model of one version of the
+# sources is fitted once, kept in the shared folder and, by application, in memory.
 # ---------------------------------------------------------------------------
 _MODELS: dict = {}
 
 
 def trained_model(t: Tables):
     from tranche.operators import model as M
-    key = (t.sf_dir, t.params)
+    from tranche.plans.builds import source_version
+    from tranche.session import ensure_checkpoint_dir
+    version = repr((source_version(t.spark, t.sf_dir), t.params))
+    key = (t.spark.sparkContext.applicationId, version)
     if key not in _MODELS:
-        _MODELS[key] = M.train(t.companies)
+        _MODELS[key] = M.fit_or_load(t.companies, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/models", version)
     return _MODELS[key]
 
 
@@ -969,12 +831,27 @@ def _m2(t):
     return M.clean_training(M.training_frame(t.companies))
 
 
-@q("m4_stratified_split", None, "M4: deterministic stratified 80/20 split")
+@q("m4_stratified_split", W("ml_frame") + f"""
+SELECT *, row_number() OVER (PARTITION BY {C.ML_LABEL} ORDER BY md5(cnpj_raiz || ':42'))
+          <= floor(count(*) OVER (PARTITION BY {C.ML_LABEL}) * CAST(0.2 AS DOUBLE)) AS is_test
+FROM ml_frame WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in C.ML_FEATURES + [C.ML_LABEL]),
+   "M4: deterministic stratified split, exactly 20 % of each class")
 def _m4(t):
     from tranche.operators import model as M
     return M.stratified_split(M.clean_training(M.training_frame(t.companies)))
 
 
+_SCORING = [c for c in C.ML_FEATURES if c != "flag_simples_nacional"]
+
+
+@q("p14_m11_absent_feature", W("companies") + "SELECT cnpj_raiz, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _SCORING)
+   + ", CAST(0 AS DOUBLE) AS flag_simples_nacional FROM companies",
+   "P14/M11: the scoring frame of a company table that lacks a feature (0)")
+def _p14(t):
+    from tranche.operators import model as M
+    return M.scoring_frame(t.companies.select("cnpj_raiz", *_SCORING)).select("cnpj_raiz", *C.ML_FEATURES)
+
+
 @q("m8_m9_model_metrics", None, "M5-M9: fit GBT pipeline, accuracy and ROC-AUC on the test split")
 def _m8(t):
     from tranche.operators import model as M
@@ -1004,6 +881,77 @@ def _m13(t):
     return M.probability_histogram(_predictions(t), 50)
 
 
+# ---------------------------------------------------------------------------
+# Bundles (S3, S4) and the stored build (S8): each frame's rows and money
+# ---------------------------------------------------------------------------
+def _bundle(frames: dict[str, DataFrame], money: dict[str, str]) -> DataFrame:
+    """(quadro, linhas, valor): of each frame its rows and the sum of a money column."""
+    rows = [df.agg(F.count(F.lit(1)).alias("linhas"), F.coalesce(F.sum(money[name]), F.lit(0)).cast("decimal(28,2)").alias("valor"))
+            .select(F.lit(name).alias("quadro"), "linhas", "valor") for name, df in frames.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _bundle_sql(frames: dict[str, str], money: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS quadro, count(*) AS linhas, CAST(coalesce(sum({money[name]}), 0) AS DECIMAL(28,2)) AS valor "
+                              f"FROM ({sql})" for name, sql in frames.items())
+
+
+_COMPANY_MONEY = {"empresa": "valor_total_parcelado", "score": "valor_ativos", "parcelamentos": "valor_parcelado",
+                  "alertas": "valor_parcelado", "expectativa": "valor_esperado_12_meses"}
+
+
+@q("s4_company_bundle", W("companies", "scores", "agreements", "alerts", "receipts") + _bundle_sql(
+    {name: f"SELECT * FROM {table} WHERE cnpj_raiz = {_TOP_COMPANY}" for name, table in (
+        ("empresa", "companies"), ("score", "scores"), ("parcelamentos", "agreements"), ("alertas", "alerts"), ("expectativa", "receipts"))},
+    _COMPANY_MONEY), "S4/P4/J2: the five frames of a company's page, loaded by its literal key")
+def _s4(t):
+    from tranche.plans.dashboard import load_company
+    (key,) = LK.pick_companies(t.scores, 1)
+    return _bundle(load_company(t, key), _COMPANY_MONEY)
+
+
+_OVERVIEW_MONEY = {"resumo": "valor_total_parcelado", "metricas_gerfe": "valor_total", "metricas_ges": "valor_total", "serie_temporal": "valor_total",
+                   "analise_faixas": "valor_total", "analise_cnae": "valor_total", "programas_especiais": "valor_total",
+                   "alertas": "valor_parcelado", "empresas_score": "valor_ativos", "recuperamais_resumo": "valor_total",
+                   "expectativa_resumo": "total_12_meses"}
+
+
+@q("s3_overview_bundle", W("summary", "region", "sector", "series", "band", "activity", "programme", "alerts", "scores", "recovery", "receipts")
+   + _bundle_sql({
+       "resumo": "SELECT * FROM summary", "metricas_gerfe": "SELECT * FROM region", "metricas_ges": "SELECT * FROM sector",
+       "serie_temporal": "SELECT * FROM series", "analise_faixas": "SELECT * FROM band",
+       "analise_cnae": "SELECT * FROM activity ORDER BY valor_total DESC, descricao_secao LIMIT 20",
+       "programas_especiais": "SELECT * FROM programme",
+       "alertas": "SELECT * FROM alerts ORDER BY prioridade, valor_parcelado DESC, num_parcelamento LIMIT 100",
+       "empresas_score": "SELECT * FROM scores ORDER BY score_risco_final DESC, cnpj_raiz LIMIT 500",
+       "recuperamais_resumo": "SELECT tipo_adesao, origem_debito, cd_status, desc_status, sum(valor_parcelado) AS valor_total FROM recovery GROUP BY ALL",
+       "expectativa_resumo": "SELECT risco_empresa, sum(valor_esperado_12_meses) AS total_12_meses FROM receipts GROUP BY ALL"},
+       _OVERVIEW_MONEY), "S3: the eleven frames of the overview")
+def _s3(t):
+    from tranche.plans.dashboard import load_aggregates
+    return _bundle(load_aggregates(t), _OVERVIEW_MONEY)
+
+
+_KEYED = {"agreements", "company_rollup", "companies", "scores", "receipts", "recovery", "alerts"}
+_BUILT = ["agreements", "companies", "scores", "receipts", "series", "region", "sector", "activity", "band", "programme",
+          "recovery", "alerts", "summary"]
+
+
+@q("s8_stored_build", W(*_BUILT) + " UNION ALL ".join(
+    f"SELECT '{n}' AS tabela, count(*) AS linhas, " + ("count(*) FILTER (WHERE cnpj_raiz IS NULL)" if n in _KEYED else "NULL")
+    + f" AS sem_empresa FROM {n}" for n in _BUILT), "S8/S9/S10: the stored build, by what its writes counted")
+def _s8(t):
+    import uuid
+    from tranche.plans.builds import Store
+    from tranche.session import ensure_checkpoint_dir
+    store = Store(t.spark, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    counts = [row for row in store.refresh(t.sf_dir, t.params).counts() if row[0] in _BUILT]      # one row a table
+    return t.spark.createDataFrame(counts, "tabela string, linhas long, sem_empresa long")
+
+
 # ---------------------------------------------------------------------------
 # Page results over the page's filters
 # ---------------------------------------------------------------------------

@@ -8,9 +8,10 @@ the others, D-1).
 
 Daily build::
 
-    python -m tranche.plans.dashboard /root/testdata/sf0.1 [out_dir]
+    python -m tranche.plans.dashboard /root/testdata/sf0.1 [root_dir]
 
-writes T1-T13 (default: under the session's ``spark.checkpoint.dir``).
+brings the store under ``root_dir`` (default: ``store`` under the session's
+``spark.checkpoint.dir``) up to date and removes builds that nobody reads.
 """
 
 from __future__ import annotations
@@ -50,22 +51,21 @@ def load_aggregates(t: Tables) -> dict[str, DataFrame]:
 
 def load_company(t: Tables, cnpj_raiz: str) -> dict[str, DataFrame]:
     """The five frames of a company drill-down.  The key is a literal
-    filter (pushed into the scan); derived tables are computed for this
-    company only (``Tables.restricted``) unless stored."""
-    keys = t.spark.createDataFrame([(cnpj_raiz,)], "cnpj_raiz string")
-    v = t.restricted(keys)
+    filter (pushed into the scan); derived tables are read, or computed, for
+    this company only (``Tables.for_companies``)."""
+    v = t.for_companies([cnpj_raiz])
     return {
-        "empresa": LK.by_company(v.companies, cnpj_raiz),
-        "score": LK.by_company(v.scores, cnpj_raiz),
-        "parcelamentos": LK.company_agreements(LK.by_company(v.agreements, cnpj_raiz), None),
-        "alertas": LK.company_alerts(LK.by_company(v.alerts, cnpj_raiz), None),
-        "expectativa": LK.by_company(v.receipts, cnpj_raiz),
+        "empresa": v.companies,
+        "score": v.scores,
+        "parcelamentos": LK.company_agreements(v.agreements),
+        "alertas": LK.company_alerts(v.alerts),
+        "expectativa": v.receipts,
     }
 
 
 def load_region_agreements(t: Tables, cd_gerfe: int, limit: int = 500) -> DataFrame:
     """A region's largest agreements with the company score."""
-    return LK.region_agreements(t.agreements, t.scores_for, cd_gerfe, limit)
+    return t.region_agreements(cd_gerfe, limit)
 
 
 def load_recovery_detail(t: Tables, limit: int = 1000) -> DataFrame:
@@ -80,14 +80,18 @@ def build(spark: SparkSession, src: str, out_dir: str | None = None,
 
 
 def main(argv: list[str]) -> int:
-    from tranche.session import get_session
+    from tranche.plans.builds import Store
+    from tranche.session import ensure_checkpoint_dir, get_session
     if len(argv) < 2:
         print(__doc__)
         return 2
     spark = get_session(None, None)      # master and sizes as spark-submit sets them
-    t = build(spark, argv[1], argv[2] if len(argv) > 2 else None)
-    for name in Tables.TABLE_NAMES:
-        print(name, t._memo[name].inputFiles()[:1])
+    store = Store(spark, argv[2] if len(argv) > 2 else f"{ensure_checkpoint_dir(spark).rstrip('/')}/store")
+    made = store.refresh(argv[1])
+    for name, rows, nulls in made.counts():
+        print(name, rows, "rows" if nulls is None else f"rows, {nulls} without a company")
+    print(*made.warnings(), sep="\n")
+    store.prune()
     return 0
 
 

@@ -10,19 +10,26 @@ Plan shape at scale:
   * lineitem is pre-aggregated per order (count, max ship date) before the
     join, so the shuffle moves one row per order, not per line; the join to
     orders reuses that hash partitioning on the order key.
-  * customer is enriched with nation + region (tiny, size-checked broadcast).
+  * customer is enriched with nation and region: files of a few kB, which the
+    planner broadcasts by their size (no hint, so no size to check).
   * orders -> customer is a ``lookup_join``: a company holding a third of all
     orders is split across salt buckets instead of landing in one task.
+
+Drill-downs name what they want by literals (``Wanted``: companies or agreements,
+at most ``MAX_WANTED``), which reach the scans of orders, customer and lineitem; of
+lineitem only the lines of the wanted orders are grouped.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tranche import config as C
 from tranche.functions import exprs as X
-from tranche.operators.skew import bounded_broadcast, find_hot, lookup_join
+from tranche.operators.skew import SMALL, Hot, count_hot, lookup_join, row_count_at_most
 from tranche.sources.tables import read_table
 
 # Mapping rules of the adapter (fixed values).
@@ -32,58 +39,104 @@ from tranche.sources.tables import read_table
 PRIORITY_CATEGORY = {"1": "ICMS", "2": "DÍVIDA ATIVA", "3": "DECLARADO", "4": "RECUPERA+", "5": "OUTROS"}
 ROOT_ID_WIDTH = 8
 BRANCH_SUFFIX = "000100"
-MAX_GEO_ROWS = 10_000  # nations x regions: far below this, checked before broadcast
+MAX_WANTED = 1_000            # keys of a drill-down, sent as literals
+MAX_ORDER_KEYS = 1_000_000    # order keys of a drill-down's companies that are broadcast to lineitem's scan
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """What a drill-down reads: the agreements of some customers, or some agreements, or some of theirs."""
+
+    customers: tuple[int, ...] | None = None
+    orders: tuple[int, ...] | None = None
 
+    def __post_init__(self):
+        if max(len(self.customers or ()), len(self.orders or ())) > MAX_WANTED:
+            raise ValueError(f"a drill-down takes at most {MAX_WANTED} keys")
 
-def company_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _among(column: str, keys: tuple[int, ...]) -> F.Column:
+    return F.col(column) == keys[0] if len(keys) == 1 else F.col(column).isin(list(keys)) if keys else F.lit(False)
+
+
+def company_dim(spark: SparkSession, sf_dir: str, customers: tuple[int, ...] | None = None) -> DataFrame:
     """One row per customer with its regional office, section and sector."""
     customer = read_table(spark, sf_dir, "customer",
                           ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    if customers is not None:
+        customer = customer.where(_among("c_custkey", customers))
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    geo = nation.join(bounded_broadcast(region, MAX_GEO_ROWS),
-                      nation.n_regionkey == region.r_regionkey, "left")
-    geo = geo.select("n_nationkey", "n_name", "r_name")
-    return (customer.join(bounded_broadcast(geo, MAX_GEO_ROWS),
-                          customer.c_nationkey == geo.n_nationkey, "left")
+    return (customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+            .join(region, nation.n_regionkey == region.r_regionkey, "left")
             .select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal", "c_mktsegment",
                     "n_nationkey", "n_name", "r_name"))
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "orders",
-                      ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                       "o_orderdate", "o_orderpriority"])
+def _orders(spark: SparkSession, sf_dir: str, wanted: Wanted = Wanted()) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders",
+                        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                         "o_orderdate", "o_orderpriority"])
+    if wanted.customers is not None:
+        orders = orders.where(_among("o_custkey", wanted.customers))
+    if wanted.orders is not None:
+        orders = orders.where(_among("o_orderkey", wanted.orders))
+    return orders
 
 
-def hot_customers(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, wanted: Wanted) -> DataFrame:
+    """Lineitem's columns in use; of a drill-down, only the lines of its orders."""
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_shipdate"])
+    if wanted.orders is not None:
+        return lines.where(_among("l_orderkey", wanted.orders))
+    if wanted.customers is not None:
+        keys = _orders(spark, sf_dir, wanted).select(F.col("o_orderkey").alias("l_orderkey"))
+        return lines.join(F.broadcast(keys) if row_count_at_most(keys, MAX_ORDER_KEYS) else keys, "l_orderkey", "left_semi")
+    return lines
+
+
+def hot_customers(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT) -> Hot:
     """Customers with very many orders, counted once (see skew.py)."""
-    return find_hot(_orders(spark, sf_dir), "o_custkey", params.skew)
+    return count_hot(_orders(spark, sf_dir), "o_custkey", params.skew)
 
 
-def hot_companies(hot_cust: DataFrame) -> DataFrame:
+def hot_companies(hot: Hot) -> Hot:
     """The same hot set keyed as ``cnpj_raiz``, for joins on T1."""
-    return hot_cust.select(X.normalize_tax_id(F.col("o_custkey"), ROOT_ID_WIDTH).alias("cnpj_raiz"), "_n")
+    return hot.renamed(hot.keys.select(X.normalize_tax_id(F.col("o_custkey"), ROOT_ID_WIDTH).alias("cnpj_raiz"), "_n"))
+
+
+def customers_of(roots: list[str]) -> tuple[int, ...]:
+    """Company keys (``cnpj_raiz``) as the source's customer keys; other texts name no customer."""
+    return tuple(sorted({int(r) for r in roots if r and r.isascii() and r.isdigit() and len(r) <= 18}))
 
 
-def customers_of(companies: DataFrame) -> DataFrame:
-    """Map company keys (``cnpj_raiz``) back to the source customer keys."""
-    return companies.select(F.col("cnpj_raiz").try_cast("bigint").alias("o_custkey")).where(F.col("o_custkey").isNotNull())
+def root_of(customer: int) -> str:
+    """A customer key as company key, as T1 writes it."""
+    return str(customer).replace("-", "").rjust(ROOT_ID_WIDTH, "0")
+
+
+def top_orders(spark: SparkSession, sf_dir: str, cd_gerfe: int, limit: int, params: C.Params = C.DEFAULT,
+               hot: Hot | None = None) -> Wanted:
+    """The ``limit`` largest agreements of a region with their customers, found from three columns of orders
+    and the region's customers; everything else is then read for these few only."""
+    local = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]).where(F.col("c_nationkey") == F.lit(cd_gerfe))
+    orders = _orders(spark, sf_dir).select("o_orderkey", "o_custkey", F.col("o_totalprice").cast(X.MONEY).alias("value"))
+    mine = lookup_join(orders.where("o_custkey IS NOT NULL"), local.select(F.col("c_custkey").alias("o_custkey")), "o_custkey",
+                       ["o_orderkey"], params.skew, "left_semi", hot if hot is not None else hot_customers(spark, sf_dir, params))
+    rows = mine.orderBy(F.col("value").desc_nulls_last(), "o_orderkey").limit(limit).collect()
+    return Wanted(tuple(sorted({r["o_custkey"] for r in rows})), tuple(r["o_orderkey"] for r in rows))
 
 
 def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool = False,
-                    customers: DataFrame | None = None) -> DataFrame:
+                    wanted: Wanted = Wanted()) -> DataFrame:
     """T1 without the company registry attributes: orders + lineitem only.
 
     Consumers that need nothing but the company key (series, recovery,
     receipts, band/programme metrics) read this and skip the orders ->
     customer join, which Catalyst cannot drop on its own (it cannot prove the
-    customer side unique).  ``customers`` (a bounded key list, broadcast)
-    restricts the orders at the scan, for drill-downs."""
-    orders = _orders(spark, sf_dir)
-    if customers is not None:
-        orders = orders.join(F.broadcast(customers), "o_custkey", "left_semi")
-    lines = (read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_shipdate"])
+    customer side unique)."""
+    orders = _orders(spark, sf_dir, wanted)
+    lines = (_lines(spark, sf_dir, wanted)
              .groupBy("l_orderkey")
              .agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_shipdate").alias("last_ship")))
     o = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
@@ -121,15 +174,15 @@ def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool =
 
 
 def agreements(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT,
-               hot_cust: DataFrame | None = None, customers: DataFrame | None = None) -> DataFrame:
+               hot_cust: Hot | None = None, wanted: Wanted = Wanted()) -> DataFrame:
     """One row per agreement (unique ``num_parcelamento``), enriched with
-    the company's registry attributes.  ``customers`` restricts both sides of
-    the join to a bounded key list (drill-downs)."""
-    core = agreements_core(spark, sf_dir, keep_customer_key=True, customers=customers)
-    dim = company_dim(spark, sf_dir)
-    if customers is not None:
-        dim = dim.join(F.broadcast(customers), "o_custkey", "left_semi")
-    hot = hot_cust if hot_cust is not None else hot_customers(spark, sf_dir, params)
+    the company's registry attributes.  A drill-down's few companies are broadcast."""
+    core = agreements_core(spark, sf_dir, keep_customer_key=True, wanted=wanted)
+    dim = company_dim(spark, sf_dir, wanted.customers)
+    if wanted.customers is not None:
+        hot = SMALL
+    else:
+        hot = hot_cust if hot_cust is not None else hot_customers(spark, sf_dir, params)
     j = lookup_join(core, dim, "o_custkey", ["num_parcelamento"], params.skew, hot=hot)
     return j.select(
         "num_parcelamento", "cnpj", "cnpj_raiz",
