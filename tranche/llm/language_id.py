@@ -16,9 +16,8 @@ each length a language; with so many languages that this would come to more than
 
 Defined cases: a null text, and one without a letter (a character that Unicode calls
 a letter; numerals such as the half sign are none), is ``und`` with score 0; rows are
-judged one by one, repeated ones alike; a word ends at white space and at all that is no
-letter; very long texts are read whole, and each distinct token of theirs is scored
-once; ties go to the language first in the alphabet; a null lang is never learned
+judged one by one, repeated ones alike; a word ends at all that is no letter; very long
+texts are read whole, and each distinct token of theirs is scored once; ties go to the language first in the alphabet; a null lang is never learned
 from, nor is a row without an id; extra columns are never read; with nothing to learn
 from, every text is ``und``; an empty table gives an empty result.
 """
@@ -50,14 +49,22 @@ class Settings:
     cached_numbers: int = 8_000_000    # fewer tokens if their scores are more numbers than this
 
 
-def words_of(token: str) -> list[str]:
-    """The words of a token (what stands between white space): lower-cased runs of letters."""
-    low = token.lower()
-    return [low] if low.isalpha() else "".join(c if c.isalpha() else " " for c in low).split()
+#: ASCII letters lower-cased, other ASCII to spaces, bytes of other characters kept.
+_CUT = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)).lower()
+
 
+def tokens_of(text: bytes) -> Counter:
+    """The tokens of a text in UTF-8: what stands between ASCII characters that are no letters."""
+    return Counter(text.translate(_CUT).split())
 
-def tokens_of(text: str) -> Counter:
-    return Counter(text.split())
+
+def words_of(token: bytes) -> list[str]:
+    """The words of a token: lower-cased runs of letters."""
+    low = token.decode()
+    if token.isascii():
+        return [low]
+    low = low.lower()
+    return [low] if low.isalpha() else "".join(c if c.isalpha() else " " for c in low).split()
 
 
 def _word_counts(flush: int = 200_000):
@@ -72,7 +79,7 @@ def _word_counts(flush: int = 200_000):
         held: dict = defaultdict(Counter)
         for batch in batches:
             for few in C.slices(batch):
-                for lang, text in zip(few.column("lang").to_pylist(), C.texts(few)):
+                for lang, text in zip(few.column("lang").to_pylist(), C.raw_texts(few)):
                     for token, n in tokens_of(text).items():
                         for w in words_of(token):
                             held[lang][w] += n
@@ -154,54 +161,97 @@ class Scorer:
     def __init__(self, model: dict, settings: Settings):
         self.langs, self.tables, self.s = model["langs"], model["tables"], settings
         self.bound = max(1, min(settings.cache, settings.cached_numbers // (len(self.langs) + 1)))
-        self.at, self.rows = {}, np.zeros((1024, len(self.langs) + 1))
-        self.at_before, self.rows_before = {}, self.rows
-
-    def _row(self, size: int, key: str) -> np.ndarray | None:
-        table = self.tables[size]
-        i = table["numbers"].get(key)
-        if i is None:
-            return None
-        row, some = table["none"].copy(), slice(table["starts"][i], table["starts"][i + 1])
-        row[table["lang"][some]] = table["log"][some]
-        return row
-
-    def word(self, w: str) -> np.ndarray:
-        known = self._row(0, w)
-        if known is not None:
-            return known - known.max()
-        padded = f" {w} "
-        for step, k in enumerate(LENGTHS):
-            found = [row for i in range(len(padded) - k + 1) if (row := self._row(k, padded[i:i + k])) is not None]
-            if found:
-                row = np.sum(found, axis=0)
-                return (row - row.max()) / len(found) * self.s.backoff ** (step / 2)
-        return np.zeros(len(self.langs), np.float32)
-
-    def _place(self, token: str) -> int:
-        i = len(self.at)
-        if i == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        before = self.at_before.pop(token, None)
-        if before is not None:
-            self.rows[i] = self.rows_before[before]
-        else:
-            words = words_of(token)
-            self.rows[i] = 0
-            for w in words:
-                self.rows[i, :-1] += self.word(w)
-            self.rows[i, -1] = len(words)                # the last column counts words
-        self.at[token] = i
-        return i
-
-    def __call__(self, text: str) -> tuple[str, float]:
-        if not self.langs:
-            return UND, 0.0
+        self.at: dict[bytes, int] = {}
+        self.rows = np.zeros((1024, len(self.langs) + 1))
+        self.at_before, self.rows_before = self.at, self.rows
+
+    def _dense(self, size: int, ids: np.ndarray) -> np.ndarray:
+        """Log frequencies in every language of the keys with these numbers."""
+        t = self.tables[size]
+        out = np.tile(t["none"], (len(ids), 1))
+        starts, n = t["starts"][ids], t["starts"][ids + 1] - t["starts"][ids]
+        row = np.repeat(np.arange(len(ids)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
+        out[row, t["lang"][at]] = t["log"][at]
+        return out
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word, the best language at 0."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        vocabulary = self.tables[0]["numbers"]
+        hits = [(i, vocabulary[w]) for i, w in enumerate(words) if w in vocabulary]
+        if hits:
+            at, ids = (np.array(x) for x in zip(*hits))
+            row = self._dense(0, ids)
+            out[at] = row - row.max(axis=1, keepdims=True)
+        left = [(i, f" {w} ") for i, w in enumerate(words) if w not in vocabulary]
+        for step, k in enumerate(LENGTHS):               # the longest length that knows any n-gram of the word
+            numbers = self.tables[k]["numbers"]
+            at, starts, grams, shorter = [], [], [], []
+            for i, padded in left:
+                known = [numbers[g] for g in [padded[j:j + k] for j in range(len(padded) - k + 1)] if g in numbers]
+                if known:
+                    at.append(i)
+                    starts.append(len(grams))
+                    grams += known
+                else:
+                    shorter.append((i, padded))
+            if at:
+                ids, place = np.unique(np.array(grams), return_inverse=True)
+                row = np.add.reduceat(self._dense(k, ids)[place], starts, axis=0)
+                n = np.diff([*starts, len(grams)])[:, None].astype(np.float32)
+                out[at] = (row - row.max(axis=1, keepdims=True)) / n * np.float32(self.s.backoff ** (step / 2))
+            left = shorter
+        return out
+
+    def _learn(self, tokens: list[bytes]) -> None:
+        """Rows of tokens not remembered: the sums of their words' rows, and in the last column the number of words."""
         if len(self.at) > self.bound:
             self.at_before, self.rows_before, self.at, self.rows = self.at, self.rows, {}, np.zeros_like(self.rows[:1024])
-        counts, at, place = tokens_of(text), self.at, self._place
-        idx = [at[t] if t in at else place(t) for t in counts]
-        total = np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows[idx] if idx else np.zeros(len(self.langs) + 1)
+        first = len(self.at)
+        while first + len(tokens) > len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        rows, before = self.rows[first:first + len(tokens)], self.at_before
+        rows[:] = 0
+        again = [(i, before[t]) for i, t in enumerate(tokens) if t in before]
+        if again:
+            at, old = zip(*again)
+            rows[list(at)] = self.rows_before[list(old)]
+        parts = [(i, w) for i, t in enumerate(tokens) if t not in before for w in words_of(t)]
+        some = max(1, self.s.cached_numbers // (16 * (len(self.langs) + 1)))
+        for j in range(0, len(parts), some):
+            at, words = zip(*parts[j:j + some])
+            of, starts, n = np.unique(np.array(at), return_index=True, return_counts=True)
+            rows[of, :-1] += np.add.reduceat(self.words(list(words)), starts, axis=0)
+            rows[of, -1] += n
+        self.at.update(zip(tokens, range(first, first + len(tokens))))
+
+    def _sum(self, counts: Counter) -> np.ndarray:
+        """The sum of the rows of a text's tokens, each as often as it occurs."""
+        total, some = np.zeros(len(self.langs) + 1), max(1, self.s.cached_numbers // (8 * (len(self.langs) + 1)))
+        tokens = list(counts)
+        for j in range(0, len(tokens), some):
+            few = tokens[j:j + some]
+            new = [t for t in few if t not in self.at]
+            if new:
+                self._learn(new)
+                if any(t not in self.at for t in few):           # a new time began meanwhile
+                    self._learn([t for t in few if t not in self.at])
+            idx = list(map(self.at.__getitem__, few))
+            total += np.fromiter(map(counts.__getitem__, few), np.float64, len(few)) @ self.rows[idx]
+        return total
+
+    def many(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        """(language, score) of texts in UTF-8, their new tokens scored together."""
+        if not self.langs:
+            return [(UND, 0.0)] * len(texts)
+        counted = [tokens_of(t) for t in texts]
+        new = {t for counts in counted for t in counts if t not in self.at}
+        if new and len(new) <= self.bound:
+            self._learn(list(new))
+        return [self._best(self._sum(counts)) for counts in counted]
+
+    def _best(self, total: np.ndarray) -> tuple[str, float]:
         if not total[-1]:
             return UND, 0.0
         mean = total[:-1] / total[-1]
@@ -209,6 +259,9 @@ class Scorer:
         best = int(np.argmax(p))
         return self.langs[best], float(p[best] / p.sum())
 
+    def __call__(self, text: str) -> tuple[str, float]:
+        return self.many([text.encode()])[0]
+
 
 def predict(documents: DataFrame, model: dict, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, lang_pred, score) of every document (doc_id, text)."""
@@ -218,9 +271,10 @@ def predict(documents: DataFrame, model: dict, settings: Settings = Settings())
     def run(batches):
         scorer = Scorer(sent.value, settings)
         for batch in batches:
-            got = [scorer(t) for t in C.texts(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast("int64"), pa.array([g[0] for g in got], pa.string()),
-                 pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            for few in C.slices(batch):
+                got = scorer.many(list(C.raw_texts(few)))
+                yield pa.RecordBatch.from_arrays(
+                    [few.column("doc_id").cast("int64"), pa.array([g[0] for g in got], pa.string()),
+                     pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
