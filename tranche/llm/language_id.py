@@ -204,10 +204,13 @@ class Scorer:
             left = shorter
         return out
 
+    def _turn(self, most: int) -> None:
+        """With more than ``most`` tokens remembered, begin a new time."""
+        if len(self.at) > most:
+            self.at_before, self.rows_before, self.at, self.rows = self.at, self.rows, {}, np.zeros_like(self.rows[:1024])
+
     def _learn(self, tokens: list[bytes]) -> None:
         """Rows of tokens not remembered: the sums of their words' rows, and in the last column the number of words."""
-        if len(self.at) > self.bound:
-            self.at_before, self.rows_before, self.at, self.rows = self.at, self.rows, {}, np.zeros_like(self.rows[:1024])
         first = len(self.at)
         while first + len(tokens) > len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
@@ -232,11 +235,10 @@ class Scorer:
         tokens = list(counts)
         for j in range(0, len(tokens), some):
             few = tokens[j:j + some]
+            self._turn(2 * self.bound)                           # a text of very many tokens
             new = [t for t in few if t not in self.at]
             if new:
                 self._learn(new)
-                if any(t not in self.at for t in few):           # a new time began meanwhile
-                    self._learn([t for t in few if t not in self.at])
             idx = list(map(self.at.__getitem__, few))
             total += np.fromiter(map(counts.__getitem__, few), np.float64, len(few)) @ self.rows[idx]
         return total
@@ -245,6 +247,7 @@ class Scorer:
         """(language, score) of texts in UTF-8, their new tokens scored together."""
         if not self.langs:
             return [(UND, 0.0)] * len(texts)
+        self._turn(self.bound)
         counted = [tokens_of(t) for t in texts]
         new = {t for counts in counted for t in counts if t not in self.at}
         if new and len(new) <= self.bound:
