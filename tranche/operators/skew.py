@@ -28,12 +28,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tranche.config import SkewParams
 from tranche.session import ensure_checkpoint_dir
-from tranche.sources.store import write_and_reload
+from tranche.sources.store import Counted, write_and_reload
 
 _SALT = "_salt"
 _HOT = "_hot"
@@ -71,11 +71,12 @@ def count_hot(fact: DataFrame, key: str, skew: SkewParams) -> Hot:
     if not skew.enabled:
         none = fact.sparkSession.createDataFrame([], fact.select(key, F.lit(0).cast("long").alias("_n")).schema)
         return Hot(none, 0, 0)
-    seen, null = Observation(), F.col(key).isNull()
+    seen, null = Counted(rows=0, nulls=0), F.col(key).isNull()
     counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= F.lit(skew.rows_per_bucket)) | null)
-    listed = counts.observe(seen, F.count_if(~null).alias("rows"), F.sum(F.when(null, F.col("_n"))).alias("nulls"))
+    listed = counts.observe(seen.seen, F.count_if(~null).alias("rows"), F.sum(F.when(null, F.col("_n"))).alias("nulls"))
     stored = _shared(listed, "hot-keys")
-    return Hot(stored.where(~null), seen.get.get("rows") or 0, seen.get.get("nulls") or 0)
+    got = seen.get()
+    return Hot(stored.where(~null), got["rows"], got["nulls"])
 
 
 def find_hot(fact: DataFrame, key: str, skew: SkewParams) -> DataFrame:

@@ -708,13 +708,13 @@ def _f12(t):
 @q("f12_f14_company_gaps", W("companies") + f"""
 SELECT cnpj_raiz, media_dias_quitacao IS NULL AS sem_quitacao, media_dias_ate_cancelamento IS NULL AS sem_cancelamento,
        taxa_sucesso_pct IS NULL AS sem_taxa,
-       {O.avg_round1('qtd_cancelados', 'total_parcelamentos')} AS cancelados_por_parcelamento
-FROM companies""", "F12/F14: which measures a company lacks, and its cancellations an agreement to one decimal")
+       round(media_parcelas, 1) AS media_parcelas_1
+FROM companies""", "F12/F14: which measures a company lacks, and its mean instalments to one decimal")
 def _f1214(t):
     return t.companies.select("cnpj_raiz", X.is_missing("media_dias_quitacao").alias("sem_quitacao"),
                               X.is_missing("media_dias_ate_cancelamento").alias("sem_cancelamento"),
                               X.is_missing("taxa_sucesso_pct").alias("sem_taxa"),
-                              X.avg_round1(F.col("qtd_cancelados"), F.col("total_parcelamentos")).alias("cancelados_por_parcelamento"))
+                              X.round1("media_parcelas").alias("media_parcelas_1"))
 
 
 @q("f3_f7_summary_cards", W("summary") + f"""

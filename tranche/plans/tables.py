@@ -11,6 +11,7 @@ companies by literals, which reach the scans of the sources or of the stored tab
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -271,7 +272,7 @@ class Tables:
             out = store.write_bucketed(counted, path, buckets, options)
         else:
             out = store.write_and_reload(counted, path, order if partition == "cd_gerfe" else None, [partition] if partition else None)
-        entry = {"path": path, "schema": df.schema.json(), "buckets": buckets, "counted": seen.get}
+        entry = {"path": path, "schema": df.schema.json(), "buckets": buckets, "counted": seen.get()}
         self.written.setdefault(name, {"parts": {}})["parts"][folder] = entry
         return out
 

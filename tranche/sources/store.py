@@ -21,6 +21,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructType
@@ -28,11 +29,28 @@ from pyspark.sql.types import DecimalType, StructType
 KEY = "cnpj_raiz"
 
 
-def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+class Counted:
+    """What an action on an observed frame counted on the way."""
+
+    def __init__(self, **of_nothing):
+        self.seen, self.of_nothing = Observation(), of_nothing
+
+    def get(self) -> dict:
+        """The counts, once the action is over; those of no rows if the frame turned out empty before they were taken
+        (Spark then drops the counting from the plan and has no row of counts to give)."""
+        try:
+            return {k: self.of_nothing[k] if v is None else v for k, v in self.seen.get.items()} or self.of_nothing
+        except Py4JJavaError as e:
+            if "AssertionError" not in str(e.java_exception):
+                raise
+            return self.of_nothing
+
+
+def observed(df: DataFrame) -> tuple[DataFrame, Counted]:
     """``df`` and what a write of it will have counted: rows, rows without a company, sum of the first money column."""
     money = [f.name for f in df.schema if isinstance(f.dataType, DecimalType)][:1]
-    seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"),
+    seen = Counted(rows=0, **({"null_keys": 0} if KEY in df.columns else {}), **{f"sum_{c}": None for c in money})
+    return df.observe(seen.seen, F.count(F.lit(1)).alias("rows"),
                       *([F.count_if(F.col(KEY).isNull()).alias("null_keys")] if KEY in df.columns else []),
                       *[F.sum(c).cast("string").alias(f"sum_{c}") for c in money]), seen
 
