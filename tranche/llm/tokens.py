@@ -3,8 +3,10 @@
 The vocabulary's pre-tokeniser always cuts before a space that a non-space
 character follows, so a text may be cut there and each part encoded alone; parts
 repeat, and most are looked up.  A new part that is plainly a word (with a comma
-or full stop, or two words around a line end) is one pre-token each, and goes
-straight to the library's BPE model; any other part takes the whole tokenizer.
+or full stop, or two words around a line end) is made of its words' ids; a new word is
+one pre-token and goes straight to the library's BPE model.  Any other new part takes
+the whole tokenizer.  The texts of a call are cut and their parts told apart by Arrow,
+so that only different parts are looked up; their ids are put in place by numpy.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The vocabulary used unless a path is given.
 VOCABULARY = "byte_bpe_50k.json"
@@ -25,10 +29,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def plain(text: str) -> bool:
+    """Whether each space in the text is followed by a non-space (so that ``split`` cuts it)."""
+    if text.isascii():
+        return not (text.endswith(" ") or any(pair in text for pair in _ODD_PAIRS))
+    return not _ODD.search(text)
+
+
 def parts_of(text: str) -> list[str]:
     """The text cut at single spaces that a non-space follows; joined by spaces, the parts are the text."""
     parts = text.split(" ")
-    if not _ODD.search(text):
+    if plain(text):
         return parts
     out = [parts[0]]
     for p in parts[1:]:
@@ -39,6 +50,8 @@ def parts_of(text: str) -> list[str]:
     return out
 
 
+#: A space, and white space of ASCII after it.
+_ODD_PAIRS = [" " + chr(c) for c in range(128) if chr(c).isspace()]
 #: A space that no other character but white space, or nothing, follows.
 _ODD = re.compile(r" (?=\s|\Z)")
 
@@ -47,7 +60,8 @@ class Encoder:
     """Ids of texts as arrays of the narrowest type.
 
     It remembers the parts used last: up to ``bound`` of them, and those of the
-    ``bound`` before that were not used since.
+    ``bound`` before that were not used since; and ``bound`` words of parts, which it
+    then forgets.
     """
 
     _OPEN: dict[str, "Encoder"] = {}
@@ -62,6 +76,7 @@ class Encoder:
         self.model._resize_cache(0)              # its memory is ours: ``known``
         self.specials = tuple(str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.bound, self.known, self.before, self.byte_names = bound, {}, {}, None
+        self.words: dict[str, dict[str, bytes]] = {" ": {}, "": {}}      # ids of words after a space, and after none
         form = json.loads(self.tokenizer.to_str())
         before = form["pre_tokenizer"] or {}
         self.cut = (form["normalizer"] is None and form["model"]["type"] == "BPE" and not form["model"].get("dropout")
@@ -74,6 +89,8 @@ class Encoder:
                     written = level.pre_tokenize_str(chr(cp))[0][0]
                     names.update(zip(chr(cp).encode(), written))
             self.byte_names = {b: names.get(b, "") for b in range(256)}
+            self.lead = {"": "", " ": self.byte_names[0x20]}
+            self.signs = {sign: self._pre_token(sign) for sign in ",.\n"}
             self.cut = all(self.byte_names[b] for b in (*range(0x80), *range(0x80, 0xC0), *range(0xC2, 0xF5)))
 
     @classmethod
@@ -90,29 +107,80 @@ class Encoder:
         written = word.encode().decode("latin-1").translate(self.byte_names)
         return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
 
+    def _word(self, word: str, lead: str) -> bytes:
+        """Ids of a word (letters only) that ``lead`` precedes."""
+        known = self.words[lead]
+        ids = known.get(word)
+        if ids is None:
+            written = self.lead[lead] + word if word.isascii() else (lead + word).encode().decode("latin-1").translate(self.byte_names)
+            ids = known[word] = array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+        return ids
+
     def _new(self, part: str, lead: str) -> bytes:
+        """Ids of a part that ``lead`` precedes."""
         if part.isalpha():
-            return self._pre_token(lead + part)
+            return self._word(part, lead)
         if part[-1:] in (",", ".") and part[:-1].isalpha():
-            return self._pre_token(lead + part[:-1]) + self._pre_token(part[-1])
+            return self._word(part[:-1], lead) + self.signs[part[-1]]
         a, line_end, b = part.partition("\n")
         if line_end and a and b and not a[-1].isspace() and not b[0].isspace():
-            return self._new(a, lead) + self._pre_token("\n") + self._new(b, "")
+            return self._new(a, lead) + self.signs["\n"] + self._new(b, "")
         return self._whole(lead + part)
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts) -> list[np.ndarray]:
         """Ids of each text; a special token's string in a text counts as the library counts it."""
-        out = []
+        if len(self.known) > self.bound:
+            self.known, self.before = {}, self.known
+        for words in self.words.values():
+            if len(words) > self.bound:
+                words.clear()
+        out: list = []
+        easy: list[str] = []
         for t in texts:
-            if len(self.known) > self.bound:
-                self.known, self.before = {}, self.known
-            known, before = self.known, self.before
             if not self.cut or any(s in t for s in self.specials):
                 out.append(np.frombuffer(self._whole(t), self.kind))
-                continue
-            parts = parts_of(t)
-            first = parts.pop(0)
-            for p in set(parts).difference(known):
-                known[p] = before.pop(p, None) or self._new(p, " ")
-            out.append(np.frombuffer(b"".join([self._new(first, ""), *map(known.__getitem__, parts)]), self.kind))
+            elif plain(t):
+                out.append(len(easy))
+                easy.append(t)
+            else:
+                first, *parts = parts_of(t)
+                out.append(np.frombuffer(self._new(first, "") + b"".join(self._known(parts)), self.kind))
+        found = self._plain(easy)
+        return [found[o] if isinstance(o, int) else o for o in out]
+
+    def _known(self, parts) -> list[bytes]:
+        """Ids of parts after a space, and remember them."""
+        known, before, new, out = self.known, self.before, self._new, []
+        for p in parts:
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = before.pop(p, None) or new(p, " ")
+            out.append(ids)
         return out
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that ``split`` cuts."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begins = lists.offsets.to_numpy()[:-1]
+        told = lists.flatten().dictionary_encode()
+        place = told.indices.to_numpy().astype(np.int64)
+        names = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        later = np.ones(len(place), bool)            # parts that only begin texts are not looked up as others
+        later[begins] = False
+        used = np.zeros(len(names), bool)
+        used[place[later]] = True
+        table = [b""] * (len(names) + len(begins))
+        at = np.flatnonzero(used).tolist()
+        for i, ids in zip(at, self._known([names[i] for i in at])):
+            table[i] = ids
+        table[len(names):] = [self._new(names[k], "") for k in place[begins].tolist()]
+        place[begins] = len(names) + np.arange(len(begins))
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
+        ids = np.frombuffer(b"".join(table), self.kind)
+        n = sizes[place]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[place] - (ends - n), n)
+        at += np.arange(len(at))
+        return np.split(ids[at], ends[begins[1:] - 1])
