@@ -36,7 +36,7 @@ class Settings:
     capacity: int = 2048
     end_id: int = 1
     small: int = 16              # a rest of at most capacity / small is not cut again
-    batch: int = 256             # texts encoded at once
+    batch: int = 1024            # texts encoded at once
 
 
 def cuts(length: int, s: Settings) -> list[int]:

@@ -45,7 +45,7 @@ class Settings:
     end_id: int = 0
     frame_ids: int = 1 << 17
     level: int = 1
-    batch: int = 256             # texts encoded at once
+    batch: int = 1024            # texts encoded at once
 
 
 class FrameError(ValueError):

@@ -29,17 +29,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def plain(text: str) -> bool:
-    """Whether each space in the text is followed by a non-space (so that ``split`` cuts it)."""
-    if text.isascii():
-        return not (text.endswith(" ") or any(pair in text for pair in _ODD_PAIRS))
-    return not _ODD.search(text)
-
-
 def parts_of(text: str) -> list[str]:
     """The text cut at single spaces that a non-space follows; joined by spaces, the parts are the text."""
     parts = text.split(" ")
-    if plain(text):
+    if not _ODD.search(text):
         return parts
     out = [parts[0]]
     for p in parts[1:]:
@@ -50,8 +43,6 @@ def parts_of(text: str) -> list[str]:
     return out
 
 
-#: A space, and white space of ASCII after it.
-_ODD_PAIRS = [" " + chr(c) for c in range(128) if chr(c).isspace()]
 #: A space that no other character but white space, or nothing, follows.
 _ODD = re.compile(r" (?=\s|\Z)")
 
@@ -137,29 +128,25 @@ class Encoder:
         out: list = []
         easy: list[str] = []
         for t in texts:
-            if not self.cut or any(s in t for s in self.specials):
-                out.append(np.frombuffer(self._whole(t), self.kind))
-            elif plain(t):
+            if self.cut and not any(s in t for s in self.specials):
                 out.append(len(easy))
                 easy.append(t)
             else:
-                first, *parts = parts_of(t)
-                out.append(np.frombuffer(self._new(first, "") + b"".join(self._known(parts)), self.kind))
-        found = self._plain(easy)
+                out.append(np.frombuffer(self._whole(t), self.kind))
+        found = self._cut(easy)
         return [found[o] if isinstance(o, int) else o for o in out]
 
-    def _known(self, parts) -> list[bytes]:
-        """Ids of parts after a space, and remember them."""
-        known, before, new, out = self.known, self.before, self._new, []
-        for p in parts:
-            ids = known.get(p)
-            if ids is None:
-                ids = known[p] = before.pop(p, None) or new(p, " ")
-            out.append(ids)
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts after a space; new ones are remembered."""
+        known, before, new = self.known, self.before, self._new
+        out = list(map(known.get, parts))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            p = parts[i]
+            out[i] = known[p] = before.pop(p, None) or new(p, " ")
         return out
 
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts that ``split`` cuts."""
+    def _cut(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that may be cut at spaces."""
         if not texts:
             return []
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
@@ -169,13 +156,18 @@ class Encoder:
         names = told.dictionary.to_numpy(zero_copy_only=False).tolist()
         later = np.ones(len(place), bool)            # parts that only begin texts are not looked up as others
         later[begins] = False
+        # Nothing, or white space, after a space: those few texts are cut one by one.
+        head = pc.utf8_slice_codeunits(told.dictionary, 0, 1)
+        odd = pc.or_(pc.less_equal(head, " "), pc.utf8_is_space(head)).to_numpy(zero_copy_only=False)
+        run = np.add.reduceat(odd[place] & later, begins).astype(bool)
         used = np.zeros(len(names), bool)
         used[place[later]] = True
-        table = [b""] * (len(names) + len(begins))
+        used &= ~odd
+        table = [b""] * (len(names) + len(texts))
         at = np.flatnonzero(used).tolist()
         for i, ids in zip(at, self._known([names[i] for i in at])):
             table[i] = ids
-        table[len(names):] = [self._new(names[k], "") for k in place[begins].tolist()]
+        table[len(names):] = [b"" if r else self._new(names[k], "") for k, r in zip(place[begins].tolist(), run.tolist())]
         place[begins] = len(names) + np.arange(len(begins))
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
         ids = np.frombuffer(b"".join(table), self.kind)
@@ -183,4 +175,8 @@ class Encoder:
         ends = np.cumsum(n)
         at = np.repeat((np.cumsum(sizes) - sizes)[place] - (ends - n), n)
         at += np.arange(len(at))
-        return np.split(ids[at], ends[begins[1:] - 1])
+        out = np.split(ids[at], ends[begins[1:] - 1])
+        for i in np.flatnonzero(run).tolist():
+            first, *parts = parts_of(texts[i])
+            out[i] = np.frombuffer(self._new(first, "") + b"".join(self._known(parts)), self.kind)
+        return out
