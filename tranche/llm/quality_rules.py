@@ -49,7 +49,6 @@ class Rules:
     common_words: int = 64            # of each language
     max_word_chars: int = 6           # common words are short (bytes)
     min_reference_words: int = 2_000  # a language with fewer has no reference of its own
-    max_references: int = 256         # the largest languages get one (bounds the broadcast)
     word_spread: float = 3.0          # standard deviations above the median, taken from the 10th percentile
     char_quantile: float = 0.999      # of the documents within the word limit
     min_limit_docs: int = 30          # fewer documents of a length (or language) set no limit
@@ -157,26 +156,29 @@ def references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tuple]
     """Reference of each language: (character histogram, common words, word histogram).
 
     Counts cover all documents with a language and do not depend on how they are
-    split.  Only the commonest words of the largest languages reach the driver.
+    split.  Every language of ``min_reference_words`` words or more has a reference; of
+    each, its common words and class counts reach the driver, some 4 kB.
     """
     counts = (documents.select("lang", "text").where("lang != ''").mapInArrow(_profile(rules.max_word_chars), _COUNTS)
               .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
     counts = C.stored(counts, "quality-counts")
-    total = counts.where("kind = 'w' AND key = ''").select("lang", F.col("n").alias("total"))
-    langs = {r["lang"]: r["total"] for r in
-             total.where(F.col("total") >= rules.min_reference_words)
-             .orderBy(F.desc("total"), "lang").limit(rules.max_references).collect()}
+    whole = (F.col("kind") == "w") & (F.col("key") == "")
+    langs = counts.where(whole & (F.col("n") >= rules.min_reference_words)).select("lang", F.col("n").alias("total"))
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    rows = (counts.where(F.col("lang").isin(list(langs)) & ~((F.col("kind") == "w") & (F.col("key") == "")))
-            .withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= rules.common_words)
-            .orderBy("lang", "kind", "rank").collect())
+    rows = (counts.where(~whole).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= rules.common_words)
+            .join(langs, "lang").orderBy("lang", "kind", "rank").collect())
+    chars, common, words = defaultdict(dict), defaultdict(list), {}
+    for r in rows:
+        words[r["lang"]] = r["total"]
+        if r["kind"] == "c":
+            chars[r["lang"]][r["key"]] = r["n"]
+        else:
+            common[r["lang"]].append((r["key"].encode(), r["n"]))
     out = {}
-    for lang, words in langs.items():
-        chars = {r["key"]: r["n"] for r in rows if r["lang"] == lang and r["kind"] == "c"}
-        common = [(r["key"].encode(), r["n"]) for r in rows if r["lang"] == lang and r["kind"] == "w"]
-        hist = [n for _, n in common]
-        out[lang] = (np.array([chars.get(c, 0) for c in CLASSES], float), [w for w, _ in common],
-                     np.array([*hist, max(words - sum(hist), 0)], float))
+    for lang, total in words.items():
+        hist = [n for _, n in common[lang]]
+        out[lang] = (np.array([chars[lang].get(c, 0) for c in CLASSES], float), [w for w, _ in common[lang]],
+                     np.array([*hist, max(total - sum(hist), 0)], float))
     return out
 
 
@@ -287,9 +289,10 @@ def quality_report(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per document (doc_id, lang, text): the rule counts, both distances and the verdict."""
     C.ship(documents.sparkSession)
     refs = references(documents, rules)
-    own = limits(documents, refs, rules)
+    sent = documents.sparkSession.sparkContext.broadcast((refs, limits(documents, refs, rules)))
 
     def run(batches):
+        refs, own = sent.value
         for batch in batches:
             got = [judge(raw, lang, refs, rules, own)
                    for raw, lang in zip(C.raw_texts(batch), batch.column("lang").to_pylist())]
@@ -304,9 +307,10 @@ def keep_good(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     C.ship(documents.sparkSession)
     refs = references(documents, rules)
-    own = limits(documents, refs, rules)
+    sent = documents.sparkSession.sparkContext.broadcast((refs, limits(documents, refs, rules)))
 
     def run(batches):
+        refs, own = sent.value
         for batch in batches:
             yield batch.filter(pa.array([judge(raw, lang, refs, rules, own)[6] for raw, lang in
                                          zip(C.raw_texts(batch), batch.column("lang").to_pylist())], pa.bool_()))
