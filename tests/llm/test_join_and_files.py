@@ -8,6 +8,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tranche.llm import (chat_format as H, decontam as D, ngram_join as N, packing as P, token_files as K, tokens, url_filter as U)
 from tranche.llm.queries import QUERIES
@@ -68,6 +69,14 @@ def test_components_against_brute_force(spark, settings):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+def test_texts_that_share_an_id(spark):
+    """Linked only by the id that is the smallest of both their classes."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (9, c), (9, c + " and more words of it"), (1, a + " x"), (9, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.near_duplicates(docs).collect())
+    assert got == sorted([(3, 26, 1), (5, 26, 1), (5, 26, 5), (7, 26, 5), (9, 26, 9), (9, 31, 9), (1, 27, 1), (9, 26, 5)])
+
+
 def test_parts_of_similar_sets_meet():
     rng = np.random.default_rng(2)
     s = N.Settings()
@@ -337,3 +346,67 @@ def test_decontamination_sql(spark):
         assert sorted(got.columns) == cols
         rows = lambda d: sorted(map(repr, d[cols].astype(object).values.tolist()))
         assert rows(got) == rows(want), q
+
+
+def test_a_host_of_worded_slugs_is_spread(spark, monkeypatch):
+    """100,000 slugs under one node of one host: its figures are sent or met by salted rows, and no task gathers them."""
+    slug = F.concat(F.lit("https://big.org/blog/"), F.translate(F.conv(F.col("id").cast("string"), 10, 26), "0123456789", "qrstuvwxyz"))
+    bad = F.when(F.col("id") % 10 == 0, (F.col("id") % 30 == 0).cast("int"))
+    urls = (spark.range(100_000).select(F.col("id").alias("page_id"), slug.alias("url"), bad.alias("bad"))
+            .union(spark.range(400).select((F.col("id") + 1_000_000).alias("page_id"), F.concat(F.lit("https://big.org/spam/x"), F.col("id")).alias("url"), F.lit(1).alias("bad"))))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shares, join = [], U._with_nodes
+
+    def watched(rows, figures, s, row_id):
+        out = join(rows, figures, s, row_id)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        if sum(sizes) > 50_000:
+            shares.append(max(sizes) / sum(sizes))
+        return out
+
+    try:
+        sent = {r["page_id"]: (r["verdict"], r["template"], r["purity"]) for r in U.judge(urls, []).collect()}
+        monkeypatch.setattr(U, "_with_nodes", watched)
+        salted = {r["page_id"]: (r["verdict"], r["template"], r["purity"])
+                  for r in U.judge(urls, [], replace(U.Settings(), broadcast_nodes=0, node_rows=5_000)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sent == salted and len(sent) == 100_400
+    assert {v[0] for i, v in sent.items() if i < 100_000} == {"allow"} and {v[0] for i, v in sent.items() if i >= 1_000_000} == {"block"}
+    assert {v[1] for i, v in sent.items() if i < 100_000} == {"/blog/*"}
+    assert len(shares) > 3 and max(shares) < 0.25
+
+
+def test_op1_takes_long_tied_and_repeated_urls(spark):
+    long = "https://h.org/" + "/".join(f"seg{chr(97 + i % 26)}" for i in range(3000))
+    rows = [(1, long, 1), (1, long, 1), (2, None, None), (3, "no scheme", 0), (4, "https://H.org", None), (5, "https://h.org/a?x#y", 0)]
+    got = U.judge(spark.createDataFrame(rows, "page_id long, url string, bad int").withColumn("host", F.lit("clash")), [U.Rule("h.org", "/a", "block")]).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 1, 2, 3, 4, 5]
+    by = {r["page_id"]: r for r in got}
+    assert by[5]["verdict"] == "block" and by[5]["rule"] == "h.org/a" and by[4]["host"] == "h.org" and by[3]["host"] == "" == by[2]["path"]
+    assert len({tuple(r) for r in got if r["page_id"] == 1}) == 1
+
+
+def test_packing_takes_odd_rows(spark, odd_documents, no_documents):
+    """Null and empty texts, a null id, repeated rows, a very long text, clashing columns, no rows."""
+    rows = P.pack(odd_documents, with_ids=True).collect()
+    whole = {}
+    for r in rows:
+        whole.setdefault(r["doc_id"], []).append(r)
+    n = {i: sum(r["length"] for r in rs) for i, rs in whole.items()}
+    assert n[2] == n[3] == 1 and n[1] == 2 * whole[1][0]["doc_tokens"] and n[5] == whole[5][0]["doc_tokens"] > 40_000
+    assert n[None] == 1 + max(r["doc_tokens"] for r in whole[None])          # the null text's end id, and the other's ids
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert P.pack(no_documents).count() == 0

@@ -1,6 +1,7 @@
 """Quality rules, language identification, toxicity and quality classifier."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -28,6 +29,40 @@ def test_rule_counts():
     assert got[:5] == (7, 8, 2, 1, 0) and got[5]
 
 
+def _brute_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed by the contract's words."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search("[^\x20\x09-\x0d]", line):
+            dup += line in seen
+            seen.add(line)
+    repeat = brute_repeat(words)
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, repeat,
+            len(words) < 20 or 100 * repeat > 30 * len(words))
+
+
+def test_counts_against_brute_force(spark, odd_documents):
+    """All of op6's counts, over the given documents and the awkward ones."""
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    for docs in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), odd_documents):
+        got = sorted((tuple(r[c] for c in cols) for r in R.quality_report(docs).select(*cols).collect()))
+        assert got == sorted(_brute_counts(r["text"]) for r in docs.select("text").collect())
+
+
+def test_every_language_has_a_reference(spark):
+    """However many languages there are, each is held against its own documents."""
+    rng = random.Random(2)
+    vocab = {k: [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "abcdefgh"] for k in range(300)}
+    docs = spark.createDataFrame([(k * 100 + j, " ".join(rng.choices(vocab[k], k=60)), f"l{k}") for k in range(300) for j in range(2)]
+                                 + [(90_000, " ".join(rng.choices(vocab[7], k=60)), "l8"), (90_001, " ".join(rng.choices(vocab[299], k=60)), None)],
+                                 "doc_id long, text string, lang string").repartition(4)
+    rules = R.Rules(min_reference_words=100, max_repeat_pct=100)
+    assert len(R.references(docs, rules)) == 300
+    got = {r["doc_id"]: r["kept"] for r in R.quality_report(docs, rules).collect()}
+    assert not got[90_000] and got[90_001] and all(kept for i, kept in got.items() if i < 90_000)
+
+
 def test_js_distance_bounds():
     assert R.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert R.js_distance(np.array([1.0, 2]), np.array([2.0, 4])) == pytest.approx(0)

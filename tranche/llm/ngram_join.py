@@ -30,8 +30,11 @@ that joins components is lost.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all; null
 and empty texts have an empty set, link with nothing and are their own component;
-repeated rows share a component; texts under one doc_id count as linked by it; a
-null doc_id takes its class's component, or null if the class has no id; an empty
+repeated rows share a component; a class of equal sets is known by its smallest
+doc_id: different texts for which that is the same id count as linked by it, texts
+that share any other id do not, so rows of one id can be in different components; a
+null doc_id takes its class's component, or null if the class has no id; ties do not
+arise; texts are read whole, however long; extra columns are never read; an empty
 table gives an empty result.
 """
 
