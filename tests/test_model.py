@@ -112,7 +112,7 @@ def test_metrics_against_sql_over_stored_predictions(spark, trained, small_table
     pred = spark.read.parquet(str(tmp_path / "p"))
     top = [r["cnpj_raiz"] for r in M.top_probability(pred, 50).collect()]
     assert top == [r[0] for r in con.sql("SELECT cnpj_raiz FROM p ORDER BY prob_cancelamento DESC, cnpj_raiz LIMIT 50").fetchall()]
-    shown = [r[0] for r in RP.ml_top_report(M.top_probability(pred, 50)).select("Prob. Cancelamento").collect()]
+    shown = [r[0] for r in RP.ml_top_report(M.top_probability(pred, 50)).select("`Prob. Cancelamento`").collect()]
     assert shown == [r[0] for r in con.sql("SELECT format('{:.1f}', prob_cancelamento * 100) || '%' FROM p ORDER BY prob_cancelamento DESC, cnpj_raiz LIMIT 50").fetchall()]
     bins = {r["bin"]: r["quantidade"] for r in M.probability_histogram(pred).collect()}
     assert bins == dict(con.sql("SELECT least(CAST(floor(prob_cancelamento * 50) AS INT), 49), count(*) FROM p GROUP BY 1").fetchall())
