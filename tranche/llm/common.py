@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tranche.session import ensure_checkpoint_dir
@@ -25,12 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+#: Rows of an Arrow batch sent to a worker at most: texts can be long.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the workers, once per application.
 
     Cluster workers need not have the repository on their path; Spark's own
-    file distribution carries a small zip of the sources to each of them.
+    file distribution carries a small zip of the sources to each of them.  The
+    session's Arrow batches are limited to ``BATCH_ROWS``, unless they are smaller.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -79,6 +89,19 @@ def raw_texts(batch, name: str = "text"):
     return (t or b"" for some in slices(batch) for t in some.column(name).cast("binary").to_pylist())
 
 
+def tidy(run):
+    """A function for mapInArrow that, when a task ends, gives back the memory it no longer uses: workers live on."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 

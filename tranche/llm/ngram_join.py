@@ -175,7 +175,7 @@ def signatures(documents: DataFrame, s: Settings) -> DataFrame:
                 [batch.column("doc_id").cast("int64"), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3))],
                 names=["doc_id", "c1", "c2", "n"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, n long")
+    return documents.select("doc_id", "text").mapInArrow(C.tidy(run), "doc_id long, c1 long, c2 long, n long")
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,8 +247,8 @@ def candidate_links(documents: DataFrame, s: Settings) -> DataFrame:
 
     Classes that agree in that half only share a group, which is verified like any other.
     """
-    sent = documents.select("text").mapInArrow(_send(s), "part long, n int, a long, b long")
-    return C.stored(sent.repartition("part").sortWithinPartitions("part", "n").mapInArrow(_meet(s), "a long, b long").distinct(),
+    sent = documents.select("text").mapInArrow(C.tidy(_send(s)), "part long, n int, a long, b long")
+    return C.stored(sent.repartition("part").sortWithinPartitions("part", "n").mapInArrow(C.tidy(_meet(s)), "a long, b long").distinct(),
                     "candidate-links")
 
 
@@ -407,7 +407,7 @@ def similar_links(documents: DataFrame, s: Settings = Settings()) -> tuple[DataF
                      pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "c1", "c2", "tokens"])
 
     found = (docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-             .mapInArrow(sets_of, "rep long, c1 long, c2 long, tokens array<long>"))
+             .mapInArrow(C.tidy(sets_of), "rep long, c1 long, c2 long, tokens array<long>"))
     near = members.join(shape.select("part", "large", "docs", "shingles"), "part")
     full = found.join(_near(near), ["rep", "c1", "c2"]).dropDuplicates(["rep", "c1", "c2"])
 

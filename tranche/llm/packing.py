@@ -138,4 +138,4 @@ def pack(documents: DataFrame, vocabulary: str | None = None, s: Settings = Sett
                 rows = []
         yield batch_of(rows)
 
-    return documents.select("doc_id", "text").mapInArrow(run, _SCHEMA + ", ids array<int>" * with_ids)
+    return documents.select("doc_id", "text").mapInArrow(C.tidy(run), _SCHEMA + ", ids array<int>" * with_ids)

@@ -159,7 +159,7 @@ def references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tuple]
     split.  Every language of ``min_reference_words`` words or more has a reference; of
     each, its common words and class counts reach the driver, some 4 kB.
     """
-    counts = (documents.select("lang", "text").where("lang != ''").mapInArrow(_profile(rules.max_word_chars), _COUNTS)
+    counts = (documents.select("lang", "text").where("lang != ''").mapInArrow(C.tidy(_profile(rules.max_word_chars)), _COUNTS)
               .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
     counts = C.stored(counts, "quality-counts")
     whole = (F.col("kind") == "w") & (F.col("key") == "")
@@ -222,7 +222,7 @@ def limits(documents: DataFrame, refs: dict, rules: Rules = Rules()) -> dict[str
     """
     if not refs:
         return {}
-    counts = (documents.select("lang", "text").mapInArrow(_own_distances(refs, rules), "lang string, length long, c long, w long, n long")
+    counts = (documents.select("lang", "text").mapInArrow(C.tidy(_own_distances(refs, rules)), "lang string, length long, c long, w long, n long")
               .groupBy("lang", "length", "c", "w").agg(F.sum("n").alias("n")))
     counts = C.stored(counts, "quality-distances")
     by_length = (counts.groupBy("lang", "length").agg(F.sum("n").alias("docs"), F.percentile("w", [0.1, 0.5], F.col("n")).alias("at"))
@@ -300,7 +300,7 @@ def quality_report(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 [batch.column("doc_id").cast("int64"), *(pa.array([g[i] for g in got], t) for i, (_, t) in enumerate(_FIELDS))],
                 names=["doc_id", *(n for n, _ in _FIELDS)])
 
-    return documents.select("doc_id", "lang", "text").mapInArrow(run, _SCHEMA)
+    return documents.select("doc_id", "lang", "text").mapInArrow(C.tidy(run), _SCHEMA)
 
 
 def keep_good(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -315,4 +315,4 @@ def keep_good(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
             yield batch.filter(pa.array([judge(raw, lang, refs, rules, own)[6] for raw, lang in
                                          zip(C.raw_texts(batch), batch.column("lang").to_pylist())], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(C.tidy(run), documents.schema)

@@ -170,8 +170,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, s: Settings = Se
                                           pa.array([model["bias"], *(v for _, v in items)], pa.float64())],
                                          names=["word", "weight"])
 
-    rows = C.stored(sample.mapInArrow(distinct_words, "doc_id long, label int, words array<string>"), "toxicity-words")
-    got = rows.coalesce(1).mapInArrow(fit_all, "word string, weight double").collect()
+    rows = C.stored(sample.mapInArrow(C.tidy(distinct_words), "doc_id long, label int, words array<string>"), "toxicity-words")
+    got = rows.coalesce(1).mapInArrow(C.tidy(fit_all), "word string, weight double").collect()
     return {"bias": sum(r["weight"] for r in got if r["word"] is None),
             "weights": {r["word"]: r["weight"] for r in got if r["word"] is not None}}
 
@@ -208,7 +208,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
                 [batch.column("doc_id").cast("int64"), pa.array([scorer(t) for t in C.texts(batch)], pa.float64())],
                 names=["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return documents.select("doc_id", "text").mapInArrow(C.tidy(run), "doc_id long, score double")
 
 
 def drop_toxic(documents: DataFrame, model: dict, threshold: float = Settings.threshold) -> DataFrame:
@@ -221,4 +221,4 @@ def drop_toxic(documents: DataFrame, model: dict, threshold: float = Settings.th
         for batch in batches:
             yield batch.filter(pa.array([scorer(t) < threshold for t in C.texts(batch)], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(C.tidy(run), documents.schema)
