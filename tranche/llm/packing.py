@@ -37,6 +37,7 @@ class Settings:
     end_id: int = 1
     small: int = 16              # a rest of at most capacity / small is not cut again
     batch: int = 1024            # texts encoded at once
+    keep: bool = True            # the parts remembered stay in the worker for its next task
 
 
 def cuts(length: int, s: Settings) -> list[int]:
@@ -137,5 +138,7 @@ def pack(documents: DataFrame, vocabulary: str | None = None, s: Settings = Sett
                 yield batch_of(rows)
                 rows = []
         yield batch_of(rows)
+        if not s.keep:
+            Encoder.forget(path)
 
     return documents.select("doc_id", "text").mapInArrow(C.tidy(run), _SCHEMA + ", ids array<int>" * with_ids)

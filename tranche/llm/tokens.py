@@ -91,6 +91,11 @@ class Encoder:
             cls._OPEN[path] = cls(path)
         return cls._OPEN[path]
 
+    @classmethod
+    def forget(cls, path: str) -> None:
+        """Leave this process's encoder, and what it remembers, to other uses of the memory."""
+        cls._OPEN.pop(path, None)
+
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
