@@ -59,8 +59,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens, packed into sequences."""
-    return packing.pack(docs)
+    """Pieces of the documents' tokens, packed into sequences; workers keep no parts for later stages."""
+    return packing.pack(docs, s=packing.Settings(keep=False))
 
 
 STAGES = [("toxicity", drop_toxic), ("quality_rules", keep_good), ("ngram_join", one_of_each_group),
