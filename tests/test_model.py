@@ -160,3 +160,23 @@ def test_models_are_kept_by_the_version_of_their_input(spark, tmp_path, monkeypa
     orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").where("o_orderkey % 3 != 0").toPandas()
     orders.to_parquet(src / "orders.parquet", coerce_timestamps="us")
     assert get().n_train < a.n_train and len(fits) == 2
+
+
+def _company_rows(n=60):
+    """T2 rows of ``n`` companies, every third risky and with active agreements."""
+    for i in range(n):
+        bad = i % 3 == 0
+        yield (f"{i:08d}", 3 + i % 4, 2 if bad else i % 2, 2 if bad else 0, i % 5, 0, 10.0 + i, 1000.0 * i, 100.0 * i, 6.0, 30.0, 15.0, 40 + i,
+               int(bad), int(i % 5 == 0), i % 2, "ALTO RISCO" if bad else "BOM PAGADOR")
+
+
+_COMPANY_TYPES = ["string", "long", "long", "long", "long", "long", *["double"] * 6, "int", "int", "int", "int", "string"]
+
+
+def test_training_builds_its_frame_once(spark):
+    """The companies pass once through what builds them, though split, sample and fit read them several times."""
+    rows, read = list(_company_rows()), spark.sparkContext.accumulator(0)
+    made = spark.sparkContext.parallelize(rows, 2).map(lambda r: (read.add(1), r)[1])
+    companies = spark.createDataFrame(made, ", ".join(f"{c} {t}" for c, t in zip(M.M1_COLUMNS, _COMPANY_TYPES, strict=True)))
+    tm = M.train(companies, M.ModelParams(max_iter=1, max_depth=2))
+    assert read.value == len(rows) and tm.n_train + tm.n_test == len(rows)

@@ -23,7 +23,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tranche import config as C
@@ -249,8 +249,10 @@ def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def train(companies: DataFrame, mp: ModelParams = DEFAULT_MODEL) -> TrainedModel:
-    """Frame, clean, split, fit on a bounded sample of the training rows, evaluate on all test rows."""
-    frame = as_double_features(clean_training(training_frame(companies, mp)))
+    """Frame, clean, split, fit on a bounded sample of the training rows, evaluate on all test rows.
+
+    The frame is stored before the split, which reads it three times."""
+    frame = stored(as_double_features(clean_training(training_frame(companies, mp))), "model-frame")
     split = stored(stratified_split(frame.withColumn(LABEL, F.col(LABEL).cast("double")), mp), "model-split")
     test_df = split.where("is_test")
     fitted = stored(bounded_sample(split.where("NOT is_test"), mp), "model-rows")
@@ -262,6 +264,15 @@ def train(companies: DataFrame, mp: ModelParams = DEFAULT_MODEL) -> TrainedModel
     return TrainedModel(model, acc, auc, imp, split.where("NOT is_test").count(), n_test, fitted.count(), where)
 
 
+def kept_at(root: str, version: str, mp: ModelParams = DEFAULT_MODEL) -> str:
+    """Where the model of one version of the input is kept."""
+    return f"{root.rstrip('/')}/{hashlib.sha256(repr((version, mp)).encode()).hexdigest()}"
+
+
+def is_kept(spark: SparkSession, root: str, version: str, mp: ModelParams = DEFAULT_MODEL) -> bool:
+    return files.exists(spark, f"{kept_at(root, version, mp)}/metrics")
+
+
 def fit_or_load(companies: DataFrame, root: str, version: str, mp: ModelParams = DEFAULT_MODEL) -> TrainedModel:
     """The model of one version of the input, fitted once and kept under ``root``.
 
@@ -269,8 +280,8 @@ def fit_or_load(companies: DataFrame, root: str, version: str, mp: ModelParams =
     other parameters, have a model of their own.  The metrics are written last, so
     a model that has them is whole."""
     spark = companies.sparkSession
-    path = f"{root.rstrip('/')}/{hashlib.sha256(repr((version, mp)).encode()).hexdigest()}"
-    if files.exists(spark, f"{path}/metrics"):
+    path = kept_at(root, version, mp)
+    if is_kept(spark, root, version, mp):
         return TrainedModel(model=load(f"{path}/model"), **json.loads(files.read_text(spark, f"{path}/metrics")))
     tm = train(companies, mp)
     save(tm, f"{path}/model")
