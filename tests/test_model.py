@@ -180,3 +180,35 @@ def test_training_builds_its_frame_once(spark):
     companies = spark.createDataFrame(made, ", ".join(f"{c} {t}" for c, t in zip(M.M1_COLUMNS, _COMPANY_TYPES, strict=True)))
     tm = M.train(companies, M.ModelParams(max_iter=1, max_depth=2))
     assert read.value == len(rows) and tm.n_train + tm.n_test == len(rows)
+
+
+def _star(folder):
+    """Forty customers, twelve orders each, a line or two an order."""
+    con = duckdb.connect()
+    for name, rows in {
+        "region": "SELECT 1 AS r_regionkey, 'R' AS r_name",
+        "nation": "SELECT 1 AS n_nationkey, 'N' AS n_name, 1 AS n_regionkey",
+        "customer": "SELECT i AS c_custkey, 'C' || i AS c_name, 1 AS c_nationkey, CAST(i % 7 - 2 AS DOUBLE) AS c_acctbal, 'S' AS c_mktsegment FROM range(1, 41) r(i)",
+        "orders": """SELECT i AS o_orderkey, i % 40 + 1 AS o_custkey, CASE WHEN i % 3 = 0 THEN 'F' WHEN i % 40 < 20 THEN 'P' ELSE 'O' END AS o_orderstatus,
+                     CAST(i * 10 AS DOUBLE) AS o_totalprice, TIMESTAMP '2000-01-01' + INTERVAL (i) DAY AS o_orderdate, (i % 5 + 1) || '-X' AS o_orderpriority
+                     FROM range(1, 481) r(i)""",
+        "lineitem": "SELECT i % 480 + 1 AS l_orderkey, TIMESTAMP '2002-01-01' + INTERVAL (i) DAY AS l_shipdate FROM range(700) r(i)",
+    }.items():
+        con.execute(f"COPY ({rows}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def test_scoring_after_a_fit_does_not_build_the_companies_again(spark, tmp_path, monkeypatch):
+    from tranche.plans import catalog
+    from tranche.plans.tables import Tables
+    train = M.train
+    monkeypatch.setattr(M, "train", lambda companies, mp: train(companies, M.ModelParams(max_iter=1, max_depth=2)))
+    src = _star(tmp_path)
+    for qid in ("m11_company_predictions", "m12_top50_probability"):
+        monkeypatch.setattr(catalog, "_MODELS", {})
+        monkeypatch.setattr(M, "kept_at", lambda *_, root=str(tmp_path / qid): root, raising=False)
+        found = catalog.QUERIES[qid].spark(Tables(spark, src))
+        assert not [f for f in found.inputFiles() if f.startswith(f"file://{src}/") and "lineitem" in f]
+        again = catalog.QUERIES[qid].spark(Tables(spark, src))              # the model is kept: nothing is written
+        assert [f for f in again.inputFiles() if "lineitem" in f] and found.count() == 40
+        assert found.exceptAll(again).count() == 0

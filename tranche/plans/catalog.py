@@ -808,20 +808,24 @@ def _j5(t):
 _MODELS: dict = {}
 
 
-def trained_model(t: Tables):
+def trained_model(t: Tables, scored: bool = False):
+    """The model of ``t``'s input; ``scored``: the companies are read again after a fit."""
     from tranche.operators import model as M
     from tranche.plans.builds import source_version
     from tranche.session import ensure_checkpoint_dir
     version = repr((source_version(t.spark, t.sf_dir), t.params))
     key = (t.spark.sparkContext.applicationId, version)
     if key not in _MODELS:
-        _MODELS[key] = M.fit_or_load(t.companies, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/models", version)
+        root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/models"
+        if scored and not M.is_kept(t.spark, root, version):
+            t.keep("companies")                    # read by the fit and by the scoring
+        _MODELS[key] = M.fit_or_load(t.companies, root, version)
     return _MODELS[key]
 
 
 def _predictions(t: Tables):
     from tranche.operators import model as M
-    return M.score_companies(trained_model(t), CO.with_scores(t.companies))
+    return M.score_companies(trained_model(t, scored=True), CO.with_scores(t.companies))
 
 
 @q("m2_clean_training_frame", W("ml_frame") + "SELECT * FROM ml_frame WHERE " + " AND ".join(

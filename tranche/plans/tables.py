@@ -106,6 +106,13 @@ class Tables:
     def scores(self):
         return self._get("scores", lambda: CO.company_scores(self.companies))
 
+    def keep(self, name: str) -> None:
+        """Write a table now to the shared folder, for a query that reads it several times."""
+        if name not in self._stored:
+            place = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/kept-{name}-{uuid.uuid4().hex}"
+            self._memo[name] = store.write_and_reload(getattr(self, name), place)
+            self._stored.add(name)
+
     def _sides(self) -> list[tuple[DataFrame, Hot | str]]:
         """T1 with the way its company joins go: as one, or as its stored parts."""
         p = self._parts.get("agreements")
