@@ -98,3 +98,11 @@ def test_region_top_reads_few_columns_then_few_rows(spark):
 def test_year_reaches_the_scan(spark):
     p = plan(QUERIES["p7_series_year"].spark(Tables(spark, SF_SMALL)))
     assert "GreaterThanOrEqual(o_orderdate,2000-01-01" in p and "LessThan(o_orderdate,2001-01-01" in p
+
+
+def test_only_source_columns_go_through_the_customer_join(spark, tmp_path):
+    """What T1 derives from an order is made after the join, so its texts are not shuffled for it."""
+    from tests.test_model import _star
+    lines = Tables(spark, _star(tmp_path)).agreements._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(lines) if "Join LeftOuter" in x and "o_custkey" in x)
+    assert any("desc_status" in x for x in lines[:join]) and not any("desc_status" in x or "cnpj" in x for x in lines[join:])

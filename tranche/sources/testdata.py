@@ -127,19 +127,19 @@ def top_orders(spark: SparkSession, sf_dir: str, cd_gerfe: int, limit: int, para
     return Wanted(tuple(sorted({r["o_custkey"] for r in rows})), tuple(r["o_orderkey"] for r in rows))
 
 
-def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool = False,
-                    wanted: Wanted = Wanted()) -> DataFrame:
-    """T1 without the company registry attributes: orders + lineitem only.
-
-    Consumers that need nothing but the company key (series, recovery,
-    receipts, band/programme metrics) read this and skip the orders ->
-    customer join, which Catalyst cannot drop on its own (it cannot prove the
-    customer side unique)."""
+def _order_rows(spark: SparkSession, sf_dir: str, wanted: Wanted = Wanted()) -> DataFrame:
+    """Orders with the number of their lines and the last ship date."""
     orders = _orders(spark, sf_dir, wanted)
     lines = (_lines(spark, sf_dir, wanted)
              .groupBy("l_orderkey")
              .agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_shipdate").alias("last_ship")))
-    o = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+    return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").drop("l_orderkey")
+
+
+def _as_agreements(o: DataFrame) -> DataFrame:
+    """T1's own columns from those of ``_order_rows``, other columns untouched."""
+    mine = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "n_lines", "last_ship"]
+    others = [c for c in o.columns if c not in mine]
     status = (F.when(F.col("o_orderstatus") == "F", F.lit(C.ST_SETTLED))
               .when(F.col("o_orderstatus") == "O", F.lit(C.ST_ACTIVE))
               .when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 5 == 0), F.lit(C.ST_PENDING))
@@ -152,7 +152,6 @@ def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool =
         F.col("o_orderkey").alias("num_parcelamento"),
         F.when(root.isNotNull(), F.concat(root, F.lit(BRANCH_SUFFIX))).alias("cnpj"),
         root.alias("cnpj_raiz"),
-        "o_custkey",
         category.alias("categoria_parcelamento"),
         status.cast("int").alias("cd_status"),
         F.col("o_totalprice").cast(X.MONEY).alias("valor_parcelado"),
@@ -160,31 +159,43 @@ def agreements_core(spark: SparkSession, sf_dir: str, keep_customer_key: bool =
         F.col("o_orderdate").alias("dt_pedido"),
         F.col("last_ship"),
         origin_label.alias("origem_debito"),
+        *others,
     )
     ended = F.col("cd_status").isin(C.ST_SETTLED, C.ST_CANCELLED)
-    out = base.select(
-        "num_parcelamento", "cnpj", "cnpj_raiz", "o_custkey", "categoria_parcelamento",
+    return base.select(
+        "num_parcelamento", "cnpj", "cnpj_raiz", "categoria_parcelamento",
         "cd_status", X.status_label("cd_status").alias("desc_status"), "valor_parcelado",
         "num_parcelas", X.instalment_band("num_parcelas").alias("faixa_parcelas"), "dt_pedido",
         F.when(ended & (F.col("last_ship") >= F.col("dt_pedido")), F.col("last_ship")).alias("dt_fim"),
         F.when(F.col("num_parcelas") == 1, F.lit(C.JOIN_SINGLE)).otherwise(F.lit(C.JOIN_INSTALMENTS)).alias("tipo_adesao"),
-        "origem_debito",
+        "origem_debito", *others,
     )
-    return out if keep_customer_key else out.drop("o_custkey")
+
+
+def agreements_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 without the company registry attributes: orders + lineitem only.
+
+    Consumers that need nothing but the company key (series, recovery,
+    receipts, band/programme metrics) read this and skip the orders ->
+    customer join, which Catalyst cannot drop on its own (it cannot prove the
+    customer side unique)."""
+    return _as_agreements(_order_rows(spark, sf_dir))
 
 
 def agreements(spark: SparkSession, sf_dir: str, params: C.Params = C.DEFAULT,
                hot_cust: Hot | None = None, wanted: Wanted = Wanted()) -> DataFrame:
     """One row per agreement (unique ``num_parcelamento``), enriched with
-    the company's registry attributes.  A drill-down's few companies are broadcast."""
-    core = agreements_core(spark, sf_dir, keep_customer_key=True, wanted=wanted)
+    the company's registry attributes.  A drill-down's few companies are broadcast.
+
+    The source's few columns are what goes through the join; T1's are made from them after it."""
+    core = _order_rows(spark, sf_dir, wanted)
     dim = company_dim(spark, sf_dir, wanted.customers)
     if wanted.customers is not None:
         hot = SMALL
     else:
         hot = hot_cust if hot_cust is not None else hot_customers(spark, sf_dir, params)
-    j = lookup_join(core, dim, "o_custkey", ["num_parcelamento"], params.skew, hot=hot)
-    return j.select(
+    j = lookup_join(core, dim, "o_custkey", ["o_orderkey"], params.skew, hot=hot)
+    return _as_agreements(j).select(
         "num_parcelamento", "cnpj", "cnpj_raiz",
         F.col("c_name").alias("razao_social"),
         F.col("n_nationkey").cast("int").alias("cd_gerfe"),
