@@ -146,6 +146,18 @@ def test_a_bounded_fit(small_tables):
     assert small.n_fitted <= 30 < large.n_fitted and small.n_test == large.n_test
 
 
+def test_the_fit_reads_every_training_row(spark):
+    """More than a million training rows of one class; the default parameters leave none out."""
+    risky = F.col("id") % 100 == 0
+    companies = spark.range(1_300_000).select(
+        F.lpad(F.col("id").cast("string"), 8, "0").alias("cnpj_raiz"),
+        *[(F.col("id") % (k + 5)).cast(t).alias(c) for k, (c, t) in enumerate(zip(M.M1_COLUMNS[1:-1], _COMPANY_TYPES[1:-1], strict=True))],
+        F.when(risky, "ALTO RISCO").otherwise("BOM PAGADOR").alias("classificacao_comportamento"))
+    companies = companies.withColumn("total_parcelamentos", F.lit(2)).withColumn("qtd_ativos", F.lit(1))
+    tm = M.train(companies, M.ModelParams(max_iter=1, max_depth=1))
+    assert tm.n_train + tm.n_test == 1_300_000 and tm.n_fitted == tm.n_train == 1_040_000
+
+
 def test_models_are_kept_by_the_version_of_their_input(spark, tmp_path, monkeypatch):
     from tests.conftest import SF_SMALL
     from tranche.plans.builds import source_version

@@ -1,10 +1,9 @@
 """Cancellation-risk model (M1-M15) as a ``pyspark.ml`` pipeline.
 
 Training runs distributed (gradient-boosted trees build each tree from
-partition-level histograms) on a sample of documented size in a fixed number of
-partitions, so its cost and its result depend on neither the number of companies
-beyond that nor the cluster.  Scoring is a lazy ``transform``, so the top-50
-list and the probability histogram are ordinary DataFrame queries over all
+partition-level histograms) on every training row, in a number of partitions that
+follows the number of rows alone, so its result does not depend on the cluster.
+Scoring is a lazy ``transform``, so the top-50 list and the probability histogram are ordinary DataFrame queries over all
 companies (D-2: not over a truncated set).
 
 The split orders each class's companies by md5 of key and seed and cuts at an exact
@@ -54,12 +53,12 @@ class ModelParams:
     seed: int = 42
     test_fraction: float = 0.2
     min_agreements: int = 2
-    # training rows of each class, those of the smallest hashes; more add cost, not accuracy
-    max_rows_per_class: int = 1_000_000
-    # of the training rows, by hash of the company, whatever their number; every
-    # boosting round runs several jobs, so many tiny partitions cost far more
-    # than the work they hold
+    # training rows of each class, those of the smallest hashes; None: all of them
+    max_rows_per_class: int | None = None
+    # at least, of the training rows, by hash of the company; every boosting round
+    # runs several jobs, so many tiny partitions cost far more than the work they hold
     partitions: int = 8
+    rows_a_partition: int = 250_000          # of the training rows; more of them, more partitions
 
 
 DEFAULT_MODEL = ModelParams()
@@ -126,7 +125,9 @@ def stratified_split(frame: DataFrame, mp: ModelParams = DEFAULT_MODEL) -> DataF
 
 
 def bounded_sample(frame: DataFrame, mp: ModelParams = DEFAULT_MODEL) -> DataFrame:
-    """Of each class, the at most ``max_rows_per_class`` rows whose hashes are smallest."""
+    """Of each class, the at most ``max_rows_per_class`` rows whose hashes are smallest; all rows without that bound."""
+    if mp.max_rows_per_class is None:
+        return frame
     hashed = frame.withColumn("_h", company_hash(mp))
     cuts = hash_cuts(hashed, LABEL, lambda n: F.least(n, F.lit(mp.max_rows_per_class)))
     return hashed.join(F.broadcast(cuts), LABEL).where(F.col("_h") <= F.col("_cut")).select(*frame.columns)
@@ -210,7 +211,7 @@ class TrainedModel:
     importances: dict[str, float]
     n_train: int
     n_test: int
-    n_fitted: int = 0                        # training rows within the bound
+    n_fitted: int = 0                        # training rows that the fit read
     test_predictions: str | None = None      # where the test rows' predictions are stored
 
 
@@ -249,19 +250,23 @@ def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def train(companies: DataFrame, mp: ModelParams = DEFAULT_MODEL) -> TrainedModel:
-    """Frame, clean, split, fit on a bounded sample of the training rows, evaluate on all test rows.
+    """Frame, clean, split, fit on all training rows (unless a bound is given), evaluate on all test rows.
 
     The frame is stored before the split, which reads it three times."""
     frame = stored(as_double_features(clean_training(training_frame(companies, mp))), "model-frame")
     split = stored(stratified_split(frame.withColumn(LABEL, F.col(LABEL).cast("double")), mp), "model-split")
     test_df = split.where("is_test")
-    fitted = stored(bounded_sample(split.where("NOT is_test"), mp), "model-rows")
+    fitted = bounded_sample(split.where("NOT is_test"), mp)
+    if mp.max_rows_per_class is not None:
+        fitted = stored(fitted, "model-rows")
+    n_fitted = fitted.count()
+    partitions = max(mp.partitions, -(-n_fitted // mp.rows_a_partition))
     # The same rows in the same order in every run, whatever files they were read from.
-    model = build_pipeline(mp).fit(fitted.repartition(mp.partitions, "cnpj_raiz").sortWithinPartitions("cnpj_raiz"))
+    model = build_pipeline(mp).fit(fitted.repartition(partitions, "cnpj_raiz").sortWithinPartitions("cnpj_raiz"))
     where = f"{ensure_checkpoint_dir(companies.sparkSession).rstrip('/')}/test-predictions-{uuid.uuid4().hex}"
     acc, auc, n_test = evaluate(write_and_reload(predicted(model, test_df), where))
     imp = dict(zip(FEATURES, [float(v) for v in model.stages[-1].featureImportances.toArray()]))
-    return TrainedModel(model, acc, auc, imp, split.where("NOT is_test").count(), n_test, fitted.count(), where)
+    return TrainedModel(model, acc, auc, imp, split.where("NOT is_test").count(), n_test, n_fitted, where)
 
 
 def kept_at(root: str, version: str, mp: ModelParams = DEFAULT_MODEL) -> str:
