@@ -7,6 +7,7 @@ import zlib
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,35 @@ def test_texts_that_share_an_id(spark):
     assert got == sorted([(3, 26, 1), (5, 26, 1), (5, 26, 5), (7, 26, 5), (9, 26, 9), (9, 31, 9), (1, 27, 1), (9, 26, 5)])
 
 
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    """A path of 1,500 nodes with mixed numbers, as neighbours of a common part make it, and a few of a descending one."""
+    rng, rounds, stored = random.Random(5), [], N.C.stored
+    order = rng.sample(range(1_500), 1_500)
+    monkeypatch.setattr(N.C, "stored", lambda df, what: rounds.append(what) or stored(df, what))
+    path = list(zip(order, order[1:])) + [(x, x - 1) for x in range(2_040, 2_000, -1)] + [(3_000, 3_000), (None, 7)]
+    got = {r["node"]: r["component"] for r in N.connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {x: 0 for x in range(1_500)} | {x: 2_000 for x in range(2_000, 2_041)}
+    assert rounds.count("labels") <= 14
+
+
+def test_shingle_sets_are_those_of_the_words():
+    """Words of one to 200 bytes, all white space, texts that end within a word, nulls, slices of a batch."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcÀß字Z.") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200])))
+    texts = [None, "", " \t\n\r\x0b\x0c", "one", "\u00a0\x1c\x85", "a b c d e", "A  b\nC d E f"] + [
+        rng.choice(["", " ", "\n"]) + "".join(w + rng.choice([" ", "\t", "\r\n  "]) for w in rng.choices([word() for _ in range(9)], k=rng.choice([1, 3, 4, 5, 6, 40])))
+        + rng.choice(["", "end"]) for _ in range(200)]
+    column = pa.array(["cut", *texts, "off"])[1:-1]
+    x, off = N.shingle_sets(column, 5)
+    known, back = {}, {}
+    for text, i, j in zip(texts, off[:-1], off[1:]):
+        w = (text or "").encode().lower().split()
+        want = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        assert len(want) == j - i and (np.diff(x[i:j].astype(object)) > 0).all()
+        assert known.setdefault(frozenset(want), tuple(x[i:j])) == tuple(x[i:j])
+        assert back.setdefault(tuple(x[i:j]), frozenset(want)) == frozenset(want)
+
+
 def test_parts_of_similar_sets_meet():
     rng = np.random.default_rng(2)
     s = N.Settings()

@@ -9,9 +9,11 @@ D + 1 parts of one they share at least one whole part among the D + 1 that come
 first in a fixed order (largest parts first, as few other sets share those).  A
 set with too few parts for this sends all of them, and its first D + 1 tokens as
 well.  A part's holders are sorted by size, and neighbours close enough in size
-are linked; classes so connected form a group, a superset of a component.  Within a
-chunk of rows a part is sent once for each size, and its other holders of that size
-are linked on the spot, so a part in a third of all texts costs little.
+belong together and are linked to one of them; classes so connected form a group, a
+superset of a component.  Within a chunk of rows a part is sent once for each size,
+and its other holders of that size are linked on the spot, so a part in a third of
+all texts costs little.  The texts of a batch are split, hashed and parted together,
+and holders travel in blocks of arrays.
 
 Within a group, a signature tree holds its classes: a leaf has a bitmap of its
 tokens and its size, a node the OR of the bitmaps below and their range of sizes.
@@ -76,28 +78,76 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Shingler:
-    """Sorted distinct shingle hashes of a text; remembers word hashes, up to a bound."""
-
-    def __init__(self, words: int, bound: int = 150_000):
-        self.words, self.bound, self.known = words, bound, {}
-
-    def __call__(self, raw: bytes) -> np.ndarray:
-        words = raw.lower().split()
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > self.bound:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        code = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-        k = min(self.words, n)
-        h = np.full(n - k + 1, k, np.uint64)
-        for i in range(k):
-            h = _mix(h * _M1 + code[i:n - k + 1 + i])
-        return np.unique(h)
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 64                               # bytes; words up to this are hashed eight bytes at a time, all at once
+
+
+def _runs(batch, rows: int = 256, size: int = 1 << 22):
+    """An Arrow batch in runs of few rows, and about ``size`` bytes of text if its rows are alike."""
+    for some in C.slices(batch, rows):
+        yield from C.slices(some, max(1, some.num_rows // (1 + some.column("text").nbytes // size)))
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and where each text's words begin; null as empty."""
+    text = column.cast(pa.large_binary())
+    text = text.fill_null(b"") if text.null_count else text
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    first, size = int(at[0]), int(at[-1] - at[0])
+    at = at - first
+    if not size:
+        return np.zeros(0, np.uint64), at
+    raw = np.zeros(size + 8, np.uint8)
+    raw[:size] = _LOWER[np.frombuffer(text.buffers()[2], np.uint8)[first:first + size]]
+    inside = ~_SPACE[raw[:size]]
+    starts, ends, some = inside.copy(), inside.copy(), at[1:] > at[:-1]
+    starts[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    for mark, edge in ((starts, at[:-1][some]), (ends, at[1:][some] - 1)):           # a word ends with its text
+        mark[edge] = inside[edge]
+    starts = np.flatnonzero(starts)
+    length = np.flatnonzero(ends) + 1 - starts
+    eight = np.ndarray(size + 1, "<u8", raw, strides=(1,))                            # the eight bytes from each place on
+    h = _mix(length.astype(np.uint64) * _M1 + (eight[starts] & _MASK[np.minimum(length, 8)]))
+    more, done = np.flatnonzero((length > 8) & (length <= _LONG)), 8
+    while len(more):
+        h[more] = _mix(h[more] * _M1 + (eight[starts[more] + done] & _MASK[np.minimum(length[more] - done, 8)]))
+        done += 8
+        more = more[length[more] > done]
+    for k in np.flatnonzero(length > _LONG):
+        h[k] = xxhash.xxh64_intdigest(raw[starts[k]:starts[k] + length[k]])
+    return h, np.searchsorted(starts, at)
+
+
+def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one text after another, and where each text's begin."""
+    code, at = _words(column)
+    count = np.diff(at)
+    made = np.where(count >= words, count - words + 1, np.minimum(count, 1))
+    off = np.concatenate([[0], np.cumsum(made)])
+    h = np.full(max(0, len(code) - words + 1), words, np.uint64)
+    for i in range(words if len(h) else 0):
+        h = _mix(h * _M1 + code[i:len(h) + i])
+    x, whole = np.empty(off[-1], np.uint64), np.repeat(count >= words, made)
+    x[whole] = h[(np.arange(off[-1]) + np.repeat(at[:-1] - off[:-1], made))[whole]]
+    for m in range(1, words):                                 # texts of m words: one shingle of all
+        few = np.flatnonzero(count == m)
+        one = np.full(len(few), m, np.uint64)
+        for i in range(m):
+            one = _mix(one * _M1 + code[at[few] + i])
+        x[off[few]] = one
+    for i, j in zip(off[:-1].tolist(), off[1:].tolist()):
+        x[i:j].sort()
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    new[off[:-1][made > 0]] = True
+    return x[new], np.concatenate([[0], np.cumsum(new)])[off]
+
+
+def _each(x: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    return [x[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
 
 
 def class_key(tokens: np.ndarray) -> tuple[int, int]:
@@ -105,35 +155,61 @@ def class_key(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8").tolist())
 
 
-def _level(n: int, s: Settings) -> int:
-    """Number of parts of sets of n tokens: one and a half to three tokens a part, or single tokens."""
-    return 1 << ((2 * n // 3).bit_length() - 1) if n > s.whole else 0
+def _power(n: np.ndarray, s: Settings) -> np.ndarray:
+    """Of two, the power that is the number of parts of sets of n tokens: one and a half to three tokens a part; -1: single tokens."""
+    return np.where(n > s.whole, np.frexp(2 * n // 3)[1] - 1, -1)
+
+
+def _parts_at(x: np.ndarray, off: np.ndarray, power: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set, the hashes of the first ``want`` parts, how many these are, and whether they are fewer.
 
+    A part's tokens agree in their first bits, so they are neighbours in a sorted set.
+    Its hash begins with its size: sorted hashes have the largest parts first."""
+    place = x >> np.repeat(np.where(power < 0, 0, 64 - power).astype(np.uint64), np.diff(off))
+    new = np.ones(len(x), bool)
+    new[1:] = place[1:] != place[:-1]
+    new[off[:-1][off[1:] > off[:-1]]] = True
+    start, at = np.flatnonzero(new), np.concatenate([[0], np.cumsum(new)])[off]
+    count = np.diff(at)
+    h = np.add.reduceat(_mix(x), start) ^ np.repeat(power, count).astype(np.uint64)
+    size = np.minimum(np.diff(start, append=len(x)), 63).astype(np.uint64)
+    h = ((np.uint64(63) - size) << np.uint64(58)) | (h >> np.uint64(6))
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+        h[i:j].sort()
+    kept = np.arange(len(h)) - np.repeat(at[:-1], count) < np.repeat(want, count)
+    return h[kept], np.minimum(count, want), count < want
 
-def _parts_at(x: np.ndarray, m: int, want: int) -> tuple[np.ndarray, bool]:
-    """Hashes of the first ``want`` parts (modulo m; 0: single tokens), and whether there are as many."""
-    if not m:
-        return _mix(x[:want]), True
-    place = x & np.uint64(m - 1)
-    order = np.argsort(place, kind="stable")
-    start = np.flatnonzero(np.diff(place[order], prepend=np.uint64(m)))
-    h = np.add.reduceat(_mix(x[order]), start) ^ np.uint64(m)
-    size = np.diff(start, append=len(x))
-    return h[np.lexsort((h, -size))[:want]], len(h) >= want
+
+def all_parts(x: np.ndarray, off: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the parts that sets send, and the number of each one's set: similar sets have at least one in common.
+
+    The larger of two similar sets settles how both are parted: a set is parted as its
+    own size asks and as the sizes of larger similar sets do."""
+    n = np.diff(off)
+    want = n * (100 - s.percent) // s.percent + 1
+    power, top, few = _power(n, s), _power(100 * n // s.percent, s), np.zeros(len(n), bool)
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+    def send(which, power):
+        some = np.zeros(len(n), bool)
+        some[which] = True
+        h, count, short = _parts_at(x[np.repeat(some, n)], np.concatenate([[0], np.cumsum(n[which])]), power, want[which])
+        out.append((h, np.repeat(which, count)))
+        few[which] |= short
+
+    which = np.flatnonzero(n)
+    while len(which):
+        send(which, power[which])
+        power = np.where(power < 0, _power(np.int64(s.whole + 1), s), power + 1)
+        which = which[power[which] <= top[which]]
+    if few.any():
+        send(np.flatnonzero(few), np.full(int(few.sum()), -1))
+    return tuple(np.concatenate(y) for y in zip(*out))
 
 
 def parts(x: np.ndarray, s: Settings) -> np.ndarray:
     """Hashes of the parts that a set sends: similar sets have at least one in common."""
-    n = len(x)
-    want = n * (100 - s.percent) // s.percent + 1
-    out, enough = [], True
-    for m in {_level(k, s) for k in (max(1, n * s.percent // 100), n, 100 * n // s.percent + 1)}:
-        h, whole = _parts_at(x, m, want)
-        out.append(h)
-        enough &= whole
-    if not enough:
-        out.append(_parts_at(x, 0, want)[0])
-    return np.concatenate(out)
+    return all_parts(x, np.array([0, len(x)]), s)[0]
 
 
 class Bloom:
@@ -164,20 +240,6 @@ def _longs(*columns) -> list:
     return [pa.array(np.ascontiguousarray(c).view(np.int64), pa.int64()) for c in columns]
 
 
-def signatures(documents: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, c1, c2, n) of every document: its class and the size of its set."""
-
-    def run(batches):
-        shingler = Shingler(s.words)
-        for batch in batches:
-            keys = [(*class_key(x), len(x)) for x in map(shingler, C.raw_texts(batch))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast("int64"), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3))],
-                names=["doc_id", "c1", "c2", "n"])
-
-    return documents.select("doc_id", "text").mapInArrow(C.tidy(run), "doc_id long, c1 long, c2 long, n long")
-
-
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
@@ -186,70 +248,139 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[keep], b[keep]
 
 
+# Rows between the workers are blocks of arrays, so that Spark moves few rows: holders of parts
+# (part, class, size), links already found (a, b), signatures (doc_id, both halves of the class, size).
+_HOLDERS, _LINKS, _SIGNATURES = 0, 1, 2
+_BITS = 12                               # of a part, by which holders are dealt
+_BLOCK = "bucket int, kind int, x binary, y binary, z binary, n binary"
+
+
+def _blocks(bucket: np.ndarray, kind: int, off: np.ndarray, x, y, z, n) -> pa.RecordBatch:
+    """Rows ``_BLOCK``: arrays cut at ``off``."""
+
+    def cut(a):
+        a = np.ascontiguousarray(a)
+        at = (off * a.itemsize if len(a) else off * 0).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(at), pa.py_buffer(a)])
+
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), kind), pa.int32()), *map(cut, (x, y, z, n))],
+                                      names=["bucket", "kind", "x", "y", "z", "n"])
+
+
+def _joined(column: pa.Array, kind) -> np.ndarray:
+    """The arrays of all rows of a binary column, as one."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else (0, 0)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]].copy().view(kind) if data is not None and at[-1] > at[0] else np.zeros(0, kind)
+
+
+def _by_part(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Holders sorted by part and size."""
+    order = np.argsort(h)
+    h = h[order]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[1:] == h[:-1]
+    tied = np.flatnonzero(same[1:] | same[:-1])               # few parts have several holders
+    order[tied] = order[tied][np.lexsort((n[order[tied]], h[tied]))]
+    return h, c[order], n[order]
+
+
+def _once(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Of holders, the first of each part and size, and links of the others to it."""
+    h, c, n = _by_part(h, c, n)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (n[1:] != n[:-1])
+    first = c[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+    return (h[new], c[new], n[new]), _unique_pairs(first[first != c], c[first != c])
+
+
 def _send(s: Settings):
-    """Rows (part, n, a, b): a part's holder and its size (b null), or a link already found (under any part)."""
-
-    def rows(held: list):
-        h, c, n = (np.concatenate([x[i] for x in held]) for i in range(3))
-        order = np.lexsort((n, h))
-        h, c, n = h[order], c[order], n[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (n[1:] != n[:-1])
-        first = c[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-        a, b = _unique_pairs(first[first != c], c[first != c])
-        return pa.RecordBatch.from_arrays(
-            [*_longs(np.concatenate([h[new], _mix((a ^ b).view(np.uint64))])), pa.array(np.concatenate([n[new], np.zeros(len(a), np.int32)])),
-             *_longs(np.concatenate([c[new], a])), pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), *_longs(b)])],
-            names=["part", "n", "a", "b"])
+    """Blocks of every text's signature, and of the parts that it sends if it has an id."""
+    none, low = np.zeros(0, np.int64), np.uint64((1 << _BITS) - 1)
+
+    def sent(held: list):
+        (h, c, n), (a, b) = _once(*(np.concatenate([x[i] for x in held]) for i in range(3)))
+        bucket, first = np.unique(h >> np.uint64(64 - _BITS), return_index=True)
+        yield _blocks(bucket, _HOLDERS, np.append(first, len(h)), h, c, none, n)
+        if len(a):
+            yield _blocks(np.array([int(a[0]) & int(low)]), _LINKS, np.array([0, len(a)]), a, b, none, none)
 
     def run(batches):
-        shingler, held, count = Shingler(s.words), [], 0
+        held, count, seen = [], 0, set()
         for batch in batches:
-            for raw in C.raw_texts(batch):
-                x = shingler(raw)
-                if not len(x):
-                    continue
-                h = parts(x, s)
-                held.append((h, np.full(len(h), class_key(x)[0], np.int64), np.full(len(h), len(x), np.int32)))
+            for few in _runs(batch):
+                x, off = shingle_sets(few.column("text"), s.words)
+                keys, n = [class_key(y) for y in _each(x, off)], np.diff(off)
+                c1, c2 = (np.array([k[i] for k in keys], np.int64) for i in range(2))
+                ids, named = few.column("doc_id").cast("int64"), few.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                yield _blocks(np.array([int(c1[0]) & int(low)]), _SIGNATURES, np.array([0, len(n)]), ids.fill_null(0).to_numpy(), c1, c2,
+                              np.where(named, n, -1 - n))
+                some = np.array([k not in seen and not seen.add(k) if ok else False for k, ok in zip(keys, named & (n > 0))], bool)
+                h, owner = all_parts(x[np.repeat(some, n)], np.concatenate([[0], np.cumsum(n[some])]), s)
+                held.append(((h << np.uint64(64 - _BITS)) | (h >> np.uint64(_BITS)), c1[some][owner], n[some][owner].astype(np.int32)))
                 count += len(h)
                 if count >= s.chunk:
-                    yield rows(held)
-                    held, count = [], 0
-        if held:
-            yield rows(held)
+                    yield from sent(held)
+                    held, count, seen = [], 0, set()
+        if count:
+            yield from sent(held)
 
     return run
 
 
 def _meet(s: Settings):
-    """Of rows sorted by part and size: links found before, and links between neighbours of fitting sizes in a part."""
+    """Of blocks sorted by bucket: signatures, links found before, and links between neighbours of fitting sizes in a part."""
+
+    def rows(link: bool, doc_id, a, b, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), link)), doc_id, *_longs(a, b), n], names=["link", "doc_id", "a", "b", "n"])
+
+    def links(a, b):
+        a, b = _unique_pairs(a, b)
+        return rows(True, pa.nulls(len(a), pa.int64()), a, b, pa.nulls(len(a), pa.int64()))
+
+    def met(h, c, n):
+        h, c, n = _by_part(h, c, n)
+        fits = (h[1:] == h[:-1]) & (100 * n[:-1].astype(np.int64) >= s.percent * n[1:].astype(np.int64))
+        start = np.flatnonzero(np.concatenate([[True], ~fits])) if len(h) else np.zeros(0, np.int64)
+        first = np.repeat(np.minimum.reduceat(c, start) if len(h) else c, np.diff(start, append=len(h)))
+        return links(first[first != c], c[first != c])          # each to the least of its neighbours': no long paths
 
     def run(batches):
-        last = None                              # part, class and size of the holder before
+        held = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int32)]             # part, class and size of holders in the bucket before
         for batch in batches:
-            found = batch.column("b").is_valid()
-            links, held = batch.filter(found), batch.filter(pa.compute.invert(found))
-            a, b = links.column("a").to_numpy(), links.column("b").to_numpy()
-            if held.num_rows:
-                h, c, n = (held.column(x).to_numpy() for x in ("part", "a", "n"))
-                if last is not None:
-                    h, c, n = (np.concatenate([[x], y]) for x, y in zip(last, (h, c, n)))
-                last = (h[-1], c[-1], n[-1])
-                near = (h[1:] == h[:-1]) & (100 * n[:-1].astype(np.int64) >= s.percent * n[1:].astype(np.int64)) & (c[1:] != c[:-1])
-                a, b = np.concatenate([a, c[:-1][near]]), np.concatenate([b, c[1:][near]])
-            yield pa.RecordBatch.from_arrays(_longs(*_unique_pairs(a, b)), names=["a", "b"])
+            of = lambda kind: batch.filter(pa.compute.equal(batch.column("kind"), kind))
+            found, signed, new = of(_LINKS), of(_SIGNATURES), of(_HOLDERS)
+            if signed.num_rows:
+                ids, c1, c2, n = (_joined(signed.column(k), np.int64) for k in "xyzn")
+                yield rows(False, pa.array(ids, mask=n < 0), c1, c2, pa.array(np.where(n < 0, -1 - n, n)))
+            if found.num_rows:
+                yield links(*(_joined(found.column(k), np.int64) for k in "xy"))
+            if not new.num_rows:
+                continue
+            held = [np.concatenate([x, _joined(new.column(k), x.dtype)]) for x, k in zip(held, "xyn")]
+            last = held[0] >> np.uint64(64 - _BITS) == np.uint64(new.column("bucket")[-1].as_py())
+            yield met(*(x[~last] for x in held))
+            held = [x[last] for x in held]
+            if len(held[0]) > 10 * s.chunk:
+                held, pairs = _once(*held)
+                yield links(*pairs)
+        if len(held[0]):
+            yield met(*held)
 
     return run
 
 
-def candidate_links(documents: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) between first halves of class keys, whose connected groups contain every similar pair of classes.
+def signatures_and_links(documents: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, c1, c2, n) of every document, its class and the size of its set, and links between classes; texts are read once.
 
+    Links (a, b) between first halves of class keys connect groups that contain every similar pair of classes.
     Classes that agree in that half only share a group, which is verified like any other.
     """
-    sent = documents.select("text").mapInArrow(C.tidy(_send(s)), "part long, n int, a long, b long")
-    return C.stored(sent.repartition("part").sortWithinPartitions("part", "n").mapInArrow(C.tidy(_meet(s)), "a long, b long").distinct(),
-                    "candidate-links")
+    sent = documents.select("doc_id", "text").mapInArrow(C.tidy(_send(s)), _BLOCK)
+    met = C.stored(sent.repartition("bucket").sortWithinPartitions("bucket")
+                   .mapInArrow(C.tidy(_meet(s)), "link boolean, doc_id long, a long, b long, n long"), "signatures")
+    return (met.where("NOT link").select("doc_id", F.col("a").alias("c1"), F.col("b").alias("c2"), "n"),
+            C.stored(met.where("link").select("a", "b").distinct(), "candidate-links"))
 
 
 # --- signature trees ----------------------------------------------------------------------------
@@ -376,12 +507,11 @@ def similar_links(documents: DataFrame, s: Settings = Settings()) -> tuple[DataF
     spark = documents.sparkSession
     C.ship(spark)
     docs = documents.select("doc_id", "text")
-    sigs = C.stored(signatures(docs, s), "signatures")
+    sigs, near = signatures_and_links(docs, s)
     classes = C.stored(sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # Classes by their smallest id; those that agree in the first half of the key are linked to one another.
     ends = classes.groupBy("c1").agg(F.min("rep").alias("rep"))
-    pairs = (candidate_links(docs.where("doc_id IS NOT NULL"), s)
-             .join(ends.select(F.col("c1").alias("a"), F.col("rep").alias("x")), "a")
+    pairs = (near.join(ends.select(F.col("c1").alias("a"), F.col("rep").alias("x")), "a")
              .join(ends.select(F.col("c1").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
              .union(classes.join(ends.withColumnRenamed("rep", "x"), "c1").where("rep != x").select(F.col("x").alias("a"), F.col("rep").alias("b"))))
     groups = connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("part"))
@@ -396,20 +526,20 @@ def similar_links(documents: DataFrame, s: Settings = Settings()) -> tuple[DataF
     sent = spark.sparkContext.broadcast(wanted)
 
     def sets_of(batches):
-        shingler, some = Shingler(s.words), sent.value
+        some = sent.value
         for batch in batches:
             batch = batch.filter(pa.array(some.has(batch.column("h").to_numpy().view(np.uint64))))
-            for few in C.slices(batch):
-                sets = [shingler(r) for r in C.raw_texts(few)]
-                keys = [class_key(x) for x in sets]
+            for few in _runs(batch):
+                x, off = shingle_sets(few.column("text"), s.words)
+                keys = [class_key(y) for y in _each(x, off)]
                 yield pa.RecordBatch.from_arrays(
                     [few.column("doc_id").cast("int64"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                     pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "c1", "c2", "tokens"])
+                     pa.ListArray.from_arrays(pa.array(off, pa.int32()), *_longs(x))], names=["rep", "c1", "c2", "tokens"])
 
     found = (docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
              .mapInArrow(C.tidy(sets_of), "rep long, c1 long, c2 long, tokens array<long>"))
-    near = members.join(shape.select("part", "large", "docs", "shingles"), "part")
-    full = found.join(_near(near), ["rep", "c1", "c2"]).dropDuplicates(["rep", "c1", "c2"])
+    wide = members.join(shape.select("part", "large", "docs", "shingles"), "part")
+    full = found.join(_near(wide), ["rep", "c1", "c2"]).dropDuplicates(["rep", "c1", "c2"])
 
     # Small groups: several in a task, by hash of the group.
     bins = int(max(1, -(-int(total["n"]) // 500_000)))
